@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, sharding
+from . import decontam, exact, mixing, neardup, sharding, substring, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dup_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
 
@@ -22,6 +26,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
@@ -31,8 +43,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_mix_sources": op6_mix_sources,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_shard": op9_shard,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -67,6 +82,17 @@ e AS (SELECT d.doc_id, d.size, d.h, s4.*, sum(d.size) OVER (PARTITION BY d.sourc
 SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN size > 0 AND 2 * upto - size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM e""",
+    "op7_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS g FROM v),
+m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (g) WHERE doc_id > least)),
+p AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d),
+k AS (SELECT p.doc_id, string_agg(w[p.p + 1], ' ' ORDER BY p.p) AS kept FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op10_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
