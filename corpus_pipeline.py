@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontam, mixing, sharding
+from plumbline.llm import decontam, mixing, neardup, quality, sharding
 from plumbline.llm.common import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranker puts over its threshold."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def no_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of documents that share 0.8 of their five-word shingles."""
+    return neardup.drop_near_dups(docs, shingle=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,7 +37,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("decontamination", decontamination), ("mix", source_mix), ("shards", shards)]
+STAGES: list[tuple[str, Stage]] = [("quality", good_quality), ("near_dedup", no_near_dups), ("decontamination", decontamination), ("mix", source_mix), ("shards", shards)]
 
 #: The quality model and the near-duplicate sketches can't be put in SQL.
 ORACLE_SQL = None

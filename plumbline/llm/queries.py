@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, neardup, sharding, substring, tokencount
+from . import decontam, exact, mixing, neardup, quality, sharding, substring, tokencount, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_dup_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -22,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
 
 
+def op5_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -43,8 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op5_extract_text": op5_extract_text,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
