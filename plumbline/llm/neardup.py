@@ -6,9 +6,10 @@ registers merge by their maximum, and two of them agree about as often as the se
 are banded into buckets; a bucket proposes pairs; a pair is estimated from all registers by maximum likelihood
 and, unless it is far below the threshold, verified on the full shingle sets. Links become components.
 
-Within a bucket not all pairs are formed. First each member meets the bucket's smallest id. After the links so
-found have joined members into components, only members outside a bucket's largest component meet the members
-of other components: any link still missing within a bucket has one end among them.
+Within a bucket not all pairs are formed. Texts too much of which no other candidate has can't have a link and
+leave at once. Then each member meets the bucket's most ordinary one. After the links so found have joined
+members into components, only members outside a bucket's largest component meet the members of other
+components: any link still missing within a bucket has one end among them.
 """
 
 from __future__ import annotations
@@ -123,10 +124,6 @@ def _likely(threshold: float):
     return run
 
 
-def _size_fits(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def components(links: DataFrame) -> DataFrame:
     """id, root: the smallest id reachable over links(a, b), for each id that has a link.
 
@@ -163,15 +160,24 @@ def components(links: DataFrame) -> DataFrame:
     return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct().join(known.select("id"), "id", "left_anti"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap enough: estimated by likelihood first, then exactly."""
+def _could_link(n_a: Column, own_a: Column, n_b: Column, own_b: Column, percent: int) -> Column:
+    """Whether sets of n shingles, own of which no other candidate has, may overlap enough: what is shared is no
+    more than the smaller rest."""
+    shared = F.least(n_a - own_a, n_b - own_b)
+    return shared * 100 >= (n_a + n_b - shared) * percent
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose registers don't put them far below the threshold."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     met = join_salted(join_salted(pairs, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
-    likely = materialise(met.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(texts.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, items array<long>"), "sets")
+    return materialise(met.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets overlap enough."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}"))
-    both = join_salted(join_salted(likely, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
+    both = join_salted(join_salted(pairs, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     union = F.size("items_a").cast("long") + F.size("items_b") - shared
     return materialise(both.filter(shared * 100 >= union * percent).select("a", "b"), "links")
@@ -198,29 +204,47 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = sketched.filter("n > 0 and doc_id is not null")
     classes = materialise(named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")), "classes")
     reps = materialise(classes.select("rep", "set").join(named.withColumnRenamed("doc_id", "rep"), ["rep", "set"]).groupBy("rep").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "reps")
+    texts = rows.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
     width = ROWS * 2
     bands = [F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(REGISTERS // ROWS)]
-    banded = reps.select("rep", "n", F.explode(F.array(*bands)).alias("bucket"))
-    buckets = materialise(banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "buckets")
     n_banded = n_docs * len(bands)
-    members = materialise(join_groups(banded, buckets.select("bucket", "first", "_size"), "bucket", "_size", n_banded), "members")
-    fits = (F.col("rep") != F.col("first.rep")) & _size_fits(F.col("n"), F.col("first.n"), percent)
-    star = materialise(members.filter(fits).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    texts = rows.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
-    links = _verified(star, reps, texts, shingle, percent)
+
+    def bucketed(some: DataFrame, *more: str) -> DataFrame:
+        """Members (bucket, rep, n, ...) of buckets that hold more than one of them, with the bucket's first and _size."""
+        banded = some.select("rep", "n", *more, F.explode(F.array(*bands)).alias("bucket"))
+        rank = F.struct(*[F.col(c) for c in [*more, "rep", "n"]])
+        buckets = materialise(banded.groupBy("bucket").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "buckets")
+        return join_groups(banded, buckets, "bucket", "_size", n_banded)
+
+    # Sets are made of what shares a bucket with something. A shingle that only one of them has can't be shared, and
+    # a set with too many such shingles has no link: what merely shares a passage goes out here.
+    near = reps.join(bucketed(reps).select("rep").distinct(), "rep", "left_semi")
+    near = materialise(near, "near")
+    sets = materialise(texts.join(near.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items array<long>"), "sets")
+    owners = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    own = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    able = near.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    able = materialise(able, "able")
+    # A bucket's first is the member with the fewest shingles of its own: the text nearest to what others vary.
+    members = materialise(bucketed(able, "own"), "members")
+    fits = (F.col("rep") != F.col("first.rep")) & _could_link(F.col("n"), F.col("own"), F.col("first.n"), F.col("first.own"), percent)
+    star = materialise(members.filter(fits).select(F.least("rep", F.col("first.rep")).alias("a"), F.greatest("rep", F.col("first.rep")).alias("b")).distinct(), "star")
+    links = _verified(_estimated(star, reps, percent), sets, percent)
     roots = materialise(components(links), "roots")
     # What the star of a bucket can't see: links between other members that are still in different components.
-    placed = materialise(members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
+    placed = materialise(members.drop("first", "_size").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     open_buckets = materialise(parts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("_size")).filter("k > 1").select("bucket", F.col("main.root").alias("main"), "_size"), "open")
     inside = materialise(join_groups(placed, open_buckets, "bucket", "_size", n_banded), "inside")
-    out = inside.filter("root <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    met = out.join(inside, "bucket").filter((F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("x"))) & _size_fits(F.col("n"), F.col("n_x"), percent))
-    rest = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
+    out = inside.filter("root <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"), F.col("root").alias("root_x"))
+    apart = (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("x")))
+    met = out.join(inside, "bucket").filter(apart & _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent))
+    rest = materialise(met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, reps, texts, shingle, percent))
-        roots = materialise(components(links), "roots")
+        more = _verified(_estimated(rest, reps, percent), sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = materialise(components(links), "roots")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size")
     met = join_groups(named.select("doc_id", "n", "set"), materialise(of_class, "of_class"), "set", "_size", n_docs).drop("set")

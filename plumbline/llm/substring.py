@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, materialise, mix
+from .common import WordHash, chunks, gram_hashes, join_groups, materialise, mix
 
 #: Cells of one block of the sketch that is merged on its own.
 BLOCK = 1 << 16
@@ -86,12 +87,13 @@ def _emit(seen: list[np.ndarray], width: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _BLOCK.types, strict=True)], schema=_BLOCK)
 
 
-def _sketch(window: int, width: int, most: int = 4_000_000):
+def _sketch(window: int, width: int, known, most: int = 4_000_000):
     """The sketch of a partition, in parts of up to `most` insertions."""
 
     def run(batches):
         of, seen, held = WordHash().of, [], 0
-        for (text,) in chunks(batches, ["text"], "text"):
+        for ids, text in chunks(batches, ["doc_id", "text"], "text"):
+            _, text = _originals(ids, text, known)
             line, doc, _ = _lines(text, of)
             _, at, h = minimisers(line, doc, window)
             _, first = np.unique(at, return_index=True)
@@ -119,17 +121,71 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
 
-_HIT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("known", pa.bool_())])
+_HIT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("known", pa.bool_())])
+
+
+class Originals:
+    """A Bloom filter over the ids of documents that are nobody's copy: never false of one of them."""
+
+    def __init__(self, n: int, most_bits: int = 1 << 29):
+        self.bits = 1 << 16
+        while self.bits < most_bits and self.bits < n * 12:
+            self.bits *= 2
+        self.set = np.zeros(self.bits // 8, np.uint8)
+
+    def _places(self, ids: np.ndarray):
+        h = mix(ids.astype(np.uint64))
+        for k in range(4):
+            h = mix(h + np.uint64(k + 1))
+            yield (h & np.uint64(self.bits - 1)).astype(np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        for c in self._places(ids):
+            np.bitwise_or.at(self.set, c >> 3, (1 << (c & 7)).astype(np.uint8))
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for c in self._places(ids):
+            ok &= (self.set[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def _bloom(n: int):
+    """The filter over a partition's ids."""
+
+    def run(batches):
+        f = Originals(n)
+        for batch in batches:
+            f.add(batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([f.set.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+_SEQ = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
+
+
+def _sequences(batches):
+    for ids, text in chunks(batches, ["doc_id", "text"], "text"):
+        words = [t.encode().split() if t else [] for t in text]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(w) for w in words]), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())], schema=_SEQ)
+
+
+def _originals(ids, text, known):
+    """The rows that may be nobody's copy."""
+    keep = known.value.maybe(np.array(ids, np.int64)).tolist()
+    return [i for i, k in zip(ids, keep, strict=True) if k], [t for t, k in zip(text, keep, strict=True) if k]
 
 
-def _repeated(window: int, width: int, filters):
-    """Windows estimated repeated. Of equal windows in one stretch of text only the one in the smallest document
-    is sent to be grouped; the others are known to be covered at once."""
+def _repeated(window: int, width: int, filters, known):
+    """Windows estimated repeated. Of equal windows in one stretch of text only those in the smallest document are
+    sent to be grouped; the others are known to be covered at once, and get a key of their own."""
 
     def run(batches):
         of = WordHash().of
         bits = filters.value
         for ids, text in chunks(batches, ["doc_id", "text"], "text"):
+            ids, text = _originals(ids, text, known)
             line, doc, _ = _lines(text, of)
             first, _, m = minimisers(line, doc, window)
             ok = np.ones(len(first), bool)
@@ -148,10 +204,11 @@ def _repeated(window: int, width: int, filters):
             h, g, owner, pos = h[order], g[order], owner[order], pos[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             least = owner[new][np.cumsum(new) - 1]
-            known = owner != least
+            sure = owner != least
+            h = np.where(sure, mix(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), h)
             for i in range(0, len(h), 50_000):
                 z = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h[z]), np.int32)), pa.array(owner[z]), pa.array(pos[z]), pa.array(h[z].view(np.int64)), pa.array(g[z]), pa.array(known[z])], schema=_HIT)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[z]), pa.array(pos[z]), pa.array(h[z].view(np.int64)), pa.array(g[z]), pa.array(sure[z])], schema=_HIT)
 
     return run
 
@@ -160,10 +217,12 @@ def _apply(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def run(batches):
-        for ids, text, starts in chunks(batches, ["doc_id", "text", "starts"], "text"):
+        for ids, text, starts, copy in chunks(batches, ["doc_id", "text", "starts", "copy"], "text"):
             rows = []
-            for i, t, s in zip(ids, text, starts, strict=True):
+            for i, t, s, c in zip(ids, text, starts, copy, strict=True):
                 words = t.encode().split() if t else []
+                if c and len(words) >= window:
+                    s = range(len(words) - window + 1)
                 gone = np.zeros(len(words) + 1, np.int64)
                 if s:
                     at = np.unique(np.array(s, np.int64))
@@ -198,19 +257,28 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     width = 1 << 20
     while width < max_cells and width * 8 < n_chars:  # some 25 characters an insertion
         width *= 2
-    partial = named.select("text").mapInArrow(_sketch(window, width), "row int, block int, once binary, twice binary")
+    # Whoever has the words of a smaller id from first to last loses them all, and needs no windows.
+    seqs = materialise(named.mapInArrow(_sequences, "doc_id long, n_words long, seq binary"), "sequences")
+    least = materialise(seqs.groupBy("seq").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")), "least")
+    n = seqs.count()
+    copies = join_groups(seqs.select("doc_id", "seq"), least, "seq", "_size", n).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
+    originals = Originals(n)
+    part = least.select("least").repartition(max(1, n // 500_000)).mapInArrow(_bloom(n), "bits binary")
+    for r in part.toLocalIterator():
+        originals.set |= np.frombuffer(r["bits"], np.uint8)
+    known = spark.sparkContext.broadcast(originals)
+    partial = named.mapInArrow(_sketch(window, width, known), "row int, block int, once binary, twice binary")
     merged = partial.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
     bits = np.zeros((DEPTH, width // 8), np.uint8)
     for r in merged.toLocalIterator():
         bits[r["row"], r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     filters = spark.sparkContext.broadcast(bits)
-    hits = materialise(named.mapInArrow(_repeated(window, width, filters), "part int, doc_id long, pos int, h long, g int, known boolean").drop("part"), "hits")
-    asked = hits.filter("not known").select("doc_id", "pos", "h", "g")
-    # A window meets here at most once for each stretch of a few MB of text, so no group is large.
-    groups = asked.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "g", "least")
-    covered = asked.join(groups, ["h", "g"]).filter("doc_id > least").select("doc_id", "pos").unionByName(hits.filter("known").select("doc_id", "pos"))
-    starts = materialise(covered.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
-    marked = rows.join(starts, "doc_id", "left")
+    hits = named.mapInArrow(_repeated(window, width, filters, known), "doc_id long, pos int, h long, g int, known boolean")
+    # A window meets here only once for each stretch of a few MB of text, so no group is large.
+    least_of = F.min("doc_id").over(Window.partitionBy("h", "g", "known"))
+    covered = hits.withColumn("least", least_of).filter("known or doc_id > least").select("doc_id", "pos")
+    starts = covered.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    marked = rows.join(starts.join(copies, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return marked.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
