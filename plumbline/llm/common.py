@@ -114,10 +114,10 @@ def chunks(batches: Iterable, columns: list[str], text: str, most_bytes: int = 4
 
 
 class WordHash(dict):
-    """64-bit hashes of words (bytes), remembered for up to 2 million words at a time."""
+    """64-bit hashes of words (bytes), remembered for up to 200,000 words at a time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -174,13 +174,21 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return materialise(met.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with shared, the size of their full sets' intersection, and linked, whether it suffices."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}"))
     both = join_salted(join_salted(pairs, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     union = F.size("items_a").cast("long") + F.size("items_b") - shared
-    return materialise(both.filter(shared * 100 >= union * percent).select("a", "b"), "links")
+    return materialise(both.select("a", "b", shared.alias("shared"), (shared * 100 >= union * percent).alias("linked")), "compared")
+
+
+def _met_enough(percent: int) -> Column:
+    """For a pair joined from inside and out: whether no first both were compared with rules a link out. What two
+    sets share lies within that first, where it is bounded by what each shares with it, or outside, where it is
+    bounded by what each has there, less the shingles that only it has."""
+    bound = "least(u.s, v.s) + least(n_x - u.s - own_x, n - v.s - own)"
+    return F.expr(f"NOT coalesce(exists(firsts_x, u -> exists(firsts, v -> u.p = v.p AND ({bound}) * {100 + percent} < {percent} * (n + n_x))), false)")
 
 
 def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +219,7 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def bucketed(some: DataFrame, *more: str) -> DataFrame:
         """Members (bucket, rep, n, ...) of buckets that hold more than one of them, with the bucket's first and _size."""
-        banded = some.select("rep", "n", *more, F.explode(F.array(*bands)).alias("bucket"))
+        banded = some.select("rep", "n", *more, F.posexplode(F.array(*bands)).alias("band", "bucket"))
         rank = F.struct(*[F.col(c) for c in [*more, "rep", "n"]])
         buckets = materialise(banded.groupBy("bucket").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "buckets")
         return join_groups(banded, buckets, "bucket", "_size", n_banded)
@@ -228,20 +236,25 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # A bucket's first is the member with the fewest shingles of its own: the text nearest to what others vary.
     members = materialise(bucketed(able, "own"), "members")
     fits = (F.col("rep") != F.col("first.rep")) & _could_link(F.col("n"), F.col("own"), F.col("first.n"), F.col("first.own"), percent)
-    star = materialise(members.filter(fits).select(F.least("rep", F.col("first.rep")).alias("a"), F.greatest("rep", F.col("first.rep")).alias("b")).distinct(), "star")
-    links = _verified(_estimated(star, reps, percent), sets, percent)
+    star = materialise(members.filter(fits).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    compared = _compared(_estimated(star, reps, percent), sets, percent)
+    links = compared.filter("linked").select("a", "b")
+    firsts = compared.groupBy(F.col("b").alias("rep")).agg(F.collect_list(F.struct(F.col("a").alias("p"), F.col("shared").alias("s"))).alias("firsts"))
     roots = materialise(components(links), "roots")
     # What the star of a bucket can't see: links between other members that are still in different components.
-    placed = materialise(members.drop("first", "_size").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
+    placed = materialise(members.drop("first", "_size").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(firsts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     open_buckets = materialise(parts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("_size")).filter("k > 1").select("bucket", F.col("main.root").alias("main"), "_size"), "open")
-    inside = materialise(join_groups(placed, open_buckets, "bucket", "_size", n_banded), "inside")
-    out = inside.filter("root <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"), F.col("root").alias("root_x"))
+    inside = materialise(join_groups(placed, open_buckets, "bucket", "_size", n_banded).join(able.select("rep", "regs"), "rep"), "inside")
+    out = inside.filter("root <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"), F.col("firsts").alias("firsts_x"), F.col("root").alias("root_x"), F.col("regs").alias("regs_x"))
     apart = (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("x")))
-    met = out.join(inside, "bucket").filter(apart & _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent))
-    rest = materialise(met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    # Two sets meet in the first of the bands that they share only.
+    first_band = F.expr(f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {width} + 1, {width}) = substring(regs_x, j * {width} + 1, {width}))")
+    met = out.join(inside, "bucket").filter(apart & _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent) & _met_enough(percent) & first_band)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialise(met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _verified(_estimated(rest, reps, percent), sets, percent)
+        more = _compared(_estimated(rest, reps, percent), sets, percent).filter("linked").select("a", "b")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = materialise(components(links), "roots")

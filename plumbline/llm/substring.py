@@ -87,7 +87,7 @@ def _emit(seen: list[np.ndarray], width: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _BLOCK.types, strict=True)], schema=_BLOCK)
 
 
-def _sketch(window: int, width: int, known, most: int = 4_000_000):
+def _sketch(window: int, width: int, known, most: int = 2_000_000):
     """The sketch of a partition, in parts of up to `most` insertions."""
 
     def run(batches):
