@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,20 +99,25 @@ def join_salted(rows: DataFrame, wide: DataFrame, key: str, spread: Column, per_
 # ---------------------------------------------------------------- words and hashes in Python workers
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers in batches of few rows, so that workers stay small. The setting stays: it
+    is read when a plan runs, after the operator that made it has returned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def chunks(batches: Iterable, columns: list[str], text: str, most_bytes: int = 4 << 20) -> Iterator[tuple]:
     """Lists of the named columns for runs of rows whose texts hold about most_bytes, a single long text alone."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives back what is freed
     for batch in batches:
-        got = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-        at = columns.index(text)
-        start, held = 0, 0
-        for i, t in enumerate(got[at]):
-            size = len(t) if t else 0
-            if held and held + size > most_bytes:
-                yield tuple(g[start:i] for g in got)
-                start, held = i, 0
-            held += size
-        if start < batch.num_rows:
-            yield tuple(g[start:] for g in got)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most_bytes, side="right")))
+            part = batch.slice(start, n)
+            yield tuple(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns)
+            start += n
 
 
 class WordHash(dict):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, odd, rename_clash
+from .common import chunks, modest_batches, odd, rename_clash
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -127,6 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     benchmark is scanned in blocks, one after the other in the same job, and no row of docs ever shuffles.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.length("t")).alias("c")).first()["c"] or 0
     blocks = max(1, -(-total // block_chars))
@@ -149,6 +150,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """docs, with all columns, without the rows whose text holds a window of the benchmark. Nothing shuffles: the
     scan runs over each distinct row in place. Rows with a null text stay."""
     spark = docs.sparkSession
+    modest_batches(spark)
     n = options.get("n", 10)
     item_col, item_text = options.get("item_col", "item_id"), options.get("item_text_col", "text")
     block = options.get("block_chars", 32_000_000)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, join_groups, join_salted, materialise, odd
+from .common import WordHash, chunks, gram_hashes, join_groups, join_salted, materialise, modest_batches, odd
 
 #: SetSketch with 16-bit registers: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
@@ -206,6 +206,7 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     A link of Jaccard J is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at
     0.85, far less above.
     """
+    modest_batches(docs.sparkSession)
     n_docs = docs.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, modest_batches
 
 #: Quantile bins that each raw feature is cut into; a text's features are its bins.
 BINS = 12
@@ -105,6 +105,7 @@ def _featured(batches):
 def train(labelled: DataFrame, max_rows: int = 20_000, seed: int = 5) -> PairwiseRanker:
     """Fit on labelled(doc_id, y, text), of which the driver gets the features of up to about max_rows rows, those
     of the lowest digests of their ids. Rows with a label other than 0 and 1 are left out."""
+    modest_batches(labelled.sparkSession)
     rows = labelled.filter("y in (0, 1)")
     n = rows.count()
     if n > max_rows:
@@ -130,6 +131,7 @@ def score(docs: DataFrame, model: PairwiseRanker, text_col: str = "text") -> Dat
     """docs with score (0 to 1) for each row, from the whole text alone; an empty or null text is scored as such. A
     column of that name is replaced. Rows stand alone, nothing shuffles."""
     rows = docs.drop("score") if "score" in docs.columns and text_col != "score" else docs
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_scored(held, rows.columns, text_col), f"{schema}, score double")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, join_groups, materialise, mix
+from .common import WordHash, chunks, gram_hashes, join_groups, materialise, mix, modest_batches
 
 #: Cells of one block of the sketch that is merged on its own.
 BLOCK = 1 << 16
@@ -250,6 +250,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     broadcast as DEPTH * max_cells / 8 bytes (64 MB) at most. Over some 200 million insertions it fills up and
     passes more windows on; the result stays exact.
     """
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = rows.filter("doc_id is not null")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, modest_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -128,6 +128,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     ignored; an empty table gives an empty result. The vocabulary (read by the driver) is broadcast, nothing
     shuffles, and a worker holds one automaton and a few MB of text, or one text if that is longer.
     """
+    modest_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_count(pieces), "doc_id long, n_words long, n_tokens long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, join_groups, materialise
+from .common import chunks, join_groups, materialise, modest_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/a-zA-Z][^<]*\Z|<[/a-zA-Z](?:[^<>]*>)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -261,6 +261,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     belongs to a host of its own. Repeated rows give repeated results; other columns are ignored; an empty table
     gives an empty result. A host with very many pages meets its wrapper by a broadcast of the largest hosts.
     """
+    modest_batches(pages.sparkSession)
     wrappers = infer_wrappers(pages, url_col, html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
     n = wrappers.agg(F.sum("n_pages")).first()[0] or 0
