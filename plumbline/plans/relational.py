@@ -60,7 +60,7 @@ def robust_anomaly(spark, sf_dir):
 
 @query("""WITH d AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate::DATE AS day FROM orders),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY day) AS p FROM d),
-s AS (SELECT o_custkey, o_orderkey, round(o_totalprice * (1 + 0.5::DOUBLE * p / max(p) OVER (PARTITION BY o_custkey)), 2) AS score FROM r)
+s AS (SELECT o_custkey, o_orderkey, round(o_totalprice * (1 + 0.5::DOUBLE * p / max(p) OVER (PARTITION BY o_custkey)), 8) AS score FROM r)
 SELECT o_custkey, o_orderkey, score, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS place FROM s""")
 def recency_weighted(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
