@@ -154,3 +154,49 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     for j, a in enumerate(odd(seed, k)):
         out += words[j : j + n] * a
     return mix(out)
+
+
+# ---------------------------------------------------------------- sets of ids of a bounded size
+
+
+class IdFilter:
+    """A Bloom filter over ids: never false of one it holds, true of about one other in a hundred while it has room. It
+    takes 12 bits an id up to most_bits (64 MB); beyond that more others pass."""
+
+    def __init__(self, n: int, most_bits: int = 1 << 29):
+        self.bits = 1 << 16
+        while self.bits < most_bits and self.bits < n * 12:
+            self.bits *= 2
+        self.set = np.zeros(self.bits // 8, np.uint8)
+
+    def _places(self, ids: np.ndarray):
+        h = mix(ids.astype(np.uint64))
+        for k in range(4):
+            h = mix(h + np.uint64(k + 1))
+            yield (h & np.uint64(self.bits - 1)).astype(np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        for c in self._places(ids):
+            np.bitwise_or.at(self.set, c >> 3, (1 << (c & 7)).astype(np.uint8))
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for c in self._places(ids):
+            ok &= (self.set[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast IdFilter of a one-column table of ids: built in parts of half a million, merged one by one."""
+    n = ids.count()
+
+    def part(batches):
+        f = IdFilter(n)
+        for batch in batches:
+            f.add(batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([f.set.tobytes()], pa.binary())], names=["bits"])
+
+    whole = IdFilter(n)
+    for r in ids.repartition(max(1, n // 500_000)).mapInArrow(part, "bits binary").toLocalIterator():
+        whole.set |= np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)

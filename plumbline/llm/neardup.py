@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, join_groups, join_salted, materialise, modest_batches, odd
+from .common import WordHash, chunks, gram_hashes, id_filter, join_groups, join_salted, materialise, modest_batches, odd
 
 #: SetSketch with 16-bit registers: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 REGISTERS, ROWS = 112, 4
-#: Candidates whose estimate is below the threshold by more than this (some eight standard errors) are dropped.
-MARGIN = 0.28
+#: Candidates whose estimate is below the threshold by more than this (some six and a half standard errors) are dropped.
+MARGIN = 0.22
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -96,12 +96,15 @@ def _sketches(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted):
+    """Shingle sets of the texts that may be wanted; of nearly all others there are none."""
     schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
         of = WordHash().of
         for ids, text in chunks(batches, ["id", "text"], "text"):
+            keep = wanted.value.maybe(np.array(ids, np.int64)).tolist()
+            ids, text = [i for i, x in zip(ids, keep, strict=True) if x], [t for t, x in zip(text, keep, strict=True) if x]
             items = [shingle_set(of(t.encode().lower().split()), k).view(np.int64) for t in text]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema)
 
@@ -203,7 +206,7 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     with a null component. Rows that repeat an id share its result if their texts agree. Other columns are
     ignored. An empty table gives an empty result.
 
-    A link of Jaccard J is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at
+    Texts never shuffle: a broadcast filter of at most 64 MB tells a second scan which sets to make. A link of Jaccard J is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at
     0.85, far less above.
     """
     modest_batches(docs.sparkSession)
@@ -211,8 +214,8 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches")
     named = sketched.filter("n > 0 and doc_id is not null")
-    classes = materialise(named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")), "classes")
-    reps = materialise(classes.select("rep", "set").join(named.withColumnRenamed("doc_id", "rep"), ["rep", "set"]).groupBy("rep").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "reps")
+    classes = materialise(named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    reps = classes.select("rep", "n", "regs")
     texts = rows.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
     width = ROWS * 2
     bands = [F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(REGISTERS // ROWS)]
@@ -229,7 +232,7 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # a set with too many such shingles has no link: what merely shares a passage goes out here.
     near = reps.join(bucketed(reps).select("rep").distinct(), "rep", "left_semi")
     near = materialise(near, "near")
-    sets = materialise(texts.join(near.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle), "id long, items array<long>"), "sets")
+    sets = materialise(texts.mapInArrow(_sets(shingle, id_filter(near.select("rep"))), "id long, items array<long>"), "sets")
     owners = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c = 1")
     own = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     able = near.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
@@ -252,10 +255,12 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Two sets meet in the first of the bands that they share only.
     first_band = F.expr(f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {width} + 1, {width}) = substring(regs_x, j * {width} + 1, {width}))")
     met = out.join(inside, "bucket").filter(apart & _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent) & _met_enough(percent) & first_band)
+    pairs = met.select(F.col("rep").alias("a"), F.col("x").alias("b"), F.col("n").alias("n_a"), F.col("n_x").alias("n_b"), F.col("regs").alias("regs_a"), F.col("regs_x").alias("regs_b"))
+    likely = pairs.mapInArrow(_likely(percent / 100), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(likely.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _compared(_estimated(rest, reps, percent), sets, percent).filter("linked").select("a", "b")
+        more = _compared(rest, sets, percent).filter("linked").select("a", "b")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = materialise(components(links), "roots")

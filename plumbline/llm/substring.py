@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, join_groups, materialise, mix, modest_batches
+from .common import WordHash, chunks, gram_hashes, id_filter, join_groups, materialise, mix, modest_batches
 
 #: Cells of one block of the sketch that is merged on its own.
 BLOCK = 1 << 16
@@ -124,44 +124,6 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
 _HIT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("known", pa.bool_())])
 
 
-class Originals:
-    """A Bloom filter over the ids of documents that are nobody's copy: never false of one of them."""
-
-    def __init__(self, n: int, most_bits: int = 1 << 29):
-        self.bits = 1 << 16
-        while self.bits < most_bits and self.bits < n * 12:
-            self.bits *= 2
-        self.set = np.zeros(self.bits // 8, np.uint8)
-
-    def _places(self, ids: np.ndarray):
-        h = mix(ids.astype(np.uint64))
-        for k in range(4):
-            h = mix(h + np.uint64(k + 1))
-            yield (h & np.uint64(self.bits - 1)).astype(np.int64)
-
-    def add(self, ids: np.ndarray) -> None:
-        for c in self._places(ids):
-            np.bitwise_or.at(self.set, c >> 3, (1 << (c & 7)).astype(np.uint8))
-
-    def maybe(self, ids: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(ids), bool)
-        for c in self._places(ids):
-            ok &= (self.set[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-        return ok
-
-
-def _bloom(n: int):
-    """The filter over a partition's ids."""
-
-    def run(batches):
-        f = Originals(n)
-        for batch in batches:
-            f.add(batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([f.set.tobytes()], pa.binary())], names=["bits"])
-
-    return run
-
-
 _SEQ = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
 
 
@@ -263,11 +225,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     least = materialise(seqs.groupBy("seq").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")), "least")
     n = seqs.count()
     copies = join_groups(seqs.select("doc_id", "seq"), least, "seq", "_size", n).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
-    originals = Originals(n)
-    part = least.select("least").repartition(max(1, n // 500_000)).mapInArrow(_bloom(n), "bits binary")
-    for r in part.toLocalIterator():
-        originals.set |= np.frombuffer(r["bits"], np.uint8)
-    known = spark.sparkContext.broadcast(originals)
+    known = id_filter(least.select("least"))
     partial = named.mapInArrow(_sketch(window, width, known), "row int, block int, once binary, twice binary")
     merged = partial.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
     bits = np.zeros((DEPTH, width // 8), np.uint8)
