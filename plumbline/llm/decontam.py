@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, modest_batches, odd, rename_clash
+from .common import chunks, modest_batches, odd
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -181,5 +181,3 @@ def _keep(grams, text_col: str):
 
     return run
 
-
-__all__ = ["GramSet", "cut", "decontaminate", "drop_contaminated", "rename_clash", "words"]

@@ -240,5 +240,3 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     marked = rows.join(starts.join(copies, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     return marked.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
-
-__all__ = ["minimisers", "substring_dedup"]
