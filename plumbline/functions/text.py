@@ -52,9 +52,9 @@ def covered(terms: Column, have: Column) -> Column:
     return F.filter(terms, lambda t: F.array_contains(have, t) | F.arrays_overlap(related(t), have))
 
 
-def coverage(question: Column, have: Column, of_none: float) -> Column:
-    """The share of a question's distinct content terms that have covers; of_none where it has no terms."""
-    terms = F.array_distinct(content_tokens(question))
+def coverage(terms: Column, have: Column, of_none: float) -> Column:
+    """The share of distinct terms that have covers; of_none where there are no terms. Both should be columns, not
+    expressions: have is looked at once a term."""
     return F.when(F.size(terms) == 0, F.lit(of_none)).otherwise(F.size(covered(terms, have)) / F.size(terms))
 
 

@@ -234,20 +234,22 @@ _COV = f"(len(list_filter(q, lambda w: list_contains(t, w) OR list_has_any(coale
 
 
 def _pool(spark, sf_dir, k: int) -> DataFrame:
-    """The k best texts of each benchmark passage, with both texts."""
+    """The k best texts of each benchmark passage: both texts, q and terms (the passage's content tokens, all and
+    distinct) and t (the text's tokens). Tokens are made below joins, so that they are made once a row."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = X.ranked(X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), X.query_terms(bench, "item_id", "text")), k, digits=6)
-    hits = X.small(hits).join(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id")
-    return hits.join(X.small(bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))), "qid").withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
+    hits = X.small(hits).join(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id").withColumn("t", T.tokens(F.col("passage")))
+    q = T.content_tokens(F.col("text"))
+    asked = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), q.alias("q"), F.array_distinct(q).alias("terms"))
+    return hits.join(X.small(asked), "qid").withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
 
 
 @query(f"""{_POOL}, e AS (SELECT item_id, any_value(q) AS q, list_distinct(flatten(list(t))) AS t FROM x WHERE rank < 3 GROUP BY item_id)
 SELECT item_id, round(CASE WHEN len(q) = 0 THEN 1 ELSE {_COV} END, 6) AS coverage,
 CASE WHEN len(q) = 0 OR {_COV} >= 0.6 THEN 'high' WHEN {_COV} >= 0.34 THEN 'medium' ELSE 'low' END AS label FROM e""")
 def coverage_grade(spark, sf_dir):
-    top = _pool(spark, sf_dir, 3).select("item_id", "question", T.tokens(F.col("passage")).alias("t"))
-    seen = top.groupBy("item_id", "question").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
-    rows = seen.select("item_id", T.coverage(F.col("question"), F.col("t"), 1.0).alias("c"))
+    seen = _pool(spark, sf_dir, 3).groupBy("item_id", "terms").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+    rows = seen.select("item_id", T.coverage(F.col("terms"), F.col("t"), 1.0).alias("c"))
     label = F.when(F.col("c") >= 0.6, "high").when(F.col("c") >= 0.34, "medium").otherwise("low")
     return rows.select("item_id", _r(F.col("c")).alias("coverage"), label.alias("label"))
 
@@ -261,9 +263,9 @@ w AS (SELECT *, place::DOUBLE / max(place) OVER (PARTITION BY item_id) AS recenc
 SELECT item_id, doc_id, round(cov, 6) AS coverage, round(phrase, 6) AS phrase, round(recency, 6) AS recency,
   round(0.35::DOUBLE * base + 0.35::DOUBLE * cov + 0.10::DOUBLE * phrase + 0.04::DOUBLE * recency, 6) AS score FROM w""")
 def rerank_features(spark, sf_dir):
-    q, t = T.content_tokens(F.col("question")), T.tokens(F.col("passage"))
-    qb, tb = F.array_distinct(T.bigrams(q, " ")), F.array_distinct(T.bigrams(t, " "))
-    rows = _pool(spark, sf_dir, 25).select("item_id", "doc_id", "source", "score", T.coverage(F.col("question"), t, 0.0).alias("cov"), F.when(F.size(qb) == 0, 0.0).otherwise(F.size(F.array_intersect(qb, tb)) / F.size(qb)).alias("phrase"))
+    qb, tb = F.array_distinct(T.bigrams(F.col("q"), " ")), F.array_distinct(T.bigrams(F.col("t"), " "))
+    phrase = F.when(F.size(qb) == 0, 0.0).otherwise(F.size(F.array_intersect(qb, tb)) / F.size(qb))
+    rows = _pool(spark, sf_dir, 25).select("item_id", "doc_id", "source", "score", T.coverage(F.col("terms"), F.col("t"), 0.0).alias("cov"), phrase.alias("phrase"))
     rows = S.with_recency(rows, "source", ["item_id"])
     base = F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("item_id")), F.lit(0.0)), F.lit(1.0))
     score = 0.35 * base + 0.35 * F.col("cov") + 0.10 * F.col("phrase") + 0.04 * F.col("recency")

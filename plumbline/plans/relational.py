@@ -329,7 +329,7 @@ def _claims(spark, sf_dir) -> DataFrame:
     """Each benchmark passage as a claim, its three best texts as the evidence."""
     from .queries import _pool
 
-    q, t = F.array_distinct(T.content_tokens(F.col("question"))), T.tokens(F.col("passage"))
+    q, t = F.col("terms"), F.col("t")
     nums = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+(?:[.][0-9]+)?"), 0)
     overlap = F.when(F.size(q) == 0, 1.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
     rows = _pool(spark, sf_dir, 3).select("item_id", "doc_id", overlap.alias("o"), F.size(F.filter(nums("question"), lambda n: ~F.array_contains(nums("passage"), n))).cast("long").alias("missing_numbers"))
