@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocab import EXTRA_STOP, STOP, SYNONYMS
@@ -12,6 +12,13 @@ def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each computed once a row however often it is used: the optimiser doesn't fold an expression
+    through the one-element generator."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_once")).select(*[F.col(f"`{c}`") for c in df.columns], "_once.*")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and dots, without dots at their ends, without stop words; in order."""
     raw = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9.]+"), 0), lambda t: F.btrim(t, F.lit(".")))

@@ -24,8 +24,7 @@ def small(df: DataFrame, most: int = FEW) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf, len: a row for each distinct term of each text."""
-    toks = T.tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), toks.alias("toks")).select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
+    rows = T.once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t"))).select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
     return rows.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -65,28 +64,30 @@ def ranked(scores: DataFrame, k: int | None = None, digits: int = 9) -> DataFram
     return rows if k is None else rows.filter(F.col("rank") < k)
 
 
+def feature_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, feature, tf over unigrams and bigrams."""
+    rows = T.once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t")))
+    return rows.select("id", F.explode(T.features(F.col("toks"))).alias("feature")).groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(id, bucket, weight) of unit length for each text, and (feature, idf): signed hashed TF-IDF over unigrams and
     bigrams. Bucket and sign come from the feature's digest."""
     n = docs.count()
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(T.features(T.tokens(F.col(text_col)))).alias("feature"))
-    tf = rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+    tf = feature_counts(docs, id_col, text_col)
     idf = tf.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).select("feature", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return hashed(tf.join(idf, "feature"), dim), idf
 
 
-def bucket(feature: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(feature), 1, 15), 16, 10).cast("long"), F.lit(dim)).cast("int")
-
-
-def sign(feature: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(feature), 16, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
-
-
 def hashed(weighted: DataFrame, dim: int) -> DataFrame:
-    """(id, bucket, weight) from (id, feature, tf, idf)."""
-    w = sign(F.col("feature")) * (1 + F.log("tf")) * F.col("idf")
-    sums = weighted.groupBy("id", bucket(F.col("feature"), dim).alias("bucket")).agg(F.sum(w).alias("w"))
+    """(id, bucket, weight) from (id, feature, tf, idf): bucket and sign are digits of the feature's digest. One shuffle by
+    id serves the sums and the norms."""
+    d = F.col("_d")
+    rows = weighted.select("id", F.md5("feature").alias("_d"), ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
+    bucket = F.pmod(F.conv(F.substring(d, 1, 15), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring(d, 16, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
+    rows = rows.select("id", bucket.alias("bucket"), (sign * F.col("_w")).alias("_w")).repartition("id")
+    sums = rows.groupBy("id", "bucket").agg(F.sum("_w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return sums.select("id", "bucket", (F.col("w") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).alias("weight"))
 

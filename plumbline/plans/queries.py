@@ -119,8 +119,7 @@ tf AS (SELECT id, feature, count(*) AS tf FROM f0 GROUP BY id, feature)"""
 
 @query(f"WITH {_FEATS} SELECT feature, count(*)::BIGINT AS n_docs, sum(tf)::BIGINT AS n_times FROM tf GROUP BY feature HAVING count(*) > 1")
 def ngram_features(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(T.features(T.tokens(F.col("text")))).alias("feature"))
-    tf = rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+    tf = X.feature_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return tf.groupBy("feature").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_times")).filter("n_docs > 1")
 
 
