@@ -80,10 +80,15 @@ class PairwiseRanker:
         if len(good) and len(bad):
             rng = np.random.default_rng(self.seed)
             n = min(self.pairs, len(good) * len(bad))
-            d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
+            better, worse = rng.choice(good, n), rng.choice(bad, n)
             for _ in range(12):  # Newton steps on the mean logistic loss of "better minus worse is positive"
-                p = 1 / (1 + np.exp(np.clip(d @ self.w, -30, 30)))
-                step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + self.ridge * np.eye(len(self.w)), d.T @ p - self.ridge * self.w)
+                slope, curve = -self.ridge * self.w, self.ridge * np.eye(len(self.w))
+                for i in range(0, n, 5000):  # differences are made a few thousand at a time
+                    d = z[better[i : i + 5000]] - z[worse[i : i + 5000]]
+                    p = 1 / (1 + np.exp(np.clip(d @ self.w, -30, 30)))
+                    slope += d.T @ p
+                    curve += (d * (p * (1 - p))[:, None]).T @ d
+                step = np.linalg.solve(curve, slope)
                 self.w += step
                 if np.abs(step).max() < 1e-6:
                     break
@@ -110,9 +115,9 @@ def train(labelled: DataFrame, max_rows: int = 20_000, seed: int = 5) -> Pairwis
     n = rows.count()
     if n > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    got = rows.mapInArrow(_featured, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
-    x = np.array([r["x"] for r in got], float).reshape(-1, len(NAMES))
-    return PairwiseRanker(seed).fit(x, np.array([r["y"] for r in got], int))
+    got = rows.mapInArrow(_featured, "doc_id long, y int, x array<double>").orderBy("doc_id", "y", "x").toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+    return PairwiseRanker(seed).fit(x, got.column("y").to_numpy().astype(int))
 
 
 def _scored(model, names: list[str], text_col: str):
