@@ -45,7 +45,7 @@ def rows_of(frame) -> list[tuple]:
     import pandas as pd
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "NULL"
         if isinstance(v, (bool, float, int)) or type(v).__module__ == "numpy":
             return repr(float(v))
