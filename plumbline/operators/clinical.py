@@ -11,6 +11,12 @@ from . import series as S
 SEVERITY_POINTS = {"critical": 12, "high": 8, "medium": 4}
 
 
+def filled(records: DataFrame) -> DataFrame:
+    """records with empty arrays for missing ones."""
+    kinds = dict(records.dtypes)
+    return records.withColumns({c: F.coalesce(F.col(c), F.array().cast(kinds[c])) for c in ("diagnoses", "medications", "labs", "encounters", "notes")})
+
+
 def labs(records: DataFrame) -> DataFrame:
     """patient_id, lab_ord, and the fields of each lab."""
     return records.select("patient_id", F.posexplode("labs").alias("lab_ord", "x")).select("patient_id", "lab_ord", "x.*")
@@ -38,6 +44,7 @@ def _newest(test: str) -> Column:
 
 def with_alerts(records: DataFrame) -> DataFrame:
     """records with alerts: array of severity, title, detail, the gravest first and else in the order of the rules."""
+    records = filled(records)
     names = F.transform(F.filter("medications", lambda m: m["active"]), lambda m: F.lower(m["name"]))
     on = lambda *words: F.exists(names, lambda n: F.coalesce(F.greatest(*[n.contains(w).cast("int") for w in words]) if len(words) > 1 else n.contains(words[0]).cast("int"), F.lit(0)) == 1)
     k, egfr, a1c, spo2, hb = (_newest(t) for t in ("Serum Potassium", "eGFR", "HbA1c", "SpO2", "Hemoglobin"))
@@ -79,6 +86,7 @@ def with_risk(records: DataFrame) -> DataFrame:
 
 def timeline(records: DataFrame) -> DataFrame:
     """patient_id, place, date, kind, title, detail: encounters, notes and abnormal labs, the newest first."""
+    records = filled(records)
     event = lambda b, i, date, kind, title, detail: F.struct(date.alias("date"), F.lit(-b).alias("b"), (-i).alias("i"), F.lit(kind).alias("kind"), title.alias("title"), detail.alias("detail"))
     enc = F.transform("encounters", lambda e, i: event(0, i, e["date"], "encounter", F.concat(e["type"], F.lit(" · "), e["department"]), e["reason"]))
     notes = F.transform("notes", lambda n, i: event(1, i, n["date"], "note", n["type"], F.concat(F.substring(n["text"], 1, 140), F.lit("…"))))

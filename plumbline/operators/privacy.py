@@ -9,7 +9,7 @@ import re
 import threading
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CLINICIAN, EMAIL, PHONE, RECORD_ID
@@ -101,13 +101,15 @@ class AuditLog:
         return {"valid": True, "entries": n}
 
 
-def verify_chain(log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None) -> DataFrame:
-    """Where chains break: segment (if given), entries, broken_at (null if nowhere). Every row is checked by itself against
-    the row before it, within its segment."""
-    line = Window.partitionBy(segment) if segment else Window.partitionBy()
-    before = F.lag(hash_, 1, GENESIS).over(line.orderBy(seq))
-    rows = log.withColumn("_n", F.row_number().over(line.orderBy(seq))).withColumn("_ok", (F.col(prev) == before) & (F.col(hash_) == F.sha2(F.concat(prev, body), 256)))
-    return rows.groupBy(*([segment] if segment else [])).agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(~F.col("_ok"), F.col("_n"))).alias("broken_at"))
+def verify_chain(log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None, first: int = 1) -> DataFrame:
+    """entries, broken_at (1 is the first entry; null if it holds) of each segment's chain, or of the whole log. Entries are
+    numbered without gaps from `first`; each meets the one before it by a join on its number, so that a long chain
+    is checked in parallel, and a missing entry breaks it where it was."""
+    keys = [segment] if segment else []
+    before = log.select(*keys, (F.col(seq) + 1).alias(seq), F.col(hash_).alias("_before"))
+    rows = log.join(before, [*keys, seq], "left").withColumn("_before", F.when(F.col(seq) == first, GENESIS).otherwise(F.col("_before")))
+    holds = (F.col(prev) == F.col("_before")) & (F.col(hash_) == F.sha2(F.concat(prev, body), 256))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(~F.coalesce(holds, F.lit(False)), F.col(seq) - first + 1)).alias("broken_at"))
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

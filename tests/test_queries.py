@@ -3,7 +3,7 @@
 import pytest
 from conftest import rows_of
 
-from plumbline.plans import extra, queries, relational  # noqa: F401 - relational and extra register theirs
+from plumbline.plans import basics, extra, queries, relational  # noqa: F401 - they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
