@@ -22,11 +22,47 @@ def _bit_set(bitmap: Column, position: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0
 
 
-def repeated_cells(cells: DataFrame) -> DataFrame:
-    """Bitmaps (block, bits) of the cells that column h of the input hits at least twice."""
-    hits = cells.select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
-    twice = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits"))
+def _celled(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows with the block and the two cells in it that their digest (_sha) hits."""
+    h = F.xxhash64("_sha")
+    return rows.withColumns({
+        "_block": F.pmod(F.shiftright(h, 30), F.lit(blocks)).cast("int"), "_bit_a": h.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"),
+        "_bit_b": F.shiftright(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"),
+    })
+
+
+def repeated_cells(celled: DataFrame) -> DataFrame:
+    """Pass 1: bitmaps (_block, _bits) of the cells that are hit at least twice."""
+    hits = celled.select("_block", F.explode(F.array_distinct(F.array("_bit_a", "_bit_b"))).alias("bit"))
+    twice = hits.groupBy("_block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return twice.groupBy("_block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("_bits"))
+
+
+def _tested(celled: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Pass 2: rows with _maybe, whether both their cells are in the bitmaps; the bitmaps are broadcast."""
+    both = _bit_set(F.col("_bits"), F.col("_bit_a")) & _bit_set(F.col("_bits"), F.col("_bit_b"))
+    return celled.join(F.broadcast(bitmaps), "_block", "left").withColumn("_maybe", F.coalesce(both, F.lit(False))).drop("_block", "_bit_a", "_bit_b", "_bits")
+
+
+def _with_sha(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
+
+
+def _passes(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_blocks: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(doc_id, _sha, _maybe) of all rows, the bitmaps, their number of blocks, and the number of rows."""
+    rows = materialise(_with_sha(docs, text_col).select(F.col(id_col).alias("doc_id"), "_sha"), "digests")
+    n = rows.count()
+    blocks = max(1, min(max_blocks, -(-n * bits_per_row // BLOCK_BITS)))
+    bitmaps = materialise(repeated_cells(_celled(rows, blocks)), "bitmaps")
+    return _tested(_celled(rows, blocks), bitmaps), bitmaps, blocks, n
+
+
+def _grouped(tested: DataFrame, n: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, _sha of the possibly repeated rows, exactly."""
+    ids = materialise(tested.filter("_maybe").groupBy("_sha", "doc_id").agg(F.count(F.lit(1)).alias("times")), "repeated")
+    groups = materialise(ids.groupBy("_sha").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count(F.lit(1)).alias("_ids")), "groups")
+    each = join_groups(ids, groups, "_sha", "_ids", n).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "_sha")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384) -> DataFrame:
@@ -40,34 +76,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     broadcast. Over 33 million rows it fills up, more unique rows are taken for possibly repeated ones, and
     up to 72 bytes of each row shuffle; the result stays exact.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha")), "digests")
-    n = rows.count()
-    blocks = max(1, min(max_blocks, -(-n * bits_per_row // BLOCK_BITS)))
-    h = F.xxhash64("sha")
-    celled = rows.select(
-        "doc_id", "sha",
-        F.pmod(F.shiftright(h, 30), F.lit(blocks)).cast("int").alias("block"),
-        h.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int").alias("bit_a"),
-        F.shiftright(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int").alias("bit_b"),
-    )
-    tested = celled.join(F.broadcast(repeated_cells(celled)), "block", "left")
-    maybe = F.coalesce(_bit_set(F.col("bits"), F.col("bit_a")) & _bit_set(F.col("bits"), F.col("bit_b")), F.lit(False))
-    tested = tested.select("doc_id", "sha", maybe.alias("maybe"))
-    straight = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    ids = materialise(tested.filter("maybe").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("times")), "repeated")
-    groups = materialise(ids.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count(F.lit(1)).alias("_ids")), "groups")
-    met = join_groups(ids, groups, "sha", "_ids", n)
-    each = met.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    grouped = each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "sha")
-    return straight.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that exact_groups keeps; rows with a null id are kept only if
-    their text has no other row, and rows that repeat a kept id and text are reduced to one."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("_id", F.col(id_col)).withColumn("_sha", F.sha2(text, 256)).dropDuplicates(["_id", "_sha"])
-    on = marked["_id"].eqNullSafe(stay["_id"]) & (marked["_sha"] == stay["_sha"])
-    return marked.join(stay, on, "left_semi").drop("_id", "_sha")
+    tested, _, _, n = _passes(docs, id_col, text_col, bits_per_row, max_blocks)
+    straight = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
+    return straight.unionByName(_grouped(tested, n)).withColumn("text_sha256", F.lower(F.hex("_sha"))).drop("_sha")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_groups keeps: unique ones pass straight through, only possibly
+    repeated ones shuffle. A row with a null id is kept if no other of its text has an id; rows that repeat a kept
+    id and text are reduced to one."""
+    tested, bitmaps, blocks, n = _passes(docs, id_col, text_col, bits_per_row, max_blocks)
+    rows = _tested(_celled(_with_sha(docs, text_col), blocks), bitmaps)
+    stay = _grouped(tested, n).filter("kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_s"))
+    again = rows.filter("_maybe").withColumn("_row_id", F.col(id_col)).dropDuplicates(["_row_id", "_sha"])
+    again = again.join(stay, again["_row_id"].eqNullSafe(stay["_id"]) & (again["_sha"] == stay["_s"]), "left_semi")
+    return rows.filter(~F.col("_maybe")).select(*docs.columns).unionByName(again.select(*docs.columns))
