@@ -27,8 +27,8 @@ from .common import WordHash, chunks, gram_hashes, id_filter, join_groups, join_
 #: SetSketch with 16-bit registers: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 REGISTERS, ROWS = 112, 4
-#: Candidates whose estimate is below the threshold by more than this (some six and a half standard errors) are dropped.
-MARGIN = 0.22
+#: Candidates whose estimate is below the threshold by more than this (some eight standard errors) are dropped.
+MARGIN = 0.28
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
