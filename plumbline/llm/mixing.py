@@ -44,7 +44,7 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     Weights repeat over the sources in code-point order, null last. A null text has size 0; a null source is
     a source; null ids share a place in the order. Rows that repeat an id are taken alike. Sizes of 0 are
     never taken once more. An empty table gives an empty result. Reruns agree: the order depends on seed and
-    id only. A source misses its target by half of one document at most (and its repeated ids).
+    id only. Ids may be of any type. A source misses its target by half of one document at most (and its repeated ids).
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(seed, F.col(id_col)).alias("h")), "sizes")
@@ -71,7 +71,8 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     first = located(asked, F.shiftright("h", 22), F.lit(0).cast("long"))
     second = located(meet(asked, first).filter(F.shiftright("h", 22) == F.col("_bin")).drop("_bin"), F.shiftright("h", 12), F.col("_start"))
     edge = meet(asked, second).filter(F.shiftright("h", 12) == F.col("_bin"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    whole_number = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col("doc_id").cast("long") if whole_number else F.xxhash64("doc_id"), F.lit(-1).cast("long"))
     line = Window.partitionBy("source").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)
     upto = edge.withColumn("_end", F.col("_start") + F.sum("size").over(line))
     last = upto.filter(F.col("_end") * 2 - F.col("size") <= F.col("_quota") * 2).groupBy("source").agg(F.max(F.struct(F.col("h"), key.alias("k"))).alias("_last"))

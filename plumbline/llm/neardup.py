@@ -197,7 +197,7 @@ def _met_enough(percent: int) -> Column:
 def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept, class_id, n_links.
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct runs
+    Ids are whole numbers. Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct runs
     of `shingle` words, or its whole sequence if it has fewer, and is empty without words or text. Documents
     are linked when 100 * intersection >= percent * union; empty sets are linked with nothing. component_id is
     the smallest id reachable, the id itself included; kept says that this is the row's own. class_id is the

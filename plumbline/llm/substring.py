@@ -201,7 +201,7 @@ def _apply(window: int):
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 28) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
-    Words are runs of anything but ASCII white space, unchanged; a window is `window` consecutive words of one
+    Ids are whole numbers. Words are runs of anything but ASCII white space, unchanged; a window is `window` consecutive words of one
     document. Each word is removed that a window covers whose words also start in a document with a smaller id,
     as judged on the input. kept_text joins the other words by one space. A null text has no words, a text of
     fewer words than a window loses none. Rows with a null id neither cover nor lose anything. Rows that repeat
