@@ -50,6 +50,7 @@ def with_alerts(records: DataFrame) -> DataFrame:
     k, egfr, a1c, spo2, hb = (_newest(t) for t in ("Serum Potassium", "eGFR", "HbA1c", "SpO2", "Hemoglobin"))
     worse = F.filter("diagnoses", lambda d: d["status"] == "worsening")
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    # Severity, title, limits and wording of each rule.
     rules = [
         (0, "critical", "Allergy conflict", F.lower("allergies").contains("nsaids") & on(*NSAID_LIKE), text("Documented NSAID allergy while on an NSAID-class medication (e.g. aspirin).")),
         (1, "high", "Hyperkalaemia risk", (k["value"] > 5.0) & on(*RAAS), text("Potassium ", k["txt"], " mmol/L while on an ACE-inhibitor/ARB.")),
