@@ -1,9 +1,10 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page becomes a stream of text blocks, each with the path of elements it stands in. Runs that repeat become
-repeated groups; streams of the same host are aligned one after the other, and where they mismatch, what only
-some pages have becomes an optional group. Of the wrapper so found, each slot is either content or not: content
-slots stand in the host's main element and in nothing that holds menus, adverts, forms, notices or comments.
+A page becomes a stream of text blocks, each with the path of elements it stands in, their classes and ids. Runs
+that repeat become repeated groups; streams of the same host are aligned one after the other, and where they
+mismatch, what only some pages have becomes an optional group. Each page is then matched against its host's wrapper:
+text that a slot has on every page that has the slot is part of the template and goes, whatever varies is data. Of the data,
+content is what stands in the host's main element and in nothing that holds menus, adverts, forms, notices or comments.
 """
 
 import html as _html
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +46,30 @@ def _label(name: str, tag: str, in_main: bool) -> str:
     return f"{name}!" if away else name
 
 
+def _mark(name: str, tag: str) -> str:
+    """An element as wrappers tell it apart: its name, classes and id, with numbers in them alike."""
+    found = {m[1].lower(): sorted((m[2] or m[3] or m[4] or "").split()) for m in _ATTR.finditer(tag)} if " " in tag or "\n" in tag or "\t" in tag else {}
+    return re.sub(r"[0-9]+", "0", ".".join([name, *found.get("class", [])]) + "".join("#" + x for x in found.get("id", []))) if found else name
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """(path, text) of each block with text, in page order. Tags need not match: a closing tag ends what is open
     within its element, and is ignored if there is none; a tag cut off by the end of the page is dropped."""
+    return [(path, t) for path, _, t in marked_blocks(page)]
+
+
+def marked_blocks(page: str | None) -> list[tuple[str, str, str]]:
+    """(path, token, text) of each block: the token is the path with the elements' classes and ids."""
     if not page:
         return []
-    stack: list[tuple[str, str]] = []  # name, label of open elements that shape the path
-    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, str]] = []  # name, label, mark of open elements that shape the path
+    out: list[tuple[str, str, str]] = []
     text: list[str] = []
 
     def flush() -> None:
         if text:
             if joined := " ".join(_html.unescape("".join(text)).split()):
-                out.append(("/".join(x for _, x in stack), joined))
+                out.append(("/".join(x for _, x, _ in stack), "/".join(x for _, _, x in stack), joined))
             text.clear()
 
     def close(names: set, stops: set) -> None:
@@ -80,7 +93,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             break
         name = n[1].lower()
         if token[1] == "/":
-            if name in _BLOCK or any(x == name for x, _ in stack):
+            if name in _BLOCK or any(x == name for x, _, _ in stack):
                 close({name}, set())
             elif name == "br":
                 text.append(" ")
@@ -101,19 +114,24 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 close({"p"}, _BLOCK - {"p"})
             if name in _ENDS:
                 close(_ENDS[name], _STOPS)
-            if name in ("html", "body") and any(x == name for x, _ in stack):
+            if name in ("html", "body") and any(x == name for x, _, _ in stack):
                 continue
             if name not in _BLOCK:
                 flush()
             if not token.endswith("/>") or name in _BLOCK:
-                stack.append((name, _label(name, token, any(x in ("article", "main") for x, _ in stack))))
+                stack.append((name, _label(name, token, any(x in ("article", "main") for x, _, _ in stack)), _mark(name, token)))
     flush()
     return out
 
 
 def repeats(stream: list[str]) -> list[list]:
     """Items [unit, may be absent, may repeat]: adjacent equal runs of up to 6 blocks fold into one repeated unit."""
-    items, i, n = [], 0, len(stream)
+    return folded(stream)[0]
+
+
+def folded(stream: list[str]) -> tuple[list[list], list[tuple[int, int]]]:
+    """The items of a stream, and of each of its blocks the item and the place in the item's unit."""
+    items, places, i, n = [], [], 0, len(stream)
     while i < n:
         for size in range(1, min(6, (n - i) // 2) + 1):
             unit = stream[i : i + size]
@@ -121,13 +139,15 @@ def repeats(stream: list[str]) -> list[list]:
                 j = i + size
                 while stream[j : j + size] == unit:
                     j += size
+                places += [(len(items), k % size) for k in range(j - i)]
                 items.append([unit, False, True])
                 i = j
                 break
         else:
+            places.append((len(items), 0))
             items.append([[stream[i]], False, False])
             i += 1
-    return items
+    return items, places
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -149,6 +169,34 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
+class Matcher:
+    """Matches pages' items against a wrapper as a regular expression: sets of wrapper positions are the bits of a number."""
+
+    def __init__(self, wrapper: list[list]):
+        self.n, self.optional, self.of = len(wrapper), 0, {}
+        for j, (unit, absent, _) in enumerate(wrapper):
+            self.optional |= absent << j
+            key = json.dumps(unit)
+            self.of[key] = self.of.get(key, 0) | 1 << j
+
+    def match(self, items: list[list]) -> list[int] | None:
+        """The wrapper's item that each item is, or None if the wrapper doesn't match. What may be absent is skipped."""
+        masks = [self.of.get(json.dumps(unit), 0) for unit, _, _ in items]
+        reach, at = [], 1
+        for mask in [*masks, 0]:
+            at |= self.optional ^ (self.optional + (at & self.optional))  # the carry runs through what may be skipped
+            reach.append(at)
+            at = (at & mask) << 1
+        if not reach[-1] >> self.n & 1:
+            return None
+        out, end, needed = [], self.n, ((1 << self.n) - 1) & ~self.optional
+        for mask, before in zip(reversed(masks), reversed(reach[:-1]), strict=True):
+            least = max((needed & ((1 << end) - 1)).bit_length() - 1, 0)  # nothing that is needed lies after the item and before the next one
+            end = ((before & mask & ((1 << end) - 1)) >> least << least).bit_length() - 1
+            out.append(end)
+        return out[::-1]
+
+
 def show(wrapper: list[list]) -> str:
     """A wrapper as a regular expression over block paths."""
     return " ".join(f"({' '.join(u)}){'*' if o and m else '?' if o else '+' if m else ''}" for u, o, m in wrapper)
@@ -185,39 +233,86 @@ def is_content(path: str, main: str) -> bool:
     return "!" not in path and (not main or path == main or path.startswith(main + "/"))
 
 
-_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("main", pa.string()), ("weight", pa.int64())])
+_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("main", pa.string()), ("weight", pa.int64()), ("n", pa.int64()), ("least", pa.string()), ("most", pa.string()), ("texts", pa.list_(pa.string()))])
+
+
+def _digest(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _streams(batches):
+    """A row for each host, structure and main element of a partition: text and pages there, the least and the largest digest
+    of a page's content, and the texts ("item:place:digest") that all these pages have in the same slot."""
+    seen: dict[tuple, list] = {}
+
+    def rows():
+        cols = zip(*[(*k, *v[:-1], sorted(v[-1])) for k, v in seen.items()], strict=True)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STREAM.types, strict=True)], schema=_STREAM)
+        seen.clear()
+        return out
+
     for hosts, page in chunks(batches, ["host", "html"], "html"):
-        rows = []
         for h, p in zip(hosts, page, strict=True):
-            found = blocks(p)
+            found = marked_blocks(p)
             lens: dict[str, int] = {}
-            for path, t in found:
+            for path, _, t in found:
                 lens[path] = lens.get(path, 0) + len(t)
-            rows.append((h, json.dumps(repeats([x for x, _ in found])), main_element(lens), sum(lens.values())))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STREAM.types, strict=True)], schema=_STREAM)
+            main, (items, places) = main_element(lens), folded([x for _, x, _ in found])
+            body = _digest("\n".join(t for path, _, t in found if is_content(path, main)))
+            texts = {f"{i}:{k}:{_digest(t)}" for (i, k), (_, _, t) in zip(places, found, strict=True)}
+            if (known := seen.get(key := (h, json.dumps(items), main))) is None:
+                seen[key] = [sum(lens.values()), 1, body, body, texts]
+            else:
+                known[:] = known[0] + sum(lens.values()), known[1] + 1, min(known[2], body), max(known[3], body), known[4] & texts
+        if len(seen) > 2000:
+            yield rows()
+    if seen:
+        yield rows()
+
+
+def infer(shapes: list[tuple]) -> tuple[list[list], list[list]]:
+    """A host's wrapper and its constant texts (of each item, the digests at each place of its unit), from its structures
+    (stream, least and largest digest of a page, texts that all its pages have). Constant is what all pages with
+    the slot have there, if the content of two of them differs: copies of one page tell nothing about its template."""
+    wrapper: list | None = None
+    for stream, *_ in shapes:
+        wrapper = json.loads(stream) if wrapper is None else align(wrapper, json.loads(stream))
+    wrapper = wrapper or []
+    matcher, slots = Matcher(wrapper), [[None] * len(unit) for unit, _, _ in wrapper]
+    for stream, least, most, texts in shapes:
+        items = json.loads(stream)
+        common: dict[tuple, set] = {}
+        for x in texts or []:
+            i, k, d = x.split(":")
+            common.setdefault((int(i), int(k)), set()).add(d)
+        for i, j in enumerate(matcher.match(items) or []):
+            for k in range(len(items[i][0])):
+                a, b, of = slots[j][k] or (least, most, common.get((i, k), set()))
+                slots[j][k] = min(a, least), max(b, most), of & common.get((i, k), set())
+    return wrapper, [[sorted(s[2]) if s and s[0] != s[1] else [] for s in places] for places in slots]
 
 
 def _fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One host's wrapper, from its distinct streams in the order of their text."""
-    wrapper: list | None = None
-    for batch in batches:
-        for s in sorted(batch.column("stream").to_pylist()):
-            wrapper = json.loads(s) if wrapper is None else align(wrapper, json.loads(s))
-    yield pa.RecordBatch.from_pydict({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper or [])], pa.string())})
+    shapes = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("stream", "least", "most", "texts")), strict=True)]
+    wrapper, constant = infer(sorted(shapes, key=lambda r: r[0]))
+    yield pa.RecordBatch.from_pydict({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string()), "constant": pa.array([json.dumps(constant)], pa.string())})
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON items), main (path of the main element), n_pages: one row for each host.
+    """host, wrapper (JSON items), constant (JSON, as from infer), main (path of the main element), n_pages: one row for
+    each host.
 
     Pages of equal block structure are counted before anything of a host meets, so that what is aligned is each
-    distinct structure once. A host's main element is the one in which most of its text lies.
+    distinct structure once; so are the texts that all pages of a structure share. A host's main element is the one in
+    which most of its text lies.
     """
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    streams = materialise(rows.mapInArrow(_streams, "host string, stream string, main string, weight long").groupBy("host", "stream", "main").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")), "streams")
-    wrapped = streams.select("host", "stream").distinct().groupBy("host").applyInArrow(_fold, "host string, wrapper string")
+    streams = materialise(rows.mapInArrow(_streams, "host string, stream string, main string, weight long, n long, least string, most string, texts array<string>").withColumn("sid", F.md5("stream")), "streams")
+    shapes = streams.groupBy("host", "sid").agg(F.min("stream").alias("stream"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("_rows"))
+    having = streams.select("host", "sid", F.explode("texts").alias("text")).groupBy("host", "sid", "text").agg(F.count(F.lit(1)).alias("_having"))
+    common = having.join(shapes.select("host", "sid", "_rows"), ["host", "sid"]).filter("_having = _rows").groupBy("host", "sid").agg(F.collect_list("text").alias("texts"))
+    wrapped = shapes.join(common, ["host", "sid"], "left").select("host", "stream", "least", "most", "texts").groupBy("host").applyInArrow(_fold, "host string, wrapper string, constant string")
     mains = streams.groupBy("host", "main").agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).groupBy("host").agg(F.max_by("main", F.struct("w", "main")).alias("main"), F.sum("n").alias("n_pages"))
     return materialise(wrapped.join(mains, "host"), "wrappers")
 
@@ -226,26 +321,47 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(F.col("url") if isinstance(url, str) else url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+class _Template:
+    """What a wrapper says of a page's blocks; the match of a structure is remembered."""
+
+    def __init__(self, wrapper: str | None, constant: str | None):
+        self.matcher, self.constant, self.known = Matcher(json.loads(wrapper or "[]")), json.loads(constant or "[]"), {}
+
+    def varies(self, found: list[tuple[str, str, str]]) -> list[bool]:
+        """Whether each block is data: its text isn't constant in the slot that it matches. A page that the wrapper doesn't
+        match is all data."""
+        items, places = folded([x for _, x, _ in found])
+        if (at := self.known.get(key := json.dumps(items))) is None:
+            if len(self.known) > 1000:
+                self.known.clear()
+            at = self.known[key] = self.matcher.match(items) or []
+        if not at:
+            return [True] * len(found)
+        slots = (self.constant[at[i]][k] for i, k in places)
+        return [not c or _digest(t) not in c for c, (_, _, t) in zip(slots, found, strict=True)]
+
+
 def _extract(schema: pa.Schema):
     names = schema.names[:-2]
 
     def run(batches):
-        slots: dict[tuple, set] = {}
-        for *rest, page, wrapper, main in chunks(batches, [*names, "html", "wrapper", "main"], "html"):
+        templates: dict[tuple, _Template] = {}
+        for *rest, page, wrapper, constant, main in chunks(batches, [*names, "html", "wrapper", "constant", "main"], "html"):
             texts = []
-            for p, w, m in zip(page, wrapper, main, strict=True):
-                if (known := slots.get((w, m))) is None:
-                    if len(slots) > 1000:
-                        slots.clear()
-                    known = slots[w, m] = {x for unit, _, _ in json.loads(w or "[]") for x in unit if is_content(x, m or "")}
-                found = blocks(p)
-                kept = [t for path, t in found if path in known]
-                if not kept and found:  # a page without its host's main element is judged by itself
+            for p, w, c, m in zip(page, wrapper, constant, main, strict=True):
+                if (template := templates.get((w, c))) is None:
+                    if len(templates) > 1000:
+                        templates.clear()
+                    template = templates[w, c] = _Template(w, c)
+                found = marked_blocks(p)
+                if found and not any(is_content(path, m or "") for path, _, _ in found):  # a page without its host's main element is judged by itself
                     lens: dict[str, int] = {}
-                    for path, t in found:
+                    for path, _, t in found:
                         lens[path] = lens.get(path, 0) + len(t)
-                    own = main_element(lens)
-                    kept = [t for path, t in found if is_content(path, own)] if own else []
+                    m = main_element(lens) or None
+                else:
+                    m = m or ""
+                kept = [t for (path, _, t), data in zip(found, template.varies(found), strict=True) if data and is_content(path, m)] if m is not None else []
                 texts.append("\n".join(kept))
             cols = [*rest, texts, [len(t) for t in texts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
@@ -256,7 +372,7 @@ def _extract(schema: pa.Schema):
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each input row: page_id, url, text, n_chars (its code points).
 
-    Blocks of the main text in page order, one a line: character references decoded, white space turned into
+    Blocks of the main text that the host's template doesn't hold, in page order, one a line: character references decoded, white space turned into
     single spaces, ends trimmed. A null or empty page, and one without main text, has an empty text. A null url
     belongs to a host of its own. Repeated rows give repeated results; other columns are ignored; an empty table
     gives an empty result. A host with very many pages meets its wrapper by a broadcast of the largest hosts.
@@ -265,6 +381,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     wrappers = infer_wrappers(pages, url_col, html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
     n = wrappers.agg(F.sum("n_pages")).first()[0] or 0
-    met = join_groups(rows, wrappers.select("host", "wrapper", "main", "n_pages"), "host", "n_pages", n, "left")
+    met = join_groups(rows, wrappers.select("host", "wrapper", "constant", "main", "n_pages"), "host", "n_pages", n, "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     return met.mapInArrow(_extract(schema), "page_id long, url string, text string, n_chars long")

@@ -236,6 +236,28 @@ def test_wrappers_fold_repeats_and_options():
     assert wrappers.show(wrappers.repeats(["dt", "dd", "dt", "dd"])) == "(dt dd)+"
 
 
+def test_the_wrapper_decides_what_is_template(spark):
+    def page(i: int, box: str = "", kind: str = "x") -> str:
+        return f'<body><article><h1>Site name</h1><p>First {i}</p><p>Read on</p><p>Last {i}</p>{box}<div class="{kind}">By the staff</div></article></body>'
+
+    rows = [(i, "http://a.org/", page(i, "<table><tr><td>Score</td></tr></table>" if i == 2 else "")) for i in range(4)]
+    rows += [(10 + i, "http://b.org/", page(7)) for i in range(3)] + [(20, "http://c.org/", page(8)), (30, "http://d.org/", page(1)), (31, "http://d.org/", page(2, kind="y"))]
+    got = {r["page_id"]: r["text"].split("\n") for r in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):  # a slot's constant text goes, also between repeated ones; one that a single page has stays
+        assert got[i] == [f"First {i}", f"Last {i}", *(["Score"] if i == 2 else [])]
+    for i, n in ((10, 7), (11, 7), (12, 7), (20, 8)):  # copies of one page, and a single page, show no template
+        assert got[i] == ["Site name", f"First {n}", "Read on", f"Last {n}", "By the staff"]
+    assert got[30] == ["First 1", "Last 1", "By the staff"] and got[31] == ["First 2", "Last 2", "By the staff"]  # slots differ by class
+
+
+def test_matches_skip_only_what_may_be_absent():
+    wrapper = [[["a"], True, False], [["a"], False, False], [["b"], True, True], [["c"], False, False], [["b"], True, False]]
+    m = wrappers.Matcher(wrapper)
+    of = lambda s: m.match(wrappers.repeats(list(s)))
+    assert of("ac") == [1, 3] and of("abbc") == [1, 2, 3] and of("acb") == [1, 3, 4] and m.match([[[x], False, False] for x in "aac"]) == [0, 1, 3]
+    assert of("ab") is None and of("bc") is None and of("acx") is None and wrappers.Matcher([]).match([]) == []
+
+
 # ---------------------------------------------------------------- 6: mixing
 
 
