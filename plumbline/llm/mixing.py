@@ -17,9 +17,23 @@ from .common import WORD, materialise
 MAX_BROADCAST_SOURCES = 1_000_000
 
 
-def _order(seed: int, id_col: Column) -> Column:
-    """A document's place in the seeded order: 32 bits of a digest."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+def _order(seed: int, id_col: Column, text: Column) -> Column:
+    """A document's place in the seeded order: 32 bits of a digest of its id, or of its text if it has none."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), text)))), 1, 8), 16, 10).cast("long")
+
+
+def _with_order(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with _source and _at, where a row stands in the seeded order: by its place h, and within it by id (k) and text (x)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole_number = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col(id_col).cast("long") if whole_number else F.xxhash64(id_col), F.lit(-1).cast("long"))
+    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_at": F.struct(_order(seed, F.col(id_col), text).alias("h"), key.alias("k"), F.xxhash64(text).alias("x"))})
+
+
+def _meet(left: DataFrame, right: DataFrame, few: bool, how: str = "inner", key: str = "source") -> DataFrame:
+    """left, with the columns of right's row of its source; right is broadcast where there are few sources."""
+    right = right.withColumnRenamed("source", "_s")
+    return left.join(F.broadcast(right) if few else right, left[key].eqNullSafe(right["_s"]), how).drop("_s")
 
 
 def fill(sources: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
@@ -42,22 +56,32 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
     """One row for each input row: doc_id, size, source_size, target, taken, copies.
 
     Weights repeat over the sources in code-point order, null last. A null text has size 0; a null source is
-    a source; null ids share a place in the order. Rows that repeat an id are taken alike. Sizes of 0 are
-    never taken once more. An empty table gives an empty result. Reruns agree: the order depends on seed and
-    id only. Ids may be of any type. A source misses its target by half of one document at most (and its repeated ids).
+    a source; rows with a null id are told apart by their texts. Rows that repeat an id and text are taken alike. Sizes
+    of 0 are never taken once more. An empty table gives an empty result. Reruns agree: the order depends on seed, id
+    and text only. Ids may be of any type. A source misses its target by half of one document at most (and the
+    rows that repeat its id and text).
     """
+    rows, sources, cuts, few = _cuts(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    out = _meet(_meet(rows, sources, few), cuts, few, "left").withColumn("copies", _copies(F.col("_at"), F.col("size") > 0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _copies(at: Column, any_words: Column) -> Column:
+    """How often a row is taken that has met its source's _whole and _cut."""
+    return F.col("_whole") + (F.coalesce(at <= F.col("_cut"), F.lit(False)) & any_words).cast("long")
+
+
+def _cuts(docs: DataFrame, weights: list[float], share: float, max_epochs: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """rows(doc_id, source, size, _at), sources(source, source_size, target, _whole), cuts(source, _cut) with the last of the
+    order that is taken once more, and whether there are few enough sources to broadcast."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), _order(seed, F.col(id_col)).alias("h")), "sizes")
+    rows = materialise(_with_order(docs, seed, id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), F.col("_source").alias("source"), size.alias("size"), "_at"), "sizes")
     sources = fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, max_epochs)
     ratio = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
     sources = sources.withColumn("_whole", F.coalesce(F.floor(ratio), F.lit(0)).cast("long"))
     sources = materialise(sources.withColumn("_quota", F.col("target") - F.col("_whole") * F.col("source_size")), "sources")
     # A few rows a source; the cut is found in bins of the order, so that no source meets in one task.
-    small = (lambda df: F.broadcast(df)) if sources.count() <= MAX_BROADCAST_SOURCES else (lambda df: df)
-
-    def meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        right = right.withColumnRenamed("source", "_s")
-        return left.join(small(right), left["source"].eqNullSafe(right["_s"]), how).drop("_s")
+    few = sources.count() <= MAX_BROADCAST_SOURCES
 
     def located(part: DataFrame, bins: Column, start: Column) -> DataFrame:
         """source, _bin, _start: the bin in which the source's quota ends, and the words before it. As a quota is
@@ -67,26 +91,25 @@ def mix_plan(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1
         cum = sums.withColumn("_end", F.col("_from") + F.sum("_words").over(line)).withColumn("_begin", F.col("_end") - F.col("_words"))
         return materialise(cum.filter((F.col("_begin") <= F.col("_quota")) & (F.col("_quota") < F.col("_end"))).select("source", "_bin", F.col("_begin").alias("_start")), "bins")
 
-    asked = meet(rows, sources.select("source", "_quota"))
-    first = located(asked, F.shiftright("h", 22), F.lit(0).cast("long"))
-    second = located(meet(asked, first).filter(F.shiftright("h", 22) == F.col("_bin")).drop("_bin"), F.shiftright("h", 12), F.col("_start"))
-    edge = meet(asked, second).filter(F.shiftright("h", 12) == F.col("_bin"))
-    whole_number = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
-    key = F.coalesce(F.col("doc_id").cast("long") if whole_number else F.xxhash64("doc_id"), F.lit(-1).cast("long"))
-    line = Window.partitionBy("source").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)
+    h = F.col("_at.h")
+    asked = _meet(rows, sources.select("source", "_quota"), few)
+    first = located(asked, F.shiftright(h, 22), F.lit(0).cast("long"))
+    second = located(_meet(asked, first, few).filter(F.shiftright(h, 22) == F.col("_bin")).drop("_bin"), F.shiftright(h, 12), F.col("_start"))
+    edge = _meet(asked, second, few).filter(F.shiftright(h, 12) == F.col("_bin"))
+    line = Window.partitionBy("source").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     upto = edge.withColumn("_end", F.col("_start") + F.sum("size").over(line))
-    last = upto.filter(F.col("_end") * 2 - F.col("size") <= F.col("_quota") * 2).groupBy("source").agg(F.max(F.struct(F.col("h"), key.alias("k"))).alias("_last"))
-    none = F.struct(F.shiftleft("_bin", 12).alias("h"), F.lit(-(1 << 62)).alias("k"))
-    cuts = meet(second, last, "left").select("source", F.coalesce("_last", none).alias("_cut"))
-    out = meet(meet(rows, sources.drop("_quota")), cuts, "left")
-    more = F.coalesce(F.struct(F.col("h"), key.alias("k")) <= F.col("_cut"), F.lit(False)) & (F.col("size") > 0)
-    copies = F.col("_whole") + more.cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-
-
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as many times as mix_plan takes it. Rows with a null id are not
-    told apart and are left out; ids that repeat are taken alike."""
-    plan = mix_plan(docs, id_col=id_col, **options).filter("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    met = docs.join(plan, docs[id_col] == plan["_id"], "inner")
-    return met.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_i", "_id", "_copies")
+    last = upto.filter(F.col("_end") * 2 - F.col("size") <= F.col("_quota") * 2).groupBy("source").agg(F.max("_at").alias("_last"))
+    least = F.lit(-(1 << 63)).cast("long")
+    none = F.struct(F.shiftleft("_bin", 12).alias("h"), least.alias("k"), least.alias("x"))
+    cuts = materialise(_meet(second, last, few, "left").select("source", F.coalesce("_last", none).alias("_cut")), "cuts")
+    return rows, sources.drop("_quota"), cuts, few
+
+
+def mix_sources(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, each as many times as mix_plan takes it. Each row is held against its source's
+    cut where it is, so that null ids, and ids that repeat over texts or sources, are rows like any other."""
+    _, sources, cuts, few = _cuts(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    rows = _with_order(docs, seed, id_col, text_col, source_col)
+    met = _meet(_meet(rows, sources.select("source", "_whole"), few, key="_source"), cuts, few, "left", key="_source")
+    met = met.withColumn("_copies", _copies(F.col("_at"), F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))).filter("_copies > 0")
+    return met.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

@@ -280,6 +280,23 @@ def test_water_filling_is_feasible_and_met(spark, docs):
     assert mixed.columns == docs.columns and mixed.count() == int((mixing.mix_plan(docs).agg(F.sum("copies")).first()[0]))
 
 
+def test_rows_without_an_id_of_their_own_are_mixed(spark):
+    rows = [(None, f"n{i} " * (3 + i % 5), "a") for i in range(60)] + [(i % 40, f"r{i} " * (2 + i % 7), "bc"[i % 2]) for i in range(120)] + [(7, f"s{i} " * 4, "a") for i in range(20)]
+    rows += [(1000 + i, f"t{i} " * 5, None) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = mixing.mix_plan(frame).select("source_size", "target", "taken", "size").toPandas()
+    sizes = {s: sum(len(t.split()) for _, t, of in rows if of == s) for s in ("a", "b", "c", None)}
+    assert len(set(sizes.values())) == 4
+    of_plan = {s: plan[plan["source_size"] == n] for s, n in sizes.items()}
+    mixed = mixing.mix_sources(frame).collect()
+    for s, p in of_plan.items():
+        words = sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+        assert words == p["taken"].sum() and abs(words - p["target"].iloc[0]) <= p["size"].max() / 2 + 1e-6
+    assert any(r["doc_id"] is None for r in mixed) and max(Counter((r["doc_id"], r["text"]) for r in mixed).values()) <= 2
+    again = mixing.mix_sources(frame.repartition(2)).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in again) == Counter((r["doc_id"], r["text"], r["source"]) for r in mixed)
+
+
 # ---------------------------------------------------------------- 7: substrings
 
 
