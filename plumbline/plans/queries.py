@@ -119,8 +119,14 @@ tf AS (SELECT id, feature, count(*) AS tf FROM f0 GROUP BY id, feature)"""
 
 @query(f"WITH {_FEATS} SELECT feature, count(*)::BIGINT AS n_docs, sum(tf)::BIGINT AS n_times FROM tf GROUP BY feature HAVING count(*) > 1")
 def ngram_features(spark, sf_dir):
+    return ngram_features_all(spark, sf_dir).filter("n_docs > 1")
+
+
+@query()
+def ngram_features_all(spark, sf_dir):
+    """Every unigram and bigram, also those of one document only, which ngram_features and its SQL leave out."""
     tf = X.feature_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return tf.groupBy("feature").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_times")).filter("n_docs > 1")
+    return tf.groupBy("feature").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_times"))
 
 
 def _hash_sql(src: str, key: str) -> str:
