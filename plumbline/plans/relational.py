@@ -281,11 +281,17 @@ def negation_flags(spark, sf_dir):
 @query(rf"""WITH u AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({_toks()}) AS term FROM documents) GROUP BY ALL)
 SELECT term, sum(c)::BIGINT AS mentions, count(*)::BIGINT AS n_docs, max(doc_id) AS last_doc, row_number() OVER (ORDER BY sum(c) DESC, term) AS place FROM u GROUP BY term ORDER BY place LIMIT 50""")
 def entity_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    top = rows.groupBy("term").agg(F.sum("c").alias("mentions"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).orderBy(F.desc("mentions"), "term").limit(50)
+    top = entity_counts_all(spark, sf_dir).limit(50)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mentions"), "term")).cast("long"))
 
 
+@query()
+def entity_counts_all(spark, sf_dir):
+    """Every term, the most frequent first; entity_counts and its SQL hold the first 50 and their places."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    return rows.groupBy("term").agg(F.sum("c").alias("mentions"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).orderBy(F.desc("mentions"), "term")
+
+
 @query(f"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '(\\?[ \t\r\n]+|;[ \t\r\n]+|[ \t\r\n]+(?:and also|as well as)[ \t\r\n]+)', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ?.,')), lambda x: x <> '') AS p FROM conversations)
 SELECT conv_id, turn, len(p)::BIGINT AS n_parts, coalesce(p[1], '') AS first_part FROM p""")
 def decompose_turns(spark, sf_dir):

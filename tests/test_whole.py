@@ -22,3 +22,14 @@ def test_features_of_one_document_stay(spark, data_dir, toks):
         n_docs.update(set(found))
     got = {r["feature"]: (r["n_docs"], r["n_times"]) for r in queries.QUERIES["ngram_features_all"](spark, data_dir).collect()}
     assert got == {f: (n_docs[f], n) for f, n in times.items()} and 1 in n_docs.values()
+
+
+def test_terms_after_the_fiftieth_stay(spark, data_dir, toks):
+    mentions, ids = Counter(), {}
+    for d, t in toks.items():
+        mentions.update(t)
+        for x in set(t):
+            ids.setdefault(x, set()).add(d)
+    got = [tuple(r[c] for c in ("term", "mentions", "n_docs", "last_doc")) for r in queries.QUERIES["entity_counts_all"](spark, data_dir).collect()]
+    want = sorted(mentions, key=lambda x: (-mentions[x], x.encode()))
+    assert got == [(x, mentions[x], len(ids[x]), max(ids[x])) for x in want] and len(got) > 50
