@@ -1,7 +1,7 @@
 """Exact de-duplication by two passes over a saturating Bloom filter.
 
-Pass 1 hashes every text into two cells of a blocked filter and keeps the cells hit at least twice; those
-bitmaps are small enough to broadcast. Pass 2 tests every row: one with a cell hit once is unique and passes
+Pass 1 hashes every text into two cells of a blocked filter, shuffles the cells (two a row, a block and a bit
+each) to count them, and keeps those hit at least twice; the bitmaps are small enough to broadcast. Pass 2 tests every row: one with a cell hit once is unique and passes
 straight through; only the possibly repeated (digest, id) pairs shuffle, to be grouped exactly.
 DataFrame functions only.
 """
