@@ -22,7 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, id_filter, join_groups, join_salted, materialise, modest_batches, odd
+from .common import (
+    WordHash, chunks, gram_hashes, id_filter, join_groups, join_salted, materialise, modest_batches, odd, with_ids,
+    without_ids,
+)
 
 #: SetSketch with 16-bit registers: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
@@ -127,40 +130,45 @@ def _likely(threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, root: the smallest id reachable over links(a, b), for each id that has a link.
+def components(links: DataFrame, most_rows: int) -> DataFrame:
+    """id, root: the smallest id reachable over links(a, b), for each id that has a link; most_rows bounds the links.
 
     Contraction: every node that has a smaller neighbour hooks to its smallest one, chains of hooks are
     shortened to their roots, links are rewritten to roots, and what still joins different roots goes into the
-    next round. Rounds halve the roots at least; each is written to the scratch folder. Nodes of very many links
-    are grouped with map-side minima, and their joins go through join_groups.
+    next round. Rounds halve the roots at least; each ends in written tables. Nodes of very many links and roots of
+    very many ids are grouped with map-side minima, and their joins go through join_groups.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    both = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    edges = materialise(both.filter("hi <> lo").distinct(), "edges", most_rows)
     known = None
-    while not edges.isEmpty():
-        hooks = materialise(edges.groupBy("hi").agg(F.min("lo").alias("up")), "hooks")
+    while n := edges.count():
+        hooks = edges.groupBy("hi").agg(F.min("lo").alias("up"))
         while True:
             ups = hooks.select(F.col("hi").alias("up"), F.col("up").alias("_top"))
             size = hooks.groupBy("up").agg(F.count(F.lit(1)).alias("_n"))
-            n = hooks.count()
             jumped = join_groups(hooks, ups.join(size, "up"), "up", "_n", n, "left")
-            moved = materialise(jumped.select("hi", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("moved")), "hooks")
+            moved = jumped.select("hi", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("moved"))
+            moved = materialise(moved, "hooks", n)
             hooks = moved.select("hi", "up")
             if moved.filter("moved").isEmpty():
                 break
-        if known is None:
-            known = hooks.select(F.col("hi").alias("id"), F.col("up").alias("root"))
-        else:
-            known = known.join(hooks, known["root"] == hooks["hi"], "left").select("id", F.coalesce("up", "root").alias("root")).unionByName(hooks.select(F.col("hi").alias("id"), F.col("up").alias("root")).join(known.select("id"), "id", "left_anti"))
-        known = materialise(known, "roots")
-        n = edges.count()
-        low = edges.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")).join(hooks.withColumnRenamed("hi", "lo"), "lo", "left").select("lo", F.coalesce("up", "lo").alias("_l"), "_n")
+        here = hooks.select(F.col("hi").alias("id"), F.col("up").alias("root"))
+        if known is not None:
+            ups = hooks.select(F.col("hi").alias("root"), F.col("up").alias("_top"))
+            size = known.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+            met = join_groups(known, ups.join(size, "root"), "root", "_n", most_rows, "left")
+            older = met.select("id", F.coalesce("_top", "root").alias("root"))
+            here = older.unionByName(here.join(known.select("id"), "id", "left_anti"))
+        known = materialise(here, "roots", most_rows)
+        low = edges.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")).join(hooks.withColumnRenamed("hi", "lo"), "lo", "left")
         high = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).join(hooks, "hi").select("hi", F.col("up").alias("_h"), "_n")
-        met = join_groups(join_groups(edges, low, "lo", "_n", n), high, "hi", "_n", n)
-        edges = materialise(met.select(F.greatest("_l", "_h").alias("hi"), F.least("_l", "_h").alias("lo")).filter("hi <> lo").distinct(), "edges")
+        met = join_groups(edges, low.select("lo", F.coalesce("up", "lo").alias("_l"), "_n"), "lo", "_n", n)
+        met = join_groups(met, high, "hi", "_n", n).select(F.greatest("_l", "_h").alias("hi"), F.least("_l", "_h").alias("lo"))
+        edges = materialise(met.filter("hi <> lo").distinct(), "edges", n)
     if known is None:
         return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
-    return known.unionByName(known.select(F.col("root").alias("id"), "root").distinct().join(known.select("id"), "id", "left_anti"))
+    roots = known.select(F.col("root").alias("id"), "root").distinct()
+    return known.unionByName(roots.join(known.select("id"), "id", "left_anti"))
 
 
 def _could_link(n_a: Column, own_a: Column, n_b: Column, own_b: Column, percent: int) -> Column:
@@ -174,7 +182,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose registers don't put them far below the threshold."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     met = join_salted(join_salted(pairs, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
-    return materialise(met.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
+    return met.mapInArrow(_likely(percent / 100), "a long, b long")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +191,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = join_salted(join_salted(pairs, side("b"), "b", F.col("a")), side("a"), "a", F.col("b"))
     shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     union = F.size("items_a").cast("long") + F.size("items_b") - shared
-    return materialise(both.select("a", "b", shared.alias("shared"), (shared * 100 >= union * percent).alias("linked")), "compared")
+    return both.select("a", "b", shared.alias("shared"), (shared * 100 >= union * percent).alias("linked"))
 
 
 def _met_enough(percent: int) -> Column:
@@ -194,86 +202,118 @@ def _met_enough(percent: int) -> Column:
     return F.expr(f"NOT coalesce(exists(firsts_x, u -> exists(firsts, v -> u.p = v.p AND ({bound}) * {100 + percent} < {percent} * (n + n_x))), false)")
 
 
+_WIDTH = ROWS * 2
+_BANDS = REGISTERS // ROWS
+
+
+def _banded(some: DataFrame, *more: str) -> DataFrame:
+    """A row for each band of each set: rep, n, more, band, bucket."""
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * _WIDTH + 1, _WIDTH)) for b in range(_BANDS)])
+    return some.select("rep", "n", *more, F.posexplode(bands).alias("band", "bucket"))
+
+
+def _sharing(reps: DataFrame, n: int) -> DataFrame:
+    """The reps that share a bucket with another: buckets are only counted, so that they aggregate by hash."""
+    banded = _banded(reps).select("rep", "bucket")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    return join_groups(banded, shared, "bucket", "_size", n).select("rep").distinct()
+
+
+def _members(able: DataFrame, n: int) -> DataFrame:
+    """rep, n, own, band, bucket, and the bucket's first member (first_rep, first_n, first_own), for buckets of two or more.
+    The first has the fewest shingles of its own: it is the text nearest to what the others vary. The order is one
+    number, so that this aggregates by hash."""
+    banded = _banded(able, "own")
+    order = F.shiftleft(F.least("own", F.lit((1 << 24) - 1)).cast("long"), 39).bitwiseOR(F.pmod(F.xxhash64("rep"), F.lit(1 << 39)))
+    firsts = [F.min_by(c, order).alias(f"first_{c}") for c in ("rep", "n", "own")]
+    shared = banded.groupBy("bucket").agg(*firsts, F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    return join_groups(banded, shared, "bucket", "_size", n)
+
+
 def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept, class_id, n_links.
 
-    Ids are whole numbers. Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its distinct runs
-    of `shingle` words, or its whole sequence if it has fewer, and is empty without words or text. Documents
+    Ids are whole numbers. Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its
+    distinct runs of `shingle` words, or its whole sequence if it has fewer, and is empty without words or text. Documents
     are linked when 100 * intersection >= percent * union; empty sets are linked with nothing. component_id is
     the smallest id reachable, the id itself included; kept says that this is the row's own. class_id is the
     smallest id of the same set (its own for empty sets), n_links counts the verified links between this class
     and other classes that were needed to join components. Rows with a null id are nobody's copy: they stay,
-    with a null component. Rows that repeat an id share its result if their texts agree. Other columns are
-    ignored. An empty table gives an empty result.
+    with a null component. Rows of one id are one document: where their texts differ, it has the links of all of them.
+    Other columns are ignored. An empty table gives an empty result.
 
-    Texts never shuffle: a broadcast filter of at most 64 MB tells a second scan which sets to make. A link of Jaccard J is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at
-    0.85, far less above.
+    Texts never shuffle: a broadcast filter of at most 64 MB tells a second scan which sets to make. A link of Jaccard J
+    is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at 0.85, far less above.
     """
     modest_batches(docs.sparkSession)
     n_docs = docs.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches")
     named = sketched.filter("n > 0 and doc_id is not null")
-    classes = materialise(named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    # Registers follow from the set: as part of the key, they need no aggregate of their own.
+    classes = materialise(named.groupBy("set", "n", "regs").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")), "classes")
     reps = classes.select("rep", "n", "regs")
     texts = rows.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
-    width = ROWS * 2
-    bands = [F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(REGISTERS // ROWS)]
-    n_banded = n_docs * len(bands)
-
-    def bucketed(some: DataFrame, *more: str) -> DataFrame:
-        """Members (bucket, rep, n, ...) of buckets that hold more than one of them, with the bucket's first and _size."""
-        banded = some.select("rep", "n", *more, F.posexplode(F.array(*bands)).alias("band", "bucket"))
-        rank = F.struct(*[F.col(c) for c in [*more, "rep", "n"]])
-        buckets = materialise(banded.groupBy("bucket").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "buckets")
-        return join_groups(banded, buckets, "bucket", "_size", n_banded)
+    n_banded = n_docs * _BANDS
 
     # Sets are made of what shares a bucket with something. A shingle that only one of them has can't be shared, and
     # a set with too many such shingles has no link: what merely shares a passage goes out here.
-    near = reps.join(bucketed(reps).select("rep").distinct(), "rep", "left_semi")
-    near = materialise(near, "near")
+    near = materialise(reps.join(_sharing(reps, n_banded), "rep", "left_semi"), "near", n_docs)
     sets = materialise(texts.mapInArrow(_sets(shingle, id_filter(near.select("rep"))), "id long, items array<long>"), "sets")
     owners = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c = 1")
     own = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    able = near.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long")).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    able = materialise(able, "able")
-    # A bucket's first is the member with the fewest shingles of its own: the text nearest to what others vary.
-    members = materialise(bucketed(able, "own"), "members")
-    fits = (F.col("rep") != F.col("first.rep")) & _could_link(F.col("n"), F.col("own"), F.col("first.n"), F.col("first.own"), percent)
-    star = materialise(members.filter(fits).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    compared = _compared(_estimated(star, reps, percent), sets, percent)
+    able = near.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
+    able = materialise(able.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "able", n_docs)
+    members = materialise(_members(able, n_banded), "members", n_banded)
+    fits = (F.col("rep") != F.col("first_rep")) & _could_link(F.col("n"), F.col("own"), F.col("first_n"), F.col("first_own"), percent)
+    star = members.filter(fits).select(F.col("first_rep").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = materialise(_estimated(star, reps, percent), "likely", n_banded)
+    compared = materialise(_compared(likely, sets, percent), "compared", n_banded)
     links = compared.filter("linked").select("a", "b")
     firsts = compared.groupBy(F.col("b").alias("rep")).agg(F.collect_list(F.struct(F.col("a").alias("p"), F.col("shared").alias("s"))).alias("firsts"))
-    roots = materialise(components(links), "roots")
+    roots = components(links, n_banded)
     # What the star of a bucket can't see: links between other members that are still in different components.
-    placed = materialise(members.drop("first", "_size").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(firsts, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
+    placed = members.select("rep", "n", "own", "band", "bucket").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(firsts, "rep", "left")
+    placed = materialise(placed.withColumn("root", F.coalesce("root", "rep")), "placed", n_banded)
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_buckets = materialise(parts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("_size")).filter("k > 1").select("bucket", F.col("main.root").alias("main"), "_size"), "open")
-    inside = materialise(join_groups(placed, open_buckets, "bucket", "_size", n_banded).join(able.select("rep", "regs"), "rep"), "inside")
-    out = inside.filter("root <> main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"), F.col("firsts").alias("firsts_x"), F.col("root").alias("root_x"), F.col("regs").alias("regs_x"))
+    open_buckets = parts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("_size")).filter("k > 1")
+    inside = join_groups(placed, open_buckets.drop("k"), "bucket", "_size", n_banded)
+    inside = materialise(inside.join(able.select("rep", "regs"), "rep"), "inside", n_banded)
+    names = {"rep": "x", "n": "n_x", "own": "own_x", "firsts": "firsts_x", "root": "root_x", "regs": "regs_x"}
+    out = inside.filter("root <> main").select("bucket", *[F.col(c).alias(x) for c, x in names.items()])
     apart = (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("x")))
     # Two sets meet in the first of the bands that they share only.
-    first_band = F.expr(f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {width} + 1, {width}) = substring(regs_x, j * {width} + 1, {width}))")
-    met = out.join(inside, "bucket").filter(apart & _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent) & _met_enough(percent) & first_band)
+    first_band = F.expr(f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {_WIDTH} + 1, {_WIDTH}) = substring(regs_x, j * {_WIDTH} + 1, {_WIDTH}))")
+    enough = _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent) & _met_enough(percent)
+    met = join_salted(inside, out, "bucket", F.col("rep"), per_task=4096).filter(apart & enough & first_band)
     pairs = met.select(F.col("rep").alias("a"), F.col("x").alias("b"), F.col("n").alias("n_a"), F.col("n_x").alias("n_b"), F.col("regs").alias("regs_a"), F.col("regs_x").alias("regs_b"))
     likely = pairs.mapInArrow(_likely(percent / 100), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(likely.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _compared(rest, sets, percent).filter("linked").select("a", "b")
+        more = materialise(_compared(rest, sets, percent).filter("linked").select("a", "b"), "more")
         if not more.isEmpty():
             links = links.unionByName(more)
-            roots = materialise(components(links), "roots")
+            roots = components(links, n_banded)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size")
-    met = join_groups(named.select("doc_id", "n", "set"), materialise(of_class, "of_class"), "set", "_size", n_docs).drop("set")
+    of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    of_class = of_class.select("set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size")
+    of_class = materialise(of_class, "of_class", n_docs)
+    met = join_groups(named.select("doc_id", "n", "set"), of_class, "set", "_size", n_docs).drop("set")
     alone = sketched.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     every = met.select("doc_id", "n", "component_id", "class_id", "n_links").unionByName(alone)
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "n_links")
 
 
-def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs, with all columns, without the rows that near_dup_groups doesn't keep. Only ids shuffle for the
-    decision; rows with a null id stay."""
-    gone = near_dup_groups(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, with all columns, whatever their names, without the documents that near_dup_groups doesn't keep. Rows that
+    repeat a kept id and text are reduced to one; rows of one id with different texts are one document, which
+    stays or goes whole; rows with a null id stay. An empty table stays empty. Only ids shuffle for the decision."""
+    groups = materialise(near_dup_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "kept"), "kept")
+    gone = groups.filter("not kept").select("doc_id").distinct()
+    again = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    left = without_ids(docs, gone, id_col)
+    if again.isEmpty():
+        return left
+    once = with_ids(left, again, id_col).dropDuplicates([id_col, text_col])
+    return without_ids(left, again, id_col).unionByName(once)

@@ -17,10 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, gram_hashes, id_filter, join_groups, materialise, mix, modest_batches
+from .common import PIECE, WordHash, chunks, gram_hashes, id_filter, join_groups, materialise, mix, modest_batches, pack, unpack
 
-#: Cells of one block of the sketch that is merged on its own.
-BLOCK = 1 << 16
 DEPTH = 2
 #: Words a window's minimiser has.
 GRAM = 7
@@ -57,23 +55,6 @@ def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
 _BLOCK = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    """A block's cells as a bitmap, or as a sorted list of 16-bit numbers where that is shorter."""
-    if len(cells) * 16 < BLOCK:
-        return b"L" + cells.astype(np.uint16).tobytes()
-    bits = np.zeros(BLOCK, bool)
-    bits[cells] = True
-    return b"B" + np.packbits(bits).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    bits = np.zeros(BLOCK, bool)
-    if data[:1] == b"L":
-        bits[np.frombuffer(data, np.uint16, offset=1)] = True
-        return bits
-    return np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).astype(bool)
-
-
 def _emit(seen: list[np.ndarray], width: int):
     h = np.concatenate(seen)
     rows: list = [[], [], [], []]
@@ -81,8 +62,8 @@ def _emit(seen: list[np.ndarray], width: int):
         cells, times = np.unique(_cells(h, r, width), return_counts=True)
         edges = np.flatnonzero(np.diff(cells >> np.uint64(16))) + 1
         for c, t in zip(np.split(cells, edges), np.split(times, edges), strict=True):
-            low = (c & np.uint64(BLOCK - 1)).astype(np.int64)
-            for col, x in zip(rows, (r, int(c[0] >> np.uint64(16)), _pack(low), _pack(low[t > 1])), strict=True):
+            low = (c & np.uint64(PIECE - 1)).astype(np.int64)
+            for col, x in zip(rows, (r, int(c[0] >> np.uint64(16)), pack(low), pack(low[t > 1])), strict=True):
                 col.append(x)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _BLOCK.types, strict=True)], schema=_BLOCK)
 
@@ -111,12 +92,12 @@ def _sketch(window: int, width: int, known, most: int = 2_000_000):
 
 def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Saturating sum of one block's counts over all partial sketches, one batch of them at a time."""
-    once = np.zeros(BLOCK, bool)
-    twice = np.zeros(BLOCK, bool)
+    once = np.zeros(PIECE, bool)
+    twice = np.zeros(PIECE, bool)
     for batch in batches:
         for o, t in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-            bits = _unpack(o)
-            twice |= _unpack(t) | (once & bits)
+            bits = unpack(o)
+            twice |= unpack(t) | (once & bits)
             once |= bits
     yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
@@ -230,7 +211,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     merged = partial.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
     bits = np.zeros((DEPTH, width // 8), np.uint8)
     for r in merged.toLocalIterator():
-        bits[r["row"], r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+        bits[r["row"], r["block"] * PIECE // 8 : (r["block"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
     filters = spark.sparkContext.broadcast(bits)
     hits = named.mapInArrow(_repeated(window, width, filters, known), "doc_id long, pos int, h long, g int, known boolean")
     # A window meets here only once for each stretch of a few MB of text, so no group is large.
