@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.questions import Cohort, LabRule
+from ..functions.questions import Cohort, Limit
 from .nlp import entities
 
 
@@ -42,53 +42,61 @@ def stats(edge_table: DataFrame, n_patients: int, n_drugs: int) -> dict:
     return {"nodes": nodes, "edges": links, "total_nodes": sum(nodes.values()), "total_edges": sum(links.values())}
 
 
-def _lab_holds(rule: LabRule):
-    value, flag = F.col("value"), F.col("flag")
-    return {">": value > (rule.value or 0), "<": value < (rule.value or 0), "high": flag == "HIGH", "low": flag == "LOW", "abnormal": flag != "NORMAL"}[rule.op]
+#: Kinds of limits that edges prove, and the edges' type.
+_EDGES = {"condition": "has_condition", "drug": "takes_drug", "lab": "has_lab", "symptom": "reports_symptom"}
+
+
+def _lab_holds(limit: Limit) -> Column:
+    value, flag, number = F.col("value"), F.col("flag"), F.lit(limit.number)
+    return {">": value > number, "<": value < number, "high": flag == "HIGH", "low": flag == "LOW", "abnormal": flag != "NORMAL"}[limit.op]
+
+
+def _proof(edge_table: DataFrame, limit: Limit) -> DataFrame:
+    """patient_id, chunk_id, why: a row for each patient whose edges meet a limit. Of several drugs the first named is the
+    proof, and all that are taken are the reason."""
+    hits = edge_table.filter((F.col("etype") == _EDGES[limit.kind]) & F.col("target").isin(*limit.names))
+    if limit.kind == "drug":
+        place = F.array_position(F.array(*[F.lit(d) for d in limit.names]), F.col("target"))
+        taken = hits.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "target", "chunk_id"))).alias("h"))
+        return taken.select("patient_id", F.col("h")[0]["chunk_id"].alias("chunk_id"), F.concat(F.lit("on "), F.array_join("h.target", ", ")).alias("why"))
+    why = F.lit(f"reports {limit.names[0]}" if limit.kind == "symptom" else limit.names[0])
+    if limit.kind == "lab":
+        hits = hits.filter(_lab_holds(limit))
+        why = F.concat_ws("", "target", F.lit(" "), F.col("value").cast("string"), F.lit(" "), "unit", F.lit(" ("), "flag", F.lit(", "), "date", F.lit(")"))
+    return hits.select("patient_id", "chunk_id", why.alias("why"))
+
+
+def _on_record(limit: Limit) -> tuple[Column, Column]:
+    """(whether a record meets a limit on age, sex or allergies, the reason it gives)."""
+    if limit.kind == "age":
+        age = F.col("age")
+        return age > limit.number if limit.op == ">" else age < limit.number, F.concat(F.lit("age "), age.cast("string"))
+    if limit.kind == "sex":
+        return F.col("sex") == limit.names[0], F.lit(None).cast("string")
+    return F.contains(F.lower("allergies"), F.lit(limit.names[0])), F.concat(F.lit("allergy: "), "allergies")
 
 
 def match(records: DataFrame, edge_table: DataFrame, cohort: Cohort) -> DataFrame:
-    """patient_id, name, age, sex, why (array), chunk_ids (array, distinct): the patients that meet all constraints, with
-    the reason and the evidence for each in the order conditions, drugs, allergies, labs, age, sex, symptoms.
+    """patient_id, name, age, sex, why (array), chunk_ids (array, distinct): the patients that meet all limits, with
+    the reason and the evidence for each in the order of the cohort's limits.
 
-    Each constraint is a join on patient_id with the few edges that meet it, the most selective kinds first; what
-    it proves rides along.
+    Limits on the record itself filter; each other one is a join on patient_id with the few edges that meet it, and
+    what it proves rides along.
     """
-    out = records.select("patient_id", "name", "age", "sex", "allergies").withColumn("_got", F.expr("array(named_struct('why', string(null), 'chunk_id', string(null)))"))
-    if cohort.age:
-        out = out.filter(F.col("age") > cohort.age[1] if cohort.age[0] == ">" else F.col("age") < cohort.age[1])
-    if cohort.sex:
-        out = out.filter(F.col("sex") == cohort.sex)
-    for a in cohort.allergies:
-        out = out.filter(F.lower("allergies").contains(a))
-    profile = edge_table.filter("etype = 'profile'").select("patient_id", F.col("chunk_id").alias("_profile"))
-    out = out.join(profile, "patient_id")
-
-    def proved(df: DataFrame, why, chunk) -> DataFrame:
-        return df.withColumn("_got", F.concat("_got", F.array(F.struct(why.cast("string").alias("why"), chunk.alias("chunk_id")))))
-
-    def meet(df: DataFrame, part: DataFrame, why) -> DataFrame:
-        return proved(df.join(part.withColumnRenamed("chunk_id", "_c"), "patient_id"), why, F.col("_c")).select(*df.columns)
-
-    side = lambda kind, when: edge_table.filter((F.col("etype") == kind) & when)
-    for c in cohort.conditions:
-        out = meet(out, side("has_condition", F.col("target") == c).select("patient_id", "chunk_id"), F.lit(c))
-    if cohort.drugs:
-        place = F.array_position(F.array(*[F.lit(d) for d in cohort.drugs]), F.col("target"))
-        hits = side("takes_drug", F.col("target").isin(cohort.drugs)).groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "target", "chunk_id"))).alias("h"))
-        hits = hits.select("patient_id", F.get("h", F.lit(0))["chunk_id"].alias("chunk_id"), F.concat(F.lit("on "), F.array_join("h.target", ", ")).alias("_why"))
-        out = meet(out, hits, F.col("_why"))
-    for _ in cohort.allergies:
-        out = proved(out, F.concat(F.lit("allergy: "), "allergies"), F.col("_profile"))
-    for rule in cohort.labs:
-        said = F.concat(F.lit(f"{rule.test} "), F.col("value").cast("string"), F.lit(" "), F.col("unit"), F.lit(" ("), F.col("flag"), F.lit(", "), F.col("date"), F.lit(")"))
-        out = meet(out, side("has_lab", (F.col("target") == rule.test) & _lab_holds(rule)).select("patient_id", "chunk_id", said.alias("_why")), F.col("_why"))
-    if cohort.age:
-        out = proved(out, F.concat(F.lit("age "), F.col("age").cast("string")), F.col("_profile"))
-    if cohort.sex:
-        out = proved(out, F.lit(None), F.col("_profile"))
-    for s in cohort.symptoms:
-        out = meet(out, side("reports_symptom", F.col("target") == s).select("patient_id", "chunk_id"), F.lit(f"reports {s}"))
-    why = F.array_compact(F.transform("_got", lambda g: g["why"]))
-    ids = F.array_distinct(F.concat(F.array("_profile"), F.array_compact(F.transform("_got", lambda g: g["chunk_id"]))))
-    return out.select("patient_id", "name", "age", "sex", why.alias("why"), ids.alias("chunk_ids")).orderBy(F.desc(F.size("why")), "name", "patient_id")
+    profile = edge_table.filter("etype = 'profile'").select("patient_id", F.col("chunk_id").alias("profile"))
+    out = records.select("patient_id", "name", "age", "sex", "allergies").join(profile, "patient_id")
+    proofs = []
+    for i, limit in enumerate(cohort):
+        if limit.kind in _EDGES:
+            names = [f"chunk_{i}", f"why_{i}"]
+            out = out.join(_proof(edge_table, limit).toDF("patient_id", *names), "patient_id")
+            proofs.append((F.col(names[1]), F.col(names[0])))
+        else:
+            holds, why = _on_record(limit)
+            out = out.filter(holds)
+            proofs.append((why, F.col("profile")))
+    texts = lambda found: F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    why = texts([w for w, _ in proofs])
+    ids = F.array_distinct(F.concat(F.array("profile"), texts([c for _, c in proofs])))
+    found = out.select("patient_id", "name", "age", "sex", why.alias("why"), ids.alias("chunk_ids"))
+    return found.orderBy(F.desc(F.size("why")), "name", "patient_id")

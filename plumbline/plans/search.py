@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import context
 from ..operators import index as X
+from .encoders import HashingEncoder
 
 SCALE = 60.0
 #: So many of the nearest vectors take part in a fusion.
 NEAREST = 200
+#: So many searches are remembered: chunks don't change under an index.
+REMEMBERED = 256
 
 
 @dataclass(frozen=True)
@@ -33,24 +38,31 @@ class Hit:
     dense_rank: int | None = None
     via: str = "retrieved"
 
+    def shown(self, n: int) -> dict:
+        """As the n-th piece of evidence."""
+        c = self.chunk
+        return {"n": n, "chunk_id": c.chunk_id, "patient_id": c.patient_id, "kind": c.kind, "date": c.date, "text": c.text, "score": self.score, "bm25_rank": self.bm25_rank, "dense_rank": self.dense_rank, "via": self.via}
+
 
 class ChunkIndex:
     """Postings, term statistics and hashed vectors of all chunks. Statistics are global, also when a search is scoped to one
     patient. Ties go by chunk id."""
 
-    def __init__(self, chunks: DataFrame, dim: int = 1024):
-        self.dim = dim
+    def __init__(self, chunks: DataFrame, encoder=None):
         self.chunks = chunks.persist()
         self.n = self.chunks.count()
         self.posts = X.postings(self.chunks, "chunk_id", "text").persist()
         self.stats = X.corpus_stats(self.chunks, "text").persist()
-        vectors, idf = X.feature_weights(self.chunks, "chunk_id", "text", dim)
-        self.vectors, self.idf = vectors.persist(), idf.persist()
+        self.encoder = encoder or HashingEncoder()
+        self.vectors = self.encoder.fit(self.chunks, "chunk_id", "text").persist()
         self.asof = self.chunks.agg(F.max("date")).first()[0] or "1970-01-01"
+        self._held: OrderedDict[tuple, list[Hit]] = OrderedDict()
 
     def close(self) -> None:
-        for df in (self.chunks, self.posts, self.stats, self.vectors, self.idf):
+        for df in (self.chunks, self.posts, self.stats, self.vectors):
             df.unpersist()
+        self.encoder.close()
+        self._held.clear()
 
     def _queries(self, texts: list[str]) -> DataFrame:
         return self.chunks.sparkSession.createDataFrame(list(enumerate(texts)), "qid int, text string")
@@ -75,22 +87,50 @@ class ChunkIndex:
             ranks = X.ranked(X.bm25(self.posts, self.stats, X.query_terms(asked, "qid", "text", expand), scope))
             parts.append(ranks.select("qid", "id", F.col("rank").alias("b"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("double").alias("sim")))
         if mode in ("dense", "hybrid"):
-            near = X.sparse_cosine(self.vectors, X.encode(asked, "qid", "text", self.idf, self.n, self.dim, expand), scope)
+            near = X.sparse_cosine(self.vectors, self.encoder.encode(asked, "qid", "text", expand), scope)
             ranks = X.ranked(near, NEAREST).filter("score > 0")
             parts.append(ranks.select("qid", "id", F.lit(None).cast("long").alias("b"), F.col("rank").alias("d"), F.col("score").alias("sim")))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return rows.groupBy("qid", "id").agg(F.max("b").alias("b"), F.max("d").alias("d"), F.max("sim").alias("sim"))
 
+    def _remembered(self, kind: tuple, texts: list[str], find) -> list[list[Hit]]:
+        """Hits for each text: those searched before from memory, all others by one job."""
+        new = [t for t in dict.fromkeys(texts) if (*kind, t) not in self._held]
+        found = dict(zip(new, find(new), strict=True)) if new else {}
+        for t in texts:
+            if (*kind, t) in self._held:
+                self._held.move_to_end((*kind, t))
+                found[t] = self._held[*kind, t]
+        for t in new:
+            self._held[*kind, t] = found[t]
+        while len(self._held) > REMEMBERED:
+            self._held.popitem(last=False)
+        return [list(found[t]) for t in texts]
+
     def search(self, texts: list[str], k: int, patient_id: str | None = None, mode: str = "hybrid") -> list[list[Hit]]:
         """The k best chunks for each text, by reciprocal ranks."""
         part = lambda c: F.coalesce(1.0 / (F.lit(float(X.RRF_K)) + F.col(c)), F.lit(0.0))
-        rows = self._ranks(texts, patient_id, mode, True).withColumn("score", (part("b") + part("d")) * SCALE)
-        return self._hits(X.ranked(rows, k), len(texts), lambda r: round(r["score"], 4), lambda r: r["d"])
+
+        def find(new: list[str]) -> list[list[Hit]]:
+            rows = self._ranks(new, patient_id, mode, True).withColumn("score", (part("b") + part("d")) * SCALE)
+            return self._hits(X.ranked(rows, k), len(new), lambda r: round(r["score"], 4), lambda r: r["d"])
+
+        return self._remembered((mode, k, patient_id), texts, find)
 
     def nearest(self, texts: list[str], k: int, patient_id: str | None = None) -> list[list[Hit]]:
         """The k nearest chunks to each text as it is, by cosine; their dense ranks count from 1."""
-        rows = self._ranks(texts, patient_id, "dense", False).filter(F.col("d") < k).withColumn("score", F.col("sim"))
-        return self._hits(X.ranked(rows, k), len(texts), lambda r: round(r["score"], 4), lambda r: r["rank"] + 1)
+
+        def find(new: list[str]) -> list[list[Hit]]:
+            rows = self._ranks(new, patient_id, "dense", False).filter(F.col("d") < k).withColumn("score", F.col("sim"))
+            return self._hits(X.ranked(rows, k), len(new), lambda r: round(r["score"], 4), lambda r: r["rank"] + 1)
+
+        return self._remembered(("nearest", k, patient_id), texts, find)
+
+    def neighbours(self, ids: list[str]) -> list[Chunk]:
+        """What stands beside the chunks in their records, in the order of the chunks."""
+        seeds = self.chunks.sparkSession.createDataFrame([(i,) for i in ids], "chunk_id string")
+        rows = context.neighbours(self.chunks, seeds).collect()
+        return [_chunk(r) for r in sorted(rows, key=lambda r: (ids.index(r["seed"]), r["place"]))]
 
     def _hits(self, top: DataFrame, n: int, score, dense) -> list[list[Hit]]:
         met = top.join(self.chunks, top["id"] == self.chunks["chunk_id"])
