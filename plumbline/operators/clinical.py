@@ -96,15 +96,49 @@ def timeline(records: DataFrame) -> DataFrame:
     return rows.select("patient_id", "place", "e.date", "e.kind", "e.title", "e.detail")
 
 
-def cohort_stats(records: DataFrame) -> dict:
-    """Counts over the whole cohort: three aggregates, each of a few rows."""
+# Ages at which the cohort's bins begin, bands of risk.
+AGE_BINS = {"<40": 0, "40-59": 40, "60-74": 60, "75+": 75}
+BANDS = ["low", "moderate", "high"]
+# End of the fixed values.
+
+
+def cohort_table(records: DataFrame) -> DataFrame:
+    """part, name, value: patients, mean_age and female_pct (name null), then how many patients have each condition, are in
+    each age bin and risk band, and how many alerts there are of each severity; bins, bands and severities are all there.
+    One pass over the records, whose rows are counted where they are."""
     rows = with_risk(records)
-    bins = F.when(F.col("age") < 40, "<40").when(F.col("age") < 60, "40-59").when(F.col("age") < 75, "60-74").otherwise("75+")
-    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("age").alias("age"), F.avg((F.col("sex") == "F").cast("double")).alias("f")).first()
-    groups = {(r["k"], r["v"]): r["n"] for r in rows.select(F.explode(F.concat(F.array(F.struct(F.lit("bin").alias("k"), bins.alias("v")), F.struct(F.lit("band").alias("k"), F.col("band").alias("v"))), F.transform("alerts", lambda a: F.struct(F.lit("alert").alias("k"), a["severity"].alias("v"))))).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    conditions = rows.select(F.explode("diagnoses.condition").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "name").collect()
+    age_bin = F.lit(next(iter(AGE_BINS)))
+    for name, least in list(AGE_BINS.items())[1:]:
+        age_bin = F.when(F.col("age") >= least, name).otherwise(age_bin)
+    counted = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"), F.lit(1.0).alias("x"))
+    every = F.array(
+        counted("patients", F.lit(None).cast("string")), F.struct(F.lit("mean_age").alias("part"), F.lit(None).cast("string").alias("name"), F.col("age").cast("double").alias("x")),
+        F.struct(F.lit("female_pct").alias("part"), F.lit(None).cast("string").alias("name"), F.when(F.col("sex") == "F", 100.0).otherwise(0.0).alias("x")), counted("age_bin", age_bin), counted("risk_band", F.col("band")),
+    )
+    of = lambda part, values: F.transform(values, lambda v: counted(part, v))
+    facts = F.concat(every, of("condition", F.col("diagnoses.condition")), of("alert", F.col("alerts.severity")))
+    got = rows.select(F.explode(facts).alias("f")).groupBy("f.part", "f.name").agg(F.sum("f.x").alias("sum"), F.avg("f.x").alias("mean"))
+    value = F.when(F.col("part").isin("mean_age", "female_pct"), F.round("mean", 1)).otherwise(F.col("sum"))
+    domain = [("patients", None), ("mean_age", None), ("female_pct", None), *(("age_bin", b) for b in AGE_BINS), *(("risk_band", b) for b in BANDS), *(("alert", s) for s in SEVERITY_POINTS)]
+    wanted = records.sparkSession.createDataFrame(domain, "part string, name string").withColumnsRenamed({"part": "p", "name": "n"})
+    met = got.select("part", "name", value.alias("value")).join(F.broadcast(wanted), F.col("part").eqNullSafe(F.col("p")) & F.col("name").eqNullSafe(F.col("n")), "full")
+    return met.select(F.coalesce("part", "p").alias("part"), F.coalesce("name", "n").alias("name"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def cohort_stats(records: DataFrame) -> dict:
+    """The cohort's table as a nested dict; conditions by falling count."""
+    held = {(r["part"], r["name"]): r["value"] for r in cohort_table(records).collect()}
+    of = lambda part, names: {n: int(held[part, n]) for n in names}
+    conditions = sorted(((n, int(v)) for (part, n), v in held.items() if part == "condition"), key=lambda x: (-x[1], x[0]))
     return {
-        "patients": one["n"], "mean_age": round(one["age"], 1) if one["n"] else 0.0, "female_pct": round(100 * one["f"], 1) if one["n"] else 0.0,
-        "conditions": [r.asDict() for r in conditions], "age_bins": [{"bin": b, "count": groups.get(("bin", b), 0)} for b in ("<40", "40-59", "60-74", "75+")],
-        "risk_bands": {b: groups.get(("band", b), 0) for b in ("low", "moderate", "high")}, "alerts": {s: groups.get(("alert", s), 0) for s in SEVERITY_POINTS},
+        "patients": int(held["patients", None]), "mean_age": held["mean_age", None], "female_pct": held["female_pct", None], "conditions": [{"name": n, "count": v} for n, v in conditions],
+        "age_bins": [{"bin": b, "count": n} for b, n in of("age_bin", AGE_BINS).items()], "risk_bands": of("risk_band", BANDS), "alerts": of("alert", SEVERITY_POINTS),
     }
+
+
+def patient_list(records: DataFrame, q: str = "", sort: str = "risk") -> DataFrame:
+    """Patients whose name, id and conditions hold q, by falling risk and name, or by name."""
+    rows = with_risk(records).select("patient_id", "name", "age", "sex", F.col("diagnoses.condition").alias("conditions"), F.col("score").alias("risk"), "band", F.size("alerts").alias("alerts"))
+    text = F.lower(F.concat("name", "patient_id", F.array_join("conditions", " ")))
+    rows = rows.filter(F.contains(text, F.lit(q.lower()))) if q else rows
+    return rows.orderBy("name", "patient_id") if sort == "name" else rows.orderBy(F.desc("risk"), "name", "patient_id")

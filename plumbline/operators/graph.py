@@ -34,11 +34,17 @@ def known_drugs(edge_table: DataFrame) -> set[str]:
     return {r[0] for r in edge_table.filter("etype IN ('takes_drug', 'took_drug')").select("target").distinct().collect()}
 
 
+def stats_table(edge_table: DataFrame) -> DataFrame:
+    """etype, nodes (distinct targets), edges."""
+    return edge_table.groupBy("etype").agg(F.countDistinct("target").alias("nodes"), F.count(F.lit(1)).alias("edges"))
+
+
 def stats(edge_table: DataFrame, n_patients: int, n_drugs: int) -> dict:
-    rows = {r["etype"]: r for r in edge_table.groupBy("etype").agg(F.countDistinct("target").alias("nodes"), F.count(F.lit(1)).alias("edges")).collect()}
-    get = lambda kind, what: rows[kind][what] if kind in rows else 0
-    nodes = {"patients": n_patients, "conditions": get("has_condition", "nodes"), "drugs": n_drugs, "lab tests": get("has_lab", "nodes"), "symptoms": get("reports_symptom", "nodes")}
-    links = {k: get(k, "edges") for k in ("has_condition", "takes_drug", "has_lab", "reports_symptom")}
+    """Nodes and edges by kind, and their sums."""
+    held = {r["etype"]: r for r in stats_table(edge_table).collect()}
+    of = lambda etype, what: held[etype][what] if etype in held else 0
+    nodes = {"patients": n_patients, "conditions": of("has_condition", "nodes"), "drugs": n_drugs, "lab tests": of("has_lab", "nodes"), "symptoms": of("reports_symptom", "nodes")}
+    links = {etype: of(etype, "edges") for etype in ("has_condition", "takes_drug", "has_lab", "reports_symptom")}
     return {"nodes": nodes, "edges": links, "total_nodes": sum(nodes.values()), "total_edges": sum(links.values())}
 
 

@@ -6,6 +6,8 @@ a count says that they are few, and statistics are always those of the whole cor
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ RRF_K = 60
 FEW = 200_000
 
 
-def small(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than that, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it can't have more than FEW rows, else as it is."""
+    return F.broadcast(df) if most <= FEW else df
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,14 +47,16 @@ def query_terms(queries: DataFrame, qid_col: str, text_col: str, expand: bool =
 
 def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """qid, id, score for each text that has a term of the query. scope (id) restricts what is scored, not the
-    statistics."""
-    asked = small(terms)
-    mine = posts.join(F.broadcast(asked.select("term").distinct()) if asked is not terms else asked.select("term").distinct(), "term", "left_semi")
-    dfs = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = mine if scope is None else mine.join(scope, "id", "left_semi")
-    joined = rows.join(asked, "term").join(dfs, "term").crossJoin(F.broadcast(stats))
-    norm = K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif(F.col("avg_len"), F.lit(0.0)), F.lit(1.0)))
-    part = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    statistics. terms come from few short queries, so that counting them is cheap; their frequencies are joined to them
+    first, and then postings meet everything in one join."""
+    n = terms.count()
+    distinct = bounded(terms.select("term").distinct(), n)
+    dfs = posts.join(distinct, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select("qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    rows = posts if scope is None else posts.join(scope, "id", "left_semi")
+    joined = rows.join(bounded(weighed, n), "term")
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return joined.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
@@ -97,23 +101,52 @@ def encode(queries: DataFrame, qid_col: str, text_col: str, idf: DataFrame, n: i
     toks = T.tokens(F.col(text_col))
     rows = queries.select(F.col(qid_col).alias("id"), F.explode(T.features(T.expanded(toks) if expand else toks)).alias("feature"))
     tf = rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
-    met = idf.join(small(tf), "feature", "right").withColumn("idf", F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
-    return hashed(met, dim).withColumnRenamed("id", "qid")
+    most = tf.count()  # of queries only
+    met = idf.join(bounded(tf, most), "feature", "right").withColumn("idf", F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
+    return bounded(hashed(met, dim).withColumnRenamed("id", "qid"), most)
 
 
 def sparse_cosine(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """qid, id, score: dot products of unit vectors (id, bucket, weight) that share a bucket with a query's."""
+    """qid, id, score: dot products of unit vectors (id, bucket, weight) that share a bucket with a query's, which carry a
+    broadcast hint where they are few."""
     rows = vectors if scope is None else vectors.join(scope, "id", "left_semi")
-    asked = small(queries.withColumnRenamed("weight", "_w"))
-    return rows.join(asked, "bucket").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
-
-
-def dense_cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, score of dense vectors (id, vector) against queries(qid, qvector): a stated set of few queries against
-    all rows, never all pairs."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 dense queries at once")
-    return vectors.crossJoin(F.broadcast(queries)).select("qid", "id", T.dot(F.col("vector"), F.col("qvector")).alias("score"))
+    return rows.join(queries.withColumnRenamed("weight", "_w"), "bucket").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+
+
+#: Dense queries that go by one broadcast: some 10 MB of them.
+DENSE_BLOCK = 20_000
+
+
+def dense_cosine(vectors: DataFrame, queries: DataFrame, when: Column | None = None) -> DataFrame:
+    """qid, id, score of dense vectors (id, vector) against queries(qid, qvector): a stated query set against all rows, never
+    all pairs. when restricts what is scored. Many queries are cut into blocks by their ids, each of which is broadcast
+    by itself."""
+    n = queries.count()
+    blocks = max(1, -(-n // DENSE_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        met = vectors.join(F.broadcast(part), F.lit(True) if when is None else when)
+        scored = met.select("qid", "id", T.dot(F.col("vector"), F.col("qvector")).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """The k best of the reciprocal fusion of two rankings: all texts with lexical scores, and near(qid, id, rank). No more is
+    ranked than can matter. The best k by words alone are worth 1 / (RRF_K + k - 1) at least, so a text of rank r among the
+    near that is worth less on its own needs a lexical rank under a bound that r gives; what is worth as much on its
+    own (ranks under k) has its lexical rank counted: how many texts score better."""
+    worth = 1 / (RRF_K + k - 1)
+    most = max(k, math.ceil(1 / (worth - 1 / (RRF_K + k))) - RRF_K + 1)
+    exact = scores.withColumn("score", F.round("score", digits))
+    best = ranked(exact, most, digits).select("qid", "id", "rank")
+    first = near.filter(F.col("rank") < k).select("qid", "id")
+    at = F.broadcast(exact.join(F.broadcast(first), ["qid", "id"]).select("qid", F.col("id").alias("_id"), F.col("score").alias("_s")))
+    better = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") < F.col("_id")))
+    counted = exact.join(at, "qid").groupBy("qid", F.col("_id").alias("id")).agg(F.sum(better.cast("long")).alias("rank"))
+    lexical = best.unionByName(counted).distinct()
+    return ranked(fuse(lexical, near), k, digits)
 
 
 def fuse(*rankings: DataFrame, scale: float = 100.0) -> DataFrame:

@@ -101,6 +101,21 @@ class AuditLog:
         return {"valid": True, "entries": n}
 
 
+def chained(entries: DataFrame, segment: str, order: str, body: str) -> DataFrame:
+    """segment, order, body, seq (from 1), prev, hash: entries as logs, one for each segment. A chain is serial by nature, so a
+    segment has to be of a size that one task can hold; many of them are made side by side."""
+    sha = lambda prev, text: F.sha2(F.concat(prev, text), 256)
+    none = F.array().cast("array<struct<o:bigint,body:string,prev:string,hash:string>>")
+
+    def step(log: Column, e: Column) -> Column:
+        prev = F.when(F.size(log) == 0, F.lit(GENESIS)).otherwise(F.get(log, F.size(log) - 1)["hash"])
+        return F.concat(log, F.array(F.struct(e["o"].alias("o"), e["body"].alias("body"), prev.alias("prev"), sha(prev, e["body"]).alias("hash"))))
+
+    rows = entries.groupBy(segment).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(body).alias("body")))).alias("es"))
+    logs = rows.select(segment, F.posexplode(F.aggregate("es", none, step)).alias("seq", "e"))
+    return logs.select(segment, F.col("e.o").alias(order), F.col("e.body").alias(body), (F.col("seq") + 1).cast("long").alias("seq"), "e.prev", "e.hash")
+
+
 def verify_chain(log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None, first: int = 1) -> DataFrame:
     """entries, broken_at (1 is the first entry; null if it holds) of each segment's chain, or of the whole log. Entries are
     numbered without gaps from `first`; each meets the one before it by a join on its number, so that a long chain

@@ -31,7 +31,7 @@ def feature_vectors(records: DataFrame) -> DataFrame:
     def lab(test: str):
         newest = F.array_max(F.filter(F.transform("labs", lambda x, i: F.struct(x["date"].alias("d"), i.alias("i"), x["test"].alias("test"), x["value"].alias("v"), x["ref_low"].alias("lo"), x["ref_high"].alias("hi"))), lambda x: x["test"] == test))
         far = (newest["v"] - (newest["lo"] + newest["hi"]) / 2) / F.greatest(newest["hi"] - newest["lo"], F.lit(1e-6))
-        return F.coalesce(F.least(F.greatest(far, F.lit(-3.0)), F.lit(3.0)) / 3, F.lit(0.0))
+        return F.when(far.isNotNull(), F.least(F.greatest(far, F.lit(-3.0)), F.lit(3.0)) / 3).otherwise(0.0)  # greatest passes over nulls
 
     parts = [F.col("age") / 100, F.when(F.col("sex") == "F", 1.0).otherwise(0.0), F.size(active) / 6, F.col("score") / 100]
     parts += [F.when(F.array_contains(have, c), 1.5).otherwise(0.0) for c in conditions] + [lab(t) for t in tests]

@@ -74,30 +74,3 @@ def shares_and_scaling(spark, sf_dir) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
     low, high = F.min("s").over(w), F.max("s").over(w)
     return g.select("user_id", "event_type", F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"), F.round(F.col("n") / F.max("n").over(w), 6).alias("bar"), F.round(F.coalesce(F.try_divide(F.col("s") - low, high - low), F.lit(0.0)), 5).alias("scaled"))
-
-
-_TYPES = ("click", "error", "purchase", "signup", "view")
-
-
-@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{t}')::BIGINT AS n_{t}, round(avg(value) FILTER (event_type = '{t}'), 8) AS mean_{t}" for t in _TYPES) + " FROM events GROUP BY user_id")
-def feature_pivot(spark, sf_dir) -> DataFrame:
-    got = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(_TYPES)).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
-    return got.select("user_id", *[c for t in _TYPES for c in (F.coalesce(f"{t}_n", F.lit(0)).alias(f"n_{t}"), F.round(f"{t}_m", 8).alias(f"mean_{t}"))])
-
-
-@query("""WITH u AS (SELECT c_custkey AS owner, 0 AS branch, 0 AS pos, NULL::VARCHAR AS day, c_name || ' trades in ' || c_mktsegment || '.' AS text FROM customer
-UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderdate::DATE::VARCHAR, 'Order ' || o_orderkey || ' on ' || o_orderdate::DATE::VARCHAR || ', status ' || o_orderstatus || '.' FROM orders
-UNION ALL SELECT o_custkey, 2, l_orderkey * 10 + l_linenumber, l_shipdate::DATE::VARCHAR, 'Line ' || l_linenumber || ' of order ' || l_orderkey || ', flag ' || l_returnflag || '.' FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT owner, owner || ':' || ['profile', 'order', 'line'][branch + 1] || ':' || (row_number() OVER (PARTITION BY owner ORDER BY branch, pos, day, text) - 1) AS chunk_id, day, md5(text) AS text_md5 FROM u""")
-def flatten_records(spark, sf_dir) -> DataFrame:
-    """Typed chunks of nested facts, numbered within their owner."""
-    day = lambda c: F.to_date(c).cast("string")
-    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.lit(0).alias("branch"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("day"), F.concat(F.col("c_name").cast("string"), F.lit(" trades in "), F.col("c_mktsegment").cast("string"), F.lit(".")).alias("text"))
-    o = table(spark, sf_dir, "orders").withColumn("_d", day("o_orderdate"))
-    orders = o.select(F.col("o_custkey").alias("owner"), F.lit(1).alias("branch"), F.col("o_orderkey").alias("pos"), F.col("_d").alias("day"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" on "), F.col("_d").cast("string"), F.lit(", status "), F.col("o_orderstatus").cast("string"), F.lit(".")).alias("text"))
-    li = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = li.select(F.col("o_custkey").alias("owner"), F.lit(2).alias("branch"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), day("l_shipdate").alias("day"), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(" of order "), F.col("l_orderkey").cast("string"), F.lit(", flag "), F.col("l_returnflag").cast("string"), F.lit(".")).alias("text"))
-    rows = cust.unionByName(orders).unionByName(lines)
-    place = F.row_number().over(Window.partitionBy("owner").orderBy("branch", "pos", F.col("day").asc_nulls_last(), "text")) - 1
-    kinds = F.element_at(F.array(F.lit("profile"), F.lit("order"), F.lit("line")), F.col("branch") + 1)
-    return rows.select("owner", F.concat_ws(":", F.col("owner").cast("string"), kinds, place.cast("string")).alias("chunk_id"), "day", F.md5("text").alias("text_md5"))

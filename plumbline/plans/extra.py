@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators import index as X
 from ..operators import similarity
 from ..streaming import events as stream
 from .queries import query, table
@@ -31,10 +30,9 @@ def _diverse(pool: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
 def mmr_select(spark, sf_dir) -> DataFrame:
     """Ten diverse neighbours for every fiftieth vector, from its forty nearest."""
     emb = table(spark, sf_dir, "embeddings")
-    asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    scores = emb.crossJoin(F.broadcast(asked)).select("qid", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), T.dot(F.col("embedding"), F.col("qv")).alias("score"))
-    line = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    pool = scores.withColumn("r", F.row_number().over(line)).filter("r <= 40").select("qid", "id", "score", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"))
+    rows = emb.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    pool = X.ranked(X.dense_cosine(rows, asked), 40, digits=12).join(rows, "id").select("qid", "id", "score", "vector")
     return pool.groupBy("qid").applyInPandas(lambda p: _diverse(p, 10, 0.7), "qid long, vec_id long, place long")
 
 

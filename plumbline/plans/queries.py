@@ -50,6 +50,11 @@ def _content(text: str = "text") -> str:
     return f"list_filter({_toks(text)}, lambda x: NOT list_contains({_EXTRA}, x))"
 
 
+def _extra_free(text: str) -> str:
+    """SQL for the content tokens of a text."""
+    return _content(text)
+
+
 def _r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
@@ -117,14 +122,9 @@ f0 AS (SELECT id, unnest(list_concat(toks, list_transform(range(1, len(toks)), l
 tf AS (SELECT id, feature, count(*) AS tf FROM f0 GROUP BY id, feature)"""
 
 
-@query(f"WITH {_FEATS} SELECT feature, count(*)::BIGINT AS n_docs, sum(tf)::BIGINT AS n_times FROM tf GROUP BY feature HAVING count(*) > 1")
+@query(f"WITH {_FEATS} SELECT feature, count(*)::BIGINT AS n_docs, sum(tf)::BIGINT AS n_times FROM tf GROUP BY feature")
 def ngram_features(spark, sf_dir):
-    return ngram_features_all(spark, sf_dir).filter("n_docs > 1")
-
-
-@query()
-def ngram_features_all(spark, sf_dir):
-    """Every unigram and bigram, also those of one document only, which ngram_features and its SQL leave out."""
+    """Every unigram and bigram."""
     tf = X.feature_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return tf.groupBy("feature").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_times"))
 
@@ -178,9 +178,9 @@ SELECT qid, id AS doc_id, score, rank FROM y WHERE rank < 10""")
 def rrf_hybrid_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     terms = X.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    lexical = X.ranked(X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), terms), digits=6)
-    dense = _cosine_ranks(spark, sf_dir, 200).filter("score > 0")
-    return X.ranked(X.fuse(lexical, dense), 10, digits=6).withColumnRenamed("id", "doc_id")
+    scores = X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), terms)
+    near = _cosine_ranks(spark, sf_dir, 200).filter("score > 0")
+    return X.fused_top(scores, near, 10).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {_POSTS},
@@ -212,9 +212,8 @@ SELECT qid, id AS vec_id, score, rank FROM (SELECT qid, id, score, row_number()
 def _dense(spark, sf_dir, scoped: bool) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"), F.col("label").alias("ql"))
-    rows = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label").crossJoin(F.broadcast(asked))
-    rows = rows.filter("label = ql") if scoped else rows
-    scores = rows.select("qid", "id", T.dot(F.col("vector"), F.col("qvector")).alias("score"))
+    rows = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    scores = X.dense_cosine(rows, asked, F.col("label") == F.col("ql") if scoped else None)
     return X.ranked(scores, 10, digits=5).withColumnRenamed("id", "vec_id")
 
 
@@ -243,10 +242,10 @@ def _pool(spark, sf_dir, k: int) -> DataFrame:
     distinct) and t (the text's tokens). Tokens are made below joins, so that they are made once a row."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = X.ranked(X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), X.query_terms(bench, "item_id", "text")), k, digits=6)
-    hits = X.small(hits).join(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id").withColumn("t", T.tokens(F.col("passage")))
+    hits = X.bounded(hits, k * bench.count()).join(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id").withColumn("t", T.tokens(F.col("passage")))
     q = T.content_tokens(F.col("text"))
     asked = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), q.alias("q"), F.array_distinct(q).alias("terms"))
-    return hits.join(X.small(asked), "qid").withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
+    return hits.join(X.bounded(asked, bench.count()), "qid").withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
 
 
 @query(f"""{_POOL}, e AS (SELECT item_id, any_value(q) AS q, list_distinct(flatten(list(t))) AS t FROM x WHERE rank < 3 GROUP BY item_id)

@@ -1,15 +1,15 @@
-"""Queries of the record analytics: cohorts, series, rules, scores, timelines, privacy, conversations, audit."""
+"""Queries over series of events, terms, conversations and vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import COHORT_WORDS, ENC_WORDS, LAB_WORDS, MED_WORDS, NORMAL_95, T_95
+from ..functions.vocab import NORMAL_95, T_95
 from ..operators import index as X
 from ..operators import series as S
-from .queries import _POOL, _r, _toks, query, table
+from .queries import _r, _toks, query, table
 
 # ---------------------------------------------------------------- series of events
 
@@ -83,228 +83,15 @@ def newest_per_fact(spark, sf_dir):
     return kept.select("user_id", "event_type", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("first_rank")).cast("long").alias("place"))
 
 
-@query("""WITH w AS (SELECT event_id, user_id, event_type, lag(event_id, 1) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev1, lag(event_id, 2) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev2 FROM events)
-SELECT * FROM w WHERE prev1 IS NOT NULL""")
-def window_expand(spark, sf_dir):
-    line = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.lag("event_id", 1).over(line).alias("prev1"), F.lag("event_id", 2).over(line).alias("prev2"))
-    return rows.filter("prev1 is not null")
-
-
-# ---------------------------------------------------------------- cohorts over typed edges
-
-
-def _edges(spark, sf_dir) -> DataFrame:
-    """cust, kind, target: what a customer has bought, and which order states it has."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), "o_orderstatus")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    bought = o.join(li, "o_orderkey").join(parts, "p_partkey")
-    typed = bought.select("cust", F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.col("p_type").alias("target")), F.struct(F.lit("brand").alias("kind"), F.col("p_brand").alias("target")))).alias("e")).select("cust", "e.*")
-    return typed.unionByName(o.select("cust", F.lit("status").alias("kind"), F.col("o_orderstatus").alias("target"))).distinct()
-
-
-_EDGES = """b AS (SELECT o_custkey AS cust, p_type, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
-e AS (SELECT cust, 'type' AS kind, p_type AS target FROM b UNION SELECT cust, 'brand', p_brand FROM b UNION SELECT o_custkey, 'status', o_orderstatus FROM orders)"""
-
-
-def _has(edges: DataFrame, kind: str, *targets: str) -> DataFrame:
-    return edges.filter((F.col("kind") == kind) & F.col("target").isin(*targets)).select(F.col("cust").alias("c_custkey")).distinct()
-
-
-@query(f"""WITH {_EDGES}, lo AS (SELECT min(target) AS t, max(target) AS u FROM e WHERE kind = 'type')
-SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND EXISTS (FROM e, lo WHERE cust = c_custkey AND kind = 'type' AND target = t)
-  AND EXISTS (FROM e, lo WHERE cust = c_custkey AND kind = 'type' AND target = u)""")
-def cohort_semi_join(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    ends = edges.filter("kind = 'type'").agg(F.min("target").alias("t"), F.max("target").alias("u"))
-    mine = edges.filter("kind = 'type'").join(F.broadcast(ends))
-    cust = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
-    for end in ("t", "u"):
-        cust = cust.join(mine.filter(F.col("target") == F.col(end)).select(F.col("cust").alias("c_custkey")), "c_custkey", "left_semi")
-    return cust.select("c_custkey", "c_name")
-
-
-@query(f"""WITH {_EDGES} SELECT c_custkey, count(*)::BIGINT AS n_brands FROM customer JOIN e ON cust = c_custkey WHERE kind = 'brand' AND target IN ('Brand#11', 'Brand#12', 'Brand#21') GROUP BY c_custkey""")
-def cohort_or_group(spark, sf_dir):
-    hits = _edges(spark, sf_dir).filter("kind = 'brand' AND target IN ('Brand#11', 'Brand#12', 'Brand#21')").select(F.col("cust").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(hits, "c_custkey").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_brands"))
-
-
-@query(f"""WITH {_EDGES} SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (FROM e WHERE cust = c_custkey AND kind = 'status' AND target = 'P')""")
-def cohort_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(_has(_edges(spark, sf_dir), "status", "P"), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
-
-
-@query(f"""WITH {_EDGES} SELECT c_custkey, c_name, count(*)::BIGINT AS n_why, string_agg(kind || ': ' || target, '; ' ORDER BY kind, target) AS why,
-row_number() OVER (ORDER BY count(*) DESC, c_name, c_custkey) AS place FROM customer JOIN e ON cust = c_custkey WHERE kind IN ('status', 'type') GROUP BY c_custkey, c_name ORDER BY place LIMIT 100""")
-def cohort_reasons(spark, sf_dir):
-    why = _edges(spark, sf_dir).filter("kind IN ('status', 'type')").groupBy(F.col("cust").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_why"), F.sort_array(F.collect_list(F.struct("kind", "target"))).alias("w"))
-    rows = table(spark, sf_dir, "customer").join(why, "c_custkey").select("c_custkey", "c_name", "n_why", F.array_join(F.transform("w", lambda x: F.concat(x["kind"], F.lit(": "), x["target"])), "; ").alias("why"))
-    top = rows.orderBy(F.desc("n_why"), "c_name", "c_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_why"), "c_name", "c_custkey")).cast("long"))
-
-
-@query(f"WITH {_EDGES} SELECT kind, count(DISTINCT target)::BIGINT AS nodes, count(*)::BIGINT AS edges, count(DISTINCT cust)::BIGINT AS owners FROM e GROUP BY kind")
-def graph_stats(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("kind").agg(F.countDistinct("target").alias("nodes"), F.count(F.lit(1)).alias("edges"), F.countDistinct("cust").alias("owners"))
-
-
-# ---------------------------------------------------------------- rules, scores, cohort statistics
-
-
-_PIV = "p AS (SELECT user_id, {cols}, count(*) AS n FROM events GROUP BY user_id)"
-_TYPES = ("click", "view", "purchase", "signup", "error")
-
-
-def _pivot_sql() -> str:
-    cols = ", ".join(f"arg_max(value, (ts, event_id)) FILTER (event_type = '{t}') AS {t}" for t in _TYPES)
-    return _PIV.format(cols=cols)
-
-
-_RULES = [("critical", "error over purchase", "error > purchase"), ("high", "view above 50", "view > 50"), ("high", "click below 5", "click < 5"), ("medium", "many events", "n >= 60")]
-
-
-def _alerts(spark, sf_dir) -> DataFrame:
-    """user_id, n, alerts: the rules of the table above that fire on each user's newest values, the gravest first."""
-    ev = table(spark, sf_dir, "events")
-    at = F.struct("ts", "event_id")
-    piv = ev.groupBy("user_id").agg(*[F.max_by(F.when(F.col("event_type") == t, F.col("value")), F.when(F.col("event_type") == t, at)).alias(t) for t in _TYPES], F.count(F.lit(1)).alias("n"))
-    fired = F.array_compact(F.array(*[F.when(F.expr(cond), F.struct(F.lit(sev).alias("severity"), F.lit(title).alias("title"))) for sev, title, cond in _RULES]))
-    return piv.select("user_id", "n", fired.alias("alerts"))
-
-
-_ALERTS = f"{_pivot_sql()}, a AS (" + " UNION ALL ".join(f"SELECT user_id, '{sev}' AS severity, '{title}' AS title, {i} AS o FROM p WHERE {cond}" for i, (sev, title, cond) in enumerate(_RULES)) + ")"
-
-
-@query(f"WITH {_ALERTS} SELECT user_id, severity, title FROM a")
-def alert_rules(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("user_id", F.explode("alerts").alias("a")).select("user_id", "a.severity", "a.title")
-
-
-@query(f"""WITH {_ALERTS}, s AS (SELECT user_id, sum(CASE severity WHEN 'critical' THEN 12 WHEN 'high' THEN 8 ELSE 4 END) AS pts FROM a GROUP BY user_id),
-t AS (SELECT user_id, count(DISTINCT event_type) AS k, sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) AS hi FROM events GROUP BY user_id),
-r AS (SELECT user_id, least(100, 8 * k + least(25, 2 * hi) + coalesce(pts, 0))::BIGINT AS score FROM t LEFT JOIN s USING (user_id))
-SELECT user_id, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 35 THEN 'moderate' ELSE 'low' END AS band FROM r""")
-def risk_score(spark, sf_dir):
-    pts = F.aggregate("alerts", F.lit(0), lambda s, a: s + F.when(a["severity"] == "critical", 12).when(a["severity"] == "high", 8).otherwise(4))
-    base = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("k"), F.sum(F.when(F.col("value") > 80, 1).otherwise(0)).alias("hi"))
-    rows = base.join(_alerts(spark, sf_dir).select("user_id", pts.alias("pts")), "user_id", "left")
-    score = F.least(F.lit(100), 8 * F.col("k") + F.least(F.lit(25), 2 * F.col("hi")) + F.coalesce("pts", F.lit(0))).cast("long")
-    return rows.select("user_id", score.alias("score")).withColumn("band", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 35, "moderate").otherwise("low"))
-
-
-@query("""SELECT c_mktsegment AS name, count(*)::BIGINT AS n, round(avg(c_acctbal), 1) AS mean_balance, round(100.0::DOUBLE * sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) / count(*), 1) AS positive_pct
-FROM customer GROUP BY c_mktsegment""")
-def cohort_stats(spark, sf_dir):
-    share = 100.0 * F.sum(F.when(F.col("c_acctbal") > 0, 1).otherwise(0)) / F.count(F.lit(1))
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg("c_acctbal"), 1).alias("mean_balance"), _r(share, 1).alias("positive_pct"))
-
-
-@query("""WITH d AS (SELECT unnest(['<0', '0-4999', '5000-9999', '10000+']) AS bin),
-b AS (SELECT CASE WHEN c_acctbal < 0 THEN '<0' WHEN c_acctbal < 5000 THEN '0-4999' WHEN c_acctbal < 10000 THEN '5000-9999' ELSE '10000+' END AS bin FROM customer)
-SELECT d.bin, count(b.bin)::BIGINT AS n FROM d LEFT JOIN b USING (bin) GROUP BY d.bin""")
-def age_bins_zero_fill(spark, sf_dir):
-    v = F.col("c_acctbal")
-    got = table(spark, sf_dir, "customer").groupBy(F.when(v < 0, "<0").when(v < 5000, "0-4999").when(v < 10000, "5000-9999").otherwise("10000+").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    domain = spark.createDataFrame([(b,) for b in ("<0", "0-4999", "5000-9999", "10000+")], "bin string")
-    return domain.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-@query("""WITH u AS (SELECT o_custkey AS who, o_orderdate::DATE::VARCHAR AS day, 0 AS branch, o_orderkey AS id, 'order ' || o_orderstatus AS title FROM orders
-UNION ALL SELECT user_id, ts::DATE::VARCHAR, 1, event_id, event_type FROM events WHERE value > 50)
-SELECT who, day, branch, id, title, row_number() OVER (PARTITION BY who ORDER BY day DESC, branch, id) AS place FROM u""")
-def timeline_union(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), F.to_date("o_orderdate").cast("string").alias("day"), F.lit(0).alias("branch"), F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), "o_orderstatus").alias("title"))
-    b = table(spark, sf_dir, "events").filter("value > 50").select(F.col("user_id").alias("who"), F.to_date("ts").cast("string").alias("day"), F.lit(1).alias("branch"), F.col("event_id").alias("id"), F.col("event_type").alias("title"))
-    return a.unionByName(b).withColumn("place", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("day"), "branch", "id")).cast("long"))
-
-
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE contains(lower(c_name || c_custkey || c_mktsegment), 'auto') OR contains(lower(c_name), '77')")
-def patient_search(spark, sf_dir):
-    text = F.lower(F.concat("c_name", F.col("c_custkey").cast("string"), "c_mktsegment"))
-    return table(spark, sf_dir, "customer").filter(F.contains(text, F.lit("auto")) | F.contains(F.lower("c_name"), F.lit("77"))).select("c_custkey", "c_name", "c_acctbal")
-
-
-@query("SELECT c_custkey, c_name, (SELECT count(*) FROM customer)::BIGINT AS total FROM customer ORDER BY c_custkey LIMIT 100 OFFSET 50")
-def paginate(spark, sf_dir):
-    cust = table(spark, sf_dir, "customer")
-    return cust.orderBy("c_custkey").offset(50).limit(100).crossJoin(F.broadcast(cust.agg(F.count(F.lit(1)).alias("total")))).select("c_custkey", "c_name", "total")
-
-
-# ---------------------------------------------------------------- texts: privacy, sentences, negation, conversations
-
-_PHONE, _EMAIL = r"\+?[0-9][0-9\-\t\n\v\f\r ]{8,}[0-9]", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
-
-
-@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '{_PHONE}', '[PHONE]', 'g'), '{_EMAIL}', '[EMAIL]', 'g')) AS redacted_md5,
-len(regexp_extract_all(coalesce(text, ''), '{_PHONE}'))::BIGINT AS n_phone FROM documents""")
-def redact_text(spark, sf_dir):
-    text, phone = F.coalesce("text", F.lit("")), r"\+?[0-9][0-9\-\t\n\x0B\f\r ]{8,}[0-9]"
-    red = F.regexp_replace(F.regexp_replace(text, phone, "[PHONE]"), _EMAIL, "[EMAIL]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(red).alias("redacted_md5"), F.regexp_count(text, F.lit(phone)).cast("long").alias("n_phone"))
-
-
-def _sentences(text: Column) -> Column:
-    """Parts between a full stop or semicolon with white space after it, ASCII only, as RE2 can say it too."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.;])[ \t\r\n]+", "$1\u0001"), "\u0001", -1), lambda s: F.btrim(s)), lambda s: s != "")
-
-
-_SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.;])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
-
-
-@query(f"SELECT doc_id, len({_SENT})::BIGINT AS n_sentences, list_max(list_transform({_SENT}, lambda s: len(s)))::BIGINT AS longest FROM documents")
-def sentence_split(spark, sf_dir):
-    s = _sentences(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.array_max(F.transform(s, lambda x: F.length(x))).cast("long").alias("longest"))
-
-
-#: A mention is negated if a trigger is among the six words before it, after the last word that ends a negation's reach.
-_MENTION, _TRIGGER, _END = "(?:the|of|de|la)", "(?:no|not|without|sin|pas|nicht|or)", "(?:but|and|et|und|y)"
-_W = "(?:^|[^A-Za-z0-9_])"
-_E = "(?:$|[^A-Za-z0-9_])"
-
-
-@query(rf"""WITH s AS (SELECT doc_id, unnest({_SENT}) AS s FROM documents),
-m AS (SELECT doc_id, lower(s) AS s FROM s),
-b AS (SELECT doc_id, regexp_extract(s, '^(.*?){_W}{_MENTION}{_E}', 1, 's') AS before FROM m WHERE regexp_matches(s, '{_W}{_MENTION}{_E}')),
-c AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(before, '^.*{_W}{_END}{_E}', '', 's'), '[ \t\r\n]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM b)
-SELECT doc_id, count(*)::BIGINT AS n_mentions, sum(CASE WHEN regexp_matches(array_to_string(w[-6:], ' '), '{_W}{_TRIGGER}{_E}') THEN 1 ELSE 0 END)::BIGINT AS n_negated FROM c GROUP BY doc_id""")
-def negation_flags(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(_sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", F.lower("s").alias("s"))
-    hits = rows.filter(F.col("s").rlike(f"{_W}{_MENTION}{_E}")).select("doc_id", F.regexp_extract("s", f"(?s)^(.*?){_W}{_MENTION}{_E}", 1).alias("before"))
-    w = F.filter(F.split(F.regexp_replace(F.regexp_replace("before", f"(?s)^.*{_W}{_END}{_E}", ""), "[ \t\r\n]+", " "), " "), lambda x: x != "")
-    tail = F.array_join(F.slice(w, F.greatest(F.size(w) - 5, F.lit(1)), 6), " ")
-    return hits.select("doc_id", tail.rlike(f"{_W}{_TRIGGER}{_E}").alias("neg")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.sum(F.col("neg").cast("int")).alias("n_negated"))
+# ---------------------------------------------------------------- terms and conversations
 
 
 @query(rf"""WITH u AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest({_toks()}) AS term FROM documents) GROUP BY ALL)
-SELECT term, sum(c)::BIGINT AS mentions, count(*)::BIGINT AS n_docs, max(doc_id) AS last_doc, row_number() OVER (ORDER BY sum(c) DESC, term) AS place FROM u GROUP BY term ORDER BY place LIMIT 50""")
-def entity_counts(spark, sf_dir):
-    top = entity_counts_all(spark, sf_dir).limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mentions"), "term")).cast("long"))
-
-
-@query()
-def entity_counts_all(spark, sf_dir):
-    """Every term, the most frequent first; entity_counts and its SQL hold the first 50 and their places."""
+SELECT term, sum(c)::BIGINT AS mentions, count(*)::BIGINT AS n_docs, max(doc_id) AS last_doc FROM u GROUP BY term""")
+def term_counts(spark, sf_dir):
+    """Every term of the documents, with its mentions."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    return rows.groupBy("term").agg(F.sum("c").alias("mentions"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).orderBy(F.desc("mentions"), "term")
-
-
-@query(f"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '(\\?[ \t\r\n]+|;[ \t\r\n]+|[ \t\r\n]+(?:and also|as well as)[ \t\r\n]+)', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ?.,')), lambda x: x <> '') AS p FROM conversations)
-SELECT conv_id, turn, len(p)::BIGINT AS n_parts, coalesce(p[1], '') AS first_part FROM p""")
-def decompose_turns(spark, sf_dir):
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"(\?[ \t\r\n]+|;[ \t\r\n]+|[ \t\r\n]+(?:and also|as well as)[ \t\r\n]+)", "\u0001"), "\u0001", -1), lambda x: F.btrim(x, F.lit(" ?.,"))), lambda x: x != "")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n_parts"), F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("first_part"))
-
-
-@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'allerg') THEN 'allergy' WHEN regexp_matches(t, '{MED_WORDS}') THEN 'medication' WHEN regexp_matches(t, '{LAB_WORDS}') THEN 'lab'
-WHEN regexp_matches(t, '{ENC_WORDS}') THEN 'encounter' ELSE 'general' END AS intent, regexp_matches(t, '{COHORT_WORDS}') AS cohort FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)""")
-def intent_label(spark, sf_dir):
-    t = F.lower(F.coalesce("text", F.lit("")))
-    intent = F.when(t.rlike("allerg"), "allergy").when(t.rlike(MED_WORDS), "medication").when(t.rlike(LAB_WORDS), "lab").when(t.rlike(ENC_WORDS), "encounter").otherwise("general")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent.alias("intent"), t.rlike(COHORT_WORDS).alias("cohort"))
+    return rows.groupBy("term").agg(F.sum("c").alias("mentions"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prev, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM conversations)
@@ -317,47 +104,7 @@ def condense_followups(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("n").cast("long").alias("n_words"), (F.col("n") <= 8).alias("short"), follow.alias("follow_up"), F.when(follow, F.md5(F.concat(text, F.lit(" "), "prev"))).alias("condensed_md5"))
 
 
-# ---------------------------------------------------------------- verification, audit, JSON
-
-
-_NUMS = r"regexp_extract_all({t}, '[0-9]+(?:[.][0-9]+)?')"
-
-
-@query(rf"""{_POOL}, y AS (SELECT item_id, doc_id, CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, t))::DOUBLE / len(q) END AS overlap,
-  len(list_filter({_NUMS.format(t="b.text")}, lambda n: NOT list_contains({_NUMS.format(t="d.text")}, n))) AS missing
-  FROM x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE rank < 3)
-SELECT item_id, doc_id, round(overlap, 6) AS overlap, missing::BIGINT AS missing_numbers, overlap >= 0.5 AND missing = 0 AS supported FROM y""")
-def verify_claims(spark, sf_dir):
-    return _claims(spark, sf_dir)
-
-
-def _claims(spark, sf_dir) -> DataFrame:
-    """Each benchmark passage as a claim, its three best texts as the evidence."""
-    from .queries import _pool
-
-    q, t = F.col("terms"), F.col("t")
-    nums = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+(?:[.][0-9]+)?"), 0)
-    overlap = F.when(F.size(q) == 0, 1.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
-    rows = _pool(spark, sf_dir, 3).select("item_id", "doc_id", overlap.alias("o"), F.size(F.filter(nums("question"), lambda n: ~F.array_contains(nums("passage"), n))).cast("long").alias("missing_numbers"))
-    return rows.select("item_id", "doc_id", _r(F.col("o")).alias("overlap"), "missing_numbers", ((F.col("o") >= 0.5) & (F.col("missing_numbers") == 0)).alias("supported"))
-
-
-@query(rf"""{_POOL}, y AS (SELECT item_id, CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, t))::DOUBLE / len(q) END AS overlap,
-  len(list_filter({_NUMS.format(t="b.text")}, lambda n: NOT list_contains({_NUMS.format(t="d.text")}, n))) AS missing
-  FROM x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE rank < 3)
-SELECT item_id, count(*)::BIGINT AS total, sum(CASE WHEN overlap >= 0.5 AND missing = 0 THEN 1 ELSE 0 END)::BIGINT AS supported, round(avg(CASE WHEN overlap >= 0.5 AND missing = 0 THEN 1.0::DOUBLE ELSE 0 END), 3) AS faithfulness FROM y GROUP BY item_id""")
-def faithfulness(spark, sf_dir):
-    s = F.col("supported").cast("int")
-    return _claims(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.sum(s).alias("supported"), F.round(F.avg(s.cast("double")), 3).alias("faithfulness"))
-
-
-@query("""WITH b AS (SELECT user_id, event_id, event_id || '|' || event_type || '|' || props AS body, lag(event_id || '|' || event_type || '|' || props) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-SELECT event_id, user_id, sha256(coalesce(sha256(before), repeat('0', 64)) || body) AS hash FROM b""")
-def audit_chain_verify(spark, sf_dir):
-    line = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("body"))
-    rows = rows.withColumn("prev", F.coalesce(F.sha2(F.lag("body").over(line), 256), F.lit("0" * 64)))
-    return rows.select("event_id", "user_id", F.sha2(F.concat("prev", "body"), 256).alias("hash"))
+# ---------------------------------------------------------------- JSON
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -374,14 +121,17 @@ s AS (SELECT a.vec_id AS vec_id, b.vec_id AS other, a.label = b.label AS same, r
 
 def _similar(spark, sf_dir) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    rows = emb.crossJoin(F.broadcast(asked)).filter("vec_id <> qid")
-    scores = rows.select("qid", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("same"), T.cosine(F.col("embedding"), F.col("qv")).alias("score"))
-    return X.ranked(scores, 5, digits=5).select(F.col("qid").alias("vec_id"), F.col("id").alias("other"), "same", "score", "rank")
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(T.dot(F.col(c), F.col(c))))
+    rows = emb.select(F.col("vec_id").alias("id"), unit("embedding").alias("vector"), "label")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"), F.col("label").alias("ql"))
+    near = X.ranked(X.dense_cosine(rows, asked, F.col("id") != F.col("qid")), 5, digits=5)
+    labels = emb.select("vec_id", "label")
+    met = near.join(labels.toDF("qid", "ql"), "qid").join(labels.toDF("id", "label"), "id")
+    return met.select(F.col("qid").alias("vec_id"), F.col("id").alias("other"), (F.col("label") == F.col("ql")).alias("same"), "score", "rank")
 
 
 @query(f"{_SIM} SELECT vec_id, other, same, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) - 1 AS rank FROM s) WHERE rank < 5")
-def similar_entities(spark, sf_dir):
+def nearest_vectors(spark, sf_dir):
     return _similar(spark, sf_dir)
 
 
