@@ -3,8 +3,9 @@
 Base patterns find e-mail and network addresses, card and phone numbers. Looser patterns propose more spans. Every
 candidate is voted on by labelers (strict form, gazetteers of endings, prefixes and area codes, words before it,
 its edges, its length); expectation-maximisation estimates from the counts of vote patterns how far each
-labeler can be trusted, and a logistic classifier is trained on the resulting beliefs. Base spans stay whatever it
-says; looser ones are added where it is confident.
+labeler can be trusted. The beliefs that follow train a logistic classifier that sees the span itself and its
+surroundings (its length, make-up and neighbours, and what else its text holds) beside the votes. It judges every
+candidate: looser spans are added where it is confident, and base spans, which stay, are named where it doubts them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ OTHER = r"(?i)(?:version|release|isbn|issn|doi|order|invoice|sku|section|figure|
 LABELERS = ["form", "gazetteer", "cue", "other", "edges", "length"]
 
 _SPAN = "array<struct<start:int,v:string,before:string,after:string>>"
-_CAND = "array<struct<kind:int,base:boolean,start:int,end:int,votes:string>>"
+_CAND = "array<struct<kind:int,base:boolean,start:int,end:int,votes:string,seen:string>>"
 
 
 #: Matches whose offsets are added up in one go; arrays grow by copying, so longer ones are made of such parts.
@@ -103,6 +105,45 @@ def _votes(kind: str, base: bool) -> str:
     ]) + ")"
 
 
+#: What the classifier sees of a span, in order: each is one digit, so that spans that look alike can be counted.
+SEEN = ["length", "digit share", "separators", "letters in upper case", "character before", "character after"]
+
+
+def _binned(value: str, *edges: float) -> str:
+    """SQL for the number of edges that a value reaches."""
+    return " + ".join(f"CAST({value} >= {e} AS INT)" for e in edges)
+
+
+def _kind_of(char: str) -> str:
+    """SQL for what a character is: 0 none, 1 white space, 2 a letter or digit, 3 an opening or quoting mark, 4 anything else."""
+    return f"CASE WHEN {char} = '' THEN 0 WHEN {char} rlike '\\\\s' THEN 1 WHEN {char} rlike '[\\\\p{{L}}0-9]' THEN 2 WHEN {char} rlike '[(<:=\"\\']' THEN 3 ELSE 4 END"
+
+
+def _seen() -> str:
+    digits, size = f"length({_DIGITS})", "length(x.v)"
+    parts = [
+        _binned(size, 10, 14, 18, 24, 40), _binned(f"{digits} / {size}", 0.05, 0.4, 0.7, 0.9), _binned("length(regexp_replace(x.v, '[A-Za-z0-9]', ''))", 1, 2, 3, 5),
+        "CASE WHEN x.v rlike '[A-Z]' THEN CASE WHEN x.v rlike '[a-z]' THEN 1 ELSE 2 END ELSE 0 END", _kind_of("right(x.before, 1)"), _kind_of("x.after"),
+    ]
+    return "concat(" + ", ".join(f"CAST({p} AS STRING)" for p in parts) + ")"
+
+
+#: Base spans of a text, in their order, in runs that are skipped where a span lies outside all of one.
+RUN = 64
+
+
+def _apart(found: str) -> str:
+    """SQL for the spans of found that are base ones or meet none of those: a looser span that meets a base one says
+    nothing new. Base spans are sorted once and looked at in runs, so that long texts don't make all pairs."""
+    base = f"array_sort(transform(filter({found}, x -> x.base), x -> named_struct('start', x.start, 'end', x.end)))"
+    run = f"slice(b, i * {RUN} + 1, {RUN})"
+    runs = f"transform(sequence(0, size(b) DIV {RUN}), i -> named_struct('low', array_min(transform({run}, y -> y.start)), 'high', array_max(transform({run}, y -> y.end)), 'spans', {run}))"
+    meets = "exists(r, z -> z.low < x.end AND x.start < z.high AND exists(z.spans, y -> x.start < y.end AND y.start < x.end))"
+    kept = f"filter({found}, x -> x.base OR NOT {meets})"
+    # transform over one element names a value, so that it is made once and not for each span
+    return f"transform(array({base}), b -> transform(array({runs}), r -> {kept})[0])[0]"
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and found: every base and looser span with its votes, from one scan of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -119,12 +160,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for k, kind in enumerate(KINDS):
         for tag in "bl":
             valid = _VALID[kind] if tag == "b" else "true"
-            made = f"named_struct('kind', {k}, 'base', {str(tag == 'b').lower()}, 'start', x.start, 'end', x.start + length(x.v), 'votes', {_votes(kind, tag == 'b')})"
+            made = f"named_struct('kind', {k}, 'base', {str(tag == 'b').lower()}, 'start', x.start, 'end', x.start + length(x.v), 'votes', {_votes(kind, tag == 'b')}, 'seen', {_seen()})"
             parts.append(f"transform(filter({_located(f'm_{tag}_{kind}', f'g_{tag}_{kind}')}, x -> {valid}), x -> {made})")
     df = df.withColumn("found", F.expr(f"CAST(concat({', '.join(parts)}) AS {_CAND})"))
-    # A looser span that meets a base one says nothing new.
-    apart = "filter(found, x -> x.base OR NOT exists(filter(found, y -> y.base), y -> x.start < y.end AND y.start < x.end))"
-    return df.select("doc_id", F.expr(apart).alias("found"))
+    return df.select("doc_id", F.expr(_apart("found")).alias("found"))
 
 
 def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, list[dict[str, list[float]]], dict[str, float]]:
@@ -149,53 +188,86 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, list
     return share, tables, belief
 
 
-def classifier(beliefs: dict[str, float], counts: dict[str, int], rounds: int = 300) -> dict[str, float]:
-    """Weights of a logistic model over single votes ("0:1" is labeler 0 saying yes), trained on beliefs."""
-    w: dict[str, float] = defaultdict(float)
-    total = sum(counts.values()) or 1
-    for _ in range(rounds):
-        grad: dict[str, float] = defaultdict(float)
-        for v, n in counts.items():
-            keys = ["bias", *(f"{i}:{c}" for i, c in enumerate(v) if c != "0")]
-            miss = beliefs[v] - 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[k] for k in keys)))))
-            for k in keys:
-                grad[k] += miss * n / total
-        for k, x in grad.items():
-            w[k] += 2.0 * x - 0.0005 * w[k]
-    return dict(w)
-
-
-def _confident(weights: list[dict[str, float]], least: float) -> str:
-    """SQL for "the classifier of x's kind gives x.votes at least this probability"."""
+def patterns_of(found: DataFrame) -> list:
+    """kind, votes, seen, crowd, n: how many candidates look alike in all that the classifier sees. There are 4 kinds, 729 votes
+    and 7,500 looks at most, whatever the size of the corpus."""
+    rows = found.select(F.explode("found").alias("x"), F.expr(_CROWD).alias("crowd"))
+    return rows.groupBy("x.kind", "x.votes", "x.seen", "crowd").agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+#: What else a text holds: few or many other candidates.
+_CROWD = f"CAST({_binned('size(found)', 2, 4, 10)} AS STRING)"
+
+
+def features(votes: str, seen: str, crowd: str) -> list[str]:
+    """Names of what holds of a candidate; abstentions say nothing."""
+    return ["bias", *(f"v{i}{c}" for i, c in enumerate(votes) if c != "0"), *(f"s{i}{c}" for i, c in enumerate(seen)), f"c0{crowd}"]
+
+
+def classifier(rows: list[tuple[list[str], float, int]], rounds: int = 400, ridge: float = 1e-3) -> dict[str, float]:
+    """Weights of a logistic model over features, from (features, belief, how many): gradient steps with momentum on the mean
+    loss."""
+    names = sorted({f for fs, _, _ in rows for f in fs})
+    place = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for r, (fs, _, _) in enumerate(rows):
+        x[r, [place[f] for f in fs]] = 1
+    belief, n = np.array([b for _, b, _ in rows], float), np.array([c for _, _, c in rows], float)
+    n /= max(1.0, n.sum())
+    w, speed = np.zeros(len(names)), np.zeros(len(names))
+    for _ in range(rounds if rows else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        speed = 0.9 * speed + x.T @ ((belief - p) * n) - ridge * w
+        w += 0.5 * speed
+    return {f: float(w[i]) for f, i in place.items()}
+
+
+def trained(rows: list) -> list[dict[str, float]]:
+    """The classifier's weights for each kind: votes give beliefs, beliefs train on all that is seen."""
+    out = []
+    for k in range(len(KINDS)):
+        mine, counts = [r for r in rows if r["kind"] == k], defaultdict(int)
+        for r in mine:
+            counts[r["votes"]] += r["n"]
+        belief = reliabilities(counts)[2] if counts else {}
+        out.append(classifier([(features(r["votes"], r["seen"], r["crowd"]), belief[r["votes"]], r["n"]) for r in mine]))
+    return out
+
+
+def _log_odds(weights: list[dict[str, float]]) -> str:
+    """SQL for the classifier's log odds that x is personal data."""
     cases = []
     for k, w in enumerate(weights):
-        terms = [f"CASE WHEN substring(x.votes, {int(key[0]) + 1}, 1) = '{key[2]}' THEN {value:.9f}D ELSE 0D END" for key, value in sorted(w.items()) if key != "bias"]
-        cases.append(f"WHEN {k} THEN {' + '.join([f'{w.get('bias', 0.0):.9f}D', *terms])}")
-    return f"(CASE x.kind {' '.join(cases)} END) >= {math.log(least / (1 - least)):.9f}D"
+        terms = [f"{w.get('bias', 0.0):.9f}D"]
+        for f, value in sorted(w.items()):
+            if f != "bias":
+                of = {"v": f"substring(x.votes, {int(f[1]) + 1}, 1)", "s": f"substring(x.seen, {int(f[1]) + 1}, 1)", "c": _CROWD}[f[0]]
+                terms.append(f"CASE WHEN {of} = '{f[2:]}' THEN {value:.9f}D ELSE 0D END")
+        cases.append(f"WHEN {k} THEN {' + '.join(terms)}")
+    return f"(CASE x.kind {' '.join(cases)} END)"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.9) -> DataFrame:
-    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, doubtful.
 
     Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone) and start, joined
     by commas. The counts and base_sha256 are of the base spans; spans adds looser ones that the classifier gives
-    probability `least` or more. A null text counts as empty and has none. Repeated rows give repeated results, ids
+    probability `least` or more; doubtful holds the base spans that it gives 1 - `least` or less. A null text counts as empty and has none. Repeated rows give repeated results, ids
     are passed on as they are; other columns are ignored; an empty table gives an empty result.
 
     The texts are scanned once, into a table of candidates. Labelers are weighed on counts of vote patterns, of
-    which there are 4 * 3^6 at most, whatever the size of the corpus; only those reach the driver.
+    which there are 4 * 3^6 at most, and the classifier learns from counts of what candidates look like, which are bounded
+    too, whatever the size of the corpus; only those counts reach the driver.
     """
     found = materialise(candidates(docs, id_col, text_col), "candidates")
-    patterns = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = []
-    for k in range(len(KINDS)):
-        counts = {r["votes"]: r["n"] for r in patterns if r["kind"] == k}
-        weights.append(classifier(reliabilities(counts)[2], counts) if counts else {})
-    base = found.withColumn("b", F.expr("filter(found, x -> x.base)")).withColumn("a", F.expr(f"filter(found, x -> x.base OR {_confident(weights, least)})"))
+    odds, edge = _log_odds(trained(patterns_of(found))), math.log(least / (1 - least))
+    added = F.expr(f"filter(found, x -> x.base OR {odds} >= {edge:.9f}D)")
+    doubted = F.expr(f"filter(found, x -> x.base AND {odds} <= {-edge:.9f}D)")
+    base = found.select("doc_id", F.expr("filter(found, x -> x.base)").alias("b"), added.alias("a"), doubted.alias("d"))
     names = f"array({', '.join(repr(k) for k in KINDS)})"
     joined = lambda c: F.expr(f"array_join(transform(array_sort(transform({c}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))), x -> concat_ws(':', {names}[x.kind], x.start, x.end)), ',')")
     counts = [F.expr(f"CAST(size(filter(b, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return base.select("doc_id", *counts, F.sha2(joined("b"), 256).alias("base_sha256"), joined("a").alias("spans"))
+    return base.select("doc_id", *counts, F.sha2(joined("b"), 256).alias("base_sha256"), joined("a").alias("spans"), joined("d").alias("doubtful"))
 
 
 def redact_pii(text: Column, spans: Column) -> Column:
