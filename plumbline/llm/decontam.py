@@ -1,24 +1,25 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over all training text.
 
-Words of the benchmark get numbers; a training text becomes a line of such numbers (0 for words that no item
-has), rolling hashes of its windows are looked up in the set, and hits are verified word by word.
+A training text becomes a line of word hashes; hashes of its windows are looked up in the sorted hashes of the
+benchmark's, and hits are verified on the words themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, modest_batches, odd
+from .common import WordHash, chunks, modest_batches, odd
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _B = odd(3, 1)[0]
+#: Characters of items in one broadcast set: some 130 MB of arrays.
+BLOCK_CHARS = 16_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -27,58 +28,82 @@ def words(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """The windows of one block of benchmark items, by length."""
+    """The windows of one block of benchmark items. It holds arrays only: the words of all items in one line of bytes, and for
+    each distinct window its hash and first place there. That is some 30 bytes a word and the text itself."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], n: int):
         self.n = n
-        self.number: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            k = min(n, len(w))
-            for i in range(len(w) - k + 1) if k else ():
-                self.windows.setdefault(k, {}).setdefault(tuple(w[i : i + k]), set()).add(item)
-        self.hashes = {k: np.unique(_roll(np.array(list(v), np.uint64).ravel(), k)[::k]) for k, v in self.windows.items()}
-
-    def hits(self, line: np.ndarray, doc: np.ndarray):
-        """(first word, length, items) of each verified window in a line of word numbers of several documents."""
-        for k, known in self.hashes.items():
+        lists = [words(text) for _, text in items]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = [w for x in lists for w in x]
+        self.names = [str(i) for i, _ in items]
+        self.line, self.ends = b" ".join(flat) + b" ", np.cumsum(np.array([len(w) + 1 for w in flat], np.int64))
+        hashed, item = WordHash().of(flat), np.repeat(np.arange(len(items)), sizes)
+        #: window length -> (sorted hashes, first word, item) of its windows; of equal windows of an item, one
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in sorted(set(np.minimum(sizes[sizes > 0], n).tolist())):
+            at = np.flatnonzero((item[: len(item) - k + 1] == item[k - 1 :]) & (np.minimum(sizes, n)[item[: len(item) - k + 1]] == k))
+            h = _roll(hashed, k)[at]
+            order = np.lexsort((at, item[at], h))
+            h, at = h[order], at[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[at[1:]] != item[at[:-1]])])
+            self.windows[k] = h[new], at[new], item[at[new]]
+
+    def _text(self, first: int, k: int) -> bytes:
+        return self.line[int(self.ends[first - 1]) if first else 0 : int(self.ends[first + k - 1]) - 1]
+
+    def hits(self, line: np.ndarray, doc: np.ndarray, flat: list[bytes]):
+        """(first word, length, names of items) of each window in a line of word hashes of several documents; what the hashes
+        find is held against the words themselves (flat)."""
+        for k, (known, at, item) in self.windows.items():
             if len(line) < k:
                 continue
-            found = np.flatnonzero(np.isin(_roll(line, k), known) & (doc[: len(line) - k + 1] == doc[k - 1 :]))
-            table = self.windows[k]
-            for i in found.tolist():
-                if items := table.get(tuple(line[i : i + k].tolist())):
-                    yield i, k, items
+            h = _roll(line, k)
+            left = np.searchsorted(known, h)
+            found = known[np.minimum(left, len(known) - 1)] == h
+            found &= doc[: len(line) - k + 1] == doc[k - 1 :]
+            for i in np.flatnonzero(found).tolist():
+                mine, j, names = b" ".join(flat[i : i + k]), int(left[i]), set()
+                while j < len(known) and known[j] == h[i]:
+                    if self._text(int(at[j]), k) == mine:
+                        names.add(self.names[item[j]])
+                    j += 1
+                if names:
+                    yield i, k, names
 
 
 def _roll(line: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(line) - k + 1, np.uint64)
+    out = np.zeros(max(0, len(line) - k + 1), np.uint64)
     for j in range(k):
         out = out * _B + line[j : j + len(out)]
     return out
 
 
+def _scanned(g: GramSet, text: list, of):
+    """(number of the text, first word of the hit in it, length, items) of each hit in texts."""
+    lists = [words(t) for t in text]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = [w for x in lists for w in x]
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    for i, k, found in g.hits(of(flat), doc, flat):
+        d = int(doc[i])
+        yield d, i - int(starts[d]), k, found
+
+
 def _pass(grams, schema: pa.Schema):
     """Arrow batches of (key columns, text, n_words, hits, items) with one block's hits and items added."""
 
     def run(batches):
-        g = grams.value
-        get = g.number.get
+        g, of = grams.value, WordHash().of
         for *rest, text, old, items in chunks(batches, [*schema.names[:-3], "text", "hits", "items"], "text"):
-            lists = [words(t) for t in text]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.fromiter((y for x in lists for y in map(get, x, repeat(0))), np.uint64, int(starts[-1]))
-            doc = np.repeat(np.arange(len(lists)), sizes)
             marks: dict[int, set] = {}
             names: dict[int, set] = {}
-            for i, k, found in g.hits(flat, doc):
-                d = int(doc[i])
-                marks.setdefault(d, set()).update(range(i - int(starts[d]), i - int(starts[d]) + k))
+            for d, i, k, found in _scanned(g, text, of):
+                marks.setdefault(d, set()).update(range(i, i + k))
                 names.setdefault(d, set()).update(found)
             hits = [np.array(sorted(marks[d] | set(np.frombuffer(o, np.uint32).tolist())), np.uint32).tobytes() if d in marks else o for d, o in enumerate(old)]
-            got = [sorted({*(o or ()), *(str(x) for x in names[d])}) if d in names else o for d, o in enumerate(items)]
+            got = [sorted({*(o or ()), *names[d]}) if d in names else o for d, o in enumerate(items)]
             cols = [*rest, text, hits, got]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
@@ -114,7 +139,7 @@ def cut(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, clean_text.
 
     A window is n consecutive words of an item (all of them if it has fewer, but some); a document's words are
@@ -126,58 +151,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     The broadcast set is built from at most block_chars characters of items at a time (plus one item); a larger
     benchmark is scanned in blocks, one after the other in the same job, and no row of docs ever shuffles.
     """
-    spark = docs.sparkSession
-    modest_batches(spark)
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.length("t")).alias("c")).first()["c"] or 0
-    blocks = max(1, -(-total // block_chars))
+    modest_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     if not pa.types.is_integer(id_type):
         df = df.withColumn("doc_id", F.col("doc_id").cast("string"))
     state = pa.schema([("doc_id", id_type), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        grams = spark.sparkContext.broadcast(GramSet([(r["i"], r["t"]) for r in part.toLocalIterator()], n))
+    for grams in _gram_sets(benchmark, n, item_col, item_text_col, block_chars):
         df = df.mapInArrow(_pass(grams, state), df.schema)
     ddl = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
     last = pa.schema([("doc_id", id_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("clean_text", pa.string())])
     return df.mapInArrow(_finish(last, 1), ddl)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs, with all columns, without the rows whose text holds a window of the benchmark. Nothing shuffles: the
-    scan runs over each distinct row in place. Rows with a null text stay."""
-    spark = docs.sparkSession
-    modest_batches(spark)
-    n = options.get("n", 10)
-    item_col, item_text = options.get("item_col", "item_id"), options.get("item_text_col", "text")
-    block = options.get("block_chars", 32_000_000)
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.length("t")).alias("c")).first()["c"] or 0
-    blocks = max(1, -(-total // block))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, with all columns, whatever their names, without the rows whose text holds a window of the benchmark. Nothing
+    shuffles: each row is scanned in place, so repeated rows stay or go alike. Rows with a null or empty text stay; an
+    empty benchmark drops nothing; an empty table stays empty."""
+    modest_batches(docs.sparkSession)
     out = docs
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        grams = spark.sparkContext.broadcast(GramSet([(r["i"], r["t"]) for r in part.toLocalIterator()], n))
+    for grams in _gram_sets(benchmark, n, item_col, item_text_col, block_chars):
         out = out.mapInArrow(_keep(grams, text_col), out.schema)
     return out
 
 
+def _gram_sets(benchmark: DataFrame, n: int, item_col: str, item_text_col: str, block_chars: int):
+    """Broadcast GramSets of blocks of a benchmark's items."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
+    total = items.agg(F.sum(F.length("t")).alias("c")).first()["c"] or 0
+    blocks = max(1, -(-total // block_chars))
+    for b in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
+        yield spark.sparkContext.broadcast(GramSet([(r["i"], r["t"]) for r in part.toLocalIterator()], n))
+
+
 def _keep(grams, text_col: str):
     def run(batches):
-        g = grams.value
+        g, of = grams.value, WordHash().of
         for batch in batches:
             keep = []
             for (text,) in chunks([batch], [text_col], text_col):
-                lists = [words(t) for t in text]
-                sizes = np.array([len(x) for x in lists], np.int64)
-                flat = np.fromiter((y for x in lists for y in map(g.number.get, x, repeat(0))), np.uint64, int(sizes.sum()))
-                doc = np.repeat(np.arange(len(lists)), sizes)
-                bad = {int(doc[i]) for i, _, _ in g.hits(flat, doc)}
-                keep += [d not in bad for d in range(len(lists))]
+                bad = {d for d, *_ in _scanned(g, text, of)}
+                keep += [d not in bad for d in range(len(text))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
-
