@@ -21,6 +21,25 @@ def lexicon() -> list[tuple[str, str, str]]:
     return [("symptom", s, rf"\b(?:{'|'.join(p)})\b") for s, p in SYMPTOMS.items()] + [("condition", c, rf"\b(?:{p})\b") for c, p in conditions.items()]
 
 
+def literals(pattern: str) -> list[str]:
+    """A string for each alternative of a lexicon's pattern without which it can't match: all up to its first special
+    character, and what that makes optional."""
+    out = []
+    for part in pattern.removeprefix(r"\b(?:").removesuffix(r")\b").replace("\\", "").split("|"):
+        plain = re.match(r"[^?*+{(\[.]*", part)[0]
+        out.append(plain[:-1] if plain != part and part[len(plain)] in "?*{" else plain)
+    return out
+
+
+def mentioned(s: Column, low: Column, pattern: str) -> Column:
+    """Whether a sentence (and itself in lower case) has a match: a pattern is tried only where one of its literals is."""
+    some = [F.contains(low, F.lit(x)) for x in literals(pattern)]
+    either = some[0]
+    for c in some[1:]:
+        either = either | c
+    return either & s.rlike(f"(?i){pattern}")
+
+
 def negated(before: Column) -> Column:
     """Whether what stands before a mention negates it: a trigger within REACH words, with no terminator after it."""
     scope = F.regexp_replace(before, f"(?is)^.*{TERMINATORS}", "")
@@ -31,26 +50,29 @@ def negated(before: Column) -> Column:
 def entities(text: Column) -> Column:
     """Array of entities: of each sentence and name the first mention, then the sentence's allergens."""
 
-    def of(s: Column) -> Column:
-        named = []
+    def of(x: Column) -> Column:
+        s, named = x["s"], []
         for kind, name, pattern in lexicon():
             before = F.regexp_extract(s, f"(?is)^(.*?){pattern}", 1)
-            named.append(F.when(s.rlike(f"(?i){pattern}"), F.struct(F.lit(kind).alias("type"), F.lit(name).alias("text"), negated(before).alias("negated"), s.alias("sentence"))))
+            entity = F.struct(F.lit(kind).alias("type"), F.lit(name).alias("text"), negated(before).alias("negated"), s.alias("sentence"))
+            named.append(F.when(mentioned(s, x["low"], pattern), entity))
         found = F.regexp_extract(s, r"(?i)allerg(?:y|ies)(?: status)?:\s*([A-Za-z ,]+?)(?:\.|$)", 1)
         items = F.filter(F.transform(F.split(found, ",| and "), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).isin("none known", "none"))
         allergens = F.transform(items, lambda x: F.struct(F.lit("allergen").alias("type"), x.alias("text"), F.lit(False).alias("negated"), s.alias("sentence")))
         return F.concat(F.array_compact(F.array(*named)).cast(f"array<{ENTITY}>"), allergens.cast(f"array<{ENTITY}>"))
 
-    return F.flatten(F.transform(sentences(text), of))
+    both = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    return F.flatten(F.transform(both, of))
 
 
 def note_symptoms(notes: DataFrame, keys: list[str], date: str, text: str) -> DataFrame:
     """keys, name, negated, mentions, last: each symptom's mentions over the notes of a key. Sentences are exploded
     before they are searched, so that a pattern runs once a sentence."""
-    rows = notes.select(*keys, date, F.explode(sentences(F.col(text))).alias("s"))
+    rows = notes.select(*keys, date, F.explode(sentences(F.col(text))).alias("s")).withColumn("low", F.lower("s"))
     checks = []
     for kind, name, pattern in lexicon():
         if kind == "symptom":
-            checks.append(F.when(F.col("s").rlike(f"(?i){pattern}"), F.struct(F.lit(name).alias("name"), negated(F.regexp_extract("s", f"(?is)^(.*?){pattern}", 1)).alias("negated"))))
+            entity = F.struct(F.lit(name).alias("name"), negated(F.regexp_extract("s", f"(?is)^(.*?){pattern}", 1)).alias("negated"))
+            checks.append(F.when(mentioned(F.col("s"), F.col("low"), pattern), entity))
     hits = rows.select(*keys, date, F.explode(F.array_compact(F.array(*checks))).alias("e"))
     return hits.groupBy(*keys, "e.name", "e.negated").agg(F.count(F.lit(1)).alias("mentions"), F.max(date).alias("last"))

@@ -3,6 +3,8 @@ in its own way: customers are patients, their orders visits, diagnoses and notes
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -387,6 +389,43 @@ def decompose_turns(spark, sf_dir):
     return rows.select("conv_id", "turn", "n_parts", F.md5("first").alias("first_md5"))
 
 
+_ITS = lambda c: "list_filter([" + ", ".join(f"trim(regexp_extract({c}, '(?i){p}', 0))" for p in Q._MODIFIERS) + "], lambda m: m <> '')"
+_OPENS = "(?i)^[^a-z0-9<>?;]*(?:" + "|".join(sorted(Q._OPENERS, key=len, reverse=True)) + r")\b"
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, coalesce(text, '') AS q, coalesce(lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn), '') AS before FROM conversations),
+m AS (SELECT *, len(list_filter(regexp_split_to_array(q, '{_WS}'), lambda w: w <> '')) <= {Q.SHORT} AND trim(before) <> '' AND len({_ITS("q")}) = 0 AND (regexp_matches(q, '{_OPENS}') OR regexp_matches(q, '(?i)(?:{"|".join(Q._POINTERS)})')) AS follows,
+  list_filter({_ITS("before")}, lambda m: NOT contains(lower(q), lower(m))) AS carried FROM l)
+SELECT conv_id, turn, follows AND len(carried) > 0 AS carries, md5(CASE WHEN follows AND len(carried) > 0 THEN trim(trim(regexp_replace(q, '{_OPENS}', ''), ' ?.,') || ' ' || array_to_string(carried, ' ')) ELSE q END) AS alone_md5 FROM m""")
+def condense_followups(spark, sf_dir):
+    """Each turn as a question of its own, with what it takes from the speaker's last one."""
+    line = Window.partitionBy("conv_id", "role").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"), F.coalesce(F.lag("text").over(line), F.lit("")).alias("before"))
+    both = turns.select("conv_id", "turn", F.concat_ws("\u0001", "q", "before").alias("both"))
+    condensed = lambda x: Q.condense(x.split("\u0001")[0], [x.split("\u0001")[1]])
+    rows = batch.read(both, "both", {"alone": ("string", lambda x: condensed(x)[0]), "carries": ("boolean", lambda x: condensed(x)[1] is not None)})
+    return rows.select("conv_id", "turn", "carries", F.md5("alone").alias("alone_md5"))
+
+
+_TEST_SQL = "[" + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){n}($|[^a-z0-9])') THEN '{k}' END" for k, n in (("eGFR", "e?gfr"), ("HbA1c", "(hb)?a1c"), ("Creatinine", "creatinine"))) + "]"
+
+
+@query(f"""WITH a AS (SELECT event_id, {_sql_pick(["latest egfr", "creatinine over 1.4 since 2024", "hba1c in the last 6 months", "any alerts or risk?", "is the hba1c trend rising and what is the gfr"], "event_id")} AS t FROM events)
+SELECT event_id, array_to_string(list_sort(list_filter({_TEST_SQL}, lambda x: x IS NOT NULL)), ',') AS tests, CASE WHEN contains(t, 'last 6 months') THEN '2026-01-01' WHEN contains(t, 'since 2024') THEN '2024-01-01' END AS start, contains(t, 'latest') AS latest,
+CASE WHEN regexp_matches(t, 'alert|risk|trend') THEN 'agentic' WHEN regexp_matches(t, 'latest|last 6|since') THEN 'temporal' ELSE 'corrective' END AS route, CASE WHEN contains(t, 'over 1.4') THEN 1.4 END AS over FROM a""")
+def question_readings(spark, sf_dir):
+    """What questions about one patient name and where they go: tests, time, route and limits."""
+    asof = date(2026, 6, 30)
+    asked = _pick(["latest egfr", "creatinine over 1.4 since 2024", "hba1c in the last 6 months", "any alerts or risk?", "is the hba1c trend rising and what is the gfr"], F.col("event_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", asked.alias("t"))
+    start = lambda q: w.start.isoformat() if (w := Q.parse_time(q, asof)).start else None
+    over = lambda q: next((x.number for x in Q.parse_cohort(q, set()) if x.kind == "lab"), None)
+    readers = {
+        "tests": ("string", lambda q: ",".join(sorted(Q.named_tests(q)))), "start": ("string", start), "latest": ("boolean", lambda q: Q.parse_time(q, asof).latest), "route": ("string", lambda q: Q.route(q, Q.parse_cohort(q, set()), True, asof)[0]), "over": ("double", over),
+    }
+    return batch.read(rows, "t", readers).drop("t")
+
+
 # ---------------------------------------------------------------- verification
 
 _NUMBERS = r"list_transform(regexp_extract_all({t}, '(?:^|[^A-Za-z0-9_.])([0-9]+(?:\.[0-9]+)?)', 1), lambda n: n)"

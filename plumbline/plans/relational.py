@@ -94,16 +94,6 @@ def term_counts(spark, sf_dir):
     return rows.groupBy("term").agg(F.sum("c").alias("mentions"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prev, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM conversations)
-SELECT conv_id, turn, n::BIGINT AS n_words, n <= 8 AS short, prev IS NOT NULL AND n <= 8 AS follow_up, CASE WHEN prev IS NOT NULL AND n <= 8 THEN md5(coalesce(text, '') || ' ' || prev) END AS condensed_md5 FROM l""")
-def condense_followups(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    n = F.size(F.filter(F.split(F.regexp_replace(text, "[ \t\r\n]+", " "), " "), lambda x: x != ""))
-    rows = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))).withColumn("n", n)
-    follow = F.col("prev").isNotNull() & (F.col("n") <= 8)
-    return rows.select("conv_id", "turn", F.col("n").cast("long").alias("n_words"), (F.col("n") <= 8).alias("short"), follow.alias("follow_up"), F.when(follow, F.md5(F.concat(text, F.lit(" "), "prev"))).alias("condensed_md5"))
-
-
 # ---------------------------------------------------------------- JSON
 
 
