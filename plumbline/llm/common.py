@@ -69,12 +69,6 @@ def materialise(df: DataFrame, name: str, most_rows: int | None = None) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
-def rename_clash(df: DataFrame, names: Iterable[str], keep: Iterable[str]) -> DataFrame:
-    """Drop columns of df that an operator is about to add, but for its inputs."""
-    keep = set(keep)
-    return df.drop(*[n for n in names if n in df.columns and n not in keep])
-
-
 def hot_limit(n: int) -> int:
     """Rows from which a key counts as hot: no more than HOT_KEYS keys can have so many of n rows."""
     return max(256, -(-n // HOT_KEYS))

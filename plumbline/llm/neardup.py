@@ -239,8 +239,8 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     the smallest id reachable, the id itself included; kept says that this is the row's own. class_id is the
     smallest id of the same set (its own for empty sets), n_links counts the verified links between this class
     and other classes that were needed to join components. Rows with a null id are nobody's copy: they stay,
-    with a null component. Rows of one id are one document: where their texts differ, it has the links of all of them.
-    Other columns are ignored. An empty table gives an empty result.
+    with a null component. So do rows of an id that has several different sets: each is its own component, as nothing
+    tells which of them the id means. Other columns are ignored. An empty table gives an empty result.
 
     Texts never shuffle: a broadcast filter of at most 64 MB tells a second scan which sets to make. A link of Jaccard J
     is missed by all 28 bands with probability (1 - J^4)^28: below 4e-7 at 0.8 and 2e-9 at 0.85, far less above.
@@ -250,6 +250,11 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches")
     named = sketched.filter("n > 0 and doc_id is not null")
+    alone = sketched.filter("n = 0 or doc_id is null")
+    texts_of = named.select("doc_id", F.xxhash64("set").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = materialise(texts_of.filter("low <> high").select("doc_id"), "several", n_docs)
+    if not several.isEmpty():
+        named, alone = without_ids(named, several, "doc_id"), alone.unionByName(with_ids(named, several, "doc_id"))
     # Registers follow from the set: as part of the key, they need no aggregate of their own.
     classes = materialise(named.groupBy("set", "n", "regs").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")), "classes")
     reps = classes.select("rep", "n", "regs")
@@ -300,15 +305,15 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     of_class = of_class.select("set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size")
     of_class = materialise(of_class, "of_class", n_docs)
     met = join_groups(named.select("doc_id", "n", "set"), of_class, "set", "_size", n_docs).drop("set")
-    alone = sketched.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = alone.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     every = met.select("doc_id", "n", "component_id", "class_id", "n_links").unionByName(alone)
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "n_links")
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all columns, whatever their names, without the documents that near_dup_groups doesn't keep. Rows that
-    repeat a kept id and text are reduced to one; rows of one id with different texts are one document, which
-    stays or goes whole; rows with a null id stay. An empty table stays empty. Only ids shuffle for the decision."""
+    repeat a kept id and text are reduced to one; rows with a null id, and those of an id with several different
+    texts, are nobody's copies and stay. An empty table stays empty. Only ids shuffle for the decision."""
     groups = materialise(near_dup_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "kept"), "kept")
     gone = groups.filter("not kept").select("doc_id").distinct()
     again = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")

@@ -120,12 +120,40 @@ def _originals(ids, text, known):
     return [i for i, k in zip(ids, keep, strict=True) if k], [t for t, k in zip(text, keep, strict=True) if k]
 
 
+class Seen:
+    """The windows that a task has sent, with the smallest document each was sent for: the last `most` of them. Windows
+    forgotten are sent once more, which costs a row and changes nothing."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+        self.h, self.g, self.least = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def known(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The smallest document that each of the distinct windows (by rising h) was sent for, or the largest number."""
+        out = np.full(len(h), np.iinfo(np.int64).max)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            same = (self.h[at] == h) & (self.g[at] == g)
+            out[same] = self.least[at[same]]
+        return out
+
+    def add(self, h: np.ndarray, g: np.ndarray, least: np.ndarray) -> None:
+        if len(self.h) + len(h) > self.most:
+            self.h, self.g, self.least = self.h[:0], self.g[:0], self.least[:0]
+        h, g, least = (np.concatenate(x) for x in ((self.h, h), (self.g, g), (self.least, least)))
+        order = np.lexsort((least, h))
+        h, g, least = h[order], g[order], least[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        self.h, self.g, self.least = h[first], g[first], least[first]
+
+
 def _repeated(window: int, width: int, filters, known):
-    """Windows estimated repeated. Of equal windows in one stretch of text only those in the smallest document are
-    sent to be grouped; the others are known to be covered at once, and get a key of their own."""
+    """Windows estimated repeated. Of equal windows of a task only those in the smallest document so far are sent to be
+    grouped; the others are known to be covered at once, and get a key of their own. So a window that every text has
+    makes a row a task in its group, or a few."""
 
     def run(batches):
-        of = WordHash().of
+        of, sent = WordHash().of, Seen()
         bits = filters.value
         for ids, text in chunks(batches, ["doc_id", "text"], "text"):
             ids, text = _originals(ids, text, known)
@@ -146,12 +174,16 @@ def _repeated(window: int, width: int, filters, known):
             order = np.lexsort((pos, owner, g, h))
             h, g, owner, pos = h[order], g[order], owner[order], pos[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-            least = owner[new][np.cumsum(new) - 1]
-            sure = owner != least
+            least = owner[new]
+            before = sent.known(h[new], g[new])
+            fresh = least < before
+            sent.add(h[new][fresh], g[new][fresh], least[fresh])
+            sure = owner != np.minimum(least, before)[np.cumsum(new) - 1]
             h = np.where(sure, mix(owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), h)
             for i in range(0, len(h), 50_000):
                 z = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[z]), pa.array(pos[z]), pa.array(h[z].view(np.int64)), pa.array(g[z]), pa.array(sure[z])], schema=_HIT)
+                columns = [pa.array(x[z]) for x in (owner, pos, h.view(np.int64), g, sure)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_HIT)
 
     return run
 
@@ -214,7 +246,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         bits[r["row"], r["block"] * PIECE // 8 : (r["block"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
     filters = spark.sparkContext.broadcast(bits)
     hits = named.mapInArrow(_repeated(window, width, filters, known), "doc_id long, pos int, h long, g int, known boolean")
-    # A window meets here only once for each stretch of a few MB of text, so no group is large.
+    # Equal windows of a task are one row or a few, so a group has hardly more rows than there are tasks.
     least_of = F.min("doc_id").over(Window.partitionBy("h", "g", "known"))
     covered = hits.withColumn("least", least_of).filter("known or doc_id > least").select("doc_id", "pos")
     starts = covered.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
