@@ -16,12 +16,17 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, each computed once a row however often it is used: the optimiser doesn't fold an expression
     through the one-element generator."""
     made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.explode(F.array(made)).alias("_once")).select(*[F.col(f"`{c}`") for c in df.columns], "_once.*")
+    return df.select("*", F.explode(F.array(made)).alias("_once")).select(
+        *[F.col(f"`{c}`") for c in df.columns], "_once.*",
+    )
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and dots, without dots at their ends, without stop words; in order."""
-    raw = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9.]+"), 0), lambda t: F.btrim(t, F.lit(".")))
+    raw = F.transform(
+        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9.]+"), 0),
+        lambda t: F.btrim(t, F.lit(".")),
+    )
     return F.filter(raw, lambda t: (t != "") & ~t.isin(STOP))
 
 
@@ -66,7 +71,9 @@ def coverage(terms: Column, have: Column, of_none: float) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v,
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -76,4 +83,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.;])\s+", -1), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(
+        F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.;])\s+", -1), lambda s: F.trim(s)),
+        lambda s: s != "",
+    )

@@ -4,15 +4,27 @@
 
 #: Term -> related terms added to a query.
 SYNONYMS = {
-    "sugar": ["glucose", "hba1c", "diabetes"], "diabetic": ["diabetes", "hba1c", "glucose"], "bp": ["blood", "pressure", "systolic", "hypertension"],
-    "pressure": ["hypertension", "systolic"], "kidney": ["renal", "creatinine", "egfr", "ckd"], "renal": ["kidney", "creatinine", "egfr"],
+    "sugar": ["glucose", "hba1c", "diabetes"], "diabetic": ["diabetes", "hba1c", "glucose"], "bp": [
+        "blood", "pressure", "systolic", "hypertension",
+    ],
+    "pressure": ["hypertension", "systolic"], "kidney": [
+        "renal", "creatinine", "egfr", "ckd",
+    ], "renal": ["kidney", "creatinine", "egfr"],
     "thyroid": ["tsh", "hypothyroidism", "levothyroxine"], "heart": ["cardiac", "coronary", "troponin", "ldl"],
-    "cholesterol": ["ldl", "lipid", "statin", "atorvastatin"], "lung": ["copd", "asthma", "spo2", "inhaler"], "breathing": ["asthma", "copd", "spo2", "wheeze"],
-    "anemia": ["hemoglobin", "ferritin", "iron"], "joint": ["arthritis", "crp", "esr", "methotrexate"], "mood": ["depression", "phq-9", "sertraline"],
-    "allergy": ["allergies", "allergic"], "allergic": ["allergies"], "drugs": ["medications", "medication"], "medicines": ["medications", "medication"],
-    "meds": ["medications", "medication"], "tests": ["lab", "result"], "labs": ["lab", "result"], "admitted": ["admission", "discharge"],
+    "cholesterol": [
+        "ldl", "lipid", "statin", "atorvastatin",
+    ], "lung": ["copd", "asthma", "spo2", "inhaler"], "breathing": ["asthma", "copd", "spo2", "wheeze"],
+    "anemia": ["hemoglobin", "ferritin", "iron"], "joint": [
+        "arthritis", "crp", "esr", "methotrexate",
+    ], "mood": ["depression", "phq-9", "sertraline"],
+    "allergy": ["allergies", "allergic"], "allergic": ["allergies"], "drugs": [
+        "medications", "medication",
+    ], "medicines": ["medications", "medication"],
+    "meds": [
+        "medications", "medication",
+    ], "tests": ["lab", "result"], "labs": ["lab", "result"], "admitted": ["admission", "discharge"],
     "hospitalised": ["admission", "discharge"], "hospitalized": ["admission", "discharge"],
-}
+}
 
 #: Words that are no tokens.
 STOP = "the a an of and or is are was were to for in on at with what which who how does do did has have had this that patient me show tell give any all from by be been his her their latest recent".split()
@@ -39,36 +51,61 @@ CONDITION_ALIASES = {
 LAB_ALIASES = {
     "HbA1c": ["hba1c", "a1c", "glycated hemoglobin", "glycosylated"],
     "Fasting Glucose": ["fasting glucose", "blood glucose", "glucose", "blood sugar", "fasting sugar"],
-    "Systolic BP": ["systolic bp", "systolic"], "Serum Potassium": ["potassium"], "Creatinine": ["creatinine"], "eGFR": ["egfr", "gfr"],
+    "Systolic BP": [
+        "systolic bp", "systolic",
+    ], "Serum Potassium": ["potassium"], "Creatinine": ["creatinine"], "eGFR": ["egfr", "gfr"],
     "TSH": ["tsh", "thyroid stimulating"], "Peak Flow": ["peak flow"], "LDL Cholesterol": ["ldl cholesterol", "ldl"],
-    "Total Cholesterol": ["total cholesterol", "cholesterol"], "Troponin I": ["troponin"], "Hemoglobin": ["hemoglobin", "haemoglobin"],
-    "Ferritin": ["ferritin"], "SpO2": ["spo2", "oxygen saturation", "oxygen level", "saturation"], "FEV1/FVC": ["fev1/fvc", "fev1", "spirometry"],
+    "Total Cholesterol": [
+        "total cholesterol", "cholesterol",
+    ], "Troponin I": ["troponin"], "Hemoglobin": ["hemoglobin", "haemoglobin"],
+    "Ferritin": ["ferritin"], "SpO2": [
+        "spo2", "oxygen saturation", "oxygen level", "saturation",
+    ], "FEV1/FVC": ["fev1/fvc", "fev1", "spirometry"],
     "CRP": ["crp", "c-reactive"], "ESR": ["esr"], "PHQ-9 Score": ["phq-9", "phq9"],
-}
+}
 
 #: Class word -> base names of its drugs.
 DRUG_CLASSES = {
-    "statin": ["atorvastatin"], "statins": ["atorvastatin"], "arb": ["losartan", "telmisartan"], "arbs": ["losartan", "telmisartan"],
+    "statin": ["atorvastatin"], "statins": ["atorvastatin"], "arb": [
+        "losartan", "telmisartan",
+    ], "arbs": ["losartan", "telmisartan"],
     "beta blocker": ["metoprolol"], "beta blockers": ["metoprolol"], "beta-blocker": ["metoprolol"],
-    "sulfonylurea": ["glimepiride"], "sulfonylureas": ["glimepiride"], "diuretic": ["hydrochlorothiazide"], "diuretics": ["hydrochlorothiazide"],
+    "sulfonylurea": ["glimepiride"], "sulfonylureas": ["glimepiride"], "diuretic": [
+        "hydrochlorothiazide"
+    ], "diuretics": ["hydrochlorothiazide"],
     "antidepressant": ["sertraline"], "antidepressants": ["sertraline"],
-}
+}
 INHALER_WORDS = ["inhaler", "inhalers"]
 INHALED = ["salbutamol", "budesonide", "tiotropium", "formoterol"]
 
 #: Allergen word -> how records spell it.
-ALLERGENS = {"penicillin": "penicillin", "sulfa": "sulfa", "latex": "latex", "shellfish": "shellfish", "nsaid": "nsaids", "nsaids": "nsaids"}
+ALLERGENS = {
+    "penicillin": "penicillin", "sulfa": "sulfa", "latex": "latex", "shellfish": "shellfish", "nsaid": "nsaids",
+    "nsaids": "nsaids",
+}
 
 #: Symptom -> regular expressions for it.
 SYMPTOMS = {
-    "increased thirst": ["increased thirst", "polydipsia"], "frequent urination": ["frequent urination", "polyuria"], "blurred vision": ["blurred vision"],
-    "fatigue": ["fatigue", "fatigability", "tiredness"], "headache": ["headaches?"], "dizziness": ["dizziness"], "chest pain": ["chest pain", "chest discomfort"],
-    "breathlessness": ["breathlessness", "shortness of breath"], "ankle swelling": ["ankle swelling"], "reduced urine output": ["reduced urine output", "oliguria"],
-    "nocturia": ["nocturia"], "cold intolerance": ["cold intolerance"], "weight gain": ["weight gain"], "constipation": ["constipation"], "dry skin": ["dry skin"],
-    "cough": ["cough"], "wheeze": ["wheeze", "wheezing"], "chest tightness": ["chest tightness"], "pallor": ["pallor"], "palpitations": ["palpitations"],
-    "morning stiffness": ["morning stiffness"], "joint swelling": ["joint swelling"], "low mood": ["low mood"], "poor sleep": ["poor sleep"],
+    "increased thirst": [
+        "increased thirst", "polydipsia",
+    ], "frequent urination": ["frequent urination", "polyuria"], "blurred vision": ["blurred vision"],
+    "fatigue": [
+        "fatigue", "fatigability", "tiredness",
+    ], "headache": ["headaches?"], "dizziness": ["dizziness"], "chest pain": ["chest pain", "chest discomfort"],
+    "breathlessness": [
+        "breathlessness", "shortness of breath",
+    ], "ankle swelling": ["ankle swelling"], "reduced urine output": ["reduced urine output", "oliguria"],
+    "nocturia": ["nocturia"], "cold intolerance": [
+        "cold intolerance"
+    ], "weight gain": ["weight gain"], "constipation": ["constipation"], "dry skin": ["dry skin"],
+    "cough": ["cough"], "wheeze": [
+        "wheeze", "wheezing",
+    ], "chest tightness": ["chest tightness"], "pallor": ["pallor"], "palpitations": ["palpitations"],
+    "morning stiffness": [
+        "morning stiffness"
+    ], "joint swelling": ["joint swelling"], "low mood": ["low mood"], "poor sleep": ["poor sleep"],
     "reduced appetite": ["reduced appetite"], "anhedonia": ["anhedonia"],
-}
+}
 
 NSAID_LIKE = ["aspirin", "ibuprofen", "diclofenac", "naproxen"]
 RAAS = ["losartan", "telmisartan", "enalapril", "ramipril"]

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values: (kind of the seed, kind of its neighbours, how many).
-RULES = [("lab", "lab", 2), ("note", "encounter", 2), ("encounter", "note", 2), ("diagnosis", "medication", 1), ("medication", "diagnosis", 2)]
+RULES = [
+    ("lab", "lab", 2), ("note", "encounter", 2), ("encounter", "note", 2), ("diagnosis", "medication", 1),
+    ("medication", "diagnosis", 2),
+]
 # End of the fixed values.
 
 
@@ -32,5 +35,7 @@ def neighbours(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     newest = F.when(F.col("s.kind") == "lab", F.col("c.date"))
     line = Window.partitionBy("s.chunk_id").orderBy(newest.desc_nulls_last(), F.col("c.ord"))
     most = F.coalesce(*[F.when(F.col("s.kind") == a, F.lit(n)) for a, _, n in RULES])
-    rows = met.select(F.col("s.chunk_id").alias("seed"), F.row_number().over(line).alias("place"), most.alias("_most"), "c.*")
+    rows = met.select(
+        F.col("s.chunk_id").alias("seed"), F.row_number().over(line).alias("place"), most.alias("_most"), "c.*",
+    )
     return rows.filter(F.col("place") <= F.col("_most")).drop("_most")

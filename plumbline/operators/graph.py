@@ -14,7 +14,11 @@ def edges(chunks: DataFrame) -> DataFrame:
     the newest counts (of equal dates the first), of symptoms the first note, of conditions and drugs the last
     chunk."""
     def row(kind: str, target, when):
-        return chunks.filter(when).select("patient_id", F.lit(kind).alias("etype"), target.alias("target"), "chunk_id", "date", F.col("meta.value").alias("value"), F.col("meta.flag").alias("flag"), F.col("meta.unit").alias("unit"), "ord")
+        return chunks.filter(when).select(
+            "patient_id", F.lit(kind).alias("etype"), target.alias("target"), "chunk_id", "date",
+            F.col("meta.value").alias("value"), F.col("meta.flag").alias("flag"), F.col("meta.unit").alias("unit"),
+            "ord",
+        )
 
     kind = F.col("kind")
     rows = row("profile", F.lit("profile"), kind == "profile")
@@ -23,15 +27,23 @@ def edges(chunks: DataFrame) -> DataFrame:
     rows = rows.unionByName(row("took_drug", F.explode("meta.drugs"), (kind == "medication") & ~F.col("meta.current")))
     rows = rows.unionByName(row("has_lab", F.col("meta.test"), kind == "lab"))
     said = F.filter(entities(F.col("text")), lambda e: (e["type"] == "symptom") & ~e["negated"])
-    rows = rows.unionByName(row("reports_symptom", F.explode(F.array_distinct(F.transform(said, lambda e: e["text"]))), kind == "note"))
-    least = F.when(F.col("etype") == "has_lab", F.concat(F.col("date"), F.format_string("%09d", 999_999_999 - F.col("ord")))).when(F.col("etype") == "reports_symptom", F.format_string("%09d", 999_999_999 - F.col("ord"))).otherwise(F.format_string("%09d", F.col("ord")))
+    rows = rows.unionByName(
+        row("reports_symptom", F.explode(F.array_distinct(F.transform(said, lambda e: e["text"]))), kind == "note")
+    )
+    least = F.when(
+        F.col("etype") == "has_lab", F.concat(F.col("date"), F.format_string("%09d", 999_999_999 - F.col("ord"))),
+    ).when(F.col("etype") == "reports_symptom", F.format_string("%09d", 999_999_999 - F.col("ord"))).otherwise(F.format_string("%09d", F.col("ord")))
     cols = ["chunk_id", "date", "value", "flag", "unit", "ord"]
-    return rows.withColumn("_k", least).groupBy("patient_id", "etype", "target").agg(F.max_by(F.struct(*cols), "_k").alias("r")).select("patient_id", "etype", "target", "r.*")
+    return rows.withColumn("_k", least).groupBy("patient_id", "etype", "target").agg(
+        F.max_by(F.struct(*cols), "_k").alias("r")
+    ).select("patient_id", "etype", "target", "r.*")
 
 
 def known_drugs(edge_table: DataFrame) -> set[str]:
     """All drugs on record: a domain of few values by its nature."""
-    return {r[0] for r in edge_table.filter("etype IN ('takes_drug', 'took_drug')").select("target").distinct().collect()}
+    return {
+        r[0] for r in edge_table.filter("etype IN ('takes_drug', 'took_drug')").select("target").distinct().collect()
+    }
 
 
 def stats_table(edge_table: DataFrame) -> DataFrame:
@@ -43,7 +55,10 @@ def stats(edge_table: DataFrame, n_patients: int, n_drugs: int) -> dict:
     """Nodes and edges by kind, and their sums."""
     held = {r["etype"]: r for r in stats_table(edge_table).collect()}
     of = lambda etype, what: held[etype][what] if etype in held else 0
-    nodes = {"patients": n_patients, "conditions": of("has_condition", "nodes"), "drugs": n_drugs, "lab tests": of("has_lab", "nodes"), "symptoms": of("reports_symptom", "nodes")}
+    nodes = {
+        "patients": n_patients, "conditions": of("has_condition", "nodes"), "drugs": n_drugs,
+        "lab tests": of("has_lab", "nodes"), "symptoms": of("reports_symptom", "nodes"),
+    }
     links = {etype: of(etype, "edges") for etype in ("has_condition", "takes_drug", "has_lab", "reports_symptom")}
     return {"nodes": nodes, "edges": links, "total_nodes": sum(nodes.values()), "total_edges": sum(links.values())}
 
@@ -54,7 +69,10 @@ _EDGES = {"condition": "has_condition", "drug": "takes_drug", "lab": "has_lab",
 
 def _lab_holds(limit: Limit) -> Column:
     value, flag, number = F.col("value"), F.col("flag"), F.lit(limit.number)
-    return {">": value > number, "<": value < number, "high": flag == "HIGH", "low": flag == "LOW", "abnormal": flag != "NORMAL"}[limit.op]
+    return {
+        ">": value > number, "<": value < number, "high": flag == "HIGH", "low": flag == "LOW",
+        "abnormal": flag != "NORMAL",
+    }[limit.op]
 
 
 def _proof(edge_table: DataFrame, limit: Limit) -> DataFrame:
@@ -63,12 +81,20 @@ def _proof(edge_table: DataFrame, limit: Limit) -> DataFrame:
     hits = edge_table.filter((F.col("etype") == _EDGES[limit.kind]) & F.col("target").isin(*limit.names))
     if limit.kind == "drug":
         place = F.array_position(F.array(*[F.lit(d) for d in limit.names]), F.col("target"))
-        taken = hits.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "target", "chunk_id"))).alias("h"))
-        return taken.select("patient_id", F.col("h")[0]["chunk_id"].alias("chunk_id"), F.concat(F.lit("on "), F.array_join("h.target", ", ")).alias("why"))
+        taken = hits.groupBy("patient_id").agg(
+            F.array_sort(F.collect_list(F.struct(place.alias("p"), "target", "chunk_id"))).alias("h")
+        )
+        return taken.select(
+            "patient_id", F.col("h")[0]["chunk_id"].alias("chunk_id"),
+            F.concat(F.lit("on "), F.array_join("h.target", ", ")).alias("why"),
+        )
     why = F.lit(f"reports {limit.names[0]}" if limit.kind == "symptom" else limit.names[0])
     if limit.kind == "lab":
         hits = hits.filter(_lab_holds(limit))
-        why = F.concat_ws("", "target", F.lit(" "), F.col("value").cast("string"), F.lit(" "), "unit", F.lit(" ("), "flag", F.lit(", "), "date", F.lit(")"))
+        why = F.concat_ws(
+            "", "target", F.lit(" "), F.col("value").cast("string"), F.lit(" "), "unit", F.lit(" ("), "flag",
+            F.lit(", "), "date", F.lit(")"),
+        )
     return hits.select("patient_id", "chunk_id", why.alias("why"))
 
 
@@ -76,7 +102,9 @@ def _on_record(limit: Limit) -> tuple[Column, Column]:
     """(whether a record meets a limit on age, sex or allergies, the reason it gives)."""
     if limit.kind == "age":
         age = F.col("age")
-        return age > limit.number if limit.op == ">" else age < limit.number, F.concat(F.lit("age "), age.cast("string"))
+        return age > limit.number if limit.op == ">" else age < limit.number, F.concat(
+            F.lit("age "), age.cast("string"),
+        )
     if limit.kind == "sex":
         return F.col("sex") == limit.names[0], F.lit(None).cast("string")
     return F.contains(F.lower("allergies"), F.lit(limit.names[0])), F.concat(F.lit("allergy: "), "allergies")

@@ -26,13 +26,18 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf, len: a row for each distinct term of each text."""
-    rows = T.once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t"))).select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
+    rows = T.once(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t")),
+    ).select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
     return rows.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: n texts and their average length in tokens (0 if there is none)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(T.tokens(F.col(text_col)))), F.lit(0.0)).alias("avg_len"))
+    return docs.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.avg(F.size(T.tokens(F.col(text_col)))), F.lit(0.0)).alias("avg_len"),
+    )
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -42,7 +47,9 @@ def bm25_idf(n: Column, df: Column) -> Column:
 def query_terms(queries: DataFrame, qid_col: str, text_col: str, expand: bool = False) -> DataFrame:
     """qid, term: the distinct (synonym-expanded) terms of each query."""
     toks = T.tokens(F.col(text_col))
-    return queries.select(F.col(qid_col).alias("qid"), F.explode(F.array_distinct(T.expanded(toks) if expand else toks)).alias("term"))
+    return queries.select(
+        F.col(qid_col).alias("qid"), F.explode(F.array_distinct(T.expanded(toks) if expand else toks)).alias("term"),
+    )
 
 
 def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -52,7 +59,10 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame
     n = terms.count()
     distinct = bounded(terms.select("term").distinct(), n)
     dfs = posts.join(distinct, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select("qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select(
+        "qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"),
+        F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
+    )
     rows = posts if scope is None else posts.join(scope, "id", "left_semi")
     joined = rows.join(bounded(weighed, n), "term")
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
@@ -64,14 +74,18 @@ def ranked(scores: DataFrame, k: int | None = None, digits: int = 9) -> DataFram
     """scores with their 0-based rank within a query, by score and then id; ranks under k only. Scores are rounded
     first, so that the order doesn't hang on the order of summation."""
     line = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
-    rows = scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(line).cast("long") - 1)
+    rows = scores.withColumn("score", F.round("score", digits)).withColumn(
+        "rank", F.row_number().over(line).cast("long") - 1,
+    )
     return rows if k is None else rows.filter(F.col("rank") < k)
 
 
 def feature_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, feature, tf over unigrams and bigrams."""
     rows = T.once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t")))
-    return rows.select("id", F.explode(T.features(F.col("toks"))).alias("feature")).groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(
+        "id", F.explode(T.features(F.col("toks"))).alias("feature"),
+    ).groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +93,9 @@ def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024
     bigrams. Bucket and sign come from the feature's digest."""
     n = docs.count()
     tf = feature_counts(docs, id_col, text_col)
-    idf = tf.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).select("feature", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = tf.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).select(
+        "feature", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"),
+    )
     return hashed(tf.join(idf, "feature"), dim), idf
 
 
@@ -93,16 +109,24 @@ def hashed(weighted: DataFrame, dim: int) -> DataFrame:
     rows = rows.select("id", bucket.alias("bucket"), (sign * F.col("_w")).alias("_w")).repartition("id")
     sums = rows.groupBy("id", "bucket").agg(F.sum("_w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return sums.select("id", "bucket", (F.col("w") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).alias("weight"))
+    return sums.select(
+        "id", "bucket", (F.col("w") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).alias("weight"),
+    )
 
 
-def encode(queries: DataFrame, qid_col: str, text_col: str, idf: DataFrame, n: int, dim: int = 1024, expand: bool = True) -> DataFrame:
+def encode(
+    queries: DataFrame, qid_col: str, text_col: str, idf: DataFrame, n: int, dim: int = 1024, expand: bool = True,
+) -> DataFrame:
     """(qid, bucket, weight) of queries; features that no text has get the weight of a frequency of 0."""
     toks = T.tokens(F.col(text_col))
-    rows = queries.select(F.col(qid_col).alias("id"), F.explode(T.features(T.expanded(toks) if expand else toks)).alias("feature"))
+    rows = queries.select(
+        F.col(qid_col).alias("id"), F.explode(T.features(T.expanded(toks) if expand else toks)).alias("feature"),
+    )
     tf = rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
     most = tf.count()  # of queries only
-    met = idf.join(bounded(tf, most), "feature", "right").withColumn("idf", F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
+    met = idf.join(bounded(tf, most), "feature", "right").withColumn(
+        "idf", F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1),
+    )
     return bounded(hashed(met, dim).withColumnRenamed("id", "qid"), most)
 
 
@@ -110,7 +134,9 @@ def sparse_cosine(vectors: DataFrame, queries: DataFrame, scope: DataFrame | Non
     """qid, id, score: dot products of unit vectors (id, bucket, weight) that share a bucket with a query's, which carry a
     broadcast hint where they are few."""
     rows = vectors if scope is None else vectors.join(scope, "id", "left_semi")
-    return rows.join(queries.withColumnRenamed("weight", "_w"), "bucket").groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    return rows.join(
+        queries.withColumnRenamed("weight", "_w"), "bucket",
+    ).groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
 
 
 #: Dense queries that go by one broadcast: some 10 MB of them.
@@ -142,9 +168,15 @@ def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> Da
     exact = scores.withColumn("score", F.round("score", digits))
     best = ranked(exact, most, digits).select("qid", "id", "rank")
     first = near.filter(F.col("rank") < k).select("qid", "id")
-    at = F.broadcast(exact.join(F.broadcast(first), ["qid", "id"]).select("qid", F.col("id").alias("_id"), F.col("score").alias("_s")))
+    at = F.broadcast(
+        exact.join(F.broadcast(first), ["qid", "id"]).select(
+            "qid", F.col("id").alias("_id"), F.col("score").alias("_s"),
+        )
+    )
     better = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") < F.col("_id")))
-    counted = exact.join(at, "qid").groupBy("qid", F.col("_id").alias("id")).agg(F.sum(better.cast("long")).alias("rank"))
+    counted = exact.join(at, "qid").groupBy("qid", F.col("_id").alias("id")).agg(
+        F.sum(better.cast("long")).alias("rank")
+    )
     lexical = best.unionByName(counted).distinct()
     return ranked(fuse(lexical, near), k, digits)
 

@@ -17,8 +17,13 @@ REACH = 6
 
 def lexicon() -> list[tuple[str, str, str]]:
     """(type, name, pattern) of all symptoms and conditions."""
-    conditions = {c: "|".join(re.escape(n) for n in sorted({c.lower(), *names}, key=lambda n: (-len(n), n))) for c, names in CONDITION_ALIASES.items()}
-    return [("symptom", s, rf"\b(?:{'|'.join(p)})\b") for s, p in SYMPTOMS.items()] + [("condition", c, rf"\b(?:{p})\b") for c, p in conditions.items()]
+    conditions = {
+        c: "|".join(re.escape(n) for n in sorted({c.lower(), *names}, key=lambda n: (-len(n), n)))
+        for c, names in CONDITION_ALIASES.items()
+    }
+    return [
+        ("symptom", s, rf"\b(?:{'|'.join(p)})\b") for s, p in SYMPTOMS.items()
+    ] + [("condition", c, rf"\b(?:{p})\b") for c, p in conditions.items()]
 
 
 def literals(pattern: str) -> list[str]:
@@ -44,7 +49,9 @@ def negated(before: Column) -> Column:
     """Whether what stands before a mention negates it: a trigger within REACH words, with no terminator after it."""
     scope = F.regexp_replace(before, f"(?is)^.*{TERMINATORS}", "")
     words = F.filter(F.split(scope, r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - (REACH - 1), F.lit(1)), REACH), " ").rlike(f"(?i){NEGATIONS}")
+    return F.array_join(
+        F.slice(words, F.greatest(F.size(words) - (REACH - 1), F.lit(1)), REACH), " ",
+    ).rlike(f"(?i){NEGATIONS}")
 
 
 def entities(text: Column) -> Column:
@@ -54,11 +61,22 @@ def entities(text: Column) -> Column:
         s, named = x["s"], []
         for kind, name, pattern in lexicon():
             before = F.regexp_extract(s, f"(?is)^(.*?){pattern}", 1)
-            entity = F.struct(F.lit(kind).alias("type"), F.lit(name).alias("text"), negated(before).alias("negated"), s.alias("sentence"))
+            entity = F.struct(
+                F.lit(kind).alias("type"), F.lit(name).alias("text"), negated(before).alias("negated"),
+                s.alias("sentence"),
+            )
             named.append(F.when(mentioned(s, x["low"], pattern), entity))
         found = F.regexp_extract(s, r"(?i)allerg(?:y|ies)(?: status)?:\s*([A-Za-z ,]+?)(?:\.|$)", 1)
-        items = F.filter(F.transform(F.split(found, ",| and "), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).isin("none known", "none"))
-        allergens = F.transform(items, lambda x: F.struct(F.lit("allergen").alias("type"), x.alias("text"), F.lit(False).alias("negated"), s.alias("sentence")))
+        items = F.filter(
+            F.transform(F.split(found, ",| and "), lambda x: F.trim(x)),
+            lambda x: (x != "") & ~F.lower(x).isin("none known", "none"),
+        )
+        allergens = F.transform(
+            items,
+            lambda x: F.struct(
+                F.lit("allergen").alias("type"), x.alias("text"), F.lit(False).alias("negated"), s.alias("sentence"),
+            ),
+        )
         return F.concat(F.array_compact(F.array(*named)).cast(f"array<{ENTITY}>"), allergens.cast(f"array<{ENTITY}>"))
 
     both = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
@@ -72,7 +90,12 @@ def note_symptoms(notes: DataFrame, keys: list[str], date: str, text: str) -> Da
     checks = []
     for kind, name, pattern in lexicon():
         if kind == "symptom":
-            entity = F.struct(F.lit(name).alias("name"), negated(F.regexp_extract("s", f"(?is)^(.*?){pattern}", 1)).alias("negated"))
+            entity = F.struct(
+                F.lit(name).alias("name"),
+                negated(F.regexp_extract("s", f"(?is)^(.*?){pattern}", 1)).alias("negated"),
+            )
             checks.append(F.when(mentioned(F.col("s"), F.col("low"), pattern), entity))
     hits = rows.select(*keys, date, F.explode(F.array_compact(F.array(*checks))).alias("e"))
-    return hits.groupBy(*keys, "e.name", "e.negated").agg(F.count(F.lit(1)).alias("mentions"), F.max(date).alias("last"))
+    return hits.groupBy(*keys, "e.name", "e.negated").agg(
+        F.count(F.lit(1)).alias("mentions"), F.max(date).alias("last"),
+    )

@@ -22,7 +22,10 @@ def _steps(names: list[str], strict: bool) -> list[tuple[str, str]]:
     """Patterns and what replaces them, in order; names the longest first. strict leaves ISO dates alone."""
     known = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
     out = [("|".join(re.escape(n) for n in known), "[PATIENT]")] if known else []
-    return [*out, (f"(?!{_DATE}){PHONE}" if strict else PHONE, "[PHONE]"), (EMAIL, "[EMAIL]"), (RECORD_ID, "[MRN]"), (CLINICIAN, "Dr. [CLINICIAN]")]
+    return [
+        *out, (f"(?!{_DATE}){PHONE}" if strict else PHONE, "[PHONE]"), (EMAIL, "[EMAIL]"), (RECORD_ID, "[MRN]"),
+        (CLINICIAN, "Dr. [CLINICIAN]")
+    ]
 
 
 class Redactor:
@@ -48,7 +51,12 @@ def redacted(text: Column, names: list[str] | None = None, strict: bool = False)
 def redact_names(df: DataFrame, text_col: str, id_col: str, names: DataFrame) -> DataFrame:
     """df with the names of each row's own key (names: id_col, name) masked in text_col: a join, so that there may be
     any number of names, after which only the row's own name is looked for."""
-    return df.join(names, id_col, "left").withColumn(text_col, F.when(F.col("name").isNotNull(), F.replace(text_col, F.col("name"), F.lit("[PATIENT]"))).otherwise(F.col(text_col))).drop("name")
+    return df.join(names, id_col, "left").withColumn(
+        text_col,
+        F.when(
+            F.col("name").isNotNull(), F.replace(text_col, F.col("name"), F.lit("[PATIENT]")),
+        ).otherwise(F.col(text_col)),
+    ).drop("name")
 
 
 # ---------------------------------------------------------------- audit
@@ -109,23 +117,48 @@ def chained(entries: DataFrame, segment: str, order: str, body: str) -> DataFram
 
     def step(log: Column, e: Column) -> Column:
         prev = F.when(F.size(log) == 0, F.lit(GENESIS)).otherwise(F.get(log, F.size(log) - 1)["hash"])
-        return F.concat(log, F.array(F.struct(e["o"].alias("o"), e["body"].alias("body"), prev.alias("prev"), sha(prev, e["body"]).alias("hash"))))
-
-    rows = entries.groupBy(segment).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(body).alias("body")))).alias("es"))
+        return F.concat(
+            log,
+            F.array(
+                F.struct(
+                    e["o"].alias("o"), e["body"].alias("body"), prev.alias("prev"),
+                    sha(prev, e["body"]).alias("hash"),
+                )
+            ),
+        )
+
+    rows = entries.groupBy(segment).agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(body).alias("body")))
+        ).alias("es")
+    )
     logs = rows.select(segment, F.posexplode(F.aggregate("es", none, step)).alias("seq", "e"))
-    return logs.select(segment, F.col("e.o").alias(order), F.col("e.body").alias(body), (F.col("seq") + 1).cast("long").alias("seq"), "e.prev", "e.hash")
+    return logs.select(
+        segment, F.col("e.o").alias(order), F.col("e.body").alias(body), (F.col("seq") + 1).cast("long").alias("seq"),
+        "e.prev", "e.hash",
+    )
 
 
-def verify_chain(log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None, first: int = 1) -> DataFrame:
+def verify_chain(
+    log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None,
+    first: int = 1,
+) -> DataFrame:
     """entries, broken_at (1 is the first entry; null if it holds) of each segment's chain, or of the whole log. Entries are
     numbered without gaps from `first`; each meets the one before it by a join on its number, so that a long chain
     is checked in parallel, and a missing entry breaks it where it was."""
     keys = [segment] if segment else []
     before = log.select(*keys, (F.col(seq) + 1).alias(seq), F.col(hash_).alias("_before"))
-    rows = log.join(before, [*keys, seq], "left").withColumn("_before", F.when(F.col(seq) == first, GENESIS).otherwise(F.col("_before")))
+    rows = log.join(before, [*keys, seq], "left").withColumn(
+        "_before", F.when(F.col(seq) == first, GENESIS).otherwise(F.col("_before")),
+    )
     holds = (F.col(prev) == F.col("_before")) & (F.col(hash_) == F.sha2(F.concat(prev, body), 256))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.min(F.when(~F.coalesce(holds, F.lit(False)), F.col(seq) - first + 1)).alias("broken_at"))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.min(F.when(~F.coalesce(holds, F.lit(False)), F.col(seq) - first + 1)).alias("broken_at"),
+    )
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ts double, action string, actor string, details string, prev string, hash string").json(path)
+    return spark.read.schema(
+        "ts double, action string, actor string, details string, prev string, hash string"
+    ).json(path)

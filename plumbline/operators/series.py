@@ -12,18 +12,25 @@ def newest(df: DataFrame, keys: list[str], date: str, order: str, ties: str = "l
     """The newest row of each key. Of equal dates the last in the given order counts, or the first. An aggregate, not
     a window: keys of many rows are reduced before they shuffle."""
     key = F.struct(F.col(date), F.col(order) if ties == "last" else -F.col(order))
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), key).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(
+        F.max_by(F.struct(*[c for c in df.columns if c not in keys]), key).alias("_r")
+    ).select(*keys, "_r.*")
 
 
 def change(first: Column, last: Column, n: Column) -> Column:
     """insufficient data, stable, rising or falling, by a relative change of 8 %."""
     rel = (last - first) / F.abs(F.nullif(first, F.lit(0.0)))
-    return F.when(n < 2, "insufficient data").when(first == 0, "stable").when(rel > 0.08, "rising").when(rel < -0.08, "falling").otherwise("stable")
+    return F.when(
+        n < 2, "insufficient data",
+    ).when(first == 0, "stable").when(rel > 0.08, "rising").when(rel < -0.08, "falling").otherwise("stable")
 
 
 def trends(df: DataFrame, keys: list[str], date: str, order: str, value: str) -> DataFrame:
     at = F.struct(F.col(date), F.col(order))
-    got = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, at).alias("first_value"), F.max_by(value, at).alias("last_value"))
+    got = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(value, at).alias("first_value"),
+        F.max_by(value, at).alias("last_value"),
+    )
     return got.withColumn("trend", change(F.col("first_value"), F.col("last_value"), F.col("n")))
 
 
@@ -31,9 +38,11 @@ def forecasts(df: DataFrame, keys: list[str], x: str, y: str, horizon: float, le
     """Ordinary least squares of y on x (days) for each key, and its 95 % prediction interval at the last x plus the
     horizon. Keys of fewer than `least` points, or of one x only, are left out."""
     got = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"),
+        F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias(
+            "intercept"
+        ), F.regr_sxx(y, x).alias("sxx"),
         F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("mx"), F.max(x).alias("last_x"),
-    ).filter((F.col("n") >= least) & (F.col("sxx") > 0))
+    ).filter((F.col("n") >= least) & (F.col("sxx") > 0))
     dof = F.col("n") - 2
     table = F.create_map(*[v for k, t in T_95.items() for v in (F.lit(k).cast("long"), F.lit(float(t)))])
     rest = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
@@ -42,16 +51,22 @@ def forecasts(df: DataFrame, keys: list[str], x: str, y: str, horizon: float, le
     reach = F.coalesce(F.try_element_at(table, dof), F.lit(NORMAL_95)) * se
     at = F.col("intercept") + F.col("slope") * x0
     return got.select(
-        *keys, "n", at.alias("predicted"), (at - reach).alias("low"), (at + reach).alias("high"), (F.col("slope") * 30).alias("slope_per_30d"),
+        *keys, "n", at.alias("predicted"), (at - reach).alias("low"), (at + reach).alias("high"), (
+            F.col("slope") * 30
+        ).alias("slope_per_30d"),
         F.when(F.col("syy") > 0, 1 - rest / F.col("syy")).otherwise(0.0).alias("r2"), x0.alias("target_x"),
-    )
+    )
 
 
-def anomalies(df: DataFrame, keys: list[str], date: str, order: str, value: str, threshold: float = 3.5, least: int = 4) -> DataFrame:
+def anomalies(
+    df: DataFrame, keys: list[str], date: str, order: str, value: str, threshold: float = 3.5, least: int = 4,
+) -> DataFrame:
     """How far each key's last value is from its history, in scaled median absolute deviations; where that is 0, in
     standard deviations of the history, or else in billionths."""
     at = F.struct(F.col(date), F.col(order))
-    whole = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).alias("v")))).alias("s")).filter(F.size("s") >= least)
+    whole = df.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).alias("v")))).alias("s")
+    ).filter(F.size("s") >= least)
     hist = F.transform(F.slice("s", 1, F.size("s") - 1), lambda p: p["v"].cast("double"))
     got = whole.select(*keys, hist.alias("h"), F.element_at("s", -1)["v"].cast("double").alias("last"))
 
@@ -59,11 +74,15 @@ def anomalies(df: DataFrame, keys: list[str], date: str, order: str, value: str,
         s, n = F.array_sort(a), F.size(a)
         return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
 
-    got = got.withColumn("median", median(F.col("h"))).withColumn("mad", median(F.transform("h", lambda v: F.abs(v - F.col("median")))) * 1.4826)
+    got = got.withColumn("median", median(F.col("h"))).withColumn(
+        "mad", median(F.transform("h", lambda v: F.abs(v - F.col("median")))) * 1.4826,
+    )
     mean = F.aggregate("h", F.lit(0.0), lambda s, v: s + v) / F.size("h")
     std = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size("h"))
     scale = F.when(F.col("mad") != 0, F.col("mad")).when(std != 0, std).otherwise(1e-9)
-    return got.withColumn("z", (F.col("last") - F.col("median")) / scale).select(*keys, "median", "last", "z", (F.abs("z") > threshold).alias("flag"))
+    return got.withColumn("z", (F.col("last") - F.col("median")) / scale).select(
+        *keys, "median", "last", "z", (F.abs("z") > threshold).alias("flag"),
+    )
 
 
 def with_recency(df: DataFrame, date: str, over: list[str], name: str = "recency") -> DataFrame:

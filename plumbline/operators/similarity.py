@@ -14,7 +14,12 @@ from .chunks import drug_base
 from .clinical import with_risk
 
 # Short names of conditions.
-SHORT = {"Type 2 Diabetes Mellitus": "Diabetes", "Essential Hypertension": "Hypertension", "Chronic Kidney Disease Stage 3": "CKD", "Coronary Artery Disease": "CAD", "Iron Deficiency Anemia": "Anemia", "Chronic Obstructive Pulmonary Disease": "COPD", "Rheumatoid Arthritis": "RA", "Major Depressive Disorder": "Depression", "Hyperlipidemia": "Lipids"}
+SHORT = {
+    "Type 2 Diabetes Mellitus": "Diabetes", "Essential Hypertension": "Hypertension",
+    "Chronic Kidney Disease Stage 3": "CKD", "Coronary Artery Disease": "CAD", "Iron Deficiency Anemia": "Anemia",
+    "Chronic Obstructive Pulmonary Disease": "COPD", "Rheumatoid Arthritis": "RA",
+    "Major Depressive Disorder": "Depression", "Hyperlipidemia": "Lipids",
+}
 # End of the fixed values.
 
 
@@ -29,20 +34,43 @@ def feature_vectors(records: DataFrame) -> DataFrame:
     active = F.filter("medications", lambda m: m["active"])
 
     def lab(test: str):
-        newest = F.array_max(F.filter(F.transform("labs", lambda x, i: F.struct(x["date"].alias("d"), i.alias("i"), x["test"].alias("test"), x["value"].alias("v"), x["ref_low"].alias("lo"), x["ref_high"].alias("hi"))), lambda x: x["test"] == test))
+        newest = F.array_max(
+            F.filter(
+                F.transform(
+                    "labs",
+                    lambda x, i: F.struct(
+                        x["date"].alias("d"), i.alias("i"), x["test"].alias("test"), x["value"].alias("v"),
+                        x["ref_low"].alias("lo"), x["ref_high"].alias("hi"),
+                    ),
+                ),
+                lambda x: x["test"] == test,
+            )
+        )
         far = (newest["v"] - (newest["lo"] + newest["hi"]) / 2) / F.greatest(newest["hi"] - newest["lo"], F.lit(1e-6))
         return F.when(far.isNotNull(), F.least(F.greatest(far, F.lit(-3.0)), F.lit(3.0)) / 3).otherwise(0.0)  # greatest passes over nulls
 
-    parts = [F.col("age") / 100, F.when(F.col("sex") == "F", 1.0).otherwise(0.0), F.size(active) / 6, F.col("score") / 100]
+    parts = [
+        F.col("age") / 100, F.when(F.col("sex") == "F", 1.0).otherwise(0.0), F.size(active) / 6, F.col("score") / 100,
+    ]
     parts += [F.when(F.array_contains(have, c), 1.5).otherwise(0.0) for c in conditions] + [lab(t) for t in tests]
-    return rows.select("patient_id", "name", "age", "sex", "score", have.alias("conditions"), F.array_distinct(F.transform(active, lambda m: drug_base(m["name"]))).alias("drugs"), F.array(*[p.cast("double") for p in parts]).alias("features"))
+    return rows.select(
+        "patient_id", "name", "age", "sex", "score", have.alias("conditions"),
+        F.array_distinct(F.transform(active, lambda m: drug_base(m["name"]))).alias("drugs"),
+        F.array(*[p.cast("double") for p in parts]).alias("features"),
+    )
 
 
 def similar(vectors: DataFrame, patient_id: str, k: int = 5) -> DataFrame:
     """The k patients of the highest cosine to one, with what they share; the one itself is left out."""
-    me = vectors.filter(F.col("patient_id") == patient_id).select(F.col("features").alias("f"), F.col("conditions").alias("c"), F.col("drugs").alias("d"))
+    me = vectors.filter(F.col("patient_id") == patient_id).select(
+        F.col("features").alias("f"), F.col("conditions").alias("c"), F.col("drugs").alias("d"),
+    )
     rows = vectors.filter(F.col("patient_id") != patient_id).crossJoin(F.broadcast(me))
-    scored = rows.select("patient_id", "name", "age", "sex", F.round(T.cosine(F.col("features"), F.col("f")), 3).alias("similarity"), F.array_sort(F.array_intersect("conditions", "c")).alias("shared_conditions"), F.array_sort(F.array_intersect("drugs", "d")).alias("shared_medications"))
+    scored = rows.select(
+        "patient_id", "name", "age", "sex", F.round(T.cosine(F.col("features"), F.col("f")), 3).alias("similarity"),
+        F.array_sort(F.array_intersect("conditions", "c")).alias("shared_conditions"),
+        F.array_sort(F.array_intersect("drugs", "d")).alias("shared_medications"),
+    )
     return scored.orderBy(F.desc("similarity"), "patient_id").limit(k)
 
 
@@ -52,11 +80,19 @@ def clustered(vectors: DataFrame, features: str, id_col: str, k: int = 5, seed:
     rows = vectors.withColumn("_v", array_to_vector(F.transform(features, lambda x: x.cast("double"))))
     dim = rows.select(F.size(features)).first()[0]
     axes = min(3, dim)
-    stages = [KMeans(k=k, seed=seed, maxIter=60, featuresCol="_v", predictionCol="_c"), StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_m"), PCA(k=axes, inputCol="_m", outputCol="_p")]
+    stages = [
+        KMeans(k=k, seed=seed, maxIter=60, featuresCol="_v", predictionCol="_c"),
+        StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_m"),
+        PCA(k=axes, inputCol="_m", outputCol="_p"),
+    ]
     out = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("_p", vector_to_array("_p"))
-    order = out.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_i")).withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("_n"), "_i")) - 1)
+    order = out.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_i")).withColumn(
+        "cluster", F.row_number().over(Window.orderBy(F.desc("_n"), "_i")) - 1,
+    )
     span = out.agg(*[F.max_by(F.col("_p")[i], F.abs(F.col("_p")[i])).alias(f"_s{i}") for i in range(axes)])
-    scaled = lambda i: F.coalesce(F.col("_p")[i] / F.nullif(F.col(f"_s{i}"), F.lit(0.0)), F.lit(0.0)) if i < axes else F.lit(0.0)
+    scaled = lambda i: F.coalesce(
+        F.col("_p")[i] / F.nullif(F.col(f"_s{i}"), F.lit(0.0)), F.lit(0.0),
+    ) if i < axes else F.lit(0.0)
     met = out.join(F.broadcast(order.select("_c", "cluster")), "_c").crossJoin(F.broadcast(span))
     return met.select(*vectors.columns, "cluster", *[scaled(i).alias(n) for i, n in enumerate("xyz")])
 
@@ -65,12 +101,29 @@ def cluster_names(points: DataFrame) -> list[dict]:
     """Each cluster's size, means and the two conditions whose share is furthest above the cohort's."""
     n = points.count()
     overall = points.select(F.explode("conditions").alias("c")).groupBy("c").agg((F.count(F.lit(1)) / n).alias("all"))
-    size = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("age"), 1).alias("mean_age"), F.round(F.avg("score"), 1).alias("mean_risk"))
-    share = points.select("cluster", F.explode("conditions").alias("c")).groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("m")).join(size, "cluster").join(overall, "c")
-    top = share.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.col("m") / F.col("size") - F.col("all")), "c"))).filter("r <= 2")
-    rows = size.join(top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "c"))).alias("t")), "cluster", "left").orderBy("cluster").collect()
+    size = points.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"), F.round(F.avg("age"), 1).alias("mean_age"),
+        F.round(F.avg("score"), 1).alias("mean_risk"),
+    )
+    share = points.select(
+        "cluster", F.explode("conditions").alias("c"),
+    ).groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("m")).join(size, "cluster").join(overall, "c")
+    top = share.withColumn(
+        "r",
+        F.row_number().over(
+            Window.partitionBy("cluster").orderBy(F.desc(F.col("m") / F.col("size") - F.col("all")), "c")
+        ),
+    ).filter("r <= 2")
+    rows = size.join(
+        top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "c"))).alias("t")), "cluster", "left",
+    ).orderBy("cluster").collect()
     out = []
     for r in rows:
         names = [x["c"] for x in r["t"] or []]
-        out.append({"id": r["cluster"], "name": " + ".join(SHORT.get(x, x) for x in names) or "mixed", "size": r["size"], "top_conditions": names, "mean_age": r["mean_age"], "mean_risk": r["mean_risk"]})
+        out.append(
+            {
+                "id": r["cluster"], "name": " + ".join(SHORT.get(x, x) for x in names) or "mixed", "size": r["size"],
+                "top_conditions": names, "mean_age": r["mean_age"], "mean_risk": r["mean_risk"],
+            }
+        )
     return out

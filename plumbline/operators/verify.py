@@ -41,31 +41,48 @@ def verify_answer(answer: str, evidence: list[dict], least: float = 0.5) -> dict
             reason = f"numbers not in evidence: {missing}" if missing else "" if overlap >= least else f"low overlap {overlap:.2f}"
         claims.append({"text": claim, "cites": cites, "supported": not reason, "reason": reason})
     good = sum(c["supported"] for c in claims)
-    return {"faithfulness": round(good / len(claims), 3) if claims else 1.0, "claims": claims, "derived_lines": derived, "supported": good, "total": len(claims)}
+    return {
+        "faithfulness": round(good / len(claims), 3) if claims else 1.0, "claims": claims, "derived_lines": derived,
+        "supported": good, "total": len(claims),
+    }
 
 
 def claims(answers: DataFrame, evidence: DataFrame, least: float = 0.5) -> DataFrame:
     """answers(aid, answer) and evidence(aid, n, text) -> aid, line_no, cites, overlap, missing (numbers not in the evidence),
     supported: a row for each claim."""
-    lines = answers.select("aid", F.posexplode(F.split("answer", "\n")).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" -•\t")))
+    lines = answers.select(
+        "aid", F.posexplode(F.split("answer", "\n")).alias("line_no", "line"),
+    ).withColumn("line", F.btrim("line", F.lit(" -•\t")))
     lines = lines.filter((F.col("line") != "") & ~F.col("line").endswith(":") & ~F.col("line").startswith("≈"))
     cites = F.transform(F.regexp_extract_all("line", F.lit(r"\[(\d+)\]"), 1), lambda n: n.cast("int"))
-    lines = lines.select("aid", "line_no", cites.alias("cites"), F.regexp_replace("line", r"\[\d+\]", "").alias("claim"))
+    lines = lines.select(
+        "aid", "line_no", cites.alias("cites"), F.regexp_replace("line", r"\[\d+\]", "").alias("claim"),
+    )
     cited = lines.select("aid", "line_no", F.explode("cites").alias("n")).join(evidence, ["aid", "n"])
-    said = cited.groupBy("aid", "line_no").agg(F.array_join(F.collect_list("text"), " ").alias("said"), F.countDistinct("n").alias("known"))
+    said = cited.groupBy("aid", "line_no").agg(
+        F.array_join(F.collect_list("text"), " ").alias("said"), F.countDistinct("n").alias("known"),
+    )
     words = lambda c: F.array_distinct(T.content_tokens(F.col(c)))
     nums = lambda c: F.regexp_extract_all(c, F.lit(r"(?<![\w.])\d+(?:\.\d+)?"), 0)
-    met = T.once(lines.join(said, ["aid", "line_no"], "left"), mine=words("claim"), theirs=words("said"), numbers=nums("said"))
+    met = T.once(
+        lines.join(said, ["aid", "line_no"], "left"), mine=words("claim"), theirs=words("said"), numbers=nums("said"),
+    )
     overlap = F.when(F.size("mine") == 0, 1.0).otherwise(F.size(F.array_intersect("mine", "theirs")) / F.size("mine"))
     missing = F.size(F.filter(nums("claim"), lambda n: ~F.coalesce(F.array_contains("numbers", n), F.lit(False))))
     known = (F.size("cites") > 0) & (F.coalesce("known", F.lit(0)) == F.size(F.array_distinct("cites")))
-    rows = met.select("aid", "line_no", "cites", overlap.alias("overlap"), missing.alias("missing"), known.alias("_known"))
+    rows = met.select(
+        "aid", "line_no", "cites", overlap.alias("overlap"), missing.alias("missing"), known.alias("_known"),
+    )
     holds = F.col("_known") & (F.col("missing") == 0) & (F.col("overlap") >= least)
     return rows.withColumn("supported", F.coalesce(holds, F.lit(False))).drop("_known")
 
 
 def verify_batch(answers: DataFrame, evidence: DataFrame, least: float = 0.5) -> DataFrame:
     """aid, supported, total, faithfulness of each answer: what verify_answer gives, for whole tables."""
-    got = claims(answers, evidence, least).groupBy("aid").agg(F.sum(F.col("supported").cast("int")).alias("supported"), F.count(F.lit(1)).alias("total"))
+    got = claims(answers, evidence, least).groupBy("aid").agg(
+        F.sum(F.col("supported").cast("int")).alias("supported"), F.count(F.lit(1)).alias("total"),
+    )
     rows = answers.select("aid").join(got, "aid", "left").na.fill(0, ["supported", "total"])
-    return rows.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("total"), 3)))
+    return rows.withColumn(
+        "faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("total"), 3)),
+    )

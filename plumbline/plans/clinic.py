@@ -17,14 +17,22 @@ from ..operators.chunks import chunk_records
 from ..sources.records import page
 from .queries import _POOL, _extra_free, _pool, _r, _sql_list, _toks, query, table
 
-CONDITIONS = ["Type 2 Diabetes Mellitus", "Essential Hypertension", "Chronic Kidney Disease Stage 3", "Asthma", "Coronary Artery Disease", "Hyperlipidemia", "Iron Deficiency Anemia"]
-DRUGS = ["Metformin 500 mg", "Telmisartan 40 mg", "Aspirin 75 mg", "Atorvastatin 20 mg", "Losartan 50 mg", "Methotrexate 15 mg weekly", "Salbutamol inhaler", "Sertraline 50 mg", "Folic Acid 5 mg", "Naproxen 250 mg"]
+CONDITIONS = [
+    "Type 2 Diabetes Mellitus", "Essential Hypertension", "Chronic Kidney Disease Stage 3", "Asthma",
+    "Coronary Artery Disease", "Hyperlipidemia", "Iron Deficiency Anemia",
+]
+DRUGS = [
+    "Metformin 500 mg", "Telmisartan 40 mg", "Aspirin 75 mg", "Atorvastatin 20 mg", "Losartan 50 mg",
+    "Methotrexate 15 mg weekly", "Salbutamol inhaler", "Sertraline 50 mg", "Folic Acid 5 mg", "Naproxen 250 mg",
+]
 ALLERGIES = ["None known", "NSAIDs", "Penicillin", "None known", "Latex"]
 #: test, unit, low, high, least value, step: steps are sums of powers of two, so that values are exact.
 TESTS = [
-    ("HbA1c", "%", 4.0, 6.0, 3.5, 0.125), ("eGFR", "mL/min", 60.0, 120.0, 20.0, 2.0), ("Serum Potassium", "mmol/L", 3.5, 5.0, 3.0, 0.0625), ("SpO2", "%", 94.0, 100.0, 84.0, 0.25), ("Hemoglobin", "g/dL", 12.0, 17.0, 7.0, 0.25),
+    ("HbA1c", "%", 4.0, 6.0, 3.5, 0.125), ("eGFR", "mL/min", 60.0, 120.0, 20.0, 2.0), (
+        "Serum Potassium", "mmol/L", 3.5, 5.0, 3.0, 0.0625,
+    ), ("SpO2", "%", 94.0, 100.0, 84.0, 0.25), ("Hemoglobin", "g/dL", 12.0, 17.0, 7.0, 0.25),
     ("Creatinine", "mg/dL", 0.5, 1.5, 0.25, 0.0625), ("LDL Cholesterol", "mg/dL", 40.0, 110.0, 30.0, 3.0),
-]
+]
 _SAID = sorted(SYMPTOMS)
 
 
@@ -35,35 +43,92 @@ def _pick(values: list, n: Column) -> Column:
 def records(spark, sf_dir: str) -> DataFrame:
     """Records with the schema of sources.records, one for each customer."""
     k, day = F.col("k"), lambda c: F.to_date(c).cast("string")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), day("o_orderdate").alias("day"), "o_orderstatus", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), day("o_orderdate").alias("day"),
+        "o_orderstatus", "o_orderpriority",
+    )
     o = orders.withColumn("condition", _pick(CONDITIONS, k))
-    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Emergency visit").when(F.col("o_orderpriority") == "2-HIGH", "Admission").otherwise("Clinic visit")
-    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "controlled").otherwise("worsening")
-    said = F.concat(F.lit("Seen for "), "condition", F.lit(". Reports "), _pick(_SAID, k), F.lit("; no "), _pick(_SAID, k * 7 + 3), F.lit(". Denies "), _pick(_SAID, k * 5 + 1), F.lit(" but has "), _pick(_SAID, k * 3 + 2), F.lit(". Allergies: Latex."))
-    encounter = F.struct(F.col("day").alias("date"), kind.alias("type"), F.col("o_orderpriority").alias("department"), F.col("condition").alias("reason"))
-    note = F.struct(F.col("day").alias("date"), F.lit("Visit note").alias("type"), F.lit("Dr. Berg").alias("author"), said.alias("text"))
-    diagnosis = F.when(k % 3 == 0, F.struct("condition", F.concat(F.lit("X"), (k % 7).cast("string")).alias("code"), F.col("day").alias("onset"), status.alias("status")))
+    kind = F.when(
+        F.col("o_orderpriority") == "1-URGENT", "Emergency visit",
+    ).when(F.col("o_orderpriority") == "2-HIGH", "Admission").otherwise("Clinic visit")
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(
+        F.col("o_orderstatus") == "F", "controlled",
+    ).otherwise("worsening")
+    said = F.concat(
+        F.lit("Seen for "), "condition", F.lit(". Reports "), _pick(_SAID, k), F.lit("; no "),
+        _pick(_SAID, k * 7 + 3), F.lit(". Denies "), _pick(_SAID, k * 5 + 1), F.lit(" but has "),
+        _pick(_SAID, k * 3 + 2), F.lit(". Allergies: Latex."),
+    )
+    encounter = F.struct(
+        F.col("day").alias("date"), kind.alias("type"), F.col("o_orderpriority").alias("department"),
+        F.col("condition").alias("reason"),
+    )
+    note = F.struct(
+        F.col("day").alias("date"), F.lit("Visit note").alias("type"), F.lit("Dr. Berg").alias("author"),
+        said.alias("text"),
+    )
+    diagnosis = F.when(
+        k % 3 == 0,
+        F.struct(
+            "condition", F.concat(F.lit("X"), (k % 7).cast("string")).alias("code"), F.col("day").alias("onset"),
+            status.alias("status"),
+        ),
+    )
     in_order = lambda *parts: F.sort_array(F.collect_list(F.struct(*parts)))
     visits = o.groupBy("c").agg(in_order("k", encounter.alias("e"), note.alias("n"), diagnosis.alias("d")).alias("v"))
-    visits = visits.select("c", F.col("v.e").alias("encounters"), F.col("v.n").alias("notes"), F.array_compact("v.d").alias("diagnoses"))
-
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", day("l_shipdate").alias("day"), "l_returnflag")
+    visits = visits.select(
+        "c", F.col("v.e").alias("encounters"), F.col("v.n").alias("notes"), F.array_compact("v.d").alias("diagnoses"),
+    )
+
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(
+        F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        day("l_shipdate").alias("day"), "l_returnflag",
+    )
     li = li.join(o.select("k", "c", "condition"), "k")
-    test = F.get(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("test", "unit", "lo", "hi", "least", "step"), t, strict=True)]) for t in TESTS]), (F.col("l_suppkey") % len(TESTS)).cast("int"))
+    test = F.get(
+        F.array(
+            *[
+                F.struct(
+                    *[
+                        F.lit(v).alias(n)
+                        for n, v in zip(("test", "unit", "lo", "hi", "least", "step"), t, strict=True)
+                    ]
+                )
+                for t in TESTS
+            ]
+        ),
+        (F.col("l_suppkey") % len(TESTS)).cast("int"),
+    )
     li = li.withColumn("t", test).withColumn("value", F.col("t.least") + F.col("l_quantity") * F.col("t.step"))
-    flag = F.when(F.col("value") > F.col("t.hi"), "HIGH").when(F.col("value") < F.col("t.lo"), "LOW").otherwise("NORMAL")
+    flag = F.when(
+        F.col("value") > F.col("t.hi"), "HIGH",
+    ).when(F.col("value") < F.col("t.lo"), "LOW").otherwise("NORMAL")
     span = F.concat(F.col("t.lo").cast("string"), F.lit("-"), F.col("t.hi").cast("string"))
-    med = F.struct(_pick(DRUGS, F.col("l_partkey")).alias("name"), F.col("condition").alias("for"), F.col("day").alias("started"), (F.col("l_returnflag") != "R").alias("active"))
-    lab = F.struct("t.test", "value", "t.unit", F.col("t.lo").alias("ref_low"), F.col("t.hi").alias("ref_high"), span.alias("ref_txt"), F.col("value").cast("string").alias("value_txt"), F.col("day").alias("date"), flag.alias("flag"))
+    med = F.struct(
+        _pick(DRUGS, F.col("l_partkey")).alias("name"), F.col("condition").alias("for"),
+        F.col("day").alias("started"), (F.col("l_returnflag") != "R").alias("active"),
+    )
+    lab = F.struct(
+        "t.test", "value", "t.unit", F.col("t.lo").alias("ref_low"), F.col("t.hi").alias("ref_high"),
+        span.alias("ref_txt"), F.col("value").cast("string").alias("value_txt"), F.col("day").alias("date"),
+        flag.alias("flag"),
+    )
     at = [F.col(c) for c in ("k", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "day", "l_returnflag")]
-    lines = li.groupBy("c").agg(in_order(*at, F.when(F.col("l_linenumber") == 1, med).alias("m"), F.when(F.col("l_linenumber") > 1, lab).alias("x")).alias("v"))
+    lines = li.groupBy("c").agg(
+        in_order(
+            *at, F.when(F.col("l_linenumber") == 1, med).alias("m"),
+            F.when(F.col("l_linenumber") > 1, lab).alias("x"),
+        ).alias("v")
+    )
     lines = lines.select("c", F.array_compact("v.m").alias("medications"), F.array_compact("v.x").alias("labs"))
 
     c = F.col("c_custkey")
     who = table(spark, sf_dir, "customer").select(
-        c.alias("c"), F.concat(F.lit("AUR-"), (c + 100000).cast("string")).alias("patient_id"), F.col("c_name").alias("name"), (c % 70 + 20).cast("int").alias("age"), F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("M").alias("sex"),
+        c.alias("c"), F.concat(
+            F.lit("AUR-"), (c + 100000).cast("string"),
+        ).alias("patient_id"), F.col("c_name").alias("name"), (c % 70 + 20).cast("int").alias("age"), F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("M").alias("sex"),
         _pick(ALLERGIES, c).alias("allergies"), F.lit("+49-300000000").alias("phone"),
-    )
+    )
     return who.join(visits, "c", "left").join(lines, "c", "left").drop("c")
 
 
@@ -71,7 +136,9 @@ def _sql_pick(values: list, n: str) -> str:
     return f"({_sql_list(values)})[({n}) % {len(values)} + 1]"
 
 
-_T = lambda i: "[" + ", ".join(repr(t[i]) if isinstance(t[i], str) else f"{t[i]}::DOUBLE" for t in TESTS) + f"][l_suppkey % {len(TESTS)} + 1]"
+_T = lambda i: "[" + ", ".join(
+    repr(t[i]) if isinstance(t[i], str) else f"{t[i]}::DOUBLE" for t in TESTS
+) + f"][l_suppkey % {len(TESTS)} + 1]"
 #: pat, diag, med, lab, enc and note: what the records above hold, flat; i numbers a patient's rows of a kind.
 _REC = f"""pat AS (SELECT c_custkey AS c, 'AUR-' || (100000 + c_custkey) AS pid, c_name AS name, (20 + c_custkey % 70)::INT AS age, CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, {_sql_pick(ALLERGIES, "c_custkey")} AS allergies FROM customer),
 ord AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, o_orderstatus AS st, o_orderpriority AS pr, {_sql_pick(CONDITIONS, "o_orderkey")} AS condition, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
@@ -86,7 +153,9 @@ _BASE = "lower(trim(regexp_extract({n}, '^(.*?)(?:[0-9]| inhaler| weekly|$)', 1)
 _CHUNKS = f"""u AS (SELECT c, 0 AS b, 0 AS i, 'profile' AS kind, NULL::VARCHAR AS date, name || ' is a ' || age || ' year old ' || CASE sex WHEN 'F' THEN 'female' ELSE 'male' END || ' patient. Documented allergies: ' || allergies || '.' AS text, NULL::VARCHAR AS what, NULL::DOUBLE AS value, NULL::VARCHAR AS flag FROM pat
 UNION ALL SELECT c, 1, i, 'diagnosis', onset, 'Diagnosis: ' || condition || ' (code ' || code || '), onset ' || onset || ', status ' || status || '.', condition, NULL, NULL FROM diag
 UNION ALL SELECT c, 2, 0, 'medication', NULL, 'Current medications: ' || string_agg(name || ' for ' || why, '; ' ORDER BY i) || '.', 'now', NULL, NULL FROM med WHERE active GROUP BY c
-UNION ALL SELECT c, 3, i, 'medication', started, 'Discontinued medication: ' || name || ' (was for ' || why || ').', {_BASE.format(n="name")}, NULL, NULL FROM med WHERE NOT active
+UNION ALL SELECT c, 3, i, 'medication', started, 'Discontinued medication: ' || name || ' (was for ' || why || ').', {
+    _BASE.format(n="name")
+}, NULL, NULL FROM med WHERE NOT active
 UNION ALL SELECT c, 4, i, 'lab', date, 'Lab result ' || test || ': ' || value || ' ' || unit || ' on ' || date || ' (reference ' || lo || '-' || hi || '), flagged ' || flag || '.', test, value, flag FROM lab
 UNION ALL SELECT c, 5, i, 'encounter', date, type || ' at ' || department || ' on ' || date || ' for ' || reason || '.', reason, NULL, NULL FROM enc
 UNION ALL SELECT c, 6, i, 'note', date, 'Visit note by Dr. Berg on ' || date || ': ' || text, NULL, NULL, NULL FROM note),
@@ -94,10 +163,15 @@ ch AS (SELECT u.*, pid, row_number() OVER (PARTITION BY u.c ORDER BY b, i) - 1 A
 chunk AS (SELECT *, pid || ':' || kind || ':' || ord AS chunk_id FROM ch)"""
 
 
-@query(f"WITH {_REC}, {_CHUNKS} SELECT chunk_id, pid AS patient_id, ord::BIGINT AS ord, kind, date, md5(text) AS text_md5 FROM chunk")
+@query(
+    f"WITH {_REC}, {_CHUNKS} SELECT chunk_id, pid AS patient_id, ord::BIGINT AS ord, kind, date, md5(text) AS text_md5 FROM chunk"
+)
 def flatten_records(spark, sf_dir):
     """Records as typed, numbered, citable texts."""
-    return chunk_records(records(spark, sf_dir)).select("chunk_id", "patient_id", F.col("ord").cast("long").alias("ord"), "kind", "date", F.md5("text").alias("text_md5"))
+    return chunk_records(records(spark, sf_dir)).select(
+        "chunk_id", "patient_id", F.col("ord").cast("long").alias("ord"), "kind", "date",
+        F.md5("text").alias("text_md5"),
+    )
 
 
 @query(f"""WITH {_REC}, {_CHUNKS}, s AS (SELECT * FROM chunk WHERE ord % 10 = 4),
@@ -125,13 +199,27 @@ def _value(test: str) -> str:
 
 
 _ALERTS = f"""{_LAST}, al AS (
-SELECT c, 0 AS o, 0 AS i, 'critical' AS severity, 'Allergy conflict' AS title, 'Documented NSAID allergy while on an NSAID-class medication (e.g. aspirin).' AS detail FROM pat p WHERE contains(lower(allergies), 'nsaids') AND {_ON.format(_LIKE(NSAID_LIKE))}
-UNION ALL SELECT c, 1, 1, 'high', 'Hyperkalaemia risk', 'Potassium ' || {_value("Serum Potassium")} || ' mmol/L while on an ACE-inhibitor/ARB.' FROM pat p WHERE {_value("Serum Potassium")} > 5.0 AND {_ON.format(_LIKE(RAAS))}
-UNION ALL SELECT c, 1, 2, 'high', 'Renal dose review', 'eGFR ' || {_value("eGFR")} || ' with metformin: review dose or continuation.' FROM pat p WHERE {_value("eGFR")} < 45 AND {_ON.format(_LIKE(["metformin"]))}
-UNION ALL SELECT c, 1, 3, 'high', 'Methotrexate with reduced eGFR', 'eGFR ' || {_value("eGFR")} || ': methotrexate clearance may be impaired.' FROM pat p WHERE {_value("eGFR")} < 45 AND {_ON.format(_LIKE(["methotrexate"]))}
-UNION ALL SELECT c, 2, 4, 'medium', 'Poor glycaemic control', 'Latest HbA1c ' || {_value("HbA1c")} || '% (target below 7-8% for most adults).' FROM pat p WHERE {_value("HbA1c")} >= 8.0
-UNION ALL SELECT c, 1, 5, 'high', 'Low oxygen saturation', 'SpO2 ' || {_value("SpO2")} || '%.' FROM pat p WHERE {_value("SpO2")} < 90
-UNION ALL SELECT c, 2, 6, 'medium', 'Significant anaemia', 'Haemoglobin ' || {_value("Hemoglobin")} || ' g/dL.' FROM pat p WHERE {_value("Hemoglobin")} < 9
+SELECT c, 0 AS o, 0 AS i, 'critical' AS severity, 'Allergy conflict' AS title, 'Documented NSAID allergy while on an NSAID-class medication (e.g. aspirin).' AS detail FROM pat p WHERE contains(lower(allergies), 'nsaids') AND {
+    _ON.format(_LIKE(NSAID_LIKE))
+}
+UNION ALL SELECT c, 1, 1, 'high', 'Hyperkalaemia risk', 'Potassium ' || {
+    _value("Serum Potassium")
+} || ' mmol/L while on an ACE-inhibitor/ARB.' FROM pat p WHERE {_value("Serum Potassium")} > 5.0 AND {_ON.format(_LIKE(RAAS))}
+UNION ALL SELECT c, 1, 2, 'high', 'Renal dose review', 'eGFR ' || {_value("eGFR")} || ' with metformin: review dose or continuation.' FROM pat p WHERE {_value("eGFR")} < 45 AND {
+    _ON.format(_LIKE(["metformin"]))
+}
+UNION ALL SELECT c, 1, 3, 'high', 'Methotrexate with reduced eGFR', 'eGFR ' || {_value("eGFR")} || ': methotrexate clearance may be impaired.' FROM pat p WHERE {_value("eGFR")} < 45 AND {
+    _ON.format(_LIKE(["methotrexate"]))
+}
+UNION ALL SELECT c, 2, 4, 'medium', 'Poor glycaemic control', 'Latest HbA1c ' || {
+    _value("HbA1c")
+} || '% (target below 7-8% for most adults).' FROM pat p WHERE {_value("HbA1c")} >= 8.0
+UNION ALL SELECT c, 1, 5, 'high', 'Low oxygen saturation', 'SpO2 ' || {
+    _value("SpO2")
+} || '%.' FROM pat p WHERE {_value("SpO2")} < 90
+UNION ALL SELECT c, 2, 6, 'medium', 'Significant anaemia', 'Haemoglobin ' || {
+    _value("Hemoglobin")
+} || ' g/dL.' FROM pat p WHERE {_value("Hemoglobin")} < 9
 UNION ALL SELECT c, 2, 7, 'medium', 'Condition marked worsening', string_agg(condition, ', ' ORDER BY i) FROM diag WHERE status = 'worsening' GROUP BY c)"""
 _RISK = f"""{_ALERTS}, rk0 AS (SELECT c, pid, least(100, CASE WHEN age >= 65 THEN 12 WHEN age >= 50 THEN 6 ELSE 0 END + 8 * (SELECT count(*) FROM diag WHERE diag.c = p.c) + CASE WHEN (SELECT count(*) FROM med WHERE med.c = p.c AND active) >= 4 THEN 10 ELSE 0 END
 + least(25, 2 * (SELECT count(*) FROM lab WHERE lab.c = p.c AND flag <> 'NORMAL')) + 6 * (SELECT count(*) FROM enc WHERE enc.c = p.c AND type IN ('Admission', 'Emergency visit')) + CASE WHEN EXISTS (FROM diag WHERE diag.c = p.c AND status = 'worsening') THEN 12 ELSE 0 END
@@ -139,7 +227,9 @@ _RISK = f"""{_ALERTS}, rk0 AS (SELECT c, pid, least(100, CASE WHEN age >= 65 THE
 rk AS (SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 35 THEN 'moderate' ELSE 'low' END AS band FROM rk0)"""
 
 
-@query(f"WITH {_REC}, {_ALERTS} SELECT pid AS patient_id, row_number() OVER (PARTITION BY c ORDER BY o, i) - 1 AS place, severity, title, detail FROM al JOIN pat USING (c)")
+@query(
+    f"WITH {_REC}, {_ALERTS} SELECT pid AS patient_id, row_number() OVER (PARTITION BY c ORDER BY o, i) - 1 AS place, severity, title, detail FROM al JOIN pat USING (c)"
+)
 def alert_rules(spark, sf_dir):
     rows = clinical.with_alerts(records(spark, sf_dir)).select("patient_id", F.posexplode("alerts").alias("place", "a"))
     return rows.select("patient_id", F.col("place").cast("long").alias("place"), "a.severity", "a.title", "a.detail")
@@ -147,7 +237,9 @@ def alert_rules(spark, sf_dir):
 
 @query(f"WITH {_REC}, {_RISK} SELECT pid AS patient_id, score, band FROM rk")
 def risk_score(spark, sf_dir):
-    return clinical.with_risk(records(spark, sf_dir)).select("patient_id", F.col("score").cast("long").alias("score"), "band")
+    return clinical.with_risk(records(spark, sf_dir)).select(
+        "patient_id", F.col("score").cast("long").alias("score"), "band",
+    )
 
 
 _STATS = f"""{_RISK}, st AS (SELECT 'patients' AS part, NULL AS name, count(*)::DOUBLE AS value FROM pat UNION ALL SELECT 'mean_age', NULL, round(avg(age), 1) FROM pat UNION ALL SELECT 'female_pct', NULL, round(100.0::DOUBLE * avg((sex = 'F')::INT), 1) FROM pat
@@ -165,7 +257,9 @@ def cohort_stats(spark, sf_dir):
 @query(f"WITH {_REC}, {_STATS} SELECT name AS bin, value::BIGINT AS n FROM st WHERE part = 'age_bin'")
 def age_bins_zero_fill(spark, sf_dir):
     """Of an empty cohort's bins, all are there."""
-    return clinical.cohort_table(records(spark, sf_dir)).filter("part = 'age_bin'").select(F.col("name").alias("bin"), F.col("value").cast("long").alias("n"))
+    return clinical.cohort_table(records(spark, sf_dir)).filter("part = 'age_bin'").select(
+        F.col("name").alias("bin"), F.col("value").cast("long").alias("n"),
+    )
 
 
 @query(f"""WITH {_REC}, tl AS (SELECT c, date, 0 AS b, i, 'encounter' AS kind, type || ' · ' || department AS title, reason AS detail FROM enc UNION ALL SELECT c, date, 1, i, 'note', 'Visit note', substr(text, 1, 140) || '…' FROM note
@@ -182,7 +276,9 @@ def patient_search(spark, sf_dir):
     """The two hundred patients of the highest risk among those whose name, id or conditions hold a word."""
     found = clinical.patient_list(records(spark, sf_dir), "Asthma").limit(200)
     line = Window.orderBy(F.desc("risk"), "name", "patient_id")
-    return found.select("patient_id", "name", F.col("risk").cast("long").alias("risk")).withColumn("place", F.row_number().over(line).cast("long"))
+    return found.select(
+        "patient_id", "name", F.col("risk").cast("long").alias("risk"),
+    ).withColumn("place", F.row_number().over(line).cast("long"))
 
 
 @query(f"WITH {_REC} SELECT pid AS patient_id, name FROM pat ORDER BY pid LIMIT 100 OFFSET 50")
@@ -204,37 +300,54 @@ m AS (SELECT c, test, median(value) AS med FROM r WHERE rn > 1 AND n >= 4 GROUP
 d AS (SELECT c, test, any_value(med) AS med, median(abs(value - med)) * 1.4826::DOUBLE AS mad, stddev_pop(value) AS sd FROM r JOIN m USING (c, test) WHERE rn > 1 GROUP BY ALL)
 SELECT pid AS patient_id, test, round(med, 4) AS median, value AS last, abs((value - med) / CASE WHEN mad <> 0 THEN mad WHEN sd <> 0 THEN sd ELSE 1e-9 END) > 3.5 AS flag FROM d JOIN r USING (c, test) JOIN pat USING (c) WHERE rn = 1""")
 def record_lab_anomalies(spark, sf_dir):
-    return clinical.lab_anomalies(records(spark, sf_dir)).select("patient_id", "test", _r(F.col("median"), 4).alias("median"), "last", "flag")
+    return clinical.lab_anomalies(records(spark, sf_dir)).select(
+        "patient_id", "test", _r(F.col("median"), 4).alias("median"), "last", "flag",
+    )
 
 
 # ---------------------------------------------------------------- notes: sentences, entities, negation
 
 _WS = r"[ \t\n\v\f\r]+"
 _SENT = rf"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.;]){_WS}', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
-_LEX = "lex(kind, name, pat) AS (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in entry) + ")" for entry in nlp.lexicon()) + ")"
+_LEX = "lex(kind, name, pat) AS (VALUES " + ", ".join(
+    "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in entry) + ")" for entry in nlp.lexicon()
+) + ")"
 _ENT = f"""{_LEX}, sn AS (SELECT c, i, date, lower(unnest({_SENT})) AS s FROM note),
 mn AS (SELECT c, i, date, s, kind, name, regexp_replace(regexp_extract(s, '^(.*?)' || pat, 1, 's'), '^.*{TERMINATORS}', '', 's') AS before FROM sn, lex WHERE regexp_matches(s, pat)),
 ent AS (SELECT c, i, date, kind, name, regexp_matches(array_to_string((list_filter(regexp_split_to_array(before, '{_WS}'), lambda w: w <> ''))[-6:], ' '), '{NEGATIONS}') AS negated FROM mn)"""
 
 
-@query(f"SELECT doc_id, len({_SENT})::BIGINT AS n_sentences, list_max(list_transform({_SENT}, lambda s: len(s)))::BIGINT AS longest FROM documents")
+@query(
+    f"SELECT doc_id, len({_SENT})::BIGINT AS n_sentences, list_max(list_transform({_SENT}, lambda s: len(s)))::BIGINT AS longest FROM documents"
+)
 def sentence_split(spark, sf_dir):
     s = T.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.array_max(F.transform(s, lambda x: F.length(x))).cast("long").alias("longest"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(s).cast("long").alias("n_sentences"),
+        F.array_max(F.transform(s, lambda x: F.length(x))).cast("long").alias("longest"),
+    )
 
 
 def _notes(spark, sf_dir) -> DataFrame:
-    return records(spark, sf_dir).select("patient_id", F.posexplode("notes").alias("i", "n")).select("patient_id", F.col("i").cast("long").alias("i"), "n.date", "n.text")
+    return records(spark, sf_dir).select("patient_id", F.posexplode("notes").alias("i", "n")).select(
+        "patient_id", F.col("i").cast("long").alias("i"), "n.date", "n.text",
+    )
 
 
-@query(f"WITH {_REC}, {_ENT} SELECT pid AS patient_id, i, kind, ent.name, negated, count(*)::BIGINT AS mentions FROM ent JOIN pat USING (c) GROUP BY ALL UNION ALL SELECT pid, i, 'allergen', 'Latex', false, 1 FROM note JOIN pat USING (c)")
+@query(
+    f"WITH {_REC}, {_ENT} SELECT pid AS patient_id, i, kind, ent.name, negated, count(*)::BIGINT AS mentions FROM ent JOIN pat USING (c) GROUP BY ALL UNION ALL SELECT pid, i, 'allergen', 'Latex', false, 1 FROM note JOIN pat USING (c)"
+)
 def negation_flags(spark, sf_dir):
     """Every entity of every note, with whether it is denied."""
     rows = _notes(spark, sf_dir).select("patient_id", "i", F.explode(nlp.entities(F.col("text"))).alias("e"))
-    return rows.groupBy("patient_id", "i", F.col("e.type").alias("kind"), F.col("e.text").alias("name"), "e.negated").agg(F.count(F.lit(1)).alias("mentions"))
+    return rows.groupBy(
+        "patient_id", "i", F.col("e.type").alias("kind"), F.col("e.text").alias("name"), "e.negated",
+    ).agg(F.count(F.lit(1)).alias("mentions"))
 
 
-@query(f"WITH {_REC}, {_ENT} SELECT pid AS patient_id, ent.name, negated, count(*)::BIGINT AS mentions, max(date) AS last FROM ent JOIN pat USING (c) WHERE kind = 'symptom' GROUP BY ALL")
+@query(
+    f"WITH {_REC}, {_ENT} SELECT pid AS patient_id, ent.name, negated, count(*)::BIGINT AS mentions, max(date) AS last FROM ent JOIN pat USING (c) WHERE kind = 'symptom' GROUP BY ALL"
+)
 def entity_counts(spark, sf_dir):
     """Every symptom of every patient's notes, said and denied."""
     return nlp.note_symptoms(_notes(spark, sf_dir), ["patient_id"], "date", "text")
@@ -244,7 +357,9 @@ def entity_counts(spark, sf_dir):
 
 _EDGE = f"""{_ENT}, eg AS (SELECT c, 'profile' AS etype, 'profile' AS target, chunk_id, date, value, flag FROM chunk WHERE kind = 'profile'
 UNION ALL SELECT c, 'has_condition', what, arg_max(chunk_id, ord), arg_max(date, ord), NULL, NULL FROM chunk WHERE kind = 'diagnosis' GROUP BY c, what
-UNION ALL SELECT DISTINCT med.c, 'takes_drug', {_BASE.format(n="med.name")}, chunk_id, NULL, NULL, NULL FROM med JOIN chunk ON chunk.c = med.c AND what = 'now' WHERE active
+UNION ALL SELECT DISTINCT med.c, 'takes_drug', {
+    _BASE.format(n="med.name")
+}, chunk_id, NULL, NULL, NULL FROM med JOIN chunk ON chunk.c = med.c AND what = 'now' WHERE active
 UNION ALL SELECT c, 'took_drug', what, arg_max(chunk_id, ord), arg_max(date, ord), NULL, NULL FROM chunk WHERE kind = 'medication' AND what <> 'now' GROUP BY c, what
 UNION ALL SELECT c, 'has_lab', what, arg_max(chunk_id, (date, -ord)), max(date), arg_max(value, (date, -ord)), arg_max(flag, (date, -ord)) FROM chunk WHERE kind = 'lab' GROUP BY c, what
 UNION ALL SELECT c, 'reports_symptom', name, arg_min(chunk_id, ord), arg_min(date, ord), NULL, NULL FROM (SELECT e.c, e.name, chunk_id, chunk.date, ord FROM ent e JOIN chunk ON chunk.c = e.c AND chunk.kind = 'note' AND chunk.i = e.i WHERE e.kind = 'symptom' AND NOT negated) GROUP BY c, name)"""
@@ -255,12 +370,16 @@ def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return held, graph.edges(chunk_records(held))
 
 
-@query(f"WITH {_REC}, {_CHUNKS}, {_EDGE} SELECT pid AS patient_id, etype, target, chunk_id, date, value, flag FROM eg JOIN pat USING (c)")
+@query(
+    f"WITH {_REC}, {_CHUNKS}, {_EDGE} SELECT pid AS patient_id, etype, target, chunk_id, date, value, flag FROM eg JOIN pat USING (c)"
+)
 def record_edges(spark, sf_dir):
     return _edges(spark, sf_dir)[1].select("patient_id", "etype", "target", "chunk_id", "date", "value", "flag")
 
 
-@query(f"WITH {_REC}, {_CHUNKS}, {_EDGE} SELECT etype, count(DISTINCT target)::BIGINT AS nodes, count(*)::BIGINT AS edges FROM eg GROUP BY etype")
+@query(
+    f"WITH {_REC}, {_CHUNKS}, {_EDGE} SELECT etype, count(DISTINCT target)::BIGINT AS nodes, count(*)::BIGINT AS edges FROM eg GROUP BY etype"
+)
 def graph_stats(spark, sf_dir):
     return graph.stats_table(_edges(spark, sf_dir)[1])
 
@@ -293,11 +412,21 @@ _PROFILE = "SELECT c, {why} AS why, chunk_id FROM eg JOIN pat USING (c) WHERE et
 
 def _matched(spark, sf_dir, question: str) -> DataFrame:
     held, edges = _edges(spark, sf_dir)
-    found = graph.match(held, edges, Q.parse_cohort(question, {"metformin", "telmisartan", "losartan", "atorvastatin", "salbutamol"}))
-    return found.select("patient_id", "name", F.col("age").cast("long").alias("age"), "sex", F.array_join("why", "; ").alias("why"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
-
-
-@query(_cohort_sql(_has_sql("has_condition", "Type 2 Diabetes Mellitus", "target"), _drugs_sql("metformin"), _lab_sql("eGFR", "value < 60")))
+    found = graph.match(
+        held, edges, Q.parse_cohort(question, {"metformin", "telmisartan", "losartan", "atorvastatin", "salbutamol"}),
+    )
+    return found.select(
+        "patient_id", "name", F.col("age").cast("long").alias("age"), "sex", F.array_join("why", "; ").alias("why"),
+        F.array_join("chunk_ids", ",").alias("chunk_ids"),
+    )
+
+
+@query(
+    _cohort_sql(
+        _has_sql("has_condition", "Type 2 Diabetes Mellitus", "target"), _drugs_sql("metformin"),
+        _lab_sql("eGFR", "value < 60"),
+    )
+)
 def cohort_semi_join(spark, sf_dir):
     return _matched(spark, sf_dir, "which patients with diabetes on metformin have eGFR below 60?")
 
@@ -307,13 +436,24 @@ def cohort_or_group(spark, sf_dir):
     return _matched(spark, sf_dir, "patients on arbs with high potassium")
 
 
-@query(_cohort_sql(_PROFILE.format(why="'allergy: ' || allergies"), _has_sql("reports_symptom", "fatigue", "'reports fatigue'"), where="contains(lower(allergies), 'penicillin')"))
+@query(
+    _cohort_sql(
+        _PROFILE.format(why="'allergy: ' || allergies"), _has_sql("reports_symptom", "fatigue", "'reports fatigue'"),
+        where="contains(lower(allergies), 'penicillin')",
+    )
+)
 def cohort_anti(spark, sf_dir):
     """Those who report a symptom, without those who deny it."""
     return _matched(spark, sf_dir, "who is allergic to penicillin and has fatigue")
 
 
-@query(_cohort_sql(_lab_sql("Hemoglobin", "flag <> 'NORMAL'"), _PROFILE.format(why="'age ' || age"), _PROFILE.format(why="NULL::VARCHAR"), _has_sql("reports_symptom", "cough", "'reports cough'"), where="age > 50 AND sex = 'F'"))
+@query(
+    _cohort_sql(
+        _lab_sql("Hemoglobin", "flag <> 'NORMAL'"), _PROFILE.format(why="'age ' || age"),
+        _PROFILE.format(why="NULL::VARCHAR"), _has_sql("reports_symptom", "cough", "'reports cough'"),
+        where="age > 50 AND sex = 'F'",
+    )
+)
 def cohort_reasons(spark, sf_dir):
     return _matched(spark, sf_dir, "women over 50 with abnormal hemoglobin and cough")
 
@@ -333,14 +473,23 @@ SELECT ft.pid AS patient_id, round(list_dot_product(ft.f, me.f) / (sqrt(list_dot
 array_to_string(list_sort(list_intersect(ft.drugs, me.drugs)), ',') AS medications FROM ft, me WHERE ft.pid <> me.pid ORDER BY similarity DESC, ft.pid LIMIT 15""")
 def similar_entities(spark, sf_dir):
     found = similarity.similar(similarity.feature_vectors(records(spark, sf_dir)), "AUR-100007", 15)
-    return found.select("patient_id", "similarity", F.array_join("shared_conditions", ",").alias("conditions"), F.array_join("shared_medications", ",").alias("medications"))
+    return found.select(
+        "patient_id", "similarity", F.array_join("shared_conditions", ",").alias("conditions"),
+        F.array_join("shared_medications", ",").alias("medications"),
+    )
 
 
-@query(f"WITH {_REC}, {_FEATURES} SELECT pid AS patient_id, len(f)::BIGINT AS n, round(list_sum(f), 6) AS total, round(list_dot_product(f, f), 6) AS norm2 FROM ft")
+@query(
+    f"WITH {_REC}, {_FEATURES} SELECT pid AS patient_id, len(f)::BIGINT AS n, round(list_sum(f), 6) AS total, round(list_dot_product(f, f), 6) AS norm2 FROM ft"
+)
 def feature_pivot(spark, sf_dir):
     f = F.col("features")
     rows = similarity.feature_vectors(records(spark, sf_dir))
-    return rows.select("patient_id", F.size(f).cast("long").alias("n"), F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(T.dot(f, f), 6).alias("norm2"))
+    return rows.select(
+        "patient_id", F.size(f).cast("long").alias("n"),
+        F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.round(T.dot(f, f), 6).alias("norm2"),
+    )
 
 
 # ---------------------------------------------------------------- privacy, audit
@@ -349,10 +498,17 @@ _UW, _UD, _US = r"\p{L}\p{M}\p{Nd}\p{Pc}", r"\p{Nd}", r"\s\v\p{Z}\x{85}"
 _RED = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\+?{_UD}[{_UD}\-{_US}]{{8,}}{_UD}', '[PHONE]', 'g'), '[{_UW}.+-]+@[{_UW}-]+\.[{_UW}.-]+', '[EMAIL]', 'g'), '\bAUR-\d{{6}}\b', '[MRN]', 'g'), '\bDr\.[{_US}]+[A-Z][a-z]+', 'Dr. [CLINICIAN]', 'g')"
 
 
-@query(f"WITH r AS (SELECT doc_id, {_RED} AS t FROM documents) SELECT doc_id, md5(t) AS redacted_md5, len(regexp_extract_all(t, '\\[PHONE\\]'))::BIGINT AS n_phone FROM r")
+@query(
+    f"WITH r AS (SELECT doc_id, {_RED} AS t FROM documents) SELECT doc_id, md5(t) AS redacted_md5, len(regexp_extract_all(t, '\\[PHONE\\]'))::BIGINT AS n_phone FROM r"
+)
 def redact_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", privacy.redacted(F.coalesce("text", F.lit(""))).alias("t"))
-    return rows.select("doc_id", F.md5("t").alias("redacted_md5"), F.regexp_count("t", F.lit(r"\[PHONE\]")).cast("long").alias("n_phone"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", privacy.redacted(F.coalesce("text", F.lit(""))).alias("t"),
+    )
+    return rows.select(
+        "doc_id", F.md5("t").alias("redacted_md5"),
+        F.regexp_count("t", F.lit(r"\[PHONE\]")).cast("long").alias("n_phone"),
+    )
 
 
 @query("""WITH s AS (SELECT user_id || '/' || event_type || '/' || strftime(ts, '%Y-%m') AS segment, event_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY event_id) AS seq FROM s)
@@ -360,7 +516,10 @@ SELECT segment, count(*)::BIGINT AS entries, min(CASE WHEN event_id % 97 = 0 THE
 def audit_chain_verify(spark, sf_dir):
     """A chained log for each user, type and month, some of whose entries were edited afterwards: where each breaks first."""
     at = F.concat_ws("/", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM"))
-    events = table(spark, sf_dir, "events").select(at.alias("segment"), "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("body"))
+    events = table(spark, sf_dir, "events").select(
+        at.alias("segment"), "event_id",
+        F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props").alias("body"),
+    )
     edited = F.when(F.col("event_id") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
     log = privacy.chained(events, "segment", "event_id", "body").withColumn("body", edited)
     return privacy.verify_chain(log, "seq", "body", segment="segment")
@@ -369,12 +528,22 @@ def audit_chain_verify(spark, sf_dir):
 # ---------------------------------------------------------------- questions and conversations
 
 _INTENT = f"CASE WHEN regexp_matches(t, 'allerg') THEN 'allergy' WHEN regexp_matches(t, '{MED_WORDS}') THEN 'medication' WHEN regexp_matches(t, '{LAB_WORDS}') THEN 'lab' WHEN regexp_matches(t, '{ENC_WORDS}') THEN 'encounter' ELSE 'general' END"
-_ANSWER = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in ANSWER_INTENTS.items()) + " ELSE 'general' END"
+_ANSWER = "CASE " + " ".join(
+    f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in ANSWER_INTENTS.items()
+) + " ELSE 'general' END"
 
 
-@query(f"SELECT conv_id, turn, {_INTENT} AS intent, {_ANSWER} AS answer_intent, regexp_matches(t, '{COHORT_WORDS}') AS cohort FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)")
+@query(
+    f"SELECT conv_id, turn, {_INTENT} AS intent, {_ANSWER} AS answer_intent, regexp_matches(t, '{COHORT_WORDS}') AS cohort FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)"
+)
 def intent_label(spark, sf_dir):
-    rows = batch.read(table(spark, sf_dir, "conversations"), "text", {"intent": ("string", Q.intent), "answer_intent": ("string", Q.answer_intent), "cohort": ("boolean", Q.is_cohort)})
+    rows = batch.read(
+        table(spark, sf_dir, "conversations"), "text",
+        {
+            "intent": ("string", Q.intent), "answer_intent": ("string", Q.answer_intent),
+            "cohort": ("boolean", Q.is_cohort),
+        },
+    )
     return rows.select("conv_id", "turn", "intent", "answer_intent", "cohort")
 
 
@@ -385,11 +554,16 @@ _CUT = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([?;
 @query(rf"""WITH p AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: trim(x, ' ?.,' || chr(9) || chr(10))), lambda x: len({_extra_free("x")}) > 0) AS p FROM conversations)
 SELECT conv_id, turn, greatest(len(p), 1)::BIGINT AS n_parts, md5(CASE WHEN len(p) > 1 THEN p[1] ELSE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) END) AS first_md5 FROM p""")
 def decompose_turns(spark, sf_dir):
-    rows = batch.read(table(spark, sf_dir, "conversations"), "text", {"n_parts": ("long", lambda q: len(Q.decompose(q))), "first": ("string", lambda q: Q.decompose(q)[0])})
+    rows = batch.read(
+        table(spark, sf_dir, "conversations"), "text",
+        {"n_parts": ("long", lambda q: len(Q.decompose(q))), "first": ("string", lambda q: Q.decompose(q)[0])},
+    )
     return rows.select("conv_id", "turn", "n_parts", F.md5("first").alias("first_md5"))
 
 
-_ITS = lambda c: "list_filter([" + ", ".join(f"trim(regexp_extract({c}, '(?i){p}', 0))" for p in Q._MODIFIERS) + "], lambda m: m <> '')"
+_ITS = lambda c: "list_filter([" + ", ".join(
+    f"trim(regexp_extract({c}, '(?i){p}', 0))" for p in Q._MODIFIERS
+) + "], lambda m: m <> '')"
 _OPENS = "(?i)^[^a-z0-9<>?;]*(?:" + "|".join(sorted(Q._OPENERS, key=len, reverse=True)) + r")\b"
 
 
@@ -400,14 +574,26 @@ SELECT conv_id, turn, follows AND len(carried) > 0 AS carries, md5(CASE WHEN fol
 def condense_followups(spark, sf_dir):
     """Each turn as a question of its own, with what it takes from the speaker's last one."""
     line = Window.partitionBy("conv_id", "role").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"), F.coalesce(F.lag("text").over(line), F.lit("")).alias("before"))
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"),
+        F.coalesce(F.lag("text").over(line), F.lit("")).alias("before"),
+    )
     both = turns.select("conv_id", "turn", F.concat_ws("\u0001", "q", "before").alias("both"))
     condensed = lambda x: Q.condense(x.split("\u0001")[0], [x.split("\u0001")[1]])
-    rows = batch.read(both, "both", {"alone": ("string", lambda x: condensed(x)[0]), "carries": ("boolean", lambda x: condensed(x)[1] is not None)})
+    rows = batch.read(
+        both, "both",
+        {
+            "alone": ("string", lambda x: condensed(x)[0]),
+            "carries": ("boolean", lambda x: condensed(x)[1] is not None),
+        },
+    )
     return rows.select("conv_id", "turn", "carries", F.md5("alone").alias("alone_md5"))
 
 
-_TEST_SQL = "[" + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){n}($|[^a-z0-9])') THEN '{k}' END" for k, n in (("eGFR", "e?gfr"), ("HbA1c", "(hb)?a1c"), ("Creatinine", "creatinine"))) + "]"
+_TEST_SQL = "[" + ", ".join(
+    f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){n}($|[^a-z0-9])') THEN '{k}' END"
+    for k, n in (("eGFR", "e?gfr"), ("HbA1c", "(hb)?a1c"), ("Creatinine", "creatinine"))
+) + "]"
 
 
 @query(f"""WITH a AS (SELECT event_id, {_sql_pick(["latest egfr", "creatinine over 1.4 since 2024", "hba1c in the last 6 months", "any alerts or risk?", "is the hba1c trend rising and what is the gfr"], "event_id")} AS t FROM events)
@@ -416,13 +602,21 @@ CASE WHEN regexp_matches(t, 'alert|risk|trend') THEN 'agentic' WHEN regexp_match
 def question_readings(spark, sf_dir):
     """What questions about one patient name and where they go: tests, time, route and limits."""
     asof = date(2026, 6, 30)
-    asked = _pick(["latest egfr", "creatinine over 1.4 since 2024", "hba1c in the last 6 months", "any alerts or risk?", "is the hba1c trend rising and what is the gfr"], F.col("event_id"))
+    asked = _pick(
+        [
+            "latest egfr", "creatinine over 1.4 since 2024", "hba1c in the last 6 months", "any alerts or risk?",
+            "is the hba1c trend rising and what is the gfr"
+        ],
+        F.col("event_id"),
+    )
     rows = table(spark, sf_dir, "events").select("event_id", asked.alias("t"))
     start = lambda q: w.start.isoformat() if (w := Q.parse_time(q, asof)).start else None
     over = lambda q: next((x.number for x in Q.parse_cohort(q, set()) if x.kind == "lab"), None)
     readers = {
-        "tests": ("string", lambda q: ",".join(sorted(Q.named_tests(q)))), "start": ("string", start), "latest": ("boolean", lambda q: Q.parse_time(q, asof).latest), "route": ("string", lambda q: Q.route(q, Q.parse_cohort(q, set()), True, asof)[0]), "over": ("double", over),
-    }
+        "tests": ("string", lambda q: ",".join(sorted(Q.named_tests(q)))), "start": ("string", start), "latest": ("boolean", lambda q: Q.parse_time(q, asof).latest), "route": (
+            "string", lambda q: Q.route(q, Q.parse_cohort(q, set()), True, asof)[0],
+        ), "over": ("double", over),
+    }
     return batch.read(rows, "t", readers).drop("t")
 
 
@@ -438,19 +632,35 @@ _CLAIMS = rf"""{_POOL}, y AS (SELECT item_id, rank + 1 AS place, CASE WHEN len(q
 
 def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """answers and evidence: each benchmark passage, claimed once for each of its three best texts."""
-    pool = _pool(spark, sf_dir, 3).select(F.col("item_id").alias("aid"), (F.col("rank") + 1).cast("int").alias("n"), "doc_id", "question", "passage")
-    claim = F.concat(F.lit("- "), F.regexp_replace("question", r"[\n\r]", " "), F.lit(" ["), F.col("n").cast("string"), F.lit("]"))
+    pool = _pool(spark, sf_dir, 3).select(
+        F.col("item_id").alias("aid"), (F.col("rank") + 1).cast("int").alias("n"), "doc_id", "question", "passage",
+    )
+    claim = F.concat(
+        F.lit("- "), F.regexp_replace("question", r"[\n\r]", " "), F.lit(" ["), F.col("n").cast("string"), F.lit("]"),
+    )
     lines = F.sort_array(F.collect_list(F.struct("n", claim.alias("claim"))))["claim"]
-    return pool.groupBy("aid").agg(F.array_join(lines, "\n").alias("answer")), pool.select("aid", "n", F.col("passage").alias("text"))
+    return pool.groupBy("aid").agg(F.array_join(lines, "\n").alias("answer")), pool.select(
+        "aid", "n", F.col("passage").alias("text"),
+    )
 
 
-@query(f"{_CLAIMS} SELECT item_id, place::BIGINT AS place, round(overlap, 6) AS overlap, missing::BIGINT AS missing_numbers, overlap >= 0.5 AND missing = 0 AS supported FROM y")
+@query(
+    f"{_CLAIMS} SELECT item_id, place::BIGINT AS place, round(overlap, 6) AS overlap, missing::BIGINT AS missing_numbers, overlap >= 0.5 AND missing = 0 AS supported FROM y"
+)
 def verify_claims(spark, sf_dir):
     found = verify.claims(*_answers(spark, sf_dir))
-    return found.select(F.col("aid").alias("item_id"), (F.col("line_no") + 1).cast("long").alias("place"), _r(F.col("overlap")).alias("overlap"), F.col("missing").cast("long").alias("missing_numbers"), "supported")
+    return found.select(
+        F.col("aid").alias("item_id"), (F.col("line_no") + 1).cast("long").alias("place"),
+        _r(F.col("overlap")).alias("overlap"), F.col("missing").cast("long").alias("missing_numbers"), "supported",
+    )
 
 
-@query(f"{_CLAIMS} SELECT item_id, count(*)::BIGINT AS total, sum((overlap >= 0.5 AND missing = 0)::INT)::BIGINT AS supported, round(avg((overlap >= 0.5 AND missing = 0)::INT), 3) AS faithfulness FROM y GROUP BY item_id")
+@query(
+    f"{_CLAIMS} SELECT item_id, count(*)::BIGINT AS total, sum((overlap >= 0.5 AND missing = 0)::INT)::BIGINT AS supported, round(avg((overlap >= 0.5 AND missing = 0)::INT), 3) AS faithfulness FROM y GROUP BY item_id"
+)
 def faithfulness(spark, sf_dir):
     found = verify.verify_batch(*_answers(spark, sf_dir))
-    return found.select(F.col("aid").alias("item_id"), F.col("total").cast("long").alias("total"), F.col("supported").cast("long").alias("supported"), "faithfulness")
+    return found.select(
+        F.col("aid").alias("item_id"), F.col("total").cast("long").alias("total"),
+        F.col("supported").cast("long").alias("supported"), "faithfulness",
+    )

@@ -34,7 +34,9 @@ class SentenceEncoder:
     """Any model that turns a list of texts into rows of numbers; by default a sentence-transformers model, where that
     package is installed. load runs once in each Python worker, and texts go through it in Arrow batches."""
 
-    def __init__(self, load=None, name: str = "sentence-transformers", model: str = "sentence-transformers/all-MiniLM-L6-v2"):
+    def __init__(
+        self, load=None, name: str = "sentence-transformers", model: str = "sentence-transformers/all-MiniLM-L6-v2",
+    ):
         self.load, self.name, self.model = load, name, model
         if load is None:
             import sentence_transformers  # noqa: F401 - fails here rather than in a worker

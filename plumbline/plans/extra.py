@@ -23,7 +23,9 @@ def _diverse(pool: pd.DataFrame, k: int, weight: float) -> pd.DataFrame:
         gain = weight * rel - (1 - weight) * like[:, chosen].max(axis=1)
         gain[chosen] = -np.inf
         chosen.append(int(np.argmax(gain)))
-    return pd.DataFrame({"qid": pool["qid"].iloc[0], "vec_id": pool["id"].iloc[chosen].to_numpy(), "place": np.arange(len(chosen))})
+    return pd.DataFrame(
+        {"qid": pool["qid"].iloc[0], "vec_id": pool["id"].iloc[chosen].to_numpy(), "place": np.arange(len(chosen))}
+    )
 
 
 @query()
@@ -44,13 +46,20 @@ def kmeans_clusters(spark, sf_dir) -> DataFrame:
 
 @query()
 def pca_map(spark, sf_dir) -> DataFrame:
-    return similarity.clustered(table(spark, sf_dir, "embeddings"), "embedding", "vec_id").select("vec_id", "cluster", "x", "y", "z")
+    return similarity.clustered(
+        table(spark, sf_dir, "embeddings"), "embedding", "vec_id",
+    ).select("vec_id", "cluster", "x", "y", "z")
 
 
-@query("""SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+@query(
+    """SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS day, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"""
+)
 def daily_windows(spark, sf_dir) -> DataFrame:
     """The batch form of the streaming aggregate in plumbline.streaming."""
     got = stream.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
-    return got.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", F.round("total", 4).alias("total"))
+    return got.select(
+        "event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n",
+        F.round("total", 4).alias("total"),
+    )
 
 

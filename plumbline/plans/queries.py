@@ -68,18 +68,27 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
 _BM25 = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.4::DOUBLE / (tf + 1.4::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))"
 
 
-@query(f"SELECT doc_id, len({_toks()})::BIGINT AS n_tokens, len(list_distinct({_toks()}))::BIGINT AS n_terms FROM documents")
+@query(
+    f"SELECT doc_id, len({_toks()})::BIGINT AS n_tokens, len(list_distinct({_toks()}))::BIGINT AS n_terms FROM documents"
+)
 def tokenize_counts(spark, sf_dir):
     toks = T.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_terms"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(toks).cast("long").alias("n_tokens"),
+        F.size(F.array_distinct(toks)).cast("long").alias("n_terms"),
+    )
 
 
-@query(f"WITH {_POSTS} SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, st ORDER BY df DESC, term LIMIT 200")
+@query(
+    f"WITH {_POSTS} SELECT term, df::BIGINT AS df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, st ORDER BY df DESC, term LIMIT 200"
+)
 def doc_freq_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     posts = X.postings(docs, "doc_id", "text")
     dfs = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(X.corpus_stats(docs, "text")))
-    return dfs.select("term", "df", _r(X.bm25_idf(F.col("n"), F.col("df"))).alias("idf")).orderBy(F.desc("df"), "term").limit(200)
+    return dfs.select(
+        "term", "df", _r(X.bm25_idf(F.col("n"), F.col("df"))).alias("idf"),
+    ).orderBy(F.desc("df"), "term").limit(200)
 
 
 def _bm25(spark, sf_dir, scoped: bool) -> DataFrame:
@@ -114,7 +123,10 @@ def bm25_topk_scoped(spark, sf_dir):
 SELECT conv_id, turn, len(toks)::BIGINT AS n_tokens, array_to_string(list_concat(toks, flatten(list_transform(toks, lambda x: coalesce({_SYN}[x], [])))), ' ') AS expanded FROM t""")
 def synonym_expand(spark, sf_dir):
     toks = T.tokens(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.array_join(T.expanded(toks), " ").alias("expanded"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"),
+        F.array_join(T.expanded(toks), " ").alias("expanded"),
+    )
 
 
 _FEATS = f"""t AS (SELECT doc_id AS id, {_toks()} AS toks FROM documents),
@@ -139,10 +151,15 @@ w AS ({_hash_sql("tf JOIN idf USING (feature)", "id")}),
 v AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
 
 
-@query(f"WITH {_VECS} SELECT id AS doc_id, count(*)::BIGINT AS n_buckets, round(max(weight), 5) AS top, round(sum(weight * weight), 5) AS norm FROM v GROUP BY id")
+@query(
+    f"WITH {_VECS} SELECT id AS doc_id, count(*)::BIGINT AS n_buckets, round(max(weight), 5) AS top, round(sum(weight * weight), 5) AS norm FROM v GROUP BY id"
+)
 def hash_tfidf_norms(spark, sf_dir):
     vecs, _ = X.feature_weights(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return vecs.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_buckets"), _r(F.max("weight"), 5).alias("top"), _r(F.sum(F.col("weight") * F.col("weight")), 5).alias("norm"))
+    return vecs.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_buckets"), _r(F.max("weight"), 5).alias("top"),
+        _r(F.sum(F.col("weight") * F.col("weight")), 5).alias("norm"),
+    )
 
 
 _QVECS = f"""qt AS (SELECT item_id AS qid, {_toks()} AS toks FROM benchmark),
@@ -198,7 +215,9 @@ def multi_query_rrf(spark, sf_dir):
     variants = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("v", "x"))
     terms = variants.select(F.struct("item_id", "v").alias("qid"), F.explode(F.array_distinct("x")).alias("term"))
     hits = X.ranked(X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), terms), 20, digits=6)
-    return X.ranked(X.fuse(hits.withColumn("qid", F.col("qid.item_id"))), 10, digits=6).withColumnRenamed("id", "doc_id")
+    return X.ranked(
+        X.fuse(hits.withColumn("qid", F.col("qid.item_id"))), 10, digits=6,
+    ).withColumnRenamed("id", "doc_id")
 
 
 # ---------------------------------------------------------------- vectors
@@ -211,7 +230,9 @@ SELECT qid, id AS vec_id, score, rank FROM (SELECT qid, id, score, row_number()
 
 def _dense(spark, sf_dir, scoped: bool) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"), F.col("label").alias("ql"))
+    asked = emb.filter("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"), F.col("label").alias("ql"),
+    )
     rows = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     scores = X.dense_cosine(rows, asked, F.col("label") == F.col("ql") if scoped else None)
     return X.ranked(scores, 10, digits=5).withColumnRenamed("id", "vec_id")
@@ -241,10 +262,20 @@ def _pool(spark, sf_dir, k: int) -> DataFrame:
     """The k best texts of each benchmark passage: both texts, q and terms (the passage's content tokens, all and
     distinct) and t (the text's tokens). Tokens are made below joins, so that they are made once a row."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    hits = X.ranked(X.bm25(X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), X.query_terms(bench, "item_id", "text")), k, digits=6)
-    hits = X.bounded(hits, k * bench.count()).join(docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id").withColumn("t", T.tokens(F.col("passage")))
+    hits = X.ranked(
+        X.bm25(
+            X.postings(docs, "doc_id", "text"), X.corpus_stats(docs, "text"), X.query_terms(bench, "item_id", "text"),
+        ),
+        k, digits=6,
+    )
+    hits = X.bounded(hits, k * bench.count()).join(
+        docs.select(F.col("doc_id").alias("id"), "source", F.col("text").alias("passage")), "id",
+    ).withColumn("t", T.tokens(F.col("passage")))
     q = T.content_tokens(F.col("text"))
-    asked = bench.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), q.alias("q"), F.array_distinct(q).alias("terms"))
+    asked = bench.select(
+        F.col("item_id").alias("qid"), F.col("text").alias("question"), q.alias("q"),
+        F.array_distinct(q).alias("terms"),
+    )
     return hits.join(X.bounded(asked, bench.count()), "qid").withColumnsRenamed({"qid": "item_id", "id": "doc_id"})
 
 
@@ -252,7 +283,9 @@ def _pool(spark, sf_dir, k: int) -> DataFrame:
 SELECT item_id, round(CASE WHEN len(q) = 0 THEN 1 ELSE {_COV} END, 6) AS coverage,
 CASE WHEN len(q) = 0 OR {_COV} >= 0.6 THEN 'high' WHEN {_COV} >= 0.34 THEN 'medium' ELSE 'low' END AS label FROM e""")
 def coverage_grade(spark, sf_dir):
-    seen = _pool(spark, sf_dir, 3).groupBy("item_id", "terms").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
+    seen = _pool(spark, sf_dir, 3).groupBy("item_id", "terms").agg(
+        F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")
+    )
     rows = seen.select("item_id", T.coverage(F.col("terms"), F.col("t"), 1.0).alias("c"))
     label = F.when(F.col("c") >= 0.6, "high").when(F.col("c") >= 0.34, "medium").otherwise("low")
     return rows.select("item_id", _r(F.col("c")).alias("coverage"), label.alias("label"))
@@ -269,8 +302,16 @@ SELECT item_id, doc_id, round(cov, 6) AS coverage, round(phrase, 6) AS phrase, r
 def rerank_features(spark, sf_dir):
     qb, tb = F.array_distinct(T.bigrams(F.col("q"), " ")), F.array_distinct(T.bigrams(F.col("t"), " "))
     phrase = F.when(F.size(qb) == 0, 0.0).otherwise(F.size(F.array_intersect(qb, tb)) / F.size(qb))
-    rows = _pool(spark, sf_dir, 25).select("item_id", "doc_id", "source", "score", T.coverage(F.col("terms"), F.col("t"), 0.0).alias("cov"), phrase.alias("phrase"))
+    rows = _pool(spark, sf_dir, 25).select(
+        "item_id", "doc_id", "source", "score", T.coverage(F.col("terms"), F.col("t"), 0.0).alias("cov"),
+        phrase.alias("phrase"),
+    )
     rows = S.with_recency(rows, "source", ["item_id"])
-    base = F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("item_id")), F.lit(0.0)), F.lit(1.0))
+    base = F.col("score") / F.coalesce(
+        F.nullif(F.max("score").over(Window.partitionBy("item_id")), F.lit(0.0)), F.lit(1.0),
+    )
     score = 0.35 * base + 0.35 * F.col("cov") + 0.10 * F.col("phrase") + 0.04 * F.col("recency")
-    return rows.select("item_id", "doc_id", _r(F.col("cov")).alias("coverage"), _r(F.col("phrase")).alias("phrase"), _r(F.col("recency")).alias("recency"), _r(score).alias("score"))
+    return rows.select(
+        "item_id", "doc_id", _r(F.col("cov")).alias("coverage"), _r(F.col("phrase")).alias("phrase"),
+        _r(F.col("recency")).alias("recency"), _r(score).alias("score"),
+    )

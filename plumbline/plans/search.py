@@ -41,7 +41,11 @@ class Hit:
     def shown(self, n: int) -> dict:
         """As the n-th piece of evidence."""
         c = self.chunk
-        return {"n": n, "chunk_id": c.chunk_id, "patient_id": c.patient_id, "kind": c.kind, "date": c.date, "text": c.text, "score": self.score, "bm25_rank": self.bm25_rank, "dense_rank": self.dense_rank, "via": self.via}
+        return {
+            "n": n, "chunk_id": c.chunk_id, "patient_id": c.patient_id, "kind": c.kind, "date": c.date,
+            "text": c.text, "score": self.score, "bm25_rank": self.bm25_rank, "dense_rank": self.dense_rank,
+            "via": self.via,
+        }
 
 
 class ChunkIndex:
@@ -68,7 +72,9 @@ class ChunkIndex:
         return self.chunks.sparkSession.createDataFrame(list(enumerate(texts)), "qid int, text string")
 
     def _scope(self, patient_id: str | None) -> DataFrame | None:
-        return None if patient_id is None else self.chunks.filter(F.col("patient_id") == patient_id).select(F.col("chunk_id").alias("id"))
+        return None if patient_id is None else self.chunks.filter(
+            F.col("patient_id") == patient_id
+        ).select(F.col("chunk_id").alias("id"))
 
     def get(self, ids: list[str]) -> list[Chunk]:
         """Chunks by id, in the order asked for."""
@@ -85,11 +91,21 @@ class ChunkIndex:
         parts = []
         if mode in ("bm25", "hybrid"):
             ranks = X.ranked(X.bm25(self.posts, self.stats, X.query_terms(asked, "qid", "text", expand), scope))
-            parts.append(ranks.select("qid", "id", F.col("rank").alias("b"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("double").alias("sim")))
+            parts.append(
+                ranks.select(
+                    "qid", "id", F.col("rank").alias("b"), F.lit(None).cast("long").alias("d"),
+                    F.lit(None).cast("double").alias("sim"),
+                )
+            )
         if mode in ("dense", "hybrid"):
             near = X.sparse_cosine(self.vectors, self.encoder.encode(asked, "qid", "text", expand), scope)
             ranks = X.ranked(near, NEAREST).filter("score > 0")
-            parts.append(ranks.select("qid", "id", F.lit(None).cast("long").alias("b"), F.col("rank").alias("d"), F.col("score").alias("sim")))
+            parts.append(
+                ranks.select(
+                    "qid", "id", F.lit(None).cast("long").alias("b"), F.col("rank").alias("d"),
+                    F.col("score").alias("sim"),
+                )
+            )
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return rows.groupBy("qid", "id").agg(F.max("b").alias("b"), F.max("d").alias("d"), F.max("sim").alias("sim"))
 
@@ -142,7 +158,9 @@ class ChunkIndex:
     def similarity(self, ids: list[str]) -> dict[tuple[str, str], float]:
         """Cosines between the chunks of a small pool."""
         mine = self.vectors.filter(F.col("id").isin(ids))
-        rows = mine.alias("a").join(mine.alias("b"), "bucket").groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("s"))
+        rows = mine.alias("a").join(mine.alias("b"), "bucket").groupBy(
+            F.col("a.id").alias("i"), F.col("b.id").alias("j"),
+        ).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("s"))
         return {(r["i"], r["j"]): r["s"] for r in rows.collect()}
 
 

@@ -20,7 +20,9 @@ from .plans.strategies import STRATEGIES
 from .sources.records import authorised, list_page
 
 PAGE = "<!doctype html><title>Plumbline</title><h1>Plumbline</h1><form onsubmit=\"fetch('/api/query',{method:'POST',body:JSON.stringify({question:q.value})}).then(r=>r.json()).then(r=>{a.textContent=r.answer});return false\"><input id=q size=80><button>Ask</button></form><pre id=a></pre>"
-TYPES = {".html": "text/html", ".js": "text/javascript", ".css": "text/css", ".svg": "image/svg+xml", ".png": "image/png"}
+TYPES = {
+    ".html": "text/html", ".js": "text/javascript", ".css": "text/css", ".svg": "image/svg+xml", ".png": "image/png",
+}
 
 
 class Refused(Exception):
@@ -114,14 +116,21 @@ def workspace(engine: Engine, ui_dir: str | None = None) -> Service:
         return pid
 
     def query(r: Request) -> dict:
-        question, k, mode = r.text("question", 2, 500), r.number("k", engine.settings.top_k, 1, 20), r.one_of("mode", MODES)
+        question, k, mode = r.text("question", 2, 500), r.number(
+            "k", engine.settings.top_k, 1, 20,
+        ), r.one_of("mode", MODES)
         history = r.body.get("history") or []
         if len(history) > 6:
             raise Refused(422, "history has 6 questions at most")
-        return engine.query(question, patient(r), k, mode, bool(r.body.get("redact")), strategy=r.one_of("strategy", STRATEGIES), history=history)
+        return engine.query(
+            question, patient(r), k, mode, bool(r.body.get("redact")), strategy=r.one_of("strategy", STRATEGIES),
+            history=history,
+        )
 
     def compare(r: Request) -> list[dict]:
-        question, k, names = r.text("question", 2, 500), r.number("k", engine.settings.top_k, 1, 20), r.body.get("strategies")
+        question, k, names = r.text("question", 2, 500), r.number(
+            "k", engine.settings.top_k, 1, 20,
+        ), r.body.get("strategies")
         if names and not set(names) <= set(STRATEGIES):
             raise Refused(422, "unknown strategy in list")
         return engine.compare(question, patient(r), names, k)
@@ -147,12 +156,25 @@ def workspace(engine: Engine, ui_dir: str | None = None) -> Service:
         return [x.asDict() for x in rows.limit(r.number("limit", 500, 1, 5000)).collect()]
 
     routes = [
-        ("GET", "/api/health", lambda r: {"status": "ok"} | engine.stats(), True), ("GET", "/api/patients", patients, False), ("GET", "/api/patients/(?P<pid>[^/]+)", lambda r: found(engine.patient_view(r.path["pid"])), False),
-        ("GET", "/api/patients/(?P<pid>[^/]+)/similar", lambda r: found(engine.similar(r.path["pid"], r.number("k", 5, 1, 15))), False), ("GET", "/api/strategies", lambda r: engine.strategies(), False), ("POST", "/api/query", query, False),
-        ("POST", "/api/compare", compare, False), ("GET", "/api/cohort", lambda r: engine.cohort(), False), ("GET", "/api/cohort/map", lambda r: engine.cohort_map(), False), ("GET", "/api/graph", lambda r: engine.graph(), False),
-        ("GET", "/api/benchmark", lambda r: engine.benchmark(r.query.get("refresh") == "true"), False), ("GET", "/api/audit", lambda r: {"verify": engine.audit.verify(), "entries": engine.audit.entries(r.number("limit", 40, 1, 200))}, False),
+        ("GET", "/api/health", lambda r: {"status": "ok"} | engine.stats(), True), (
+            "GET", "/api/patients", patients, False,
+        ), ("GET", "/api/patients/(?P<pid>[^/]+)", lambda r: found(engine.patient_view(r.path["pid"])), False),
+        (
+            "GET", "/api/patients/(?P<pid>[^/]+)/similar",
+            lambda r: found(engine.similar(r.path["pid"], r.number("k", 5, 1, 15))), False,
+        ), ("GET", "/api/strategies", lambda r: engine.strategies(), False), ("POST", "/api/query", query, False),
+        ("POST", "/api/compare", compare, False), ("GET", "/api/cohort", lambda r: engine.cohort(), False), (
+            "GET", "/api/cohort/map", lambda r: engine.cohort_map(), False,
+        ), ("GET", "/api/graph", lambda r: engine.graph(), False),
+        ("GET", "/api/benchmark", lambda r: engine.benchmark(r.query.get("refresh") == "true"), False), (
+            "GET", "/api/audit",
+            lambda r: {
+                "verify": engine.audit.verify(), "entries": engine.audit.entries(r.number("limit", 40, 1, 200)),
+            },
+            False,
+        ),
         ("GET", "/", index, True), ("GET", "/assets/(?P<name>.+)", asset, True),
-    ]
+    ]
     return Service(routes, lambda h: authorised(h.get("x-api-key"), engine.settings.api_key))
 
 
@@ -168,7 +190,10 @@ def record_service(records: DataFrame, token: str) -> Service:
     def page(r: Request) -> dict:
         return list_page(records, r.number("limit", 100, 1, 500), r.number("offset", 0, 0, 2**31))
 
-    routes = [("GET", "/health", lambda r: {"status": "ok", "patients": records.count()}, True), ("GET", "/v1/patients", page, False), ("GET", "/v1/patients/(?P<pid>[^/]+)", one, False)]
+    routes = [
+        ("GET", "/health", lambda r: {"status": "ok", "patients": records.count()}, True),
+        ("GET", "/v1/patients", page, False), ("GET", "/v1/patients/(?P<pid>[^/]+)", one, False),
+    ]
     return Service(routes, lambda h: authorised(h.get("authorization", "").removeprefix("Bearer "), token))
 
 
@@ -179,7 +204,9 @@ def server(service: Service, host: str = "127.0.0.1", port: int = 0) -> Threadin
         def _answer(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             status, made = service(self.command, self.path, dict(self.headers), body)
-            raw = made if isinstance(made, Reply) else Reply(json.dumps(made, ensure_ascii=False, default=str).encode(), "application/json")
+            raw = made if isinstance(made, Reply) else Reply(
+                json.dumps(made, ensure_ascii=False, default=str).encode(), "application/json",
+            )
             self.send_response(status)
             self.send_header("Content-Type", raw.kind)
             self.send_header("Content-Length", str(len(raw.data)))

@@ -30,7 +30,9 @@ class HttpModel:
 
     def _ask(self, prompt: str, timeout: float) -> str | None:
         try:
-            said = self.send(self.url, {"model": self.model, "prompt": prompt, "stream": False}, timeout).get("response")
+            said = self.send(
+                self.url, {"model": self.model, "prompt": prompt, "stream": False}, timeout,
+            ).get("response")
         except (OSError, ValueError, AttributeError, urllib.error.URLError):
             return None
         return said.strip() or None if isinstance(said, str) else None
@@ -40,11 +42,17 @@ class HttpModel:
         if not hits:
             return None
         shown = "\n".join(f"[{n}] {h.chunk.text}" for n, h in enumerate(hits, 1))
-        return self._ask(f"Below are numbered extracts of a medical record.\n{shown}\n\nUse nothing else. Put the number of each extract you rely on in brackets, as in [1]. If they don't tell, say that. Don't advise on treatment.\nQuestion: {question}", ANSWER_S)
+        return self._ask(
+            f"Below are numbered extracts of a medical record.\n{shown}\n\nUse nothing else. Put the number of each extract you rely on in brackets, as in [1]. If they don't tell, say that. Don't advise on treatment.\nQuestion: {question}",
+            ANSWER_S,
+        )
 
     def passage(self, question: str) -> str | None:
         """What a record might say that answers the question, in a sentence or two."""
-        return self._ask(f"Write one or two sentences as they could stand in a medical record that answers this: {question}", PASSAGE_S)
+        return self._ask(
+            f"Write one or two sentences as they could stand in a medical record that answers this: {question}",
+            PASSAGE_S,
+        )
 
 
 def generated(prompts: DataFrame, prompt_col: str, model: HttpModel, name: str = "response") -> DataFrame:

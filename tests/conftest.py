@@ -15,9 +15,13 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate()
-    )
+        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config(
+            "spark.sql.shuffle.partitions", "4",
+        ).config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g").config(
+            "spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")),
+        ).getOrCreate()
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -20,7 +20,10 @@ def test_features_of_one_document_stay(spark, data_dir, toks):
         found = [*t, *(f"{a}_{b}" for a, b in zip(t, t[1:]))]
         times.update(found)
         n_docs.update(set(found))
-    got = {r["feature"]: (r["n_docs"], r["n_times"]) for r in queries.QUERIES["ngram_features"](spark, data_dir).collect()}
+    got = {
+        r["feature"]: (r["n_docs"], r["n_times"])
+        for r in queries.QUERIES["ngram_features"](spark, data_dir).collect()
+    }
     assert got == {f: (n_docs[f], n) for f, n in times.items()} and 1 in n_docs.values()
 
 
@@ -30,5 +33,8 @@ def test_terms_after_the_fiftieth_stay(spark, data_dir, toks):
         mentions.update(t)
         for x in set(t):
             ids.setdefault(x, set()).add(d)
-    got = [tuple(r[c] for c in ("term", "mentions", "n_docs", "last_doc")) for r in queries.QUERIES["term_counts"](spark, data_dir).collect()]
+    got = [
+        tuple(r[c] for c in ("term", "mentions", "n_docs", "last_doc"))
+        for r in queries.QUERIES["term_counts"](spark, data_dir).collect()
+    ]
     assert sorted(got) == sorted((x, n, len(ids[x]), max(ids[x])) for x, n in mentions.items()) and len(got) > 50
