@@ -27,10 +27,19 @@ SYNONYMS = {
 }
 
 #: Words that are no tokens.
-STOP = "the a an of and or is are was were to for in on at with what which who how does do did has have had this that patient me show tell give any all from by be been his her their latest recent".split()
+STOP = [
+    "the", "a", "an", "of", "and", "or", "is", "are", "was", "were", "to", "for", "in", "on", "at", "with",
+    "what", "which", "who", "how", "does", "do", "did", "has", "have", "had", "this", "that", "patient", "me",
+    "show", "tell", "give", "any", "all", "from", "by", "be", "been", "his", "her", "their", "latest", "recent",
+]
 
 #: Words that say nothing about what a question is after.
-EXTRA_STOP = "result results value values status current history information info details summary there while also please about record records level levels number numbers reading readings found mentioned documented using taking currently last past since over within months month years year weeks week days".split()
+EXTRA_STOP = [
+    "result", "results", "value", "values", "status", "current", "history", "information", "info", "details",
+    "summary", "there", "while", "also", "please", "about", "record", "records", "level", "levels", "number",
+    "numbers", "reading", "readings", "found", "mentioned", "documented", "using", "taking", "currently",
+    "last", "past", "since", "over", "within", "months", "month", "years", "year", "weeks", "week", "days",
+]
 
 #: Condition -> other names.
 CONDITION_ALIASES = {

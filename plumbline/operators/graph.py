@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.questions import Cohort, Limit
+from .domains import few
 from .nlp import entities
 
 
@@ -40,10 +41,8 @@ def edges(chunks: DataFrame) -> DataFrame:
 
 
 def known_drugs(edge_table: DataFrame) -> set[str]:
-    """All drugs on record: a domain of few values by its nature."""
-    return {
-        r[0] for r in edge_table.filter("etype IN ('takes_drug', 'took_drug')").select("target").distinct().collect()
-    }
+    """All drugs on record: a domain of few values, which is checked."""
+    return set(few(edge_table.filter("etype IN ('takes_drug', 'took_drug')"), "target"))
 
 
 def stats_table(edge_table: DataFrame) -> DataFrame:

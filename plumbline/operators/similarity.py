@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .chunks import drug_base
 from .clinical import with_risk
+from .domains import few
 
 # Short names of conditions.
 SHORT = {
@@ -27,8 +28,7 @@ def feature_vectors(records: DataFrame) -> DataFrame:
     """patient_id, name, age, sex, score, conditions, drugs, features (array): age, sex, drugs, risk, 1.5 for each condition
     had, and each test's newest value as clipped distance from the middle of its range. The domains of conditions
     and tests are those of the data."""
-    conditions = [r[0] for r in records.select(F.explode("diagnoses.condition")).distinct().orderBy("col").collect()]
-    tests = [r[0] for r in records.select(F.explode("labs.test")).distinct().orderBy("col").collect()]
+    conditions, tests = few(records, F.explode("diagnoses.condition")), few(records, F.explode("labs.test"))
     rows = with_risk(records)
     have = F.array_distinct("diagnoses.condition")
     active = F.filter("medications", lambda m: m["active"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,36 +15,61 @@ _CITE = re.compile(r"\[(\d+)\]")
 _NUMBER = re.compile(r"(?<![\w.])\d+(?:\.\d+)?")
 
 
-def _tokens(text: str) -> set[str]:
-    return set(content(_CITE.sub(" ", text)))
+@dataclass(frozen=True)
+class Line:
+    """A line of an answer that claims something, with the evidence that it cites."""
+
+    text: str
+    cites: tuple[int, ...]
+    known: dict[int, str]
+
+    @property
+    def said(self) -> str:
+        return " ".join(self.known[n] for n in self.cites if n in self.known)
+
+
+def _uncited(x: Line, _: float) -> str:
+    return "" if x.cites else "cites nothing"
+
+
+def _unknown(x: Line, _: float) -> str:
+    strange = [str(n) for n in x.cites if n not in x.known]
+    return f"cites unknown evidence {', '.join(strange)}" if strange else ""
+
+
+def _unborne(x: Line, _: float) -> str:
+    missing = [n for n in _NUMBER.findall(x.text) if not re.search(rf"(?<![\w.]){re.escape(n)}(?!\w)", x.said)]
+    return f"evidence lacks {', '.join(missing)}" if missing else ""
+
+
+def _far(x: Line, least: float) -> str:
+    mine = set(content(x.text))
+    share = len(mine & set(content(_CITE.sub(" ", x.said)))) / len(mine) if mine else 1.0
+    return "" if share >= least else f"evidence has {share:.0%} of its words"
+
+
+#: What can be said against a claim; the first thing that is counts.
+OBJECTIONS = [_uncited, _unknown, _unborne, _far]
 
 
 def verify_answer(answer: str, evidence: list[dict], least: float = 0.5) -> dict:
     """Each line but blank ones, headers and model-derived ones (≈) is a claim. It is supported if it cites known evidence,
-    all its numbers stand in the cited texts, and enough of its words do."""
+    all its numbers stand in the cited texts, and enough of its words do. Without evidence, an answer that cites nothing
+    claims nothing."""
     known = {e["n"]: e["text"] for e in evidence}
-    claims, derived = [], 0
-    for line in (x.strip(" -•\t") for x in (answer.splitlines() if known or _CITE.search(answer) else [])):
-        if not line or line.endswith(":"):
-            continue
-        if line[0] == "≈":
-            derived += 1
-            continue
-        cites, claim = [int(n) for n in _CITE.findall(line)], _CITE.sub("", line).strip()
-        unknown = [n for n in cites if n not in known]
-        if not cites or unknown:
-            reason = f"unknown citation {unknown}" if unknown else "no citation"
-        else:
-            said = " ".join(known[n] for n in cites)
-            missing = [n for n in _NUMBER.findall(claim) if not re.search(rf"(?<![\w.]){re.escape(n)}(?!\w)", said)]
-            words = _tokens(claim)
-            overlap = len(words & _tokens(said)) / len(words) if words else 1.0
-            reason = f"numbers not in evidence: {missing}" if missing else "" if overlap >= least else f"low overlap {overlap:.2f}"
-        claims.append({"text": claim, "cites": cites, "supported": not reason, "reason": reason})
-    good = sum(c["supported"] for c in claims)
+    lines = [x for x in (line.strip(" -•\t") for line in answer.splitlines()) if x and not x.endswith(":")]
+    if not known and not _CITE.search(answer):
+        lines = []
+    judged = []
+    for text in (x for x in lines if x[0] != "≈"):
+        line = Line(_CITE.sub("", text).strip(), tuple(map(int, _CITE.findall(text))), known)
+        reason = next((r for object_to in OBJECTIONS if (r := object_to(line, least))), "")
+        judged.append({"text": line.text, "cites": list(line.cites), "supported": not reason, "reason": reason})
+    good, total = sum(c["supported"] for c in judged), len(judged)
+    derived = sum(x[0] == "≈" for x in lines)
     return {
-        "faithfulness": round(good / len(claims), 3) if claims else 1.0, "claims": claims, "derived_lines": derived,
-        "supported": good, "total": len(claims),
+        "faithfulness": round(good / total, 3) if total else 1.0, "claims": judged, "derived_lines": derived,
+        "supported": good, "total": total,
     }
 
 
