@@ -57,13 +57,14 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame
     statistics. terms come from few short queries, so that counting them is cheap; their frequencies are joined to them
     first, and then postings meet everything in one join."""
     n = terms.count()
-    distinct = bounded(terms.select("term").distinct(), n)
-    dfs = posts.join(distinct, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # The semi-join goes below the count of terms, and both uses share its exchange.
+    mine = posts.join(bounded(terms.select("term").distinct(), n), "term", "left_semi")
+    dfs = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select(
         "qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"),
         F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
     )
-    rows = posts if scope is None else posts.join(scope, "id", "left_semi")
+    rows = mine if scope is None else mine.join(scope, "id", "left_semi")
     joined = rows.join(bounded(weighed, n), "term")
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections import OrderedDict
 from dataclasses import dataclass, replace
 
@@ -60,6 +61,7 @@ class ChunkIndex:
         self.encoder = encoder or HashingEncoder()
         self.vectors = self.encoder.fit(self.chunks, "chunk_id", "text").persist()
         self.asof = self.chunks.agg(F.max("date")).first()[0] or "1970-01-01"
+        self.remembered, self._lock = REMEMBERED, threading.Lock()
         self._held: OrderedDict[tuple, list[Hit]] = OrderedDict()
 
     def close(self) -> None:
@@ -68,9 +70,6 @@ class ChunkIndex:
         self.encoder.close()
         self._held.clear()
 
-    def _queries(self, texts: list[str]) -> DataFrame:
-        return self.chunks.sparkSession.createDataFrame(list(enumerate(texts)), "qid int, text string")
-
     def _scope(self, patient_id: str | None) -> DataFrame | None:
         return None if patient_id is None else self.chunks.filter(
             F.col("patient_id") == patient_id
@@ -86,61 +85,71 @@ class ChunkIndex:
         """One patient's chunks in order: bounded by one record."""
         return [_chunk(r) for r in self.chunks.filter(F.col("patient_id") == patient_id).orderBy("ord").collect()]
 
-    def _ranks(self, texts: list[str], patient_id: str | None, mode: str, expand: bool) -> DataFrame:
-        asked, scope = self._queries(texts), self._scope(patient_id)
-        parts = []
-        if mode in ("bm25", "hybrid"):
-            ranks = X.ranked(X.bm25(self.posts, self.stats, X.query_terms(asked, "qid", "text", expand), scope))
-            parts.append(
-                ranks.select(
-                    "qid", "id", F.col("rank").alias("b"), F.lit(None).cast("long").alias("d"),
-                    F.lit(None).cast("double").alias("sim"),
-                )
+    def _ranks(self, asked: DataFrame, scope: DataFrame | None, mode: str, expand: bool) -> DataFrame:
+        """qid, id, b, d, sim: lexical and dense ranks. asked(qid, text, patient_id): where a patient is named, only the
+        patient's chunks are ranked; scope (id) says the same of all questions at once, and sooner."""
+        lexical = dense = None
+        if mode != "dense" and mode != "nearest":
+            scores = X.bm25(self.posts, self.stats, X.query_terms(asked, "qid", "text", expand), scope)
+            ranks = X.ranked(self._within(scores, asked, scope))
+            lexical = ranks.select(
+                "qid", "id", F.col("rank").alias("b"), F.lit(None).cast("long").alias("d"),
+                F.lit(None).cast("double").alias("sim"),
             )
-        if mode in ("dense", "hybrid"):
+        if mode != "bm25":
             near = X.sparse_cosine(self.vectors, self.encoder.encode(asked, "qid", "text", expand), scope)
-            ranks = X.ranked(near, NEAREST).filter("score > 0")
-            parts.append(
-                ranks.select(
-                    "qid", "id", F.lit(None).cast("long").alias("b"), F.col("rank").alias("d"),
-                    F.col("score").alias("sim"),
-                )
+            ranks = X.ranked(self._within(near, asked, scope), NEAREST).filter("score > 0")
+            dense = ranks.select(
+                "qid", "id", F.lit(None).cast("long").alias("b"), F.col("rank").alias("d"),
+                F.col("score").alias("sim"),
             )
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        rows = lexical.unionByName(dense) if lexical is not None and dense is not None else lexical or dense
         return rows.groupBy("qid", "id").agg(F.max("b").alias("b"), F.max("d").alias("d"), F.max("sim").alias("sim"))
 
-    def _remembered(self, kind: tuple, texts: list[str], find) -> list[list[Hit]]:
-        """Hits for each text: those searched before from memory, all others by one job."""
-        new = [t for t in dict.fromkeys(texts) if (*kind, t) not in self._held]
-        found = dict(zip(new, find(new), strict=True)) if new else {}
-        for t in texts:
-            if (*kind, t) in self._held:
-                self._held.move_to_end((*kind, t))
-                found[t] = self._held[*kind, t]
-        for t in new:
-            self._held[*kind, t] = found[t]
-        while len(self._held) > REMEMBERED:
-            self._held.popitem(last=False)
-        return [list(found[t]) for t in texts]
+    def _within(self, scores: DataFrame, asked: DataFrame, scope: DataFrame | None) -> DataFrame:
+        if scope is not None or asked.filter("patient_id is not null").isEmpty():
+            return scores
+        owner = self.chunks.select(F.col("chunk_id").alias("id"), F.col("patient_id").alias("_owner"))
+        met = scores.join(F.broadcast(asked.select("qid", "patient_id")), "qid").join(owner, "id")
+        return met.filter("patient_id is null or patient_id = _owner").select("qid", "id", "score")
+
+    def _asked(self, mode: str, k: int, pairs: list[tuple[str, str | None]]) -> list[list[Hit]]:
+        """Hits for each (text, patient), by one job."""
+        spark, patients = self.chunks.sparkSession, {p for _, p in pairs}
+        asked = spark.createDataFrame(
+            [(i, t, p) for i, (t, p) in enumerate(pairs)], "qid int, text string, patient_id string",
+        )
+        scope = self._scope(next(iter(patients))) if len(patients) == 1 else None
+        rows = self._ranks(asked, scope, mode, mode != "nearest")
+        if mode == "nearest":
+            found = X.ranked(rows.filter(F.col("d") < k).withColumn("score", F.col("sim")), k)
+            return self._hits(found, len(pairs), lambda r: round(r["score"], 4), lambda r: r["rank"] + 1)
+        part = lambda c: F.coalesce(1.0 / (F.lit(float(X.RRF_K)) + F.col(c)), F.lit(0.0))
+        found = X.ranked(rows.withColumn("score", (part("b") + part("d")) * SCALE), k)
+        return self._hits(found, len(pairs), lambda r: round(r["score"], 4), lambda r: r["d"])
+
+    def find(self, mode: str, k: int, pairs: list[tuple[str, str | None]]) -> list[list[Hit]]:
+        """Hits for each (text, patient): what was asked before from memory, all others by one job."""
+        with self._lock:
+            known = {x: self._held[mode, k, x] for x in pairs if (mode, k, x) in self._held}
+            for x in known:
+                self._held.move_to_end((mode, k, x))
+        new = [x for x in dict.fromkeys(pairs) if x not in known]
+        if new:
+            known |= zip(new, self._asked(mode, k, new), strict=True)
+            with self._lock:
+                self._held |= {(mode, k, x): known[x] for x in new}
+                while len(self._held) > self.remembered:
+                    self._held.popitem(last=False)
+        return [list(known[x]) for x in pairs]
 
     def search(self, texts: list[str], k: int, patient_id: str | None = None, mode: str = "hybrid") -> list[list[Hit]]:
         """The k best chunks for each text, by reciprocal ranks."""
-        part = lambda c: F.coalesce(1.0 / (F.lit(float(X.RRF_K)) + F.col(c)), F.lit(0.0))
-
-        def find(new: list[str]) -> list[list[Hit]]:
-            rows = self._ranks(new, patient_id, mode, True).withColumn("score", (part("b") + part("d")) * SCALE)
-            return self._hits(X.ranked(rows, k), len(new), lambda r: round(r["score"], 4), lambda r: r["d"])
-
-        return self._remembered((mode, k, patient_id), texts, find)
+        return self.find(mode, k, [(t, patient_id) for t in texts])
 
     def nearest(self, texts: list[str], k: int, patient_id: str | None = None) -> list[list[Hit]]:
         """The k nearest chunks to each text as it is, by cosine; their dense ranks count from 1."""
-
-        def find(new: list[str]) -> list[list[Hit]]:
-            rows = self._ranks(new, patient_id, "dense", False).filter(F.col("d") < k).withColumn("score", F.col("sim"))
-            return self._hits(X.ranked(rows, k), len(new), lambda r: round(r["score"], 4), lambda r: r["rank"] + 1)
-
-        return self._remembered(("nearest", k, patient_id), texts, find)
+        return self.find("nearest", k, [(t, patient_id) for t in texts])
 
     def neighbours(self, ids: list[str]) -> list[Chunk]:
         """What stands beside the chunks in their records, in the order of the chunks."""
