@@ -59,7 +59,8 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame
     n = terms.count()
     # The semi-join goes below the count of terms, and both uses share its exchange.
     mine = posts.join(bounded(terms.select("term").distinct(), n), "term", "left_semi")
-    dfs = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting by tf keeps that column, so that this is the same exchange.
+    dfs = mine.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select(
         "qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"),
         F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
