@@ -8,27 +8,14 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
-
-#: Bits of one block of the filter: what one bitmap of bitmap_construct_agg holds.
-BLOCK_BITS = 32_768
-
-
-def _bit_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0
-
+from .common import BLOCK_BITS, bit_set, cells, join_groups, materialise
 
 def _celled(rows: DataFrame, blocks: int) -> DataFrame:
     """rows with the block and the two cells in it that their digest (_sha) hits."""
-    h = F.xxhash64("_sha")
-    return rows.withColumns({
-        "_block": F.pmod(F.shiftright(h, 30), F.lit(blocks)).cast("int"), "_bit_a": h.bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"),
-        "_bit_b": F.shiftright(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int"),
-    })
+    return rows.withColumns(dict(zip(("_block", "_bit_a", "_bit_b"), cells(F.col("_sha"), blocks), strict=True)))
 
 
 def repeated_cells(celled: DataFrame) -> DataFrame:
@@ -40,15 +27,19 @@ def repeated_cells(celled: DataFrame) -> DataFrame:
 
 def _tested(celled: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pass 2: rows with _maybe, whether both their cells are in the bitmaps; the bitmaps are broadcast."""
-    both = _bit_set(F.col("_bits"), F.col("_bit_a")) & _bit_set(F.col("_bits"), F.col("_bit_b"))
-    return celled.join(F.broadcast(bitmaps), "_block", "left").withColumn("_maybe", F.coalesce(both, F.lit(False))).drop("_block", "_bit_a", "_bit_b", "_bits")
+    both = bit_set(F.col("_bits"), F.col("_bit_a")) & bit_set(F.col("_bits"), F.col("_bit_b"))
+    return celled.join(F.broadcast(bitmaps), "_block", "left").withColumn(
+        "_maybe", F.coalesce(both, F.lit(False)),
+    ).drop("_block", "_bit_a", "_bit_b", "_bits")
 
 
 def _with_sha(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
 
 
-def _passes(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_blocks: int) -> tuple[DataFrame, DataFrame, int, int]:
+def _passes(
+    docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_blocks: int,
+) -> tuple[DataFrame, DataFrame, int, int]:
     """(doc_id, _sha, _maybe) of all rows, the bitmaps, their number of blocks, and the number of rows."""
     rows = materialise(_with_sha(docs, text_col).select(F.col(id_col).alias("doc_id"), "_sha"), "digests")
     n = rows.count()
@@ -59,13 +50,27 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_
 
 def _grouped(tested: DataFrame, n: int) -> DataFrame:
     """doc_id, keep_id, group_size, kept, _sha of the possibly repeated rows, exactly."""
-    ids = materialise(tested.filter("_maybe").groupBy("_sha", "doc_id").agg(F.count(F.lit(1)).alias("times")), "repeated")
-    groups = materialise(ids.groupBy("_sha").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count(F.lit(1)).alias("_ids")), "groups")
-    each = join_groups(ids, groups, "_sha", "_ids", n).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "_sha")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384) -> DataFrame:
+    ids = materialise(
+        tested.filter("_maybe").groupBy("_sha", "doc_id").agg(F.count(F.lit(1)).alias("times")), "repeated",
+    )
+    groups = materialise(
+        ids.groupBy("_sha").agg(
+            F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count(F.lit(1)).alias("_ids"),
+        ),
+        "groups",
+    )
+    each = join_groups(ids, groups, "_sha", "_ids", n).withColumn(
+        "_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))),
+    )
+    return each.select(
+        "doc_id", "keep_id", "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "_sha",
+    )
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384,
+) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty. The largest id of a group stays (null ids lose to
@@ -77,17 +82,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     up to 72 bytes of each row shuffle; the result stays exact.
     """
     tested, _, _, n = _passes(docs, id_col, text_col, bits_per_row, max_blocks)
-    straight = tested.filter(~F.col("_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
+    straight = tested.filter(~F.col("_maybe")).select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "_sha",
+    )
     return straight.unionByName(_grouped(tested, n)).withColumn("text_sha256", F.lower(F.hex("_sha"))).drop("_sha")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 16_384,
+) -> DataFrame:
     """The rows of docs, with all their columns, that exact_groups keeps: unique ones pass straight through, only possibly
-    repeated ones shuffle. A row with a null id is kept if no other of its text has an id; rows that repeat a kept
+    repeated ones shuffle. Columns may have any names; an empty table stays empty. A row with a null id is kept if no other of its text has an id; rows that repeat a kept
     id and text are reduced to one."""
     tested, bitmaps, blocks, n = _passes(docs, id_col, text_col, bits_per_row, max_blocks)
-    rows = _tested(_celled(_with_sha(docs, text_col), blocks), bitmaps)
-    stay = _grouped(tested, n).filter("kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_s"))
-    again = rows.filter("_maybe").withColumn("_row_id", F.col(id_col)).dropDuplicates(["_row_id", "_sha"])
-    again = again.join(stay, again["_row_id"].eqNullSafe(stay["_id"]) & (again["_sha"] == stay["_s"]), "left_semi")
-    return rows.filter(~F.col("_maybe")).select(*docs.columns).unionByName(again.select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # one column, which no name can clash with
+    keyed = _with_sha(
+        docs.select(whole, F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text",
+    ).drop("_text")
+    rows = _tested(_celled(keyed, blocks), bitmaps)
+    stay = _grouped(tested, n).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("_sha").alias("_s"))
+    again = rows.filter("_maybe").dropDuplicates(["_id", "_sha"])
+    again = again.join(stay, again["_id"].eqNullSafe(stay["_kept"]) & (again["_sha"] == stay["_s"]), "left_semi")
+    return rows.filter(~F.col("_maybe")).select("_row.*").unionByName(again.select("_row.*"))
