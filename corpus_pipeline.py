@@ -37,7 +37,10 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", good_quality), ("near_dedup", no_near_dups), ("decontamination", decontamination), ("mix", source_mix), ("shards", shards)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality), ("near_dedup", no_near_dups), ("decontamination", decontamination),
+    ("mix", source_mix), ("shards", shards),
+]
 
 #: The quality model and the near-duplicate sketches can't be put in SQL.
 ORACLE_SQL = None
