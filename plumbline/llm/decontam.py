@@ -1,19 +1,20 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over all training text.
 
-A training text becomes a line of word hashes; hashes of its windows are looked up in the sorted hashes of the
-benchmark's, and hits are verified on the words themselves.
+Words of the benchmark get numbers; a training text becomes a line of such numbers (0 for words that no item has), hashes
+of its windows are looked up in the sorted hashes of the benchmark's, and hits are verified word by word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, modest_batches, odd
+from .common import chunks, modest_batches, odd
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -28,44 +29,42 @@ def words(text: str | None) -> list[bytes]:
 
 
 class GramSet:
-    """The windows of one block of benchmark items. It holds arrays only: the words of all items in one line of bytes, and for
-    each distinct window its hash and first place there. That is some 30 bytes a word and the text itself."""
+    """The windows of one block of benchmark items: a number for each word they have, all words' numbers in one line, and for
+    each distinct window its hash and first place there. That is some 30 bytes a word, and 100 a distinct word."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], n: int):
-        self.n = n
         lists = [words(text) for _, text in items]
         sizes = np.array([len(x) for x in lists], np.int64)
-        flat = [w for x in lists for w in x]
+        self.number: dict[bytes, int] = {}
         self.names = [str(i) for i, _ in items]
-        self.line, self.ends = b" ".join(flat) + b" ", np.cumsum(np.array([len(w) + 1 for w in flat], np.int64))
-        hashed, item = WordHash().of(flat), np.repeat(np.arange(len(items)), sizes)
+        self.line = np.array([self.number.setdefault(w, len(self.number) + 1) for x in lists for w in x], np.uint32)
+        item, length = np.repeat(np.arange(len(items)), sizes), np.minimum(sizes, n)
         #: window length -> (sorted hashes, first word, item) of its windows; of equal windows of an item, one
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted(set(np.minimum(sizes[sizes > 0], n).tolist())):
-            at = np.flatnonzero((item[: len(item) - k + 1] == item[k - 1 :]) & (np.minimum(sizes, n)[item[: len(item) - k + 1]] == k))
-            h = _roll(hashed, k)[at]
+        for k in sorted(set(length[length > 0].tolist())):
+            first = item[: len(item) - k + 1]
+            at = np.flatnonzero((first == item[k - 1 :]) & (length[first] == k))
+            h = _roll(self.line, k)[at]
             order = np.lexsort((at, item[at], h))
             h, at = h[order], at[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[at[1:]] != item[at[:-1]])])
             self.windows[k] = h[new], at[new], item[at[new]]
 
-    def _text(self, first: int, k: int) -> bytes:
-        return self.line[int(self.ends[first - 1]) if first else 0 : int(self.ends[first + k - 1]) - 1]
-
-    def hits(self, line: np.ndarray, doc: np.ndarray, flat: list[bytes]):
-        """(first word, length, names of items) of each window in a line of word hashes of several documents; what the hashes
-        find is held against the words themselves (flat)."""
+    def hits(self, line: np.ndarray, doc: np.ndarray):
+        """(first word, length, names of items) of each window in a line of word numbers (0 for words that no item has) of
+        several documents; what the hashes find is held against the words themselves."""
         for k, (known, at, item) in self.windows.items():
             if len(line) < k:
                 continue
-            h = _roll(line, k)
+            whole = np.convolve(line == 0, np.ones(k, int), "valid") == 0
+            here = np.flatnonzero(whole & (doc[: len(line) - k + 1] == doc[k - 1 :]))
+            h = _roll(line, k)[here]
             left = np.searchsorted(known, h)
-            found = known[np.minimum(left, len(known) - 1)] == h
-            found &= doc[: len(line) - k + 1] == doc[k - 1 :]
-            for i in np.flatnonzero(found).tolist():
-                mine, j, names = b" ".join(flat[i : i + k]), int(left[i]), set()
-                while j < len(known) and known[j] == h[i]:
-                    if self._text(int(at[j]), k) == mine:
+            found = np.flatnonzero(known[np.minimum(left, len(known) - 1)] == h)
+            for i, j, x in zip(here[found].tolist(), left[found].tolist(), h[found].tolist(), strict=True):
+                names = set()
+                while j < len(known) and known[j] == x:
+                    if np.array_equal(self.line[at[j] : at[j] + k], line[i : i + k]):
                         names.add(self.names[item[j]])
                     j += 1
                 if names:
@@ -75,18 +74,18 @@ class GramSet:
 def _roll(line: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(max(0, len(line) - k + 1), np.uint64)
     for j in range(k):
-        out = out * _B + line[j : j + len(out)]
+        out = out * _B + line[j : j + len(out)].astype(np.uint64)
     return out
 
 
-def _scanned(g: GramSet, text: list, of):
+def _scanned(g: GramSet, text: list):
     """(number of the text, first word of the hit in it, length, items) of each hit in texts."""
     lists = [words(t) for t in text]
     sizes = np.array([len(x) for x in lists], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = [w for x in lists for w in x]
+    line = np.fromiter((y for x in lists for y in map(g.number.get, x, repeat(0))), np.uint32, int(starts[-1]))
     doc = np.repeat(np.arange(len(lists)), sizes)
-    for i, k, found in g.hits(of(flat), doc, flat):
+    for i, k, found in g.hits(line, doc):
         d = int(doc[i])
         yield d, i - int(starts[d]), k, found
 
@@ -95,17 +94,22 @@ def _pass(grams, schema: pa.Schema):
     """Arrow batches of (key columns, text, n_words, hits, items) with one block's hits and items added."""
 
     def run(batches):
-        g, of = grams.value, WordHash().of
+        g = grams.value
         for *rest, text, old, items in chunks(batches, [*schema.names[:-3], "text", "hits", "items"], "text"):
             marks: dict[int, set] = {}
             names: dict[int, set] = {}
-            for d, i, k, found in _scanned(g, text, of):
+            for d, i, k, found in _scanned(g, text):
                 marks.setdefault(d, set()).update(range(i, i + k))
                 names.setdefault(d, set()).update(found)
-            hits = [np.array(sorted(marks[d] | set(np.frombuffer(o, np.uint32).tolist())), np.uint32).tobytes() if d in marks else o for d, o in enumerate(old)]
+            hits = [
+                np.array(sorted(marks[d] | set(np.frombuffer(o, np.uint32).tolist())), np.uint32).tobytes()
+                if d in marks else o for d, o in enumerate(old)
+            ]
             got = [sorted({*(o or ()), *names[d]}) if d in names else o for d, o in enumerate(items)]
             cols = [*rest, text, hits, got]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema,
+            )
 
     return run
 
@@ -120,7 +124,9 @@ def _finish(schema: pa.Schema, width: int):
             for t, h in zip(text, hits, strict=True):
                 clean.append(cut(t, np.frombuffer(h, np.uint32)) if len(h) else t)
             cols = [*rest, n_words, n_hit, [len(i) for i in items], sha, [n > 0 for n in n_hit], clean]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema,
+            )
 
     return run
 
@@ -139,7 +145,10 @@ def cut(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, clean_text.
 
     A window is n consecutive words of an item (all of them if it has fewer, but some); a document's words are
@@ -153,19 +162,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     """
     modest_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
+    df = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(b"").alias("hits"),
+        F.array().cast("array<string>").alias("items"),
+    )
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     if not pa.types.is_integer(id_type):
         df = df.withColumn("doc_id", F.col("doc_id").cast("string"))
-    state = pa.schema([("doc_id", id_type), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
+    state = pa.schema(
+        [("doc_id", id_type), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))]
+    )
     for grams in _gram_sets(benchmark, n, item_col, item_text_col, block_chars):
         df = df.mapInArrow(_pass(grams, state), df.schema)
     ddl = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
-    last = pa.schema([("doc_id", id_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("clean_text", pa.string())])
+    last = pa.schema(
+        [
+            ("doc_id", id_type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+            ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("clean_text", pa.string())
+        ]
+    )
     return df.mapInArrow(_finish(last, 1), ddl)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10, item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10, item_col: str = "item_id",
+    item_text_col: str = "text", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """docs, with all columns, whatever their names, without the rows whose text holds a window of the benchmark. Nothing
     shuffles: each row is scanned in place, so repeated rows stay or go alike. Rows with a null or empty text stay; an
     empty benchmark drops nothing; an empty table stays empty."""
@@ -189,11 +211,11 @@ def _gram_sets(benchmark: DataFrame, n: int, item_col: str, item_text_col: str,
 
 def _keep(grams, text_col: str):
     def run(batches):
-        g, of = grams.value, WordHash().of
+        g = grams.value
         for batch in batches:
             keep = []
             for (text,) in chunks([batch], [text_col], text_col):
-                bad = {d for d, *_ in _scanned(g, text, of)}
+                bad = {d for d, *_ in _scanned(g, text)}
                 keep += [d not in bad for d in range(len(text))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
