@@ -4,7 +4,8 @@ A page becomes a stream of text blocks, each with the path of elements it stands
 that repeat become repeated groups; streams of the same host are aligned one after the other, and where they
 mismatch, what only some pages have becomes an optional group. Each page is then matched against its host's wrapper:
 text that a slot has on every page that has the slot is part of the template and goes, whatever varies is data. Of the data,
-content is what stands in the host's main element and in nothing that holds menus, adverts, forms, notices or comments.
+content is what stands in the host's main element and in nothing whose tag or names say that it holds menus, adverts, forms,
+notices or comments.
 """
 
 import html as _html
@@ -20,36 +21,76 @@ from pyspark.sql import functions as F
 
 from .common import chunks, join_groups, materialise, modest_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/a-zA-Z][^<]*\Z|<[/a-zA-Z](?:[^<>]*>)|[^<]+|<", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/a-zA-Z][^<]*\Z|<[/a-zA-Z](?:[^<>]*>)|[^<]+|<",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "template")}
+_RAW = {
+    t: re.compile(rf"</{t}\b[^>]*>", re.I)
+    for t in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "template")
+}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+_BLOCK = set(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
 #: What an opening tag ends without a closing tag of its own.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}, "option": {"option"},
+}
 #: Where such an end stops.
 _STOPS = {"ul", "ol", "dl", "table", "select", "menu"}
-_AWAY_TAGS = set("head nav footer aside form menu dialog select button object canvas svg math audio video map search optgroup option legend fieldset".split())
-_AWAY_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer toolbar social share sharing related recommended recommendations comment comments disqus replies reply respond responses widget widgets pagination pager skip banner masthead search complementary contentinfo dialog".split())
+_AWAY_TAGS = set(
+    "head nav footer aside form menu dialog select button object canvas svg math audio video map search optgroup option legend fieldset".split()
+)
+#: Words of classes, ids and roles that say an element holds no content. They count where all of a name's parts are such
+#: words or plain ones; the vaguer ones only if the element has no other names either.
+_SURE = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup login sidebar nav navbar navigation breadcrumb breadcrumbs footer disqus comment comments replies popup modal pagination pager masthead complementary contentinfo".split()
+)
+_VAGUE = set(
+    "notice notices notification alert overlay menu toolbar social share sharing related recommended recommendations reply respond response responses widget widgets skip banner search dialog header".split()
+)
+_PLAIN = set(
+    "box boxes container wrapper wrap list lists item items bar section block area inner outer body links link post posts article articles story stories button buttons icon icons panel group row col grid top bottom left right main page site global primary secondary form title heading count thread more read also next prev small large sticky fixed hidden mobile desktop js user reader visitor".split()
+)
 _HEAD_WORDS = {"header", "masthead", "banner"}
 
 
+def _parts(name: str) -> list[str]:
+    return [p for p in re.split(r"[_-]+|[0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+
+
+def _says_away(names: list[str], in_main: bool) -> bool:
+    """Whether an element's names say that it holds no content: "share-buttons" and "comments" do, "share price" and
+    "comment-on-policy" don't."""
+    sure, vague = (_SURE - _HEAD_WORDS, _VAGUE - _HEAD_WORDS) if in_main else (_SURE | _HEAD_WORDS, _VAGUE)
+    cut = [_parts(n) for n in names]
+    closed = [all(p in _SURE or p in _VAGUE or p in _PLAIN for p in parts) for parts in cut]
+    if any(ok and not sure.isdisjoint(parts) for ok, parts in zip(closed, cut, strict=True)):
+        return True
+    return bool(cut) and all(closed) and any(not vague.isdisjoint(parts) for parts in cut)
+
+
 def _label(name: str, tag: str, in_main: bool) -> str:
     """An element as a path shows it: its name, and "!" if nothing in it is content."""
     away = name in _AWAY_TAGS or (name == "header" and not in_main)
     if not away and name not in ("html", "body", "article", "main"):
-        words = set()
-        for m in _ATTR.finditer(tag):
-            words.update(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-        away = bool(words & (_AWAY_WORDS if not in_main else _AWAY_WORDS - _HEAD_WORDS)) or (not in_main and bool(words & _HEAD_WORDS))
+        names = [n for m in _ATTR.finditer(tag) for n in (m[2] or m[3] or m[4] or "").split()]
+        away = _says_away(names, in_main)
     return f"{name}!" if away else name
 
 
 def _mark(name: str, tag: str) -> str:
     """An element as wrappers tell it apart: its name, classes and id, with numbers in them alike."""
-    found = {m[1].lower(): sorted((m[2] or m[3] or m[4] or "").split()) for m in _ATTR.finditer(tag)} if " " in tag or "\n" in tag or "\t" in tag else {}
-    return re.sub(r"[0-9]+", "0", ".".join([name, *found.get("class", [])]) + "".join("#" + x for x in found.get("id", []))) if found else name
+    found = {
+        m[1].lower(): sorted((m[2] or m[3] or m[4] or "").split()) for m in _ATTR.finditer(tag)
+    } if " " in tag or "\n" in tag or "\t" in tag else {}
+    return re.sub(
+        r"[0-9]+", "0", ".".join([name, *found.get("class", [])]) + "".join("#" + x for x in found.get("id", [])),
+    ) if found else name
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
@@ -68,7 +109,7 @@ def marked_blocks(page: str | None) -> list[tuple[str, str, str]]:
 
     def flush() -> None:
         if text:
-            if joined := " ".join(_html.unescape("".join(text)).split()):
+            if joined := " ".join("".join(text).split()):
                 out.append(("/".join(x for _, x, _ in stack), "/".join(x for _, _, x in stack), joined))
             text.clear()
 
@@ -85,7 +126,7 @@ def marked_blocks(page: str | None) -> list[tuple[str, str, str]]:
     while m := _TOKEN.match(page, at):
         at, token = m.end(), m[0]
         if token[0] != "<" or token == "<":
-            text.append(token)
+            text.append(_html.unescape(token))  # by itself: tags end a reference
             continue
         if not (n := _NAME.match(token)):
             continue
@@ -119,7 +160,12 @@ def marked_blocks(page: str | None) -> list[tuple[str, str, str]]:
             if name not in _BLOCK:
                 flush()
             if not token.endswith("/>") or name in _BLOCK:
-                stack.append((name, _label(name, token, any(x in ("article", "main") for x, _, _ in stack)), _mark(name, token)))
+                stack.append(
+                    (
+                        name, _label(name, token, any(x in ("article", "main") for x, _, _ in stack)),
+                        _mark(name, token),
+                    )
+                )
     flush()
     return out
 
@@ -224,7 +270,9 @@ def main_element(texts: dict[str, int]) -> str:
                 head = p[len(best) + 1 if best else 0 :].split("/")[0]
                 inner[head] = inner.get(head, 0) + n
         top = max(sorted(inner), key=lambda h: inner[h], default=None)
-        if top is None or top in ("p", "li", "h1", "h2", "h3", "td", "tr", "dd", "dt", "pre") or inner[top] < 0.6 * total:
+        if top is None or top in (
+            "p", "li", "h1", "h2", "h3", "td", "tr", "dd", "dt", "pre",
+        ) or inner[top] < 0.6 * total:
             return best
         best = f"{best}/{top}" if best else top
 
@@ -233,7 +281,12 @@ def is_content(path: str, main: str) -> bool:
     return "!" not in path and (not main or path == main or path.startswith(main + "/"))
 
 
-_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("main", pa.string()), ("weight", pa.int64()), ("n", pa.int64()), ("least", pa.string()), ("most", pa.string()), ("texts", pa.list_(pa.string()))])
+_STREAM = pa.schema(
+    [
+        ("host", pa.string()), ("stream", pa.string()), ("main", pa.string()), ("weight", pa.int64()),
+        ("n", pa.int64()), ("least", pa.string()), ("most", pa.string()), ("texts", pa.list_(pa.string()))
+    ]
+)
 
 
 def _digest(text: str) -> str:
@@ -247,7 +300,9 @@ def _streams(batches):
 
     def rows():
         cols = zip(*[(*k, *v[:-1], sorted(v[-1])) for k, v in seen.items()], strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STREAM.types, strict=True)], schema=_STREAM)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, _STREAM.types, strict=True)], schema=_STREAM,
+        )
         seen.clear()
         return out
 
@@ -263,69 +318,166 @@ def _streams(batches):
             if (known := seen.get(key := (h, json.dumps(items), main))) is None:
                 seen[key] = [sum(lens.values()), 1, body, body, texts]
             else:
-                known[:] = known[0] + sum(lens.values()), known[1] + 1, min(known[2], body), max(known[3], body), known[4] & texts
+                known[:] = known[0] + sum(lens.values()), known[1] + 1, min(
+                    known[2], body,
+                ), max(known[3], body), known[4] & texts
         if len(seen) > 2000:
             yield rows()
     if seen:
         yield rows()
 
 
-def infer(shapes: list[tuple]) -> tuple[list[list], list[list]]:
-    """A host's wrapper and its constant texts (of each item, the digests at each place of its unit), from its structures
-    (stream, least and largest digest of a page, texts that all its pages have). Constant is what all pages with
-    the slot have there, if the content of two of them differs: copies of one page tell nothing about its template."""
-    wrapper: list | None = None
-    for stream, *_ in shapes:
-        wrapper = json.loads(stream) if wrapper is None else align(wrapper, json.loads(stream))
-    wrapper = wrapper or []
-    matcher, slots = Matcher(wrapper), [[None] * len(unit) for unit, _, _ in wrapper]
-    for stream, least, most, texts in shapes:
-        items = json.loads(stream)
-        common: dict[tuple, set] = {}
-        for x in texts or []:
-            i, k, d = x.split(":")
-            common.setdefault((int(i), int(k)), set()).add(d)
-        for i, j in enumerate(matcher.match(items) or []):
-            for k in range(len(items[i][0])):
-                a, b, of = slots[j][k] or (least, most, common.get((i, k), set()))
-                slots[j][k] = min(a, least), max(b, most), of & common.get((i, k), set())
-    return wrapper, [[sorted(s[2]) if s and s[0] != s[1] else [] for s in places] for places in slots]
+#: Structures or wrappers that one task folds into one.
+FOLD = 400
 
 
 def _fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One host's wrapper, from its distinct streams in the order of their text."""
-    shapes = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("stream", "least", "most", "texts")), strict=True)]
-    wrapper, constant = infer(sorted(shapes, key=lambda r: r[0]))
-    yield pa.RecordBatch.from_pydict({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string()), "constant": pa.array([json.dumps(constant)], pa.string())})
+    """One wrapper, from a host's distinct streams or wrappers in the order of their text."""
+    shapes = sorted(x for batch in batches for x in batch.column("wrapper").to_pylist())
+    wrapper: list | None = None
+    for shape in shapes:
+        wrapper = json.loads(shape) if wrapper is None else align(wrapper, json.loads(shape))
+    columns = {
+        "host": pa.array([key[0].as_py()], pa.string()),
+        "wrapper": pa.array([json.dumps(wrapper or [])], pa.string()),
+    }
+    yield pa.RecordBatch.from_pydict(columns)
+
+
+def _folded(shapes: DataFrame) -> DataFrame:
+    """host, wrapper: all streams (host, wrapper) of a host in one, FOLD of them at a time, then FOLD of what came out."""
+    level = shapes
+    while True:
+        sizes = level.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FOLD).cast("int").alias("_parts"))
+        most = sizes.agg(F.max("_parts")).first()[0] or 0
+        if most <= 1:
+            return level.groupBy("host").applyInArrow(_fold, "host string, wrapper string")
+        wide = level.join(F.broadcast(sizes.filter("_parts > 1")), "host", "left")
+        part = F.pmod(F.xxhash64("wrapper"), F.coalesce("_parts", F.lit(1)))
+        level = materialise(
+            wide.withColumn("_part", part).groupBy("host", "_part").applyInArrow(_fold, "host string, wrapper string"),
+            "wrappers",
+        )
+
+
+_SLOT = pa.schema(
+    [
+        ("host", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("least", pa.string()),
+        ("most", pa.string()), ("texts", pa.list_(pa.string()))
+    ]
+)
+
+
+def _slots(batches):
+    """A row for each place of each structure: the wrapper's slot that it matches, and what its pages have there."""
+    matchers: dict[str, Matcher] = {}
+    for batch in batches:
+        rows: list[tuple] = []
+        for h, stream, least, most, texts, wrapper in zip(
+            *(batch.column(c).to_pylist() for c in ("host", "stream", "least", "most", "texts", "wrapper")),
+            strict=True,
+        ):
+            if wrapper not in matchers:
+                if len(matchers) > 1000:
+                    matchers.clear()
+                matchers[wrapper] = Matcher(json.loads(wrapper))
+            common: dict[tuple, list] = {}
+            for x in texts or []:
+                i, k, d = x.split(":")
+                common.setdefault((int(i), int(k)), []).append(d)
+            items = json.loads(stream)
+            for i, j in enumerate(matchers[wrapper].match(items) or []):
+                rows += [(h, j, k, least, most, common.get((i, k), [])) for k in range(len(items[i][0]))]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SLOT.types, strict=True)], schema=_SLOT,
+            )
+
+
+def _constants(shapes: DataFrame, wrappers: DataFrame, n: int) -> DataFrame:
+    """host, constant: JSON of (item, place, digest) of the texts that all pages with a slot have there, if the content of two
+    of them differs: copies of one page tell nothing about its template."""
+    met = join_groups(
+        shapes.select("host", "stream", "least", "most", "texts"), wrappers.select("host", "wrapper", "_structures"),
+        "host", "_structures", n,
+    )
+    slots = materialise(
+        met.mapInArrow(_slots, "host string, item int, place int, least string, most string, texts array<string>"),
+        "slots",
+    )
+    key = ["host", "item", "place"]
+    whole = slots.groupBy(*key).agg(
+        F.min("least").alias("_l"), F.max("most").alias("_m"), F.count(F.lit(1)).alias("_n"),
+    ).filter("_l <> _m")
+    having = slots.select(
+        *key, F.explode(F.array_distinct("texts")).alias("digest"),
+    ).groupBy(*key, "digest").agg(F.count(F.lit(1)).alias("_having"))
+    always = having.join(whole.select(*key, "_n"), key).filter("_having = _n")
+    return always.groupBy("host").agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("item", "place", "digest")))).alias("constant")
+    )
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON items), constant (JSON, as from infer), main (path of the main element), n_pages: one row for
-    each host.
+    """host, wrapper (JSON items), constant (JSON of the texts that belong to the template, by slot), main (path of the main
+    element), n_pages: one row for each host.
 
     Pages of equal block structure are counted before anything of a host meets, so that what is aligned is each
-    distinct structure once; so are the texts that all pages of a structure share. A host's main element is the one in
-    which most of its text lies.
+    distinct structure once; so are the texts that all pages of a structure share. Structures are folded into a wrapper
+    FOLD at a time, and matched against it where they are. A host's main element is the one in which most of its text
+    lies.
     """
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    streams = materialise(rows.mapInArrow(_streams, "host string, stream string, main string, weight long, n long, least string, most string, texts array<string>").withColumn("sid", F.md5("stream")), "streams")
-    shapes = streams.groupBy("host", "sid").agg(F.min("stream").alias("stream"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("_rows"))
-    having = streams.select("host", "sid", F.explode("texts").alias("text")).groupBy("host", "sid", "text").agg(F.count(F.lit(1)).alias("_having"))
-    common = having.join(shapes.select("host", "sid", "_rows"), ["host", "sid"]).filter("_having = _rows").groupBy("host", "sid").agg(F.collect_list("text").alias("texts"))
-    wrapped = shapes.join(common, ["host", "sid"], "left").select("host", "stream", "least", "most", "texts").groupBy("host").applyInArrow(_fold, "host string, wrapper string, constant string")
-    mains = streams.groupBy("host", "main").agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).groupBy("host").agg(F.max_by("main", F.struct("w", "main")).alias("main"), F.sum("n").alias("n_pages"))
-    return materialise(wrapped.join(mains, "host"), "wrappers")
+    streams = materialise(
+        rows.mapInArrow(
+            _streams,
+            "host string, stream string, main string, weight long, n long, least string, most string, texts array<string>",
+        ).withColumn("sid", F.md5("stream")),
+        "streams",
+    )
+    shapes = streams.groupBy("host", "sid").agg(
+        F.min("stream").alias("stream"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    having = streams.select(
+        "host", "sid", F.explode("texts").alias("text"),
+    ).groupBy("host", "sid", "text").agg(F.count(F.lit(1)).alias("_having"))
+    common = having.join(
+        shapes.select("host", "sid", "_rows"), ["host", "sid"],
+    ).filter("_having = _rows").groupBy("host", "sid").agg(F.collect_list("text").alias("texts"))
+    shapes = materialise(shapes.join(common, ["host", "sid"], "left"), "shapes")
+    sizes = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("_structures"))
+    wrapped = materialise(
+        _folded(shapes.select("host", F.col("stream").alias("wrapper"))).join(sizes, "host"), "wrapped",
+    )
+    constants = _constants(shapes, wrapped, shapes.count())
+    mains = streams.groupBy("host", "main").agg(
+        F.sum("weight").alias("w"), F.sum("n").alias("n"),
+    ).groupBy("host").agg(F.max_by("main", F.struct("w", "main")).alias("main"), F.sum("n").alias("n_pages"))
+    return materialise(
+        wrapped.select("host", "wrapper").join(constants, "host", "left").join(mains, "host"), "wrappers",
+    )
 
 
 def host(url):
-    return F.coalesce(F.lower(F.regexp_extract(F.col("url") if isinstance(url, str) else url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(
+        F.lower(
+            F.regexp_extract(
+                F.col("url") if isinstance(url, str) else url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1,
+            )
+        ),
+        F.lit(""),
+    )
 
 
 class _Template:
     """What a wrapper says of a page's blocks; the match of a structure is remembered."""
 
     def __init__(self, wrapper: str | None, constant: str | None):
-        self.matcher, self.constant, self.known = Matcher(json.loads(wrapper or "[]")), json.loads(constant or "[]"), {}
+        self.matcher, self.known = Matcher(json.loads(wrapper or "[]")), {}
+        self.constant: dict[tuple[int, int], set] = {}
+        for c in json.loads(constant or "[]"):
+            self.constant.setdefault((c["item"], c["place"]), set()).add(c["digest"])
 
     def varies(self, found: list[tuple[str, str, str]]) -> list[bool]:
         """Whether each block is data: its text isn't constant in the slot that it matches. A page that the wrapper doesn't
@@ -337,8 +489,8 @@ class _Template:
             at = self.known[key] = self.matcher.match(items) or []
         if not at:
             return [True] * len(found)
-        slots = (self.constant[at[i]][k] for i, k in places)
-        return [not c or _digest(t) not in c for c, (_, _, t) in zip(slots, found, strict=True)]
+        held = (self.constant.get((at[i], k)) for i, k in places)
+        return [not c or _digest(t) not in c for c, (_, _, t) in zip(held, found, strict=True)]
 
 
 def _extract(schema: pa.Schema):
@@ -346,7 +498,9 @@ def _extract(schema: pa.Schema):
 
     def run(batches):
         templates: dict[tuple, _Template] = {}
-        for *rest, page, wrapper, constant, main in chunks(batches, [*names, "html", "wrapper", "constant", "main"], "html"):
+        for *rest, page, wrapper, constant, main in chunks(
+            batches, [*names, "html", "wrapper", "constant", "main"], "html",
+        ):
             texts = []
             for p, w, c, m in zip(page, wrapper, constant, main, strict=True):
                 if (template := templates.get((w, c))) is None:
@@ -361,10 +515,15 @@ def _extract(schema: pa.Schema):
                     m = main_element(lens) or None
                 else:
                     m = m or ""
-                kept = [t for (path, _, t), data in zip(found, template.varies(found), strict=True) if data and is_content(path, m)] if m is not None else []
+                kept = [
+                    t for (path, _, t), data in zip(found, template.varies(found), strict=True) if data
+                    and is_content(path, m)
+                ] if m is not None else []
                 texts.append("\n".join(kept))
             cols = [*rest, texts, [len(t) for t in texts]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema,
+            )
 
     return run
 
@@ -379,8 +538,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     modest_batches(pages.sparkSession)
     wrappers = infer_wrappers(pages, url_col, html_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"),
+    )
     n = wrappers.agg(F.sum("n_pages")).first()[0] or 0
-    met = join_groups(rows, wrappers.select("host", "wrapper", "constant", "main", "n_pages"), "host", "n_pages", n, "left")
+    met = join_groups(
+        rows, wrappers.select("host", "wrapper", "constant", "main", "n_pages"), "host", "n_pages", n, "left",
+    )
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     return met.mapInArrow(_extract(schema), "page_id long, url string, text string, n_chars long")
