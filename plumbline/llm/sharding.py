@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rename_clash
+from .common import spare
 
 #: A prime: every step from 1 to SLOTS - 1 then visits all slots.
 SLOTS = 65_537
@@ -53,7 +53,9 @@ def place(docs: DataFrame, shards: list[str] | int = 64, key_col: str = "doc_id"
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
     table = fill_table(names, slots)
     spark = docs.sparkSession
-    lookup = spark.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "slot int, shard string")
+    at, name, owner = spare(docs, "_at"), spare(docs, "slot"), spare(docs, "shard")
+    lookup = spark.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], f"{name} int, {owner} string")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("\x00null"))), F.lit(slots)).cast("int")
-    rows = rename_clash(docs.withColumn("_slot", slot), ["slot", "shard"], [])
-    return rows.withColumnRenamed("_slot", "slot").join(F.broadcast(lookup), "slot", "left").select(*[c for c in rows.columns if c != "_slot"], "slot", "shard")
+    met = docs.withColumn(at, slot).join(F.broadcast(lookup), F.col(at) == F.col(name), "left")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]
+    return met.select(*rest, F.col(at).alias("slot"), F.col(owner).alias("shard"))
