@@ -93,7 +93,9 @@ def join_salted(rows: DataFrame, wide: DataFrame, key: str, spread: Column, per_
     and only its wide rows are repeated, once a part. spread: what deals a key's rows out to its parts."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     parts = sizes.select(key, F.ceil(F.col("_n") / per_task).cast("int").alias("_parts")).filter("_parts > 1")
-    dealt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
+    dealt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")
+    )
     salted = rows.join(parts, key, "left").withColumn("_salt", dealt).drop("_parts")
     every = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     copies = wide.join(parts, key, "left").withColumn("_salt", F.explode(every)).drop("_parts")
@@ -120,7 +122,9 @@ def cells(key: Column, blocks: int) -> tuple[Column, Column, Column]:
     """The block of a blocked filter that a key falls into, and its two bits there."""
     h = F.xxhash64(key)
     low = F.lit(BLOCK_BITS - 1)
-    return F.pmod(F.shiftright(h, 30), F.lit(blocks)).cast("int"), h.bitwiseAND(low).cast("int"), F.shiftright(h, 15).bitwiseAND(low).cast("int")
+    return F.pmod(
+        F.shiftright(h, 30), F.lit(blocks),
+    ).cast("int"), h.bitwiseAND(low).cast("int"), F.shiftright(h, 15).bitwiseAND(low).cast("int")
 
 
 def bit_set(bitmap: Column, position: Column) -> Column:
@@ -133,7 +137,9 @@ def _filtered(docs: DataFrame, ids: DataFrame, n: int, id_col: str) -> tuple[Dat
     blocks = max(1, min(MAX_BLOCKS, -(-n * 16 // BLOCK_BITS)))
     block, a, b = cells(F.col("_id"), blocks)
     bits = ids.select(block.alias("_block"), F.explode(F.array_distinct(F.array(a, b))).alias("_bit"))
-    bitmaps = materialise(bits.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_bits")), "bitmaps")
+    bitmaps = materialise(
+        bits.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_bits")), "bitmaps",
+    )
     names = spare(docs, "_block"), spare(docs, "_bits")
     block, a, b = cells(F.col(f"`{id_col}`").cast("long"), blocks)
     bitmaps = bitmaps.select(F.col("_block").alias(names[0]), F.col("_bits").alias(names[1]))
@@ -189,7 +195,9 @@ def chunks(batches: Iterable, columns: list[str], text: str, most_bytes: int = 4
     """Lists of the named columns for runs of rows whose texts hold about most_bytes, a single long text alone."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives back what is freed
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(
+            pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0,
+        ).to_numpy(zero_copy_only=False)
         start = 0
         while start < batch.num_rows:
             n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most_bytes, side="right")))
@@ -320,7 +328,9 @@ def _merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
         for data in batch.column("bits").to_pylist():
             bits |= unpack(data)
     packed = np.packbits(bits, bitorder="little").tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["piece", "bits"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["piece", "bits"],
+    )
 
 
 def id_filter(ids: DataFrame):

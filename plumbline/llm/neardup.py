@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import (
     WordHash, chunks, gram_hashes, id_filter, join_groups, join_salted, materialise, modest_batches, odd, with_ids,
     without_ids,
-)
+)
 
 #: SetSketch with 16-bit registers: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
@@ -93,8 +93,13 @@ def _sketches(k: int):
             rows = []
             for i, t in zip(ids, text, strict=True):
                 s = shingle_set(of(t.encode().lower().split()), k) if t else ()
-                rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (i, 0, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
+                rows.append(
+                    (i, len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s)
+                    else (i, 0, None, None)
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH,
+            )
 
     return run
 
@@ -107,9 +112,13 @@ def _sets(k: int, wanted):
         of = WordHash().of
         for ids, text in chunks(batches, ["id", "text"], "text"):
             keep = wanted.value.maybe(np.array(ids, np.int64)).tolist()
-            ids, text = [i for i, x in zip(ids, keep, strict=True) if x], [t for t, x in zip(text, keep, strict=True) if x]
+            ids, text = [i for i, x in zip(ids, keep, strict=True) if x], [
+                t for t, x in zip(text, keep, strict=True) if x
+            ]
             items = [shingle_set(of(t.encode().lower().split()), k).view(np.int64) for t in text]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema,
+            )
 
     return run
 
@@ -122,7 +131,10 @@ def _likely(threshold: float):
             if not batch.num_rows:
                 continue
             col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
-            regs = [np.frombuffer(b"".join(col(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("regs_a", "regs_b")]
+            regs = [
+                np.frombuffer(b"".join(col(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                for c in ("regs_a", "regs_b")
+            ]
             sizes = [col(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
             keep = pa.array(likely_jaccard(*regs, *sizes) >= threshold - MARGIN)
             yield pa.RecordBatch.from_arrays([col("a"), col("b")], schema=schema).filter(keep)
@@ -160,10 +172,16 @@ def components(links: DataFrame, most_rows: int) -> DataFrame:
             older = met.select("id", F.coalesce("_top", "root").alias("root"))
             here = older.unionByName(here.join(known.select("id"), "id", "left_anti"))
         known = materialise(here, "roots", most_rows)
-        low = edges.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")).join(hooks.withColumnRenamed("hi", "lo"), "lo", "left")
-        high = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).join(hooks, "hi").select("hi", F.col("up").alias("_h"), "_n")
+        low = edges.groupBy("lo").agg(F.count(F.lit(1)).alias("_n")).join(
+            hooks.withColumnRenamed("hi", "lo"), "lo", "left",
+        )
+        high = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("_n")).join(hooks, "hi").select(
+            "hi", F.col("up").alias("_h"), "_n",
+        )
         met = join_groups(edges, low.select("lo", F.coalesce("up", "lo").alias("_l"), "_n"), "lo", "_n", n)
-        met = join_groups(met, high, "hi", "_n", n).select(F.greatest("_l", "_h").alias("hi"), F.least("_l", "_h").alias("lo"))
+        met = join_groups(met, high, "hi", "_n", n).select(
+            F.greatest("_l", "_h").alias("hi"), F.least("_l", "_h").alias("lo"),
+        )
         edges = materialise(met.filter("hi <> lo").distinct(), "edges", n)
     if known is None:
         return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
@@ -199,7 +217,9 @@ def _met_enough(percent: int) -> Column:
     sets share lies within that first, where it is bounded by what each shares with it, or outside, where it is
     bounded by what each has there, less the shingles that only it has."""
     bound = "least(u.s, v.s) + least(n_x - u.s - own_x, n - v.s - own)"
-    return F.expr(f"NOT coalesce(exists(firsts_x, u -> exists(firsts, v -> u.p = v.p AND ({bound}) * {100 + percent} < {percent} * (n + n_x))), false)")
+    return F.expr(
+        f"NOT coalesce(exists(firsts_x, u -> exists(firsts, v -> u.p = v.p AND ({bound}) * {100 + percent} < {percent} * (n + n_x))), false)"
+    )
 
 
 _WIDTH = ROWS * 2
@@ -224,13 +244,17 @@ def _members(able: DataFrame, n: int) -> DataFrame:
     The first has the fewest shingles of its own: it is the text nearest to what the others vary. The order is one
     number, so that this aggregates by hash."""
     banded = _banded(able, "own")
-    order = F.shiftleft(F.least("own", F.lit((1 << 24) - 1)).cast("long"), 39).bitwiseOR(F.pmod(F.xxhash64("rep"), F.lit(1 << 39)))
+    order = F.shiftleft(
+        F.least("own", F.lit((1 << 24) - 1)).cast("long"), 39,
+    ).bitwiseOR(F.pmod(F.xxhash64("rep"), F.lit(1 << 39)))
     firsts = [F.min_by(c, order).alias(f"first_{c}") for c in ("rep", "n", "own")]
     shared = banded.groupBy("bucket").agg(*firsts, F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     return join_groups(banded, shared, "bucket", "_size", n)
 
 
-def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dup_groups(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept, class_id, n_links.
 
     Ids are whole numbers. Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its
@@ -248,15 +272,22 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     modest_batches(docs.sparkSession)
     n_docs = docs.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches")
+    sketched = materialise(
+        rows.mapInArrow(_sketches(shingle), "doc_id long, n long, `set` binary, regs binary"), "sketches",
+    )
     named = sketched.filter("n > 0 and doc_id is not null")
     alone = sketched.filter("n = 0 or doc_id is null")
-    texts_of = named.select("doc_id", F.xxhash64("set").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    texts_of = named.select("doc_id", F.xxhash64("set").alias("h")).groupBy("doc_id").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"),
+    )
     several = materialise(texts_of.filter("low <> high").select("doc_id"), "several", n_docs)
     if not several.isEmpty():
         named, alone = without_ids(named, several, "doc_id"), alone.unionByName(with_ids(named, several, "doc_id"))
     # Registers follow from the set: as part of the key, they need no aggregate of their own.
-    classes = materialise(named.groupBy("set", "n", "regs").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")), "classes")
+    classes = materialise(
+        named.groupBy("set", "n", "regs").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_size")),
+        "classes",
+    )
     reps = classes.select("rep", "n", "regs")
     texts = rows.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
     n_banded = n_docs * _BANDS
@@ -264,35 +295,55 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Sets are made of what shares a bucket with something. A shingle that only one of them has can't be shared, and
     # a set with too many such shingles has no link: what merely shares a passage goes out here.
     near = materialise(reps.join(_sharing(reps, n_banded), "rep", "left_semi"), "near", n_docs)
-    sets = materialise(texts.mapInArrow(_sets(shingle, id_filter(near.select("rep"))), "id long, items array<long>"), "sets")
-    owners = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    sets = materialise(
+        texts.mapInArrow(_sets(shingle, id_filter(near.select("rep"))), "id long, items array<long>"), "sets",
+    )
+    owners = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"),
+    ).filter("c = 1")
     own = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     able = near.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
     able = materialise(able.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "able", n_docs)
     members = materialise(_members(able, n_banded), "members", n_banded)
-    fits = (F.col("rep") != F.col("first_rep")) & _could_link(F.col("n"), F.col("own"), F.col("first_n"), F.col("first_own"), percent)
+    fits = (F.col("rep") != F.col("first_rep")) & _could_link(
+        F.col("n"), F.col("own"), F.col("first_n"), F.col("first_own"), percent,
+    )
     star = members.filter(fits).select(F.col("first_rep").alias("a"), F.col("rep").alias("b")).distinct()
     likely = materialise(_estimated(star, reps, percent), "likely", n_banded)
     compared = materialise(_compared(likely, sets, percent), "compared", n_banded)
     links = compared.filter("linked").select("a", "b")
-    firsts = compared.groupBy(F.col("b").alias("rep")).agg(F.collect_list(F.struct(F.col("a").alias("p"), F.col("shared").alias("s"))).alias("firsts"))
+    firsts = compared.groupBy(F.col("b").alias("rep")).agg(
+        F.collect_list(F.struct(F.col("a").alias("p"), F.col("shared").alias("s"))).alias("firsts")
+    )
     roots = components(links, n_banded)
     # What the star of a bucket can't see: links between other members that are still in different components.
-    placed = members.select("rep", "n", "own", "band", "bucket").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(firsts, "rep", "left")
+    placed = members.select("rep", "n", "own", "band", "bucket").join(
+        roots.withColumnRenamed("id", "rep"), "rep", "left",
+    ).join(firsts, "rep", "left")
     placed = materialise(placed.withColumn("root", F.coalesce("root", "rep")), "placed", n_banded)
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_buckets = parts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("_size")).filter("k > 1")
+    open_buckets = parts.groupBy("bucket").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"),
+        F.sum("c").alias("_size"),
+    ).filter("k > 1")
     inside = join_groups(placed, open_buckets.drop("k"), "bucket", "_size", n_banded)
     inside = materialise(inside.join(able.select("rep", "regs"), "rep"), "inside", n_banded)
     names = {"rep": "x", "n": "n_x", "own": "own_x", "firsts": "firsts_x", "root": "root_x", "regs": "regs_x"}
     out = inside.filter("root <> main").select("bucket", *[F.col(c).alias(x) for c, x in names.items()])
     apart = (F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("x")))
     # Two sets meet in the first of the bands that they share only.
-    first_band = F.expr(f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {_WIDTH} + 1, {_WIDTH}) = substring(regs_x, j * {_WIDTH} + 1, {_WIDTH}))")
+    first_band = F.expr(
+        f"NOT exists(sequence(0, band), j -> j < band AND substring(regs, j * {_WIDTH} + 1, {_WIDTH}) = substring(regs_x, j * {_WIDTH} + 1, {_WIDTH}))"
+    )
     enough = _could_link(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), percent) & _met_enough(percent)
     met = join_salted(inside, out, "bucket", F.col("rep"), per_task=4096).filter(apart & enough & first_band)
-    pairs = met.select(F.col("rep").alias("a"), F.col("x").alias("b"), F.col("n").alias("n_a"), F.col("n_x").alias("n_b"), F.col("regs").alias("regs_a"), F.col("regs_x").alias("regs_b"))
-    likely = pairs.mapInArrow(_likely(percent / 100), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(
+        F.col("rep").alias("a"), F.col("x").alias("b"), F.col("n").alias("n_a"), F.col("n_x").alias("n_b"),
+        F.col("regs").alias("regs_a"), F.col("regs_x").alias("regs_b"),
+    )
+    likely = pairs.mapInArrow(_likely(percent / 100), "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+    ).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(likely.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -300,23 +351,38 @@ def near_dup_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links, n_banded)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(
+        F.explode(F.array("a", "b")).alias("rep")
+    ).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    of_class = of_class.select("set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size")
+    of_class = of_class.select(
+        "set", F.coalesce("root", "rep").alias("component_id"), F.col("rep").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "_size",
+    )
     of_class = materialise(of_class, "of_class", n_docs)
     met = join_groups(named.select("doc_id", "n", "set"), of_class, "set", "_size", n_docs).drop("set")
-    alone = alone.select("doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = alone.select(
+        "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"),
+    )
     every = met.select("doc_id", "n", "component_id", "class_id", "n_links").unionByName(alone)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "n_links")
+    return every.select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id", "n_links",
+    )
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all columns, whatever their names, without the documents that near_dup_groups doesn't keep. Rows that
     repeat a kept id and text are reduced to one; rows with a null id, and those of an id with several different
     texts, are nobody's copies and stay. An empty table stays empty. Only ids shuffle for the decision."""
-    groups = materialise(near_dup_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "kept"), "kept")
+    groups = materialise(
+        near_dup_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "kept"), "kept",
+    )
     gone = groups.filter("not kept").select("doc_id").distinct()
-    again = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = groups.filter(
+        "kept and doc_id is not null"
+    ).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     left = without_ids(docs, gone, id_col)
     if again.isEmpty():
         return left

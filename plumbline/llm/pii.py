@@ -37,7 +37,10 @@ LOOSE = {
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
 #: What has to occur in a text before a pattern is tried on it.
-HINT = {"email": "[@]|(?i:[\\[({]at[\\])}])", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9][\\x20./_-]?[0-9][\\x20./_-]?[0-9][\\x20./_-]?[0-9]", "phone": "\\+[0-9]|[0-9][\\x20.-][0-9]{4}"}
+HINT = {
+    "email": "[@]|(?i:[\\[({]at[\\])}])", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "card": "[0-9][\\x20./_-]?[0-9][\\x20./_-]?[0-9][\\x20./_-]?[0-9]", "phone": "\\+[0-9]|[0-9][\\x20.-][0-9]{4}",
+}
 
 # Gazetteers and cue words, as regular expressions.
 ENDINGS = r"(?i)\b(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|co|me|tv|eu|us|uk|de|fr|es|it|nl|be|ch|at|pl|cz|se|no|fi|dk|pt|ie|ru|ua|tr|in|cn|jp|kr|au|nz|br|mx|ar|cl|ca|za)$"
@@ -91,18 +94,27 @@ def _votes(kind: str, base: bool) -> str:
         "email": _vote(f"x.v rlike {_quoted(ENDINGS)}", "true"),
         "ip": _vote("NOT x.v rlike '^(?:0+|2[4-5][0-9])[.]'", "true"),
         "card": _vote(f"{_DIGITS} rlike '{ISSUERS}'", "true"),
-        "phone": _vote(f"{_DIGITS} rlike '^(?:1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}|[2-9][0-9]{{8,14}})$'", f"{_DIGITS} rlike '^0{{3}}'"),
+        "phone": _vote(
+            f"{_DIGITS} rlike '^(?:1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}|[2-9][0-9]{{8,14}})$'",
+            f"{_DIGITS} rlike '^0{{3}}'",
+        ),
+    }[kind]
+    length = {
+        "email": "length(x.v) BETWEEN 6 AND 80", "ip": "length(x.v) BETWEEN 7 AND 39",
+        "card": f"length({_DIGITS}) BETWEEN 15 AND 16", "phone": f"length({_DIGITS}) BETWEEN 10 AND 13",
     }[kind]
-    length = {"email": "length(x.v) BETWEEN 6 AND 80", "ip": "length(x.v) BETWEEN 7 AND 39", "card": f"length({_DIGITS}) BETWEEN 15 AND 16", "phone": f"length({_DIGITS}) BETWEEN 10 AND 13"}[kind]
     valid = "true" if base else {"email": "true", "ip": "true", "card": _LUHN, "phone": "true"}[kind]
     return "concat(" + ", ".join([
         _vote(valid if base else f"false AND {valid}", f"NOT ({valid})"),
         gazetteer,
         _vote(f"x.before rlike {_quoted(CUES[kind])}"),
         _vote("false", f"x.before rlike {_quoted(OTHER)}"),
-        _vote("(x.before = '' OR right(x.before, 1) rlike '[^A-Za-z0-9]') AND (x.after = '' OR x.after rlike '[^A-Za-z0-9]')", "true"),
+        _vote(
+            "(x.before = '' OR right(x.before, 1) rlike '[^A-Za-z0-9]') AND (x.after = '' OR x.after rlike '[^A-Za-z0-9]')",
+            "true",
+        ),
         _vote(length, "true"),
-    ]) + ")"
+    ]) + ")"
 
 
 #: What the classifier sees of a span, in order: each is one digit, so that spans that look alike can be counted.
@@ -122,9 +134,13 @@ def _kind_of(char: str) -> str:
 def _seen() -> str:
     digits, size = f"length({_DIGITS})", "length(x.v)"
     parts = [
-        _binned(size, 10, 14, 18, 24, 40), _binned(f"{digits} / {size}", 0.05, 0.4, 0.7, 0.9), _binned("length(regexp_replace(x.v, '[A-Za-z0-9]', ''))", 1, 2, 3, 5),
-        "CASE WHEN x.v rlike '[A-Z]' THEN CASE WHEN x.v rlike '[a-z]' THEN 1 ELSE 2 END ELSE 0 END", _kind_of("right(x.before, 1)"), _kind_of("x.after"),
-    ]
+        _binned(size, 10, 14, 18, 24, 40), _binned(f"{digits} / {size}", 0.05, 0.4, 0.7, 0.9), _binned(
+            "length(regexp_replace(x.v, '[A-Za-z0-9]', ''))", 1, 2, 3, 5,
+        ),
+        "CASE WHEN x.v rlike '[A-Z]' THEN CASE WHEN x.v rlike '[a-z]' THEN 1 ELSE 2 END ELSE 0 END", _kind_of(
+            "right(x.before, 1)"
+        ), _kind_of("x.after"),
+    ]
     return "concat(" + ", ".join(f"CAST({p} AS STRING)" for p in parts) + ")"
 
 
@@ -161,12 +177,16 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for tag in "bl":
             valid = _VALID[kind] if tag == "b" else "true"
             made = f"named_struct('kind', {k}, 'base', {str(tag == 'b').lower()}, 'start', x.start, 'end', x.start + length(x.v), 'votes', {_votes(kind, tag == 'b')}, 'seen', {_seen()})"
-            parts.append(f"transform(filter({_located(f'm_{tag}_{kind}', f'g_{tag}_{kind}')}, x -> {valid}), x -> {made})")
+            parts.append(
+                f"transform(filter({_located(f'm_{tag}_{kind}', f'g_{tag}_{kind}')}, x -> {valid}), x -> {made})"
+            )
     df = df.withColumn("found", F.expr(f"CAST(concat({', '.join(parts)}) AS {_CAND})"))
     return df.select("doc_id", F.expr(_apart("found")).alias("found"))
 
 
-def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, list[dict[str, list[float]]], dict[str, float]]:
+def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[
+    float, list[dict[str, list[float]]], dict[str, float]
+]:
     """EM over counts of vote patterns: the share of true spans, each labeler's P(vote | false, true), and the
     belief for each pattern. Starts from the majority of votes."""
     belief = {v: min(0.95, max(0.05, 0.5 + 0.15 * (v.count("1") - v.count("2")))) for v in counts}
@@ -183,7 +203,9 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, list
             sums = [sum(x[z] for x in seen.values()) for z in (0, 1)]
             tables.append({c: [x[z] / sums[z] for z in (0, 1)] for c, x in seen.items()})
         for v in counts:
-            odds = math.log(share / (1 - share)) + sum(math.log(tables[i][c][1] / tables[i][c][0]) for i, c in enumerate(v))
+            odds = math.log(share / (1 - share)) + sum(
+                math.log(tables[i][c][1] / tables[i][c][0]) for i, c in enumerate(v)
+            )
             belief[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return share, tables, belief
 
@@ -201,7 +223,10 @@ _CROWD = f"CAST({_binned('size(found)', 2, 4, 10)} AS STRING)"
 
 def features(votes: str, seen: str, crowd: str) -> list[str]:
     """Names of what holds of a candidate; abstentions say nothing."""
-    return ["bias", *(f"v{i}{c}" for i, c in enumerate(votes) if c != "0"), *(f"s{i}{c}" for i, c in enumerate(seen)), f"c0{crowd}"]
+    return [
+        "bias", *(f"v{i}{c}" for i, c in enumerate(votes) if c != "0"), *(f"s{i}{c}" for i, c in enumerate(seen)),
+        f"c0{crowd}"
+    ]
 
 
 def classifier(rows: list[tuple[list[str], float, int]], rounds: int = 400, ridge: float = 1e-3) -> dict[str, float]:
@@ -230,7 +255,9 @@ def trained(rows: list) -> list[dict[str, float]]:
         for r in mine:
             counts[r["votes"]] += r["n"]
         belief = reliabilities(counts)[2] if counts else {}
-        out.append(classifier([(features(r["votes"], r["seen"], r["crowd"]), belief[r["votes"]], r["n"]) for r in mine]))
+        out.append(
+            classifier([(features(r["votes"], r["seen"], r["crowd"]), belief[r["votes"]], r["n"]) for r in mine])
+        )
     return out
 
 
@@ -241,7 +268,10 @@ def _log_odds(weights: list[dict[str, float]]) -> str:
         terms = [f"{w.get('bias', 0.0):.9f}D"]
         for f, value in sorted(w.items()):
             if f != "bias":
-                of = {"v": f"substring(x.votes, {int(f[1]) + 1}, 1)", "s": f"substring(x.seen, {int(f[1]) + 1}, 1)", "c": _CROWD}[f[0]]
+                of = {
+                    "v": f"substring(x.votes, {int(f[1]) + 1}, 1)", "s": f"substring(x.seen, {int(f[1]) + 1}, 1)",
+                    "c": _CROWD,
+                }[f[0]]
                 terms.append(f"CASE WHEN {of} = '{f[2:]}' THEN {value:.9f}D ELSE 0D END")
         cases.append(f"WHEN {k} THEN {' + '.join(terms)}")
     return f"(CASE x.kind {' '.join(cases)} END)"
@@ -265,18 +295,43 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     doubted = F.expr(f"filter(found, x -> x.base AND {odds} <= {-edge:.9f}D)")
     base = found.select("doc_id", F.expr("filter(found, x -> x.base)").alias("b"), added.alias("a"), doubted.alias("d"))
     names = f"array({', '.join(repr(k) for k in KINDS)})"
-    joined = lambda c: F.expr(f"array_join(transform(array_sort(transform({c}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))), x -> concat_ws(':', {names}[x.kind], x.start, x.end)), ',')")
-    counts = [F.expr(f"CAST(size(filter(b, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return base.select("doc_id", *counts, F.sha2(joined("b"), 256).alias("base_sha256"), joined("a").alias("spans"), joined("d").alias("doubtful"))
+    joined = lambda c: F.expr(
+        f"array_join(transform(array_sort(transform({c}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))), x -> concat_ws(':', {names}[x.kind], x.start, x.end)), ',')"
+    )
+    counts = [
+        F.expr(f"CAST(size(filter(b, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}")
+        for k, kind in enumerate(KINDS)
+    ]
+    return base.select(
+        "doc_id", *counts, F.sha2(joined("b"), 256).alias("base_sha256"), joined("a").alias("spans"),
+        joined("d").alias("doubtful"),
+    )
 
 
 def redact_pii(text: Column, spans: Column) -> Column:
     """text with each span (as find_pii writes them) replaced by its kind in brackets; overlapping ones by the first."""
-    parsed = F.transform(F.filter(F.split(spans, ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"), F.split(s, ":")[0].alias("kind")))
+    parsed = F.transform(
+        F.filter(F.split(spans, ","), lambda s: s != ""),
+        lambda s: F.struct(
+            F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"),
+            F.split(s, ":")[0].alias("kind"),
+        ),
+    )
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         ahead = x["start"] >= a["at"]
-        return F.struct(F.when(ahead, x["end"]).otherwise(a["at"]).alias("at"), F.when(ahead, F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(F.array_sort(parsed), zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        return F.struct(
+            F.when(ahead, x["end"]).otherwise(a["at"]).alias("at"),
+            F.when(
+                ahead,
+                F.concat(
+                    a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"),
+                ),
+            ).otherwise(a["out"]).alias("out"),
+        )
+
+    return F.aggregate(
+        F.array_sort(parsed), zero, step,
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+    )

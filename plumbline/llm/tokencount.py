@@ -114,12 +114,17 @@ def _count(vocabulary):
             starts = np.cumsum([0, *(len(r) + 1 for r in raw)])
             first = np.searchsorted(begin, starts)
             upto = np.concatenate([[0], np.cumsum(pieces)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(upto[first[1:]] - upto[first[:-1]])], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(upto[first[1:]] - upto[first[:-1]])],
+                schema=schema,
+            )
 
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_tokens.
 
     Words are runs of anything but ASCII white space. Each is counted as one leading space and its UTF-8 bytes,
