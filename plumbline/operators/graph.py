@@ -13,31 +13,42 @@ from .nlp import entities
 def edges(chunks: DataFrame) -> DataFrame:
     """patient_id, etype, target, chunk_id, date, value, flag, unit, ord: one for each patient, type and target. Of labs
     the newest counts (of equal dates the first), of symptoms the first note, of conditions and drugs the last
-    chunk."""
-    def row(kind: str, target, when):
-        return chunks.filter(when).select(
-            "patient_id", F.lit(kind).alias("etype"), target.alias("target"), "chunk_id", "date",
-            F.col("meta.value").alias("value"), F.col("meta.flag").alias("flag"), F.col("meta.unit").alias("unit"),
-            "ord",
-        )
-
-    kind = F.col("kind")
-    rows = row("profile", F.lit("profile"), kind == "profile")
-    rows = rows.unionByName(row("has_condition", F.col("meta.condition"), kind == "diagnosis"))
-    rows = rows.unionByName(row("takes_drug", F.explode("meta.drugs"), (kind == "medication") & F.col("meta.current")))
-    rows = rows.unionByName(row("took_drug", F.explode("meta.drugs"), (kind == "medication") & ~F.col("meta.current")))
-    rows = rows.unionByName(row("has_lab", F.col("meta.test"), kind == "lab"))
+    chunk. One pass over the chunks, each of which names its edges."""
+    kind, edge = F.col("kind"), lambda etype, target: F.struct(F.lit(etype).alias("etype"), target.alias("target"))
+    drug = F.when(F.col("meta.current"), "takes_drug").otherwise("took_drug")
     said = F.filter(entities(F.col("text")), lambda e: (e["type"] == "symptom") & ~e["negated"])
-    rows = rows.unionByName(
-        row("reports_symptom", F.explode(F.array_distinct(F.transform(said, lambda e: e["text"]))), kind == "note")
+    named = (
+        F.when(kind == "profile", F.array(edge("profile", F.lit("profile"))))
+        .when(kind == "diagnosis", F.array(edge("has_condition", F.col("meta.condition"))))
+        .when(
+            kind == "medication",
+            F.transform("meta.drugs", lambda d: F.struct(drug.alias("etype"), d.alias("target"))),
+        )
+        .when(kind == "lab", F.array(edge("has_lab", F.col("meta.test"))))
+        .when(
+            kind == "note",
+            F.transform(
+                F.array_distinct(F.transform(said, lambda e: e["text"])), lambda x: edge("reports_symptom", x),
+            ),
+        )
+    )
+    about = [
+        "chunk_id", "date", F.col("meta.value").alias("value"), F.col("meta.flag").alias("flag"),
+        F.col("meta.unit").alias("unit"), "ord",
+    ]
+    rows = chunks.select("patient_id", F.explode(named).alias("e"), *about).select(
+        "patient_id", "e.*", "chunk_id", "date", "value", "flag", "unit", "ord",
+    )
+    last = F.format_string("%09d", F.col("ord"))
+    first = F.format_string("%09d", 999_999_999 - F.col("ord"))
+    order = F.when(
+        F.col("etype") == "has_lab", F.concat("date", first),
+    ).when(F.col("etype") == "reports_symptom", first).otherwise(last)
+    columns = ["chunk_id", "date", "value", "flag", "unit", "ord"]
+    best = rows.withColumn("_k", order).groupBy("patient_id", "etype", "target").agg(
+        F.max_by(F.struct(*columns), "_k").alias("r")
     )
-    least = F.when(
-        F.col("etype") == "has_lab", F.concat(F.col("date"), F.format_string("%09d", 999_999_999 - F.col("ord"))),
-    ).when(F.col("etype") == "reports_symptom", F.format_string("%09d", 999_999_999 - F.col("ord"))).otherwise(F.format_string("%09d", F.col("ord")))
-    cols = ["chunk_id", "date", "value", "flag", "unit", "ord"]
-    return rows.withColumn("_k", least).groupBy("patient_id", "etype", "target").agg(
-        F.max_by(F.struct(*cols), "_k").alias("r")
-    ).select("patient_id", "etype", "target", "r.*")
+    return best.select("patient_id", "etype", "target", "r.*")
 
 
 def known_drugs(edge_table: DataFrame) -> set[str]:

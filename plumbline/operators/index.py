@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import materialise
 
 K1, B = 1.4, 0.75
 RRF_K = 60
@@ -24,11 +25,18 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if most <= FEW else df
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and toks, dealt out by id: texts move once, and what they are exploded into, many times as much, is counted where
+    it is made."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).repartition("id")
+    return T.once(rows, toks=T.tokens(F.col("_t"))).select("id", "toks")
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf, len: a row for each distinct term of each text."""
-    rows = T.once(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t")),
-    ).select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
+    rows = _dealt(docs, id_col, text_col).select(
+        "id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"),
+    )
     return rows.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -84,10 +92,8 @@ def ranked(scores: DataFrame, k: int | None = None, digits: int = 9) -> DataFram
 
 def feature_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, feature, tf over unigrams and bigrams."""
-    rows = T.once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), toks=T.tokens(F.col("_t")))
-    return rows.select(
-        "id", F.explode(T.features(F.col("toks"))).alias("feature"),
-    ).groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+    rows = _dealt(docs, id_col, text_col).select("id", F.explode(T.features(F.col("toks"))).alias("feature"))
+    return rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -164,22 +170,20 @@ def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> Da
     """The k best of the reciprocal fusion of two rankings: all texts with lexical scores, and near(qid, id, rank). No more is
     ranked than can matter. The best k by words alone are worth 1 / (RRF_K + k - 1) at least, so a text of rank r among the
     near that is worth less on its own needs a lexical rank under a bound that r gives; what is worth as much on its
-    own (ranks under k) has its lexical rank counted: how many texts score better."""
+    own (ranks under k) has its lexical rank counted: how many texts score better. Both rankings are used several times,
+    and so are written first."""
     worth = 1 / (RRF_K + k - 1)
     most = max(k, math.ceil(1 / (worth - 1 / (RRF_K + k))) - RRF_K + 1)
-    exact = scores.withColumn("score", F.round("score", digits))
+    exact = materialise(scores.withColumn("score", F.round("score", digits)), "scores")
+    near = materialise(near, "near")
     best = ranked(exact, most, digits).select("qid", "id", "rank")
     first = near.filter(F.col("rank") < k).select("qid", "id")
-    at = F.broadcast(
-        exact.join(F.broadcast(first), ["qid", "id"]).select(
-            "qid", F.col("id").alias("_id"), F.col("score").alias("_s"),
-        )
+    at = exact.join(F.broadcast(first), ["qid", "id"]).select(
+        "qid", F.col("id").alias("_id"), F.col("score").alias("_s"),
     )
     better = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") < F.col("_id")))
-    counted = exact.join(at, "qid").groupBy("qid", F.col("_id").alias("id")).agg(
-        F.sum(better.cast("long")).alias("rank")
-    )
-    lexical = best.unionByName(counted).distinct()
+    counted = exact.join(F.broadcast(at), "qid").groupBy("qid", F.col("_id").alias("id"))
+    lexical = best.unionByName(counted.agg(F.sum(better.cast("long")).alias("rank"))).distinct()
     return ranked(fuse(lexical, near), k, digits)
 
 

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.vocab import ANSWER_INTENTS, COHORT_WORDS, ENC_WORDS, LAB_WORDS, MED_WORDS, NEGATIONS, NSAID_LIKE, RAAS, SYMPTOMS, TERMINATORS
 from ..operators import clinical, context, graph, nlp, privacy, similarity, verify
 from ..operators.chunks import chunk_records
+from ..scratch import materialise
 from ..sources.records import page
 from .queries import _POOL, _extra_free, _pool, _r, _sql_list, _toks, query, table
 
@@ -366,8 +367,9 @@ UNION ALL SELECT c, 'reports_symptom', name, arg_min(chunk_id, ord), arg_min(dat
 
 
 def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Records and their edges; edges are written, as each limit of a cohort reads them."""
     held = records(spark, sf_dir)
-    return held, graph.edges(chunk_records(held))
+    return held, materialise(graph.edges(chunk_records(held)), "edges")
 
 
 @query(
