@@ -17,7 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE, WordHash, chunks, gram_hashes, id_filter, join_groups, materialise, mix, modest_batches, pack, unpack
+from .common import (
+    PIECE, WordHash, chunks, gram_hashes, id_filter, join_groups, materialise, mix, modest_batches, pack, unpack,
+    with_ids, without_ids,
+)
 
 DEPTH = 2
 #: Words a window's minimiser has.
@@ -99,10 +102,17 @@ def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
             bits = unpack(o)
             twice |= unpack(t) | (once & bits)
             once |= bits
-    yield pa.RecordBatch.from_pydict({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_pydict(
+        {
+            "row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
+            "bits": pa.array([np.packbits(twice).tobytes()], pa.binary()),
+        }
+    )
 
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("known", pa.bool_())])
+_HIT = pa.schema(
+    [("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int32()), ("known", pa.bool_())]
+)
 
 
 _SEQ = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
@@ -111,7 +121,13 @@ _SEQ = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq", pa.bi
 def _sequences(batches):
     for ids, text in chunks(batches, ["doc_id", "text"], "text"):
         words = [t.encode().split() if t else [] for t in text]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(w) for w in words]), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())], schema=_SEQ)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()), pa.array([len(w) for w in words]),
+                pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+            ],
+            schema=_SEQ,
+        )
 
 
 def _originals(ids, text, known):
@@ -189,7 +205,12 @@ def _repeated(window: int, width: int, filters, known):
 
 
 def _apply(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
+            ("kept_text", pa.string())
+        ]
+    )
 
     def run(batches):
         for ids, text, starts, copy in chunks(batches, ["doc_id", "text", "starts", "copy"], "text"):
@@ -206,12 +227,16 @@ def _apply(window: int):
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join(words if not s else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                 rows.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema,
+            )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 28) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 28,
+) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Ids are whole numbers. Words are runs of anything but ASCII white space, unchanged; a window is `window` consecutive words of one
@@ -235,9 +260,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         width *= 2
     # Whoever has the words of a smaller id from first to last loses them all, and needs no windows.
     seqs = materialise(named.mapInArrow(_sequences, "doc_id long, n_words long, seq binary"), "sequences")
-    least = materialise(seqs.groupBy("seq").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")), "least")
+    least = materialise(
+        seqs.groupBy("seq").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("_size")), "least",
+    )
     n = seqs.count()
-    copies = join_groups(seqs.select("doc_id", "seq"), least, "seq", "_size", n).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
+    copies = join_groups(
+        seqs.select("doc_id", "seq"), least, "seq", "_size", n,
+    ).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
     known = id_filter(least.select("least"))
     partial = named.mapInArrow(_sketch(window, width, known), "row int, block int, once binary, twice binary")
     merged = partial.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bits binary")
@@ -245,11 +274,25 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     for r in merged.toLocalIterator():
         bits[r["row"], r["block"] * PIECE // 8 : (r["block"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
     filters = spark.sparkContext.broadcast(bits)
-    hits = named.mapInArrow(_repeated(window, width, filters, known), "doc_id long, pos int, h long, g int, known boolean")
+    hits = named.mapInArrow(
+        _repeated(window, width, filters, known), "doc_id long, pos int, h long, g int, known boolean",
+    )
     # Equal windows of a task are one row or a few, so a group has hardly more rows than there are tasks.
     least_of = F.min("doc_id").over(Window.partitionBy("h", "g", "known"))
     covered = hits.withColumn("least", least_of).filter("known or doc_id > least").select("doc_id", "pos")
     starts = covered.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    marked = rows.join(starts.join(copies, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return marked.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marks = materialise(
+        starts.join(copies, "doc_id", "full").select(
+            "doc_id", "starts", F.coalesce("copy", F.lit(False)).alias("copy"),
+        ),
+        "marks", n,
+    )
+    # Only texts that lose something move to what is known of them.
+    touched = marks.select("doc_id")
+    nothing = [F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy")]
+    whole = without_ids(rows, touched, "doc_id").select("doc_id", "text", *nothing)
+    marked = whole.unionByName(with_ids(rows, touched, "doc_id").join(marks, "doc_id"))
+    return marked.mapInArrow(
+        _apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
+    )
 
