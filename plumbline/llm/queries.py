@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, mixing, neardup, pii, quality, sharding, substring, tokencount, wrappers
+from . import (
+    decontam, exact, mixing, neardup, periodic, pii, quality, sharding, substring, tokencount, vectors, wrappers,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings")).drop("class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -68,10 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_shard": op9_shard,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_near_vectors": op12_near_vectors,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The checksum of an id's digits, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), "
+    "lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+    "lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"
+)
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": rf"""
@@ -126,4 +144,34 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op11_periodic_runs": rf"""
+WITH RECURSIVE h AS (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents),
+v AS (SELECT doc_id, w, h // 10 AS g, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS folded FROM h),
+f AS (SELECT doc_id, w, n, folded, CASE WHEN folded THEN g % n END AS a, CASE WHEN folded THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM v),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN folded THEN w[:a] || list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1]) ELSE w END AS w FROM f),
+m AS (SELECT doc_id, n, 16 AS m, list_transform(range(1, n - 14), lambda i: hash(w[i:i + 15])) AS hs FROM d WHERE n >= 24
+  UNION ALL SELECT doc_id, n, 2 * m, list_transform(range(1, len(hs) - m + 1), lambda i: hash(hs[i], hs[i + m])) FROM m WHERE 3 * m < n),
+o AS (SELECT doc_id, n, m, unnest(range(0, len(hs))) AS i, unnest(hs) AS h FROM m),
+x AS (SELECT doc_id, m, n, lead(i) OVER (PARTITION BY doc_id, m, h ORDER BY i) - i AS q FROM o),
+c AS (SELECT DISTINCT doc_id, q FROM x WHERE q IS NOT NULL AND q <= m AND (q > m // 2 OR m = 16) AND 3 * q <= n),
+s AS (SELECT doc_id, q, unnest(list_filter(range(0, n - q), lambda i: w[i + 1] = w[i + q + 1])) AS i FROM c JOIN d USING (doc_id)),
+z AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z FROM s),
+r0 AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM z GROUP BY doc_id, q, z HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM r0 a WHERE NOT EXISTS (FROM r0 b WHERE b.doc_id = a.doc_id AND b.q < a.q AND a.q % b.q = 0 AND b.s <= a.s AND b.s + b.l >= a.s + a.l)),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (l // q) DESC, (l % q)::DOUBLE / q DESC, s, q) = 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(s + q, s + l)))) AS gone FROM r GROUP BY doc_id),
+u AS (SELECT doc_id, array_to_string(list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]), ' ') AS t FROM g JOIN d USING (doc_id))
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(u.t, array_to_string(d.w, ' '), '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN u USING (doc_id)""",
+    "op12_near_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+  coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0, false) AS ok FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, min(root) AS component_id, v.vec_id = min(root) AS kept
+FROM v JOIN r USING (vec_id) LEFT JOIN n USING (vec_id) GROUP BY v.vec_id, n""",
 }

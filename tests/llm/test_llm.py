@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import rows_of
-from plumbline.llm import common, decontam, exact, mixing, neardup, pii, quality, queries, sharding, substring, tokencount, wrappers
+from plumbline.llm import common, decontam, exact, mixing, neardup, periodic, pii, quality, queries, sharding, substring, tokencount, vectors, wrappers
 from plumbline.llm.common import IdFilter, WordHash, gram_hashes
 from pyspark.sql import functions as F
 
@@ -67,6 +67,10 @@ OPERATORS = {
     "tokens": lambda d, s: tokencount.token_counts(
         d
     ), "shard": lambda d, s: sharding.place(d), "exact": lambda d, s: exact.exact_groups(d),
+    "runs": lambda d, s: periodic.run_digests(periodic.periodic_runs(periodic.planted(d))),
+    "vectors": lambda d, s: vectors.near_vectors(d.withColumns({
+        "vec_id": F.col("doc_id"), "embedding": F.array(F.col("n_chars").cast("float"), F.length("text").cast("float")),
+    })),
 }
 
 
