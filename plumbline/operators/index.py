@@ -25,19 +25,30 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if most <= FEW else df
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and toks, dealt out by id: texts move once, and what they are exploded into, many times as much, is counted where
-    it is made."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).repartition("id")
-    return T.once(rows, toks=T.tokens(F.col("_t"))).select("id", "toks")
+def counted(toks: Column) -> Column:
+    """(term, tf) structs of the distinct tokens of a sorted array: where each run of equal tokens starts, and how far the
+    next one is. In proportion to the tokens, and within the row."""
+    def run(start: Column, place: Column, starts: Column) -> Column:
+        end = F.coalesce(F.get(starts, place + 1), F.size(toks))
+        return F.struct(F.get(toks, start).alias("term"), (end - start).cast("long").alias("tf"))
+
+    places = F.transform(toks, lambda t, i: F.when((i == 0) | (t != F.get(toks, i - 1)), i))
+    return F.transform(F.array(F.array_compact(places)), lambda s: F.transform(s, lambda x, i: run(x, i, s)))[0]
+
+
+def _counts(docs: DataFrame, id_col: str, text_col: str, of) -> DataFrame:
+    """id, len, term, tf: texts are counted in their rows, so that none of them is shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    rows = T.once(rows, toks=T.tokens(F.col("_t"))).select("id", F.size("toks").cast("long").alias("len"), "toks")
+    rows = T.once(rows, sorted=F.sort_array(of(F.col("toks")))).select("id", "len", "sorted")
+    return rows.select("id", "len", F.explode(counted(F.col("sorted"))).alias("_c")).select(
+        "id", "len", "_c.term", "_c.tf",
+    )
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, len: a row for each distinct term of each text."""
-    rows = _dealt(docs, id_col, text_col).select(
-        "id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"),
-    )
-    return rows.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """id, len, term, tf: a row for each distinct term of each text."""
+    return _counts(docs, id_col, text_col, lambda toks: toks)
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -65,10 +76,9 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame
     statistics. terms come from few short queries, so that counting them is cheap; their frequencies are joined to them
     first, and then postings meet everything in one join."""
     n = terms.count()
-    # The semi-join goes below the count of terms, and both uses share its exchange.
-    mine = posts.join(bounded(terms.select("term").distinct(), n), "term", "left_semi")
-    # Counting by tf keeps that column, so that this is the same exchange.
-    dfs = mine.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    # Only postings of asked terms are kept, once, for their frequencies and their scores.
+    mine = materialise(posts.join(bounded(terms.select("term").distinct(), n), "term", "left_semi"), "postings")
+    dfs = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select(
         "qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"),
         F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
@@ -82,18 +92,17 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame
 
 def ranked(scores: DataFrame, k: int | None = None, digits: int = 9) -> DataFrame:
     """scores with their 0-based rank within a query, by score and then id; ranks under k only. Scores are rounded
-    first, so that the order doesn't hang on the order of summation."""
+    first, so that the order doesn't hang on the order of summation. The limit is on the row number itself, by which Spark
+    keeps k rows a query in each task before it shuffles any."""
     line = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
-    rows = scores.withColumn("score", F.round("score", digits)).withColumn(
-        "rank", F.row_number().over(line).cast("long") - 1,
-    )
-    return rows if k is None else rows.filter(F.col("rank") < k)
+    rows = scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(line))
+    rows = rows if k is None else rows.filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.col("rank").cast("long") - 1)
 
 
 def feature_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, feature, tf over unigrams and bigrams."""
-    rows = _dealt(docs, id_col, text_col).select("id", F.explode(T.features(F.col("toks"))).alias("feature"))
-    return rows.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("tf"))
+    return _counts(docs, id_col, text_col, T.features).select("id", F.col("term").alias("feature"), "tf")
 
 
 def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -178,12 +187,13 @@ def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> Da
     near = materialise(near, "near")
     best = ranked(exact, most, digits).select("qid", "id", "rank")
     first = near.filter(F.col("rank") < k).select("qid", "id")
-    at = exact.join(F.broadcast(first), ["qid", "id"]).select(
+    few = k * near.select("qid").distinct().count()
+    at = exact.join(bounded(first, few), ["qid", "id"]).select(
         "qid", F.col("id").alias("_id"), F.col("score").alias("_s"),
     )
     better = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") < F.col("_id")))
-    counted = exact.join(F.broadcast(at), "qid").groupBy("qid", F.col("_id").alias("id"))
-    lexical = best.unionByName(counted.agg(F.sum(better.cast("long")).alias("rank"))).distinct()
+    beaten = exact.join(bounded(at, few), "qid").groupBy("qid", F.col("_id").alias("id"))
+    lexical = best.unionByName(beaten.agg(F.sum(better.cast("long")).alias("rank"))).distinct()
     return ranked(fuse(lexical, near), k, digits)
 
 

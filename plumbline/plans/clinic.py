@@ -41,10 +41,12 @@ def _pick(values: list, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-def records(spark, sf_dir: str) -> DataFrame:
-    """Records with the schema of sources.records, one for each customer."""
+def records(spark, sf_dir: str, until: date | None = None) -> DataFrame:
+    """Records with the schema of sources.records, one for each customer: an order's first line is a medication, every
+    other a lab result. until: the day of the last order to take."""
     k, day = F.col("k"), lambda c: F.to_date(c).cast("string")
-    orders = table(spark, sf_dir, "orders").select(
+    taken = F.lit(True) if until is None else F.to_date("o_orderdate") <= F.lit(until)
+    orders = table(spark, sf_dir, "orders").filter(taken).select(
         F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), day("o_orderdate").alias("day"),
         "o_orderstatus", "o_orderpriority",
     )
@@ -81,7 +83,7 @@ def records(spark, sf_dir: str) -> DataFrame:
         "c", F.col("v.e").alias("encounters"), F.col("v.n").alias("notes"), F.array_compact("v.d").alias("diagnoses"),
     )
 
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(
+    li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         day("l_shipdate").alias("day"), "l_returnflag",
     )
@@ -146,7 +148,7 @@ ord AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE::VARCHAR AS da
 diag AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS i, condition, 'X' || (k % 7) AS code, day AS onset, CASE st WHEN 'O' THEN 'active' WHEN 'F' THEN 'controlled' ELSE 'worsening' END AS status FROM ord WHERE k % 3 = 0),
 enc AS (SELECT c, i, day AS date, CASE pr WHEN '1-URGENT' THEN 'Emergency visit' WHEN '2-HIGH' THEN 'Admission' ELSE 'Clinic visit' END AS type, pr AS department, condition AS reason FROM ord),
 note AS (SELECT c, i, day AS date, 'Seen for ' || condition || '. Reports ' || {_sql_pick(_SAID, "k")} || '; no ' || {_sql_pick(_SAID, "k * 7 + 3")} || '. Denies ' || {_sql_pick(_SAID, "k * 5 + 1")} || ' but has ' || {_sql_pick(_SAID, "k * 3 + 2")} || '. Allergies: Latex.' AS text FROM ord),
-ln AS (SELECT ord.c, ord.condition, lineitem.*, l_shipdate::DATE::VARCHAR AS day FROM lineitem JOIN ord ON k = l_orderkey WHERE l_linenumber <= 3),
+ln AS (SELECT ord.c, ord.condition, lineitem.*, l_shipdate::DATE::VARCHAR AS day FROM lineitem JOIN ord ON k = l_orderkey),
 med AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, day, l_returnflag) - 1 AS i, {_sql_pick(DRUGS, "l_partkey")} AS name, condition AS why, day AS started, l_returnflag <> 'R' AS active FROM ln WHERE l_linenumber = 1),
 lab0 AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, day, l_returnflag) - 1 AS i, {_T(0)} AS test, {_T(1)} AS unit, {_T(2)} AS lo, {_T(3)} AS hi, {_T(4)} + l_quantity * {_T(5)} AS value, day AS date FROM ln WHERE l_linenumber > 1),
 lab AS (SELECT *, CASE WHEN value > hi THEN 'HIGH' WHEN value < lo THEN 'LOW' ELSE 'NORMAL' END AS flag FROM lab0)"""

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_root(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; in local mode only, a temporary one where none is named."""
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
@@ -21,7 +21,12 @@ def scratch_root(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    root = f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one, removed at its end."""
+    root = f"{shared_folder(spark)}/plumbline-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
         atexit.register(_remove, spark, root)
