@@ -36,9 +36,18 @@ def counted(toks: Column) -> Column:
     return F.transform(F.array(F.array_compact(places)), lambda s: F.transform(s, lambda x, i: run(x, i, s)))[0]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows as they are, unless they come from so few files and splits that most cores would have nothing to do: only then are
+    they dealt out."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def _counts(docs: DataFrame, id_col: str, text_col: str, of) -> DataFrame:
     """id, len, term, tf: texts are counted in their rows, so that none of them is shuffled."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")))
     rows = T.once(rows, toks=T.tokens(F.col("_t"))).select("id", F.size("toks").cast("long").alias("len"), "toks")
     rows = T.once(rows, sorted=F.sort_array(of(F.col("toks")))).select("id", "len", "sorted")
     return rows.select("id", "len", F.explode(counted(F.col("sorted"))).alias("_c")).select(
