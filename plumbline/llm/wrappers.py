@@ -90,7 +90,12 @@ def _mark(name: str, tag: str) -> str:
     } if " " in tag or "\n" in tag or "\t" in tag else {}
     return re.sub(
         r"[0-9]+", "0", ".".join([name, *found.get("class", [])]) + "".join("#" + x for x in found.get("id", [])),
-    ) if found else name
+    ).replace("/", "|") if found else name
+
+
+def _marked(path: str, token: str) -> str:
+    """A block's token, with the path's "!"."""
+    return "/".join(m + "!" * x.endswith("!") for x, m in zip(path.split("/"), token.split("/"), strict=True))
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
@@ -249,15 +254,17 @@ def show(wrapper: list[list]) -> str:
 
 
 def main_element(texts: dict[str, int]) -> str:
-    """The path of the element that holds the main text, from the length of the text at each path: an article or
-    main element if there is one, else the deepest one that holds most of what isn't kept away."""
+    """The path of the element that holds the main text, from the length of the text at each path (or marked token): an
+    article or main element if there is one, else the deepest one that holds most of what isn't kept away."""
+    name = lambda part: re.split(r"[.#!]", part, maxsplit=1)[0]
     good = {p: n for p, n in texts.items() if "!" not in p}
     marked: dict[str, int] = {}
     for p, n in good.items():
         parts = p.split("/")
+        names = [name(x) for x in parts]
         for mark in ("article", "main"):
-            if mark in parts:
-                top = "/".join(parts[: parts.index(mark) + 1])
+            if mark in names:
+                top = "/".join(parts[: names.index(mark) + 1])
                 marked[top] = marked.get(top, 0) + n
                 break
     if marked:
@@ -270,7 +277,7 @@ def main_element(texts: dict[str, int]) -> str:
                 head = p[len(best) + 1 if best else 0 :].split("/")[0]
                 inner[head] = inner.get(head, 0) + n
         top = max(sorted(inner), key=lambda h: inner[h], default=None)
-        if top is None or top in (
+        if top is None or name(top) in (
             "p", "li", "h1", "h2", "h3", "td", "tr", "dd", "dt", "pre",
         ) or inner[top] < 0.6 * total:
             return best
@@ -284,7 +291,8 @@ def is_content(path: str, main: str) -> bool:
 _STREAM = pa.schema(
     [
         ("host", pa.string()), ("stream", pa.string()), ("main", pa.string()), ("weight", pa.int64()),
-        ("n", pa.int64()), ("least", pa.string()), ("most", pa.string()), ("texts", pa.list_(pa.string()))
+        ("n", pa.int64()), ("least", pa.string()), ("most", pa.string()), ("texts", pa.list_(pa.string())),
+        ("masses", pa.list_(pa.struct([("i", pa.int32()), ("k", pa.int32()), ("path", pa.string()), ("chars", pa.int64())])))
     ]
 )
 
@@ -295,11 +303,15 @@ def _digest(text: str) -> str:
 
 def _streams(batches):
     """A row for each host, structure and main element of a partition: text and pages there, the least and the largest digest
-    of a page's content, and the texts ("item:place:digest") that all these pages have in the same slot."""
+    of a page's content, the texts ("item:place:digest") that all these pages have in the same slot, and how much text
+    each slot has."""
     seen: dict[tuple, list] = {}
 
     def rows():
-        cols = zip(*[(*k, *v[:-1], sorted(v[-1])) for k, v in seen.items()], strict=True)
+        cols = zip(*[
+            (*k, *v[:-2], sorted(v[-2]), [{"i": i, "k": j, "path": x, "chars": c} for (i, j, x), c in sorted(v[-1].items())])
+            for k, v in seen.items()
+        ], strict=True)
         out = pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cols, _STREAM.types, strict=True)], schema=_STREAM,
         )
@@ -316,11 +328,15 @@ def _streams(batches):
             body = _digest("\n".join(t for path, _, t in found if is_content(path, main)))
             texts = {f"{i}:{k}:{_digest(t)}" for (i, k), (_, _, t) in zip(places, found, strict=True)}
             if (known := seen.get(key := (h, json.dumps(items), main))) is None:
-                seen[key] = [sum(lens.values()), 1, body, body, texts]
+                known = seen[key] = [sum(lens.values()), 1, body, body, texts, {}]
             else:
-                known[:] = known[0] + sum(lens.values()), known[1] + 1, min(
+                known[:5] = known[0] + sum(lens.values()), known[1] + 1, min(
                     known[2], body,
                 ), max(known[3], body), known[4] & texts
+            masses = known[5]
+            for (i, k), (path, token, t) in zip(places, found, strict=True):
+                at = i, k, _marked(path, token)
+                masses[at] = masses.get(at, 0) + len(t)
         if len(seen) > 2000:
             yield rows()
     if seen:
@@ -363,18 +379,21 @@ def _folded(shapes: DataFrame) -> DataFrame:
 _SLOT = pa.schema(
     [
         ("host", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("least", pa.string()),
-        ("most", pa.string()), ("texts", pa.list_(pa.string()))
+        ("most", pa.string()), ("texts", pa.list_(pa.string())), ("pages", pa.int64()), ("path", pa.string()),
+        ("chars", pa.int64())
     ]
 )
 
 
 def _slots(batches):
-    """A row for each place of each structure: the wrapper's slot that it matches, and what its pages have there."""
+    """A row for each place of each structure: the wrapper's slot that it matches, and what and how much its pages have
+    there."""
     matchers: dict[str, Matcher] = {}
     for batch in batches:
         rows: list[tuple] = []
-        for h, stream, least, most, texts, wrapper in zip(
-            *(batch.column(c).to_pylist() for c in ("host", "stream", "least", "most", "texts", "wrapper")),
+        names = "host stream least most texts pages masses wrapper".split()
+        for h, stream, least, most, texts, n, masses, wrapper in zip(
+            *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names),
             strict=True,
         ):
             if wrapper not in matchers:
@@ -385,30 +404,34 @@ def _slots(batches):
             for x in texts or []:
                 i, k, d = x.split(":")
                 common.setdefault((int(i), int(k)), []).append(d)
+            of: dict[tuple, tuple] = {}
+            for x in masses or []:  # of several paths of a place, the one with most text
+                path, chars = of.get(at := (x["i"], x["k"]), ("", 0))
+                of[at] = x["path"] if x["chars"] > chars else path, chars + x["chars"]
             items = json.loads(stream)
             for i, j in enumerate(matchers[wrapper].match(items) or []):
-                rows += [(h, j, k, least, most, common.get((i, k), [])) for k in range(len(items[i][0]))]
+                rows += [
+                    (h, j, k, least, most, common.get((i, k), []), n, *of.get((i, k), ("", 0)))
+                    for k in range(len(items[i][0]))
+                ]
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SLOT.types, strict=True)], schema=_SLOT,
             )
 
 
-def _constants(shapes: DataFrame, wrappers: DataFrame, n: int) -> DataFrame:
-    """host, constant: JSON of (item, place, digest) of the texts that all pages with a slot have there, if the content of two
-    of them differs: copies of one page tell nothing about its template."""
-    met = join_groups(
-        shapes.select("host", "stream", "least", "most", "texts"), wrappers.select("host", "wrapper", "_structures"),
-        "host", "_structures", n,
-    )
-    slots = materialise(
-        met.mapInArrow(_slots, "host string, item int, place int, least string, most string, texts array<string>"),
-        "slots",
-    )
+#: A text is template from so many pages of its slot on.
+EVIDENCE = 5
+
+
+def _constants(slots: DataFrame) -> DataFrame:
+    """host, constant: JSON of (item, place, digest) of the texts that all pages with a slot have there, if these are EVIDENCE
+    pages or more and the content of two of them differs: copies of one page tell nothing about its template. A slot has no
+    more of them than its page with the fewest blocks there."""
     key = ["host", "item", "place"]
     whole = slots.groupBy(*key).agg(
-        F.min("least").alias("_l"), F.max("most").alias("_m"), F.count(F.lit(1)).alias("_n"),
-    ).filter("_l <> _m")
+        F.min("least").alias("_l"), F.max("most").alias("_m"), F.count(F.lit(1)).alias("_n"), F.sum("pages").alias("_p"),
+    ).filter(f"_l <> _m and _p >= {EVIDENCE}")
     having = slots.select(
         *key, F.explode(F.array_distinct("texts")).alias("digest"),
     ).groupBy(*key, "digest").agg(F.count(F.lit(1)).alias("_having"))
@@ -418,44 +441,67 @@ def _constants(shapes: DataFrame, wrappers: DataFrame, n: int) -> DataFrame:
     )
 
 
+def _masses(slots: DataFrame) -> DataFrame:
+    """host, slots: JSON of (item, place, path, chars): the text in each slot of the host's wrapper."""
+    sums = slots.groupBy("host", "item", "place").agg(
+        F.max_by("path", F.struct("chars", "path")).alias("path"), F.sum("chars").alias("chars"),
+    )
+    return sums.groupBy("host").agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("item", "place", "path", "chars")))).alias("slots")
+    )
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON items), constant (JSON of the texts that belong to the template, by slot), main (path of the main
-    element), n_pages: one row for each host.
+    """host, wrapper (JSON items), constant (JSON of the texts that belong to the template, by slot), slots (JSON of the text in
+    each slot), n_pages: one row for each host.
 
     Pages of equal block structure are counted before anything of a host meets, so that what is aligned is each
     distinct structure once; so are the texts that all pages of a structure share. Structures are folded into a wrapper
-    FOLD at a time, and matched against it where they are. A host's main element is the one in which most of its text
-    lies.
+    FOLD at a time, and matched against it where they are.
     """
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     streams = materialise(
         rows.mapInArrow(
             _streams,
-            "host string, stream string, main string, weight long, n long, least string, most string, texts array<string>",
+            "host string, stream string, main string, weight long, n long, least string, most string, texts array<string>, masses array<struct<i: int, k: int, path: string, chars: long>>",
         ).withColumn("sid", F.md5("stream")),
         "streams",
     )
     shapes = streams.groupBy("host", "sid").agg(
         F.min("stream").alias("stream"), F.min("least").alias("least"), F.max("most").alias("most"),
-        F.count(F.lit(1)).alias("_rows"),
+        F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("pages"),
     )
+    masses = streams.select("host", "sid", F.inline("masses")).groupBy("host", "sid", "i", "k", "path").agg(
+        F.sum("chars").alias("chars"),
+    ).groupBy("host", "sid").agg(F.collect_list(F.struct("i", "k", "path", "chars")).alias("masses"))
     having = streams.select(
         "host", "sid", F.explode("texts").alias("text"),
     ).groupBy("host", "sid", "text").agg(F.count(F.lit(1)).alias("_having"))
     common = having.join(
         shapes.select("host", "sid", "_rows"), ["host", "sid"],
     ).filter("_having = _rows").groupBy("host", "sid").agg(F.collect_list("text").alias("texts"))
-    shapes = materialise(shapes.join(common, ["host", "sid"], "left"), "shapes")
+    shapes = materialise(
+        shapes.join(common, ["host", "sid"], "left").join(masses, ["host", "sid"], "left"), "shapes",
+    )
     sizes = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("_structures"))
     wrapped = materialise(
         _folded(shapes.select("host", F.col("stream").alias("wrapper"))).join(sizes, "host"), "wrapped",
     )
-    constants = _constants(shapes, wrapped, shapes.count())
-    mains = streams.groupBy("host", "main").agg(
-        F.sum("weight").alias("w"), F.sum("n").alias("n"),
-    ).groupBy("host").agg(F.max_by("main", F.struct("w", "main")).alias("main"), F.sum("n").alias("n_pages"))
+    met = join_groups(
+        shapes.select("host", "stream", "least", "most", "texts", "pages", "masses"),
+        wrapped.select("host", "wrapper", "_structures"), "host", "_structures", shapes.count(),
+    )
+    slots = materialise(
+        met.mapInArrow(
+            _slots,
+            "host string, item int, place int, least string, most string, texts array<string>, pages long, path string, chars long",
+        ), "slots",
+    )
+    n_pages = streams.groupBy("host").agg(F.sum("n").alias("n_pages"))
     return materialise(
-        wrapped.select("host", "wrapper").join(constants, "host", "left").join(mains, "host"), "wrappers",
+        wrapped.select("host", "wrapper").join(_constants(slots), "host", "left").join(
+            _masses(slots), "host", "left",
+        ).join(n_pages, "host"), "wrappers",
     )
 
 
@@ -471,26 +517,43 @@ def host(url):
 
 
 class _Template:
-    """What a wrapper says of a page's blocks; the match of a structure is remembered."""
+    """What a wrapper says of a page's blocks; the match of a structure is remembered.
+
+    The content is what the wrapper's statistics show: the slots of the element that holds most of the host's text. There, texts
+    that are constant in a slot go, but for the slots of the path with the most text: what a site repeats in its prose is
+    its own. Tags and names (the "!" of a path) only take away what such an element holds besides.
+    """
 
-    def __init__(self, wrapper: str | None, constant: str | None):
+    def __init__(self, wrapper: str | None, constant: str | None, slots: str | None):
         self.matcher, self.known = Matcher(json.loads(wrapper or "[]")), {}
+        held = json.loads(slots or "[]")
+        lens: dict[str, int] = {}
+        for x in held:
+            lens[x["path"]] = lens.get(x["path"], 0) + x["chars"]
+        main = main_element(lens)
+        content = [x for x in held if is_content(x["path"], main)]
+        self.content = {(x["item"], x["place"]) for x in content}
+        prose = max(sorted({x["path"] for x in content}), key=lambda p: lens[p], default=None)
+        fixed = self.content - {(x["item"], x["place"]) for x in content if x["path"] == prose}
         self.constant: dict[tuple[int, int], set] = {}
         for c in json.loads(constant or "[]"):
-            self.constant.setdefault((c["item"], c["place"]), set()).add(c["digest"])
+            if (at := (c["item"], c["place"])) in fixed:
+                self.constant.setdefault(at, set()).add(c["digest"])
 
-    def varies(self, found: list[tuple[str, str, str]]) -> list[bool]:
-        """Whether each block is data: its text isn't constant in the slot that it matches. A page that the wrapper doesn't
-        match is all data."""
+    def kept(self, found: list[tuple[str, str, str]]) -> list[str] | None:
+        """The texts of a page's blocks that are content; None if the page has none of the content slots."""
         items, places = folded([x for _, x, _ in found])
         if (at := self.known.get(key := json.dumps(items))) is None:
             if len(self.known) > 1000:
                 self.known.clear()
             at = self.known[key] = self.matcher.match(items) or []
-        if not at:
-            return [True] * len(found)
-        held = (self.constant.get((at[i], k)) for i, k in places)
-        return [not c or _digest(t) not in c for c, (_, _, t) in zip(held, found, strict=True)]
+        slots = [(at[i], k) if at else None for i, k in places]
+        if self.content.isdisjoint(slots):
+            return None
+        return [
+            t for x, (_, _, t) in zip(slots, found, strict=True)
+            if x in self.content and _digest(t) not in self.constant.get(x, ())
+        ]
 
 
 def _extract(schema: pa.Schema):
@@ -498,27 +561,22 @@ def _extract(schema: pa.Schema):
 
     def run(batches):
         templates: dict[tuple, _Template] = {}
-        for *rest, page, wrapper, constant, main in chunks(
-            batches, [*names, "html", "wrapper", "constant", "main"], "html",
+        for *rest, page, wrapper, constant, slots in chunks(
+            batches, [*names, "html", "wrapper", "constant", "slots"], "html",
         ):
             texts = []
-            for p, w, c, m in zip(page, wrapper, constant, main, strict=True):
-                if (template := templates.get((w, c))) is None:
+            for p, *key in zip(page, wrapper, constant, slots, strict=True):
+                if (template := templates.get(tuple(key))) is None:
                     if len(templates) > 1000:
                         templates.clear()
-                    template = templates[w, c] = _Template(w, c)
+                    template = templates[tuple(key)] = _Template(*key)
                 found = marked_blocks(p)
-                if found and not any(is_content(path, m or "") for path, _, _ in found):  # a page without its host's main element is judged by itself
+                if (kept := template.kept(found)) is None:  # judged by itself
                     lens: dict[str, int] = {}
                     for path, _, t in found:
                         lens[path] = lens.get(path, 0) + len(t)
-                    m = main_element(lens) or None
-                else:
-                    m = m or ""
-                kept = [
-                    t for (path, _, t), data in zip(found, template.varies(found), strict=True) if data
-                    and is_content(path, m)
-                ] if m is not None else []
+                    main = main_element(lens)
+                    kept = [t for path, _, t in found if main and is_content(path, main)]
                 texts.append("\n".join(kept))
             cols = [*rest, texts, [len(t) for t in texts]]
             yield pa.RecordBatch.from_arrays(
@@ -531,8 +589,9 @@ def _extract(schema: pa.Schema):
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each input row: page_id, url, text, n_chars (its code points).
 
-    Blocks of the main text that the host's template doesn't hold, in page order, one a line: character references decoded, white space turned into
-    single spaces, ends trimmed. A null or empty page, and one without main text, has an empty text. A null url
+    The blocks that match content slots of the host's wrapper, without what is constant there, in page order, one a line:
+    character references decoded, white space turned into single spaces, ends trimmed. A page that has none of these
+    slots is judged by itself. A null or empty page, and one without main text, has an empty text. A null url
     belongs to a host of its own. Repeated rows give repeated results; other columns are ignored; an empty table
     gives an empty result. A host with very many pages meets its wrapper by a broadcast of the largest hosts.
     """
@@ -544,7 +603,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     n = wrappers.agg(F.sum("n_pages")).first()[0] or 0
     met = join_groups(
-        rows, wrappers.select("host", "wrapper", "constant", "main", "n_pages"), "host", "n_pages", n, "left",
+        rows, wrappers.select("host", "wrapper", "constant", "slots", "n_pages"), "host", "n_pages", n, "left",
     )
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     return met.mapInArrow(_extract(schema), "page_id long, url string, text string, n_chars long")
