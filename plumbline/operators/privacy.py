@@ -9,6 +9,7 @@ import re
 import threading
 import time
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,41 +110,44 @@ class AuditLog:
         return {"valid": True, "entries": n}
 
 
+def _links(batches):
+    """seq, prev and hash for entries that come sorted by segment and order: what is carried from one to the next is a number
+    and a digest, however long a segment is."""
+    segment, seq, prev = None, 0, GENESIS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        segments, bodies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        seqs, prevs, hashes = [], [], []
+        for s, body in zip(segments, bodies, strict=True):
+            if seq == 0 or s != segment:
+                segment, seq, prev = s, 0, GENESIS
+            seq += 1
+            seqs.append(seq)
+            prevs.append(prev)
+            prev = hashlib.sha256((prev + (body or "")).encode()).hexdigest()
+            hashes.append(prev)
+        arrays = [*batch.columns, pa.array(seqs, pa.int64()), pa.array(prevs), pa.array(hashes)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "seq", "prev", "hash"])
+
+
 def chained(entries: DataFrame, segment: str, order: str, body: str) -> DataFrame:
-    """segment, order, body, seq (from 1), prev, hash: entries as logs, one for each segment. A chain is serial by nature, so a
-    segment has to be of a size that one task can hold; many of them are made side by side."""
-    sha = lambda prev, text: F.sha2(F.concat(prev, text), 256)
-    none = F.array().cast("array<struct<o:bigint,body:string,prev:string,hash:string>>")
-
-    def step(log: Column, e: Column) -> Column:
-        prev = F.when(F.size(log) == 0, F.lit(GENESIS)).otherwise(F.get(log, F.size(log) - 1)["hash"])
-        return F.concat(
-            log,
-            F.array(
-                F.struct(
-                    e["o"].alias("o"), e["body"].alias("body"), prev.alias("prev"),
-                    sha(prev, e["body"]).alias("hash"),
-                )
-            ),
-        )
-
-    rows = entries.groupBy(segment).agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(body).alias("body")))
-        ).alias("es")
-    )
-    logs = rows.select(segment, F.posexplode(F.aggregate("es", none, step)).alias("seq", "e"))
-    return logs.select(
-        segment, F.col("e.o").alias(order), F.col("e.body").alias(body), (F.col("seq") + 1).cast("long").alias("seq"),
-        "e.prev", "e.hash",
-    )
+    """segment, order, body, seq (from 1), prev, hash: entries as logs, one for each segment, by order and then body; a null
+    body counts as empty. One sorted scan: segments are made side by side, each in time that grows with its entries
+    and with no more than a batch of them in memory."""
+    rows = entries.select(F.col(segment), F.col(order).cast("long").alias(order), F.col(body).cast("string").alias(body))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (segment, order, body))
+    rows = rows.repartition(segment).sortWithinPartitions(segment, order, body)
+    return rows.mapInArrow(_links, f"{schema}, seq long, prev string, hash string")
 
 
 def verify_chain(
     log: DataFrame, seq: str, body: str, prev: str = "prev", hash_: str = "hash", segment: str | None = None,
     first: int = 1,
 ) -> DataFrame:
-    """entries, broken_at (1 is the first entry; null if it holds) of each segment's chain, or of the whole log. Entries are
+    """entries, broken_at (1 is the first entry; null if it holds) and head (the last hash) of each segment's chain, or of the
+    whole log. Entries are
     numbered without gaps from `first`; each meets the one before it by a join on its number, so that a long chain
     is checked in parallel, and a missing entry breaks it where it was."""
     keys = [segment] if segment else []
@@ -155,6 +159,7 @@ def verify_chain(
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("entries"),
         F.min(F.when(~F.coalesce(holds, F.lit(False)), F.col(seq) - first + 1)).alias("broken_at"),
+        F.max_by(hash_, seq).alias("head"),
     )
 
 

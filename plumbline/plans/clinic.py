@@ -515,8 +515,10 @@ def redact_text(spark, sf_dir):
     )
 
 
-@query("""WITH s AS (SELECT user_id || '/' || event_type || '/' || strftime(ts, '%Y-%m') AS segment, event_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY event_id) AS seq FROM s)
-SELECT segment, count(*)::BIGINT AS entries, min(CASE WHEN event_id % 97 = 0 THEN seq END) AS broken_at FROM n GROUP BY segment""")
+@query("""WITH s AS (SELECT user_id || '/' || event_type || '/' || strftime(ts, '%Y-%m') AS segment, event_id, concat_ws('|', event_id, event_type, props) AS body FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY event_id) AS seq FROM s)
+SELECT segment, count(*)::BIGINT AS entries, min(CASE WHEN event_id % 97 = 0 THEN seq END) AS broken_at,
+  list_reduce(list_prepend(repeat('0', 64), list(body ORDER BY event_id)), lambda h, b: sha256(h || b)) AS head FROM n GROUP BY segment""")
 def audit_chain_verify(spark, sf_dir):
     """A chained log for each user, type and month, some of whose entries were edited afterwards: where each breaks first."""
     at = F.concat_ws("/", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM"))
