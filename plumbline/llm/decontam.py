@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, modest_batches, odd
+from .common import chunks, materialise, modest_batches, odd
 
 #: Maps A-Z to a-z, keeps 0-9, a-z and all bytes of non-ASCII characters, and turns the rest into spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -158,7 +158,8 @@ def decontaminate(
     empty result. Other columns of docs are ignored.
 
     The broadcast set is built from at most block_chars characters of items at a time (plus one item); a larger
-    benchmark is scanned in blocks, one after the other in the same job, and no row of docs ever shuffles.
+    benchmark is scanned in blocks, one after the other, with what was found written in between; no row of docs ever
+    shuffles.
     """
     modest_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
@@ -172,8 +173,8 @@ def decontaminate(
     state = pa.schema(
         [("doc_id", id_type), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))]
     )
-    for grams in _gram_sets(benchmark, n, item_col, item_text_col, block_chars):
-        df = df.mapInArrow(_pass(grams, state), df.schema)
+    sets = _gram_sets(benchmark, n, item_col, item_text_col, block_chars)
+    df = _by_blocks(df, sets, lambda rows, grams: rows.mapInArrow(_pass(grams, state), rows.schema))
     ddl = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
     last = pa.schema(
         [
@@ -192,10 +193,20 @@ def drop_contaminated(
     shuffles: each row is scanned in place, so repeated rows stay or go alike. Rows with a null or empty text stay; an
     empty benchmark drops nothing; an empty table stays empty."""
     modest_batches(docs.sparkSession)
-    out = docs
-    for grams in _gram_sets(benchmark, n, item_col, item_text_col, block_chars):
-        out = out.mapInArrow(_keep(grams, text_col), out.schema)
-    return out
+    sets = _gram_sets(benchmark, n, item_col, item_text_col, block_chars)
+    return _by_blocks(docs, sets, lambda rows, grams: rows.mapInArrow(_keep(grams, text_col), rows.schema))
+
+
+def _by_blocks(rows: DataFrame, sets, scan) -> DataFrame:
+    """rows scanned against one set after the other. What comes out is written before the next set is used, so that no stage,
+    and no executor, holds two of them: a benchmark of several blocks costs as many writes of the rows, less one."""
+    before = None
+    for grams in sets:
+        if before is not None:
+            rows = materialise(rows, "scanned")
+            before.unpersist()
+        rows, before = scan(rows, grams), grams
+    return rows
 
 
 def _gram_sets(benchmark: DataFrame, n: int, item_col: str, item_text_col: str, block_chars: int):

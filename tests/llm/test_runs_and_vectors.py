@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from plumbline.llm import periodic, vectors
+from plumbline.llm import decontam, periodic, vectors
 
 
 def plain_runs(w):
@@ -123,3 +123,20 @@ def test_vectors_that_link_with_nothing(spark):
     got = {r["vec_id"]: r for r in vectors.near_vectors(none).collect()}
     assert got[None]["n_links"] == got[4]["n_links"] == 0 and got[None]["component_id"] is None and got[None]["kept"]
     assert vectors.near_vectors(none.limit(0)).count() == 0
+
+
+def test_a_benchmark_of_many_blocks_holds_one_set_a_stage(spark):
+    items = [(i, f"alpha{i} beta{i} gamma{i} delta{i}") for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"some text before {t} and after") for i, t in items[:6]] + [(100, "nothing of it"), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = bench.filter("item_id < 12")
+    got = decontam.decontaminate(docs, some, block_chars=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the last block's scan, and the row's digests
+    one = decontam.decontaminate(docs, some)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+    assert {r["doc_id"] for r in got.filter("contaminated").collect()} == set(range(6))
+    left = decontam.drop_contaminated(docs, some, block_chars=100)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"] for r in left.collect()} == {100, 101}
