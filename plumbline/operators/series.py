@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import NORMAL_95, T_95
+from ..scratch import materialise
 
 
 def newest(df: DataFrame, keys: list[str], date: str, order: str, ties: str = "last") -> DataFrame:
@@ -58,28 +59,84 @@ def forecasts(df: DataFrame, keys: list[str], x: str, y: str, horizon: float, le
     )
 
 
+#: Values of a key up to which an aggregate may hold them all; bins of a histogram beyond that.
+LISTED, BINS = 1_000_000, 4096
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: the exact median of each key's values (nulls don't count; the mean of the middle two of an even number).
+
+    Keys of up to LISTED values are aggregated. Of the others there are few (one in LISTED rows at most), and nothing ever
+    holds their values: a histogram of BINS bins, counted on the map side, tells which bin the middle lies in, and the next
+    histogram covers that bin only, until it holds few values or equal ones.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    hot = materialise(sizes.filter(F.col("_n") > LISTED), "hot")
+    if hot.isEmpty():
+        return rows.groupBy(*keys).agg(F.median("_v").alias("median"))
+    names = F.broadcast(hot.select(*keys))
+    few = rows.join(names, keys, "left_anti").groupBy(*keys).agg(F.median("_v").alias("median"))
+    return few.unionByName(_selected(rows.join(names, keys, "left_semi"), keys, hot))
+
+
+def _selected(rows: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Medians by refining histograms: _a and _b are the ranks of the middle values among those from _lo to _hi."""
+    still = hot.select(
+        *keys, "_n", "_lo", "_hi", F.expr("(_n - 1) div 2").alias("_a"), F.expr("_n div 2").alias("_b"),
+    )
+    known = None
+    while True:
+        met = rows.join(F.broadcast(still), keys).filter("_v between _lo and _hi")
+        # Halves, as the difference of two doubles may be none.
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * BINS))
+        place = F.when(F.col("_hi") / 2 > F.col("_lo") / 2, place).otherwise(0).cast("int")
+        bins = met.groupBy(*keys, "_a", "_b", place.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        )
+        line = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("_upto", F.sum("_n").over(line)).withColumn("_before", F.col("_upto") - F.col("_n"))
+        held = lambda rank: F.max(F.when(
+            (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.struct("_bin", "_before", "_n", "_lo", "_hi"),
+        ))
+        both = materialise(bins.groupBy(*keys, "_a", "_b").agg(held("_a").alias("x"), held("_b").alias("y")), "bins")
+        apart, flat = F.col("x._bin") != F.col("y._bin"), F.col("x._lo") == F.col("x._hi")
+        done = both.filter(apart | flat).select(*keys, (F.col("x._hi") / 2 + F.col("y._lo") / 2).alias("median"))
+        known = done if known is None else known.unionByName(done)
+        more = lambda c: F.col(c) - F.col("x._before")
+        still = both.filter(~(apart | flat)).select(*keys, "x._n", "x._lo", "x._hi", more("_a").alias("_a"), more("_b").alias("_b"))
+        if still.filter(F.col("_n") > LISTED).isEmpty():
+            break
+    rest = rows.join(F.broadcast(still), keys).filter("_v between _lo and _hi").groupBy(*keys, "_a", "_b").agg(
+        F.sort_array(F.collect_list("_v")).alias("s")
+    )
+    at = lambda rank: F.get("s", F.col(rank).cast("int"))
+    return known.unionByName(rest.select(*keys, (at("_a") / 2 + at("_b") / 2).alias("median")))
+
+
 def anomalies(
     df: DataFrame, keys: list[str], date: str, order: str, value: str, threshold: float = 3.5, least: int = 4,
 ) -> DataFrame:
     """How far each key's last value is from its history, in scaled median absolute deviations; where that is 0, in
-    standard deviations of the history, or else in billionths."""
-    at = F.struct(F.col(date), F.col(order))
-    whole = df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(value).alias("v")))).alias("s")
-    ).filter(F.size("s") >= least)
-    hist = F.transform(F.slice("s", 1, F.size("s") - 1), lambda p: p["v"].cast("double"))
-    got = whole.select(*keys, hist.alias("h"), F.element_at("s", -1)["v"].cast("double").alias("last"))
-
-    def median(a: Column) -> Column:
-        s, n = F.array_sort(a), F.size(a)
-        return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
-
-    got = got.withColumn("median", median(F.col("h"))).withColumn(
-        "mad", median(F.transform("h", lambda v: F.abs(v - F.col("median")))) * 1.4826,
-    )
-    mean = F.aggregate("h", F.lit(0.0), lambda s, v: s + v) / F.size("h")
-    std = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size("h"))
-    scale = F.when(F.col("mad") != 0, F.col("mad")).when(std != 0, std).otherwise(1e-9)
+    standard deviations of the history, or else in billionths. Null values don't count. No key's history is held as a
+    list: see medians."""
+    rows = df.select(
+        *keys, F.struct(F.col(date), F.col(order), F.col(value).cast("double").alias("v")).alias("_at"),
+        F.col(value).cast("double").alias("_v"),
+    ).filter("_v is not null")
+    last = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last")).filter(F.col("_n") >= least)
+    met = rows.join(last, keys)
+    # Rows that repeat the last one belong to its history, but for one of them.
+    again = met.filter("_at = _last").groupBy(*keys).agg(F.max("_v").alias("_v"), F.count(F.lit(1)).alias("_m"))
+    again = again.select(*keys, "_v", F.explode(F.expr("array_repeat(0, cast(_m - 1 as int))")).alias("_")).drop("_")
+    history = materialise(met.filter("_at < _last").select(*keys, "_v").unionByName(again), "history")
+    middle = medians(history, keys, "_v")
+    off = history.join(middle, keys).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_v"))
+    spread = medians(off, keys, "_v").withColumnRenamed("median", "_mad")
+    std = history.groupBy(*keys).agg(F.stddev_pop("_v").alias("_std"))
+    got = last.join(middle, keys).join(spread, keys).join(std, keys).withColumn("last", F.col("_last.v"))
+    mad = F.col("_mad") * 1.4826
+    scale = F.when(mad != 0, mad).when(F.col("_std") != 0, F.col("_std")).otherwise(1e-9)
     return got.withColumn("z", (F.col("last") - F.col("median")) / scale).select(
         *keys, "median", "last", "z", (F.abs("z") > threshold).alias("flag"),
     )
