@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import bounded
+
 # Fixed values: (kind of the seed, kind of its neighbours, how many).
 RULES = [
     ("lab", "lab", 2), ("note", "encounter", 2), ("encounter", "note", 2), ("diagnosis", "medication", 1),
@@ -22,16 +24,18 @@ def _beside(seed: str, other: str) -> Column:
     return F.coalesce(F.col("c.meta.current"), F.lit(False)) if other == "medication" else F.lit(True)
 
 
-def neighbours(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+def neighbours(chunks: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """seed, place, and the neighbour's columns, for seeds(chunk_id, one row each): a lab's newest other results of the test,
     a note's encounters of the day and the reverse, a diagnosis's current medication, a medication's diagnoses; else
-    in the order of the record. One join on the record, from the few chunks that are seeds."""
-    mine = chunks.join(F.broadcast(seeds.select("chunk_id")), "chunk_id", "left_semi").alias("s")
+    in the order of the record. One join on the record. most: a bound of the seeds' number; seeds are broadcast where it says
+    that they are few, and otherwise as Spark finds them at run time."""
+    few = (lambda df: df) if most is None else (lambda df: bounded(df, most))
+    mine = few(chunks.join(few(seeds.select("chunk_id")), "chunk_id", "left_semi")).alias("s")
     kinds = [(F.col("s.kind") == a) & (F.col("c.kind") == b) & _beside(a, b) for a, b, _ in RULES]
     either = kinds[0]
     for k in kinds[1:]:
         either = either | k
-    met = chunks.alias("c").join(F.broadcast(mine), (F.col("s.patient_id") == F.col("c.patient_id")) & either)
+    met = chunks.alias("c").join(mine, (F.col("s.patient_id") == F.col("c.patient_id")) & either)
     newest = F.when(F.col("s.kind") == "lab", F.col("c.date"))
     line = Window.partitionBy("s.chunk_id").orderBy(newest.desc_nulls_last(), F.col("c.ord"))
     most = F.coalesce(*[F.when(F.col("s.kind") == a, F.lit(n)) for a, _, n in RULES])

@@ -154,7 +154,7 @@ class ChunkIndex:
     def neighbours(self, ids: list[str]) -> list[Chunk]:
         """What stands beside the chunks in their records, in the order of the chunks."""
         seeds = self.chunks.sparkSession.createDataFrame([(i,) for i in ids], "chunk_id string")
-        rows = context.neighbours(self.chunks, seeds).collect()
+        rows = context.neighbours(self.chunks, seeds, len(ids)).collect()
         return [_chunk(r) for r in sorted(rows, key=lambda r: (ids.index(r["seed"]), r["place"]))]
 
     def _hits(self, top: DataFrame, n: int, score, dense) -> list[list[Hit]]:
