@@ -82,18 +82,19 @@ def query_terms(queries: DataFrame, qid_col: str, text_col: str, expand: bool =
 
 def bm25(posts: DataFrame, stats: DataFrame, terms: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """qid, id, score for each text that has a term of the query. scope (id) restricts what is scored, not the
-    statistics. terms come from few short queries, so that counting them is cheap; their frequencies are joined to them
-    first, and then postings meet everything in one join."""
-    n = terms.count()
+    statistics; so does an owner in both posts and terms, by which they are joined too. terms come from short
+    queries, so that counting them is cheap; their frequencies are joined to them first, and then postings meet everything
+    in one join."""
+    n, on = terms.count(), ["term", "owner"] if "owner" in terms.columns else ["term"]
     # Only postings of asked terms are kept, once, for their frequencies and their scores.
     mine = materialise(posts.join(bounded(terms.select("term").distinct(), n), "term", "left_semi"), "postings")
     dfs = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(dfs, "term").crossJoin(F.broadcast(stats)).select(
-        "qid", "term", bm25_idf(F.col("n"), F.col("df")).alias("idf"),
+        "qid", *on, bm25_idf(F.col("n"), F.col("df")).alias("idf"),
         F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0)).alias("avg_len"),
     )
     rows = mine if scope is None else mine.join(scope, "id", "left_semi")
-    joined = rows.join(bounded(weighed, n), "term")
+    joined = rows.join(bounded(weighed, n), on)
     norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return joined.groupBy("qid", "id").agg(F.sum(part).alias("score"))
@@ -157,11 +158,12 @@ def encode(
 
 
 def sparse_cosine(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """qid, id, score: dot products of unit vectors (id, bucket, weight) that share a bucket with a query's, which carry a
-    broadcast hint where they are few."""
+    """qid, id, score: dot products of unit vectors (id, bucket, weight) that share a bucket, and an owner where queries have
+    one, with a query's, which carry a broadcast hint where they are few."""
+    on = ["bucket", "owner"] if "owner" in queries.columns else ["bucket"]
     rows = vectors if scope is None else vectors.join(scope, "id", "left_semi")
     return rows.join(
-        queries.withColumnRenamed("weight", "_w"), "bucket",
+        queries.withColumnRenamed("weight", "_w"), on,
     ).groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
 
 
@@ -184,7 +186,7 @@ def dense_cosine(vectors: DataFrame, queries: DataFrame, when: Column | None = N
     return out
 
 
-def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6, scale: float = 100.0) -> DataFrame:
     """The k best of the reciprocal fusion of two rankings: all texts with lexical scores, and near(qid, id, rank). No more is
     ranked than can matter. The best k by words alone are worth 1 / (RRF_K + k - 1) at least, so a text of rank r among the
     near that is worth less on its own needs a lexical rank under a bound that r gives; what is worth as much on its
@@ -203,7 +205,7 @@ def fused_top(scores: DataFrame, near: DataFrame, k: int, digits: int = 6) -> Da
     better = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") < F.col("_id")))
     beaten = exact.join(bounded(at, few), "qid").groupBy("qid", F.col("_id").alias("id"))
     lexical = best.unionByName(beaten.agg(F.sum(better.cast("long")).alias("rank"))).distinct()
-    return ranked(fuse(lexical, near), k, digits)
+    return ranked(fuse(lexical, near, scale=scale), k, digits)
 
 
 def fuse(*rankings: DataFrame, scale: float = 100.0) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from conftest import rows_of
 
-from plumbline.plans import basics, clinic, extra, queries, relational  # noqa: F401 - they register their queries
+from plumbline.plans import asking, basics, clinic, extra, queries, relational  # noqa: F401 - they register their queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
