@@ -66,8 +66,8 @@ qw AS ({_hash_sql("qi", "c")}),
 qv AS (SELECT c, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY c)) AS weight FROM qw),
 cs AS (SELECT v.c, id, round(sum(v.weight * qv.weight), 6) AS score FROM v JOIN qv ON v.c = qv.c AND v.bucket = qv.bucket GROUP BY v.c, id),
 cr AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY score DESC, id) - 1 AS rank FROM cs),
-u AS (SELECT c, id, rank FROM r UNION ALL SELECT c, id, rank FROM cr WHERE rank < 200 AND score > 0),
-z AS (SELECT c, id, round(sum(1.0::DOUBLE / (60 + rank)) * 60, 6) AS score FROM u GROUP BY c, id),
+ranks AS (SELECT c, id, rank FROM r UNION ALL SELECT c, id, rank FROM cr WHERE rank < 200 AND score > 0),
+z AS (SELECT c, id, round(sum(1.0::DOUBLE / (60 + rank)) * 60, 6) AS score FROM ranks GROUP BY c, id),
 pool AS (SELECT c, id, round(score, 4) AS score, row_number() OVER (PARTITION BY c ORDER BY score DESC, id) - 1 AS rank FROM z)"""
 _RECENT = "coalesce(place::DOUBLE / max(place) OVER (PARTITION BY c), 0)"
 _PLACE = "CASE WHEN date IS NOT NULL THEN dense_rank() OVER (PARTITION BY c ORDER BY date NULLS LAST) END AS place"
@@ -75,7 +75,7 @@ _SHARE = f"len(list_filter(list_distinct(ct), lambda x: list_contains(toks, x) O
 
 
 @query(f"""WITH {_ASKED},
-a AS (SELECT pool.*, pid, kind, flag, tk.toks, {_PLACE.replace("PARTITION BY c", "PARTITION BY pool.c")}, {_content("qt.text")} AS ct, lower(qt.text) AS t FROM pool JOIN tk ON chunk_id = id JOIN qt ON qt.c = pool.c WHERE rank < 25),
+a AS (SELECT pool.*, qt.pid, kind, flag, tk.toks, {_PLACE.replace("PARTITION BY c", "PARTITION BY pool.c")}, {_content("qt.text")} AS ct, lower(qt.text) AS t FROM pool JOIN tk ON chunk_id = id JOIN qt ON qt.c = pool.c WHERE rank < 25),
 b AS (SELECT *, {_INTENT} AS intent, list_distinct({_PAIRS.format("ct", " ")}) AS qb, list_distinct({_PAIRS.format("toks", " ")}) AS tb FROM a),
 f AS (SELECT c, pid AS patient_id, id AS chunk_id, rank AS before, score / coalesce(nullif(max(score) OVER (PARTITION BY c), 0), 1) AS base, CASE WHEN len(ct) = 0 THEN 0 ELSE {_SHARE} END AS coverage,
   CASE WHEN len(qb) = 0 THEN 0 ELSE len(list_intersect(qb, tb))::DOUBLE / len(qb) END AS phrase, (kind = CASE intent WHEN 'allergy' THEN 'profile' WHEN 'general' THEN '' ELSE intent END)::INT::DOUBLE AS kind,
@@ -104,8 +104,8 @@ seed AS (SELECT pool.rank, tk.* FROM pool JOIN tk ON chunk_id = id WHERE rank <
 m AS (SELECT s.c, s.rank, s.kind AS sk, x.chunk_id, row_number() OVER (PARTITION BY s.chunk_id ORDER BY CASE WHEN s.kind = 'lab' THEN x.date END DESC NULLS LAST, x.ord) AS place FROM seed s JOIN tk x ON x.c = s.c AND (
   (s.kind = 'lab' AND x.kind = 'lab' AND x.what = s.what AND x.ord <> s.ord) OR (s.kind = 'note' AND x.kind = 'encounter' AND x.date = s.date) OR (s.kind = 'encounter' AND x.kind = 'note' AND x.date = s.date)
   OR (s.kind = 'diagnosis' AND x.kind = 'medication' AND x.what = 'now') OR (s.kind = 'medication' AND x.kind = 'diagnosis'))),
-n AS (SELECT c, chunk_id, min(rank * 10 + place) AS at FROM m WHERE place <= CASE sk WHEN 'diagnosis' THEN 1 ELSE 2 END AND chunk_id NOT IN (SELECT chunk_id FROM seed) GROUP BY c, chunk_id),
-o AS (SELECT c, chunk_id, row_number() OVER (PARTITION BY c ORDER BY at) AS i FROM n),
+n AS (SELECT c, chunk_id, min(rank * 10 + place) AS pos FROM m WHERE place <= CASE sk WHEN 'diagnosis' THEN 1 ELSE 2 END AND chunk_id NOT IN (SELECT chunk_id FROM seed) GROUP BY c, chunk_id),
+o AS (SELECT c, chunk_id, row_number() OVER (PARTITION BY c ORDER BY pos) AS i FROM n),
 a AS (SELECT c, rank, chunk_id FROM seed UNION ALL SELECT o.c, i - 1 + (SELECT count(*) FROM seed WHERE seed.c = o.c), chunk_id FROM o WHERE i <= 10)
 SELECT pid AS patient_id, rank, chunk_id FROM a JOIN pat USING (c)""")
 def batch_window(spark, sf_dir):
@@ -114,10 +114,10 @@ def batch_window(spark, sf_dir):
     return _told(asked, made.window(asked, 8))
 
 
-@query(f"""WITH {_ASKED}, asof AS (SELECT max(date) AS asof FROM chunk),
+@query(f"""WITH {_ASKED}, ends AS (SELECT max(date) AS last_day FROM chunk),
 a AS (SELECT pool.*, kind, what, date, {_PLACE.replace("PARTITION BY c", "PARTITION BY pool.c")}, regexp_extract(ques.text, '(?:in|since) (20[0-9][0-9])', 1) AS y, contains(ques.text, ' since ') AS since, contains(ques.text, 'latest') AS latest,
   CASE kind WHEN 'lab' THEN what WHEN 'diagnosis' THEN what WHEN 'note' THEN 'note' WHEN 'medication' THEN (what = 'now')::VARCHAR ELSE '' END AS fact FROM pool JOIN tk ON chunk_id = id JOIN ques ON ques.c = pool.c WHERE rank < 40),
-b AS (SELECT *, {_RECENT} AS recency, y <> '' AS spanned, y || '-01-01' AS lo, CASE WHEN since THEN asof ELSE y || '-12-31' END AS hi, min(rank) OVER (PARTITION BY c, kind, fact) AS first, row_number() OVER (PARTITION BY c, kind, fact ORDER BY date DESC NULLS LAST, rank) AS age FROM a, asof),
+b AS (SELECT *, {_RECENT} AS recency, y <> '' AS spanned, y || '-01-01' AS lo, CASE WHEN since THEN last_day ELSE y || '-12-31' END AS hi, min(rank) OVER (PARTITION BY c, kind, fact) AS first, row_number() OVER (PARTITION BY c, kind, fact ORDER BY date DESC NULLS LAST, rank) AS age FROM a, ends),
 d AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY CASE WHEN NOT spanned AND NOT latest THEN score * (1 + 0.5::DOUBLE * recency) ELSE 0 END DESC, CASE WHEN NOT spanned AND latest THEN first ELSE rank END) - 1 AS rank
   FROM b WHERE CASE WHEN spanned THEN coalesce(date BETWEEN lo AND hi, FALSE) WHEN latest THEN age = 1 ELSE TRUE END)
 SELECT pid AS patient_id, rank, id AS chunk_id FROM d JOIN pat USING (c) WHERE rank < 5""")
