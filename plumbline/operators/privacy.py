@@ -9,11 +9,15 @@ import re
 import threading
 import time
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.vocab import CLINICIAN, EMAIL, PHONE, RECORD_ID
+from ..scratch import materialise
+from .index import bounded
 
 GENESIS = "0" * 64
 _DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
@@ -60,6 +64,67 @@ def redact_names(df: DataFrame, text_col: str, id_col: str, names: DataFrame) ->
     ).drop("name")
 
 
+#: Between a word and what isn't one: where a text falls into pieces.
+_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
+
+
+def _pieces(text: Column) -> Column:
+    """Words and what stands between them, in turn."""
+    return F.split(text, _EDGES, -1)
+
+
+def _without(pieces: list[str], hits: list[dict], mask: str) -> str:
+    """The pieces as one text, with a mask for each hit: from the left, the longest at each place, none over another."""
+    longest: dict[int, int] = {}
+    for h in hits:
+        longest[h["at"]] = max(h["n"], longest.get(h["at"], 0))
+    out, i = [], 1
+    while i <= len(pieces):
+        out.append(mask if i in longest else pieces[i - 1])
+        i += longest.get(i, 1)
+    return "".join(out)
+
+
+def mask_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame, mask: str = "[PATIENT]") -> DataFrame:
+    """df with every one of the names (names: name) masked in text_col, whichever row it belongs to; for any number of names.
+
+    A name is looked for as its own run of words, as it is spelled, from its first word to its last, and never as a part
+    of a longer word. Each text offers the runs of its words that are as long as some name; they meet the names by an equality
+    join, and a text keeps what matches, the longest first. Names without a word are not looked for, null texts stay null,
+    and repeated rows are masked alike. Texts shuffle only where the hits are too many to broadcast.
+    """
+    known = names.select(F.regexp_replace("name", r"(?U)^\W+|\W+$", "").alias("_run")).filter("_run <> ''").distinct()
+    known = materialise(known.withColumn("_n", F.size(_pieces(F.col("_run")))), "names")
+    lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # as many as the longest name has pieces
+    if not lengths:
+        return df
+    rows = T.once(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), _p=_pieces(F.col("_text")))
+    size = F.size("_p")
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), size - n + 1), lambda i: F.get("_p", i - 1).rlike(r"(?U)^\w"))
+        made = F.transform(
+            starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.concat(*[F.get("_p", i - 1 + j) for j in range(n)]).alias("run")),
+        )
+        return F.when(size >= n, made)
+
+    offered = F.flatten(F.array_compact(F.array(*[runs(n) for n in lengths])))
+    words = rows.select("_id", F.xxhash64("_text").alias("_h"), F.explode(offered).alias("_w"))
+    words = words.select("_id", "_h", F.col("_w.run").alias("_run"), F.struct("_w.at", "_w.n").alias("_at"))
+    found = words.join(bounded(known.select("_run"), known.count()), "_run", "left_semi")
+    hits = found.groupBy(F.col("_id").alias("_hid"), F.col("_h").alias("_hh")).agg(F.collect_set("_at").alias("_hits"))
+
+    @F.pandas_udf("string")
+    def masked(pieces: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([_without(list(p), list(h), mask) for p, h in zip(pieces, hits, strict=True)], dtype=object)
+
+    text = F.col(text_col)
+    met = df.join(hits, F.col(id_col).eqNullSafe(F.col("_hid")) & (F.xxhash64(text) == F.col("_hh")), "left")
+    none = F.array().cast("array<string>")
+    shown = masked(F.when(F.col("_hits").isNull(), none).otherwise(_pieces(text)), F.coalesce("_hits", F.expr("array()").cast("array<struct<at:int,n:int>>")))
+    return met.withColumn(text_col, F.when(F.col("_hits").isNull(), text).otherwise(shown)).drop("_hid", "_hh", "_hits")
+
+
 # ---------------------------------------------------------------- audit
 
 

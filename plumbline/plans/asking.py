@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ABNORMAL_WORDS
+from ..operators import privacy
 from ..operators.chunks import chunk_records
 from .batched import Answers, Batch
 from .clinic import _CHUNKS, _INTENT, _REC, CONDITIONS, TESTS, _pick, _sql_pick, records
@@ -145,3 +146,30 @@ def batch_corrective(spark, sf_dir):
         "patient_id", "stage", "coverage", "label", "abstained", F.array_join("uncovered", ",").alias("uncovered"),
         F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"),
     )
+
+
+# ---------------------------------------------------------------- names of all records
+
+_WITH = "'Customer#' || lpad({0}::VARCHAR, 9, '0')"
+_HID = "CASE WHEN {0} IN (SELECT c_name FROM customer) THEN '[PATIENT]' ELSE {0} END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, c_name AS own, {_WITH.format("o_orderkey * 37 % (2 * (SELECT count(*) FROM customer))")} AS other FROM orders JOIN customer ON c_custkey = o_custkey),
+m AS (SELECT k, {_HID.format("own")} AS a, {_HID.format("other")} AS b, other FROM o)
+SELECT k AS o_orderkey, md5('Seen: ' || a || ', with ' || b || '. ' || b || ' (x' || other || ') agrees; ' || a || '#' || a || '?') AS masked_md5 FROM m""")
+def mask_all_names(spark, sf_dir):
+    """A note for each order that names its customer and another one, who may not exist: all customers' names masked in all
+    notes, and nothing else."""
+    customers = table(spark, sf_dir, "customer")
+    n = customers.count()
+    rows = table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select(
+        "o_orderkey", F.col("c_name").alias("own"),
+        F.concat(F.lit("Customer#"), F.lpad((F.col("o_orderkey") * 37 % (2 * n)).cast("string"), 9, "0")).alias("other"),
+    )
+    said = [
+        F.lit("Seen: "), "own", F.lit(", with "), "other", F.lit(". "), "other", F.lit(" (x"), "other", F.lit(") agrees; "),
+        "own", F.lit("#"), "own", F.lit("?"),
+    ]
+    notes = rows.select("o_orderkey", F.concat(*said).alias("text"))
+    out = privacy.mask_names(notes, "o_orderkey", "text", customers.select(F.col("c_name").alias("name")))
+    return out.select("o_orderkey", F.md5(F.col("text")).alias("masked_md5"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import questions as Q
+from plumbline.operators import privacy
 from plumbline.operators.chunks import chunk_records
 from plumbline.plans.batched import Batch
 from plumbline.plans.search import ChunkIndex
@@ -99,3 +100,24 @@ def test_no_questions_and_no_chunks(spark, both):
         out = getattr(empty, sid)(asked, K)
         assert out.hits.count() == 0 and out.outcomes.filter(F.col("label") == "low").count() == len(ASKED)
     assert Q.variants("") == []
+
+
+def test_names_of_all_rows_are_masked(spark):
+    names = ["Ann Lee", "Ann", "Ann Lee Moss", "Jörg Äsch", "  O'Hara ", "", None, "##", "Ann"]
+    texts = [
+        "Ann Lee Moss met Ann Lee, Ann and Annika.", "jörg äsch, Jörg Äsch: O'Hara", "", None, "no one", "Ann", "Ann Lee  Moss",
+        "(Ann)(Ann)Lee", "Ann " * 5000,
+    ]
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(5, "Ann", "x", "y"), (None, "by Ann", "x", "y"), (None, "Ann", "x", "y")]
+    df = spark.createDataFrame(rows, "name int, text string, _run string, _hits2 string")
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    got = privacy.mask_names(df, "name", "text", known)
+    assert got.columns == df.columns
+    m = "[PATIENT]"
+    want = [
+        (None, f"by {m}"), (None, m), (0, f"{m} met {m}, {m} and Annika."), (1, f"jörg äsch, {m}: {m}"), (2, ""), (3, None),
+        (4, "no one"), (5, m), (5, m), (6, f"{m}  Moss"), (7, f"({m})({m})Lee"), (8, f"{m} " * 5000),
+    ]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(((r["name"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert privacy.mask_names(df, "name", "text", known.limit(0)).count() == len(rows)
