@@ -150,7 +150,7 @@ def batch_corrective(spark, sf_dir):
 
 # ---------------------------------------------------------------- names of all records
 
-_WITH = "'Customer#' || lpad({0}::VARCHAR, 9, '0')"
+_WITH = "'Customer#' || lpad(({0})::VARCHAR, 9, '0')"
 _HID = "CASE WHEN {0} IN (SELECT c_name FROM customer) THEN '[PATIENT]' ELSE {0} END"
 
 
