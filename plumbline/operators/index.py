@@ -6,8 +6,11 @@ a count says that they are few, and statistics are always those of the whole cor
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,26 +118,48 @@ def feature_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _counts(docs, id_col, text_col, T.features).select("id", F.col("term").alias("feature"), "tf")
 
 
-def feature_weights(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> tuple[DataFrame, DataFrame]:
+def _blake(dim: int):
+    """Bucket and sign from eight bytes of BLAKE2b, read as one big-endian number: its remainder, and its highest bit."""
+    def digits(features: pd.Series) -> pd.DataFrame:
+        data = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
+        h = np.frombuffer(data, ">u8").astype(np.uint64)
+        sign = np.where(h >> np.uint64(63) == 1, 1.0, -1.0)
+        return pd.DataFrame({"bucket": (h % np.uint64(dim)).astype(np.int32), "sign": sign})
+
+    return F.pandas_udf(digits, "struct<bucket:int,sign:double>")
+
+
+def placed(features: DataFrame, dim: int, digest: str = "md5") -> DataFrame:
+    """features with the bucket and sign that the digest of each feature gives. MD5 stays in the JVM, and SQL can check it;
+    blake2b goes through Arrow, and gives the vectors of indexes made with it."""
+    if digest == "blake2b":
+        rows = features.withColumn("_at", _blake(dim)("feature"))
+        return rows.select("*", "_at.bucket", "_at.sign").drop("_at")
+    if digest != "md5":
+        raise ValueError(f"no digest {digest}: md5 or blake2b")
+    d = F.md5("feature")
+    bucket = F.pmod(F.conv(F.substring(d, 1, 15), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring(d, 16, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
+    return features.select("*", bucket.alias("bucket"), sign.alias("sign"))
+
+
+def feature_weights(
+    docs: DataFrame, id_col: str, text_col: str, dim: int = 1024, digest: str = "md5",
+) -> tuple[DataFrame, DataFrame]:
     """(id, bucket, weight) of unit length for each text, and (feature, idf): signed hashed TF-IDF over unigrams and
-    bigrams. Bucket and sign come from the feature's digest."""
+    bigrams. Bucket and sign come from the feature's digest, taken once for each distinct feature."""
     n = docs.count()
     tf = feature_counts(docs, id_col, text_col)
     idf = tf.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).select(
         "feature", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"),
     )
-    return hashed(tf.join(idf, "feature"), dim), idf
+    return hashed(tf.join(placed(idf, dim, digest), "feature")), idf
 
 
-def hashed(weighted: DataFrame, dim: int) -> DataFrame:
-    """(id, bucket, weight) from (id, feature, tf, idf): bucket and sign are digits of the feature's digest. One shuffle by
-    id serves the sums and the norms."""
-    d = F.col("_d")
-    rows = weighted.select("id", F.md5("feature").alias("_d"), ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
-    bucket = F.pmod(F.conv(F.substring(d, 1, 15), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(d, 16, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
-    rows = rows.select("id", bucket.alias("bucket"), (sign * F.col("_w")).alias("_w")).repartition("id")
-    sums = rows.groupBy("id", "bucket").agg(F.sum("_w").alias("w"))
+def hashed(weighted: DataFrame) -> DataFrame:
+    """(id, bucket, weight) from (id, tf, idf, bucket, sign) of features. One shuffle by id serves the sums and the norms."""
+    rows = weighted.select("id", "bucket", (F.col("sign") * (1 + F.log("tf")) * F.col("idf")).alias("_w"))
+    sums = rows.repartition("id").groupBy("id", "bucket").agg(F.sum("_w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return sums.select(
         "id", "bucket", (F.col("w") / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))).alias("weight"),
@@ -143,6 +168,7 @@ def hashed(weighted: DataFrame, dim: int) -> DataFrame:
 
 def encode(
     queries: DataFrame, qid_col: str, text_col: str, idf: DataFrame, n: int, dim: int = 1024, expand: bool = True,
+    digest: str = "md5",
 ) -> DataFrame:
     """(qid, bucket, weight) of queries; features that no text has get the weight of a frequency of 0."""
     toks = T.tokens(F.col(text_col))
@@ -154,7 +180,7 @@ def encode(
     met = idf.join(bounded(tf, most), "feature", "right").withColumn(
         "idf", F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1),
     )
-    return bounded(hashed(met, dim).withColumnRenamed("id", "qid"), most)
+    return bounded(hashed(placed(met, dim, digest)).withColumnRenamed("id", "qid"), most)
 
 
 def sparse_cosine(vectors: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:

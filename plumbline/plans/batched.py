@@ -202,8 +202,51 @@ class Batch:
         hits = materialise(hits.select("qid", "id", "score", "rank"), "hits")
         return Answers(self.grade(questions, hits), hits)
 
+    # ------------------------------------------------------------ variety
+
+    def varied(self, pool: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+        """k of each question's pool by maximal marginal relevance: each round picks, for all questions at once, the chunk whose
+        score, less its likeness to what is picked, is best; ties keep the order of the pool. The likeness of a pool's chunks
+        is a join of their vectors within the question, so that it grows with the square of a pool and not of the chunks."""
+        pool = materialise(pool.select("qid", "id", "score", "rank"), "pool")
+        mine = materialise(pool.select("qid", "id").join(self.vectors, "id").select("qid", "id", "bucket", "weight"), "pooled")
+        other = mine.select("qid", F.col("id").alias("picked"), "bucket", F.col("weight").alias("_w"))
+        like = mine.join(other, ["qid", "bucket"]).groupBy("qid", "id", "picked").agg(
+            F.sum(F.col("weight") * F.col("_w")).alias("like"),
+        )
+        like = materialise(like, "likeness")
+        top = F.max("score").over(Window.partitionBy("qid"))
+        left = pool.withColumn("_rel", F.col("score") / F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0))).withColumn(
+            "_near", F.lit(None).cast("double"),
+        )
+        out = None
+        gain = F.when(F.col("_near").isNull(), F.col("_rel")).otherwise(
+            weight * F.col("_rel") - (1 - weight) * F.col("_near")
+        )
+        for place in range(k):
+            line = Window.partitionBy("qid").orderBy(F.round(gain, 12).desc(), "rank")
+            left = materialise(left.withColumn("_n", F.row_number().over(line)), "left")
+            best = left.filter("_n = 1").select("qid", "id", "score", F.lit(place).cast("long").alias("rank"))
+            out = best if out is None else out.unionByName(best)
+            if place < k - 1:
+                near = best.select("qid", F.col("id").alias("picked")).join(like, ["qid", "picked"]).drop("picked")
+                left = left.filter("_n > 1").drop("_n").join(near, ["qid", "id"], "left").withColumn(
+                    "_near", F.greatest("_near", F.coalesce("like", F.lit(0.0))),
+                ).drop("like")
+        return out
+
     # ------------------------------------------------------------ strategies
 
+    def bm25(self, questions: DataFrame, k: int) -> Answers:
+        return self._graded(questions, self.fused(k, X.ranked(self._lexical(questions), k, self.digits)))
+
+    def naive(self, questions: DataFrame, k: int) -> Answers:
+        return self._graded(questions, self.fused(k, self._near(questions, min(k, NEAREST), True)))
+
+    def mmr(self, questions: DataFrame, k: int) -> Answers:
+        """A pool, from which varied chunks are picked."""
+        return self._graded(questions, self.varied(self.search(questions, max(4 * k, 20)), k))
+
     def hybrid(self, questions: DataFrame, k: int) -> Answers:
         return self._graded(questions, self.search(questions, k))
 

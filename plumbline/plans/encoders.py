@@ -12,19 +12,19 @@ from ..operators import index as X
 
 
 class HashingEncoder:
-    """Signed hashed TF-IDF over unigrams and bigrams."""
+    """Signed hashed TF-IDF over unigrams and bigrams, by the digest md5 or blake2b."""
 
-    def __init__(self, dim: int = 1024):
-        self.dim, self.name = dim, f"hashing-{dim}"
+    def __init__(self, dim: int = 1024, digest: str = "md5"):
+        self.dim, self.digest, self.name = dim, digest, f"hashing-{dim}" + ("" if digest == "md5" else f"-{digest}")
 
     def fit(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         self.n = docs.count()
-        vectors, idf = X.feature_weights(docs, id_col, text_col, self.dim)
+        vectors, idf = X.feature_weights(docs, id_col, text_col, self.dim, self.digest)
         self.idf = idf.persist()
         return vectors
 
     def encode(self, queries: DataFrame, qid_col: str, text_col: str, expand: bool) -> DataFrame:
-        return X.encode(queries, qid_col, text_col, self.idf, self.n, self.dim, expand)
+        return X.encode(queries, qid_col, text_col, self.idf, self.n, self.dim, expand, self.digest)
 
     def close(self) -> None:
         self.idf.unpersist()

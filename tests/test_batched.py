@@ -30,8 +30,10 @@ def remember(index):
     variants = [(v, p) for _, t, p in ASKED for v in Q.variants(t or "")]
     parts = [(v, p) for _, t, p in ASKED for part in Q.decompose(t or "") for v in Q.variants(part)]
     plain = [(t or "", p) for _, t, p in ASKED]
-    for k in (2, K, 5 * K, 25, 40):
+    for k in (2, K, 4 * K, 5 * K, 20, 25, 40):
         index.find("hybrid", k, plain)
+    for mode in ("bm25", "dense"):
+        index.find(mode, K, plain)
     index.find("hybrid", 2 * K, parts + plain)
     index.find("hybrid", 3 * K, variants)
     said = [(x, p) for _, t, p in ASKED for x in Q.hypothetical(t or "")]
@@ -49,7 +51,7 @@ def both(spark):
     index.close()
 
 
-@pytest.mark.parametrize("sid", ["hybrid", "rerank", "multiquery", "hyde", "window", "temporal", "corrective"])
+@pytest.mark.parametrize("sid", ["bm25", "naive", "mmr", "hybrid", "rerank", "multiquery", "hyde", "window", "temporal", "corrective"])
 def test_a_table_of_questions_equals_one_at_a_time(both, sid):
     ctx, batch, asked = both
     out = {"rerank": batch.reranked}.get(sid, getattr(batch, sid, None))(asked, K)
