@@ -1,4 +1,4 @@
-"""Command line: python -m plumbline ask|compare|cohort|eval|serve|mock-ehr."""
+"""Command line: python -m plumbline ask|compare|cohort|eval|grid|serve|mock-ehr."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import os
 from pyspark.sql import SparkSession
 
 from .engine import Engine
-from .plans import evaluate
+from .operators.chunks import chunk_records
+from .plans import evaluate, grid
+from .plans.batched import Batch
 from .service import record_service, server, workspace
 from .sources.records import Settings, load_records
 
@@ -29,6 +31,13 @@ def _eval(engine: Engine, a: argparse.Namespace):
     return evaluate.table(out) if a.table else out
 
 
+def _grid(engine: Engine, a: argparse.Namespace):
+    """A row for each strategy and suite, at full sizes unless --n bounds the sampled suites."""
+    sizes = {k: min(v, a.n or v) for k, v in evaluate.SIZES.items()}
+    rows = grid.grid(engine.records, Batch(chunk_records(engine.records)), a.strategy, sizes)
+    return [r.asDict() for r in rows.orderBy("suite", "strategy").collect()]  # one row a strategy and suite
+
+
 def _run(service, a: argparse.Namespace) -> str:
     with server(service, a.host, a.port) as s:
         print(f"listening on {a.host}:{s.server_port}", flush=True)
@@ -53,6 +62,10 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--save")
     e.add_argument("--table", action="store_true")
     e.set_defaults(does=_eval)
+    g = sub.add_parser("grid", help="run the evaluation over tables of questions")
+    g.add_argument("--strategy", action="append", choices=list(grid.STRATEGIES))
+    g.add_argument("--n", type=int)
+    g.set_defaults(does=_grid)
     for name, port in (("serve", 8000), ("mock-ehr", 8100)):
         s = sub.add_parser(name, help="run the workspace" if name == "serve" else "run a service of made-up records")
         s.add_argument("--host", default="127.0.0.1")
