@@ -7,7 +7,6 @@ term and record. A null or empty text asks for nothing: it finds nothing and is
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from datetime import date
 
@@ -55,7 +54,7 @@ def read(questions: DataFrame, asof: date) -> DataFrame:
             "words": (texts, Q.content),
             "terms": (texts, lambda q: list(dict.fromkeys(Q.content(q)))),
             "wanted": ("string", lambda q: KIND_FOR_INTENT.get(Q.intent(q))),
-            "odd": ("boolean", lambda q: bool(re.search(ABNORMAL_WORDS, q, re.I))),
+            "odd": ("boolean", lambda q: Q.has(ABNORMAL_WORDS, q)),
             "since": ("string", lambda q: day(bounds(q)[0])),
             "until": ("string", lambda q: day(bounds(q)[1])),
             "latest": ("boolean", lambda q: _span(q, asof).latest),
