@@ -38,3 +38,12 @@ def test_terms_after_the_fiftieth_stay(spark, data_dir, toks):
         for r in queries.QUERIES["term_counts"](spark, data_dir).collect()
     ]
     assert sorted(got) == sorted((x, n, len(ids[x]), max(ids[x])) for x, n in mentions.items()) and len(got) > 50
+
+
+def test_records_shuffle_the_columns_they_are_made_of(spark, data_dir):
+    from plumbline.plans.clinic import records
+
+    plan = records(spark, data_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    under = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(c#" in line]
+    assert under and not any("collect_list" in line for line in under)
+    assert sum("REPARTITION_BY_COL" in line for line in plan) == 2
