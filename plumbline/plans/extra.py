@@ -34,7 +34,7 @@ def mmr_select(spark, sf_dir) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     asked = emb.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"))
     rows = emb.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    pool = X.ranked(X.dense_cosine(rows, asked), 40, digits=12).join(rows, "id").select("qid", "id", "score", "vector")
+    pool = X.dense_top(rows, asked, 40, 12).join(rows, "id").select("qid", "id", "score", "vector")
     return pool.groupBy("qid").applyInPandas(lambda p: _diverse(p, 10, 0.7), "qid long, vec_id long, place long")
 
 
