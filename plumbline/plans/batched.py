@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..functions import text as T
 from ..functions.vocab import ABNORMAL_WORDS, KIND_FOR_INTENT
 from ..operators import context
 from ..operators import index as X
+from ..operators import record_search as R
 from ..operators import series as S
 from ..scratch import materialise
 from .search import NEAREST, SCALE
@@ -82,14 +84,45 @@ class Batch:
 
     def __init__(self, chunks: DataFrame, dim: int = 1024, digits: int = 9):
         self.dim, self.digits = dim, digits
-        self.chunks = materialise(chunks, "chunks")
-        keyed = self.chunks.select(F.struct("patient_id", "chunk_id").alias("id"), "text")
-        self.posts = materialise(self._owned(X.postings(keyed, "id", "text")), "postings")
-        self.stats = materialise(X.corpus_stats(self.chunks, "text"), "stats")
-        vectors, idf = X.feature_weights(keyed, "id", "text", dim)
-        self.vectors, self.idf = materialise(self._owned(vectors), "vectors"), materialise(idf, "idf")
-        n, asof = self.chunks.agg(F.count(F.lit(1)), F.max("date")).first()
-        self.n, self.asof = n, date.fromisoformat(asof or "1970-01-01")
+        self.chunks = materialise(chunks.withColumn("toks", T.tokens(F.col("text"))), "chunks")
+        n, asof, avg_len = self.chunks.agg(F.count(F.lit(1)), F.max("date"), F.avg(F.size("toks"))).first()
+        self.n, self.asof, self.avg_len = n, date.fromisoformat(asof or "1970-01-01"), avg_len or 1.0
+
+    # What an index holds is made when a search first needs it: questions about one record each need no postings and vectors.
+
+    @cached_property
+    def _keyed(self) -> DataFrame:
+        return self.chunks.select(F.struct("patient_id", "chunk_id").alias("id"), "text")
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        return materialise(self._owned(X.postings(self._keyed, "id", "text")), "postings")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return materialise(X.corpus_stats(self.chunks, "text"), "stats")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return materialise(self._owned(X.feature_weights(self._keyed, "id", "text", self.dim)[0]), "vectors")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return materialise(R.features(self.chunks, self.n, self.dim), "features")
+
+    @property
+    def idf(self) -> DataFrame:
+        return self.features.select("feature", "idf")
+
+    @cached_property
+    def _rare(self) -> tuple[DataFrame, object]:
+        """The rare features of records, and the others as a broadcast table."""
+        often, others = R.frequent(self.features)
+        rares = materialise(R.rare_features(self.chunks, often, others), "rare")
+        known = often.select("feature", "idf", "bucket", "sign").toPandas()  # X.FEW rows at most
+        table = {f: i for i, f in enumerate(known["feature"])}
+        of = [known[c].to_numpy() for c in ("idf", "bucket", "sign")]
+        return rares, self.chunks.sparkSession.sparkContext.broadcast((table, *of))
 
     @staticmethod
     def _owned(rows: DataFrame) -> DataFrame:
@@ -126,20 +159,55 @@ class Batch:
 
         return self._apart(asked, score)
 
+    def _split(self, asked: DataFrame, about, everywhere) -> DataFrame:
+        """about of the questions about one record each and everywhere of the others, where there are any."""
+        kinds = {r[0] for r in asked.select(F.col("patient_id").isNull()).distinct().collect()}  # two rows at most
+        null = F.col("patient_id").isNull()
+        if len(kinds) == 2:
+            return about(asked.filter(~null)).unionByName(everywhere(asked.filter(null)))
+        return everywhere(asked) if True in kinds else about(asked)
+
+    def _scored(self, asked: DataFrame, expand: bool) -> DataFrame:
+        rares, known = self._rare
+        return R.scored(
+            self.chunks, asked, self.features, rares, known, self.n, self.avg_len, self.dim, expand,
+        )
+
     def _near(self, asked: DataFrame, k: int, expand: bool) -> DataFrame:
         """The nearest chunks of positive cosine, by rank."""
         def score(keyed, lay):
             vectors = X.encode(keyed, "key", "text", self.idf, self.n, self.dim, expand)
             return X.sparse_cosine(self.vectors, lay(vectors, "bucket", "weight"))
 
-        return X.ranked(self._apart(asked, score), k, self.digits).filter("score > 0")
+        def about(mine):
+            return self._scored(mine, expand).filter("near is not null").select("qid", "id", F.col("near").alias("score"))
+
+        found = self._split(asked, about, lambda rest: self._apart(rest, score))
+        return X.ranked(found, k, self.digits).filter("score > 0")
 
     def search(self, asked: DataFrame, k: int) -> DataFrame:
-        """qid, id, score, rank: the k best chunks of each question, words and vectors fused."""
-        found = X.fused_top(
-            self._lexical(asked), self._near(asked, NEAREST, True), k, self.digits, scale=SCALE,
-        )
-        return found.withColumn("score", F.round("score", 4))
+        """qid, id, score, rank: the k best chunks of each question, words and vectors fused. All ranks of a question about
+        one record are taken after one shuffle of its scores."""
+        def about(mine):
+            rows = self._scored(mine, True)
+            rows = rows.select("qid", "id", *[F.round(c, self.digits).alias(c) for c in ("lexical", "near")])
+            by = lambda c: F.row_number().over(
+                Window.partitionBy("qid").orderBy(F.col(c).desc_nulls_last(), "id")
+            ) - 1
+            rows = rows.withColumns({"_l": by("lexical"), "_n": by("near")})
+            worth = lambda c: 1.0 / (F.lit(float(X.RRF_K)) + F.col(c))
+            parts = [
+                F.when(F.col("lexical").isNotNull(), worth("_l")),
+                F.when((F.col("near") > 0) & (F.col("_n") < NEAREST), worth("_n")),
+            ]
+            rows = rows.filter(F.coalesce(*parts).isNotNull())
+            total = (F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0))) * SCALE
+            return X.ranked(rows.select("qid", "id", total.alias("score")), k, self.digits)
+
+        def everywhere(rest):
+            return X.fused_top(self._lexical(rest), self._near(rest, NEAREST, True), k, self.digits, scale=SCALE)
+
+        return self._split(asked, about, everywhere).withColumn("score", F.round("score", 4))
 
     def nearest(self, asked: DataFrame, k: int) -> DataFrame:
         """qid, id, score, rank: the k nearest chunks to each text as it is."""
@@ -157,7 +225,7 @@ class Batch:
 
     def rerank(self, questions: DataFrame, pool: DataFrame, k: int | None = None) -> DataFrame:
         """pool by the six weighted features, which stay as columns; ties keep the order of the pool."""
-        rows = self._met(pool, "kind", "date", F.col("meta.flag").alias("flag"), T.tokens(F.col("text")).alias("t"))
+        rows = self._met(pool, "kind", "date", F.col("meta.flag").alias("flag"), F.col("toks").alias("t"))
         asked = questions.select("qid", "words", "terms", "wanted", "odd")
         rows = T.once(rows.join(asked, "qid"), pairs=F.array_distinct(T.bigrams(F.col("words"), " ")))
         rows = S.with_recency(rows, "date", ["qid"])
@@ -183,7 +251,7 @@ class Batch:
 
     def grade(self, questions: DataFrame, hits: DataFrame, top: int = 3) -> DataFrame:
         """qid, coverage, label, uncovered for every question, by its first hits."""
-        seen = self._met(hits.filter(F.col("rank") < top), T.tokens(F.col("text")).alias("t"))
+        seen = self._met(hits.filter(F.col("rank") < top), F.col("toks").alias("t"))
         have = seen.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))  # of top texts
         rows = questions.select("qid", "terms").join(have, "qid", "left")
         found = F.when(F.col("t").isNull(), F.array().cast("array<string>")).otherwise(
