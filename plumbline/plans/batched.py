@@ -18,7 +18,7 @@ from ..functions import batch
 from ..functions import questions as Q
 from ..functions import text as T
 from ..functions.vocab import ABNORMAL_WORDS, KIND_FOR_INTENT
-from ..operators import context
+from ..operators import blocks, context
 from ..operators import index as X
 from ..operators import record_search as R
 from ..operators import series as S
@@ -104,7 +104,7 @@ class Batch:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return materialise(self._owned(X.feature_weights(self._keyed, "id", "text", self.dim)[0]), "vectors")
+        return materialise(self._owned(blocks.feature_weights(self._keyed, "id", "text", self.dim)[0]), "vectors")
 
     @cached_property
     def features(self) -> DataFrame:

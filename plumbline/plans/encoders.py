@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import questions as Q
+from ..operators import blocks
 from ..operators import index as X
 
 
@@ -19,7 +20,7 @@ class HashingEncoder:
 
     def fit(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         self.n = docs.count()
-        vectors, idf = X.feature_weights(docs, id_col, text_col, self.dim, self.digest)
+        vectors, idf = blocks.feature_weights(docs, id_col, text_col, self.dim, self.digest)
         self.idf = idf.persist()
         return vectors
 
