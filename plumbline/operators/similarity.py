@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import materialise
 from .chunks import drug_base
 from .clinical import with_risk
 from .domains import few
@@ -27,35 +28,50 @@ SHORT = {
 def feature_vectors(records: DataFrame) -> DataFrame:
     """patient_id, name, age, sex, score, conditions, drugs, features (array): age, sex, drugs, risk, 1.5 for each condition
     had, and each test's newest value as clipped distance from the middle of its range. The domains of conditions
-    and tests are those of the data."""
-    conditions, tests = few(records, F.explode("diagnoses.condition")), few(records, F.explode("labs.test"))
+    and tests are those of the data. Records are read once: what features are made of is a short row each, which is written."""
     rows = with_risk(records)
     have = F.array_distinct("diagnoses.condition")
     active = F.filter("medications", lambda m: m["active"])
 
-    def lab(test: str):
-        newest = F.array_max(
-            F.filter(
-                F.transform(
-                    "labs",
-                    lambda x, i: F.struct(
-                        x["date"].alias("d"), i.alias("i"), x["test"].alias("test"), x["value"].alias("v"),
-                        x["ref_low"].alias("lo"), x["ref_high"].alias("hi"),
-                    ),
-                ),
-                lambda x: x["test"] == test,
-            )
-        )
-        far = (newest["v"] - (newest["lo"] + newest["hi"]) / 2) / F.greatest(newest["hi"] - newest["lo"], F.lit(1e-6))
-        return F.when(far.isNotNull(), F.least(F.greatest(far, F.lit(-3.0)), F.lit(3.0)) / 3).otherwise(0.0)  # greatest passes over nulls
-
+    placed = F.transform(
+        "labs",
+        lambda x, i: F.struct(
+            x["date"].alias("d"), i.alias("i"), x["test"].alias("test"), x["value"].alias("v"), x["ref_low"].alias("lo"),
+            x["ref_high"].alias("hi"),
+        ),
+    )
+    rows = T.once(rows, _placed=placed)
+    # A value that a lambda uses more than once is an element of an array, so that it is made once.
+    tests = F.array_distinct(F.array_compact("labs.test"))
+    newest = F.transform(tests, lambda t: F.array_max(F.filter("_placed", lambda x: x["test"] == t)))
+    far = F.transform(
+        newest,
+        lambda n: F.struct(
+            n["test"].alias("test"),
+            ((n["v"] - (n["lo"] + n["hi"]) / 2) / F.greatest(n["hi"] - n["lo"], F.lit(1e-6))).alias("far"),
+        ),
+    )
+    clipped = lambda x: F.least(F.greatest(x, F.lit(-3.0)), F.lit(3.0)) / 3
+    far = F.transform(  # greatest passes over nulls
+        far, lambda x: F.struct(x["test"].alias("test"), F.when(x["far"].isNotNull(), clipped(x["far"])).otherwise(0.0).alias("far")),
+    )
+    told = materialise(
+        rows.select(
+            "patient_id", "name", "age", "sex", "score", have.alias("conditions"),
+            F.array_distinct(F.transform(active, lambda m: drug_base(m["name"]))).alias("drugs"),
+            F.size(active).alias("_active"),
+            far.alias("_newest"),
+        ),
+        "told",
+    )
+    conditions, tests = few(told, F.explode("conditions")), few(told, F.explode("_newest.test"))
+    far = lambda t: F.coalesce(F.get(F.filter("_newest", lambda x: x["test"] == t), F.lit(0))["far"], F.lit(0.0))
     parts = [
-        F.col("age") / 100, F.when(F.col("sex") == "F", 1.0).otherwise(0.0), F.size(active) / 6, F.col("score") / 100,
+        F.col("age") / 100, F.when(F.col("sex") == "F", 1.0).otherwise(0.0), F.col("_active") / 6, F.col("score") / 100,
     ]
-    parts += [F.when(F.array_contains(have, c), 1.5).otherwise(0.0) for c in conditions] + [lab(t) for t in tests]
-    return rows.select(
-        "patient_id", "name", "age", "sex", "score", have.alias("conditions"),
-        F.array_distinct(F.transform(active, lambda m: drug_base(m["name"]))).alias("drugs"),
+    parts += [F.when(F.array_contains("conditions", c), 1.5).otherwise(0.0) for c in conditions] + [far(t) for t in tests]
+    return told.select(
+        "patient_id", "name", "age", "sex", "score", "conditions", "drugs",
         F.array(*[p.cast("double") for p in parts]).alias("features"),
     )
 
