@@ -28,9 +28,11 @@ def neighbours(chunks: DataFrame, seeds: DataFrame, most: int | None = None) ->
     """seed, place, and the neighbour's columns, for seeds(chunk_id, one row each): a lab's newest other results of the test,
     a note's encounters of the day and the reverse, a diagnosis's current medication, a medication's diagnoses; else
     in the order of the record. One join on the record. most: a bound of the seeds' number; seeds are broadcast where it says
-    that they are few, and otherwise as Spark finds them at run time."""
+    that they are few, and otherwise as Spark finds them at run time. Seeds that tell their own patient_id, kind, date and meta
+    aren't looked up."""
     few = (lambda df: df) if most is None else (lambda df: bounded(df, most))
-    mine = few(chunks.join(few(seeds.select("chunk_id")), "chunk_id", "left_semi")).alias("s")
+    told = {"patient_id", "kind", "date", "meta"} <= set(seeds.columns)
+    mine = few(seeds if told else chunks.join(few(seeds.select("chunk_id")), "chunk_id", "left_semi")).alias("s")
     kinds = [(F.col("s.kind") == a) & (F.col("c.kind") == b) & _beside(a, b) for a, b, _ in RULES]
     either = kinds[0]
     for k in kinds[1:]:

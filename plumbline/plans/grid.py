@@ -165,7 +165,7 @@ def set_scores(asked: DataFrame, found: DataFrame, truth: DataFrame) -> DataFram
 
 def inside(made: Batch, asked: DataFrame, hits: DataFrame, k: int = K) -> DataFrame:
     """qid, share: how many of a case's first k hits are results of its test within its time; 0 without hits."""
-    met = made._met(hits.filter(F.col("rank") < k), "date", F.col("meta.test").alias("_test"))
+    met = made._met(hits.filter(F.col("rank") < k), date="date", _test="meta.test")
     good = F.coalesce((F.col("_test") == F.col("test")) & F.col("date").between(F.col("since"), F.col("until")), F.lit(False))
     shares = met.join(asked.select("qid", "test", "since", "until"), "qid").groupBy("qid").agg(
         F.avg(good.cast("double")).alias("share"),
@@ -197,7 +197,7 @@ def score(made: Batch, sid: str, about: DataFrame, cohorts: DataFrame, truth: Da
         F.when(F.col("suite") == "answerable", F.col("s")).alias("secondary"),
     )
     found = answer(made, made.read(cohorts), MANY).hits.select("qid", "id")
-    owners = made._met(found, "patient_id").select("qid", "patient_id")
+    owners = made._met(found, patient_id="patient_id").select("qid", "patient_id")
     sets = set_scores(cohorts, owners, truth).join(cohorts.select("qid", "suite"), "qid").select(
         "suite", F.col("f1").alias("value"), F.col("recall").alias("secondary"),
     )
