@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vocab import ABNORMAL_WORDS
 from ..operators import privacy
 from ..operators.chunks import chunk_records
-from .batched import Answers, Batch
+from .batched import RERANKED, Answers, Batch
 from .clinic import _CHUNKS, _INTENT, _REC, CONDITIONS, TESTS, _pick, _sql_pick, records
 from .queries import _BM25, _SYN, _content, _hash_sql, _r, _toks, query, table
 
@@ -87,7 +87,7 @@ SELECT patient_id, rank, chunk_id, round(base, 6) AS base, round(coverage, 6) AS
 def batch_rerank(spark, sf_dir):
     """The five best chunks of each question out of a pool of 25, with all six features of the reranker."""
     made, asked = _asked(spark, sf_dir)
-    rows = made.rerank(asked, made.search(asked, 25), 5)
+    rows = made.rerank(asked, made.search(asked, 25, **RERANKED), 5)
     return rows.join(asked.select("qid", "patient_id"), "qid").select(
         "patient_id", "rank", F.col("id").alias("chunk_id"), _r(F.col("base")).alias("base"),
         _r(F.col("coverage")).alias("coverage"), _r(F.col("phrase")).alias("phrase"), "kind", "abnormal",
